@@ -7,6 +7,7 @@ candidate rules, and only those run their expressions.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -89,7 +90,9 @@ def url_filter(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
 
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)
-    listed = spark.createDataFrame([(i, r.name, r.verdict, r.regex, list(r.tokens), r.weight, r.tier) for i, r in enumerate(rules)], "rule_id int, name string, rule_verdict string, regex string, tokens array<string>, weight int, tier int")
+    given = json.dumps([{"rule_id": i, "name": r.name, "rule_verdict": r.verdict, "regex": r.regex, "tokens": r.tokens, "weight": r.weight, "tier": r.tier} for i, r in enumerate(rules)])
+    kind = "array<struct<rule_id int, name string, rule_verdict string, regex string, tokens array<string>, weight int, tier int>>"
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(given), kind)))
     literals = listed.select("rule_id", F.explode("tokens").alias("token"))
     # How many rows contain each literal: counted over all rows, only for tokens that some rule has.
     seen = urls.select("_rows", F.explode(tokens).alias("token")).join(hint(literals.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.sum("_rows").alias("n"))
