@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from emberline.llm import bpe, exact_dedup, mixing, token_counts, url_filter
+from emberline.llm import bpe, exact_dedup, mixing, simhash, token_counts, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
