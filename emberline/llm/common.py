@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder: later steps reread it and survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table in the shared folder, reread it, and let the shuffle files of its making go. For tables too large for a checkpoint's plain rows."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        # A plan keeps the setting under which it is made.
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(path)

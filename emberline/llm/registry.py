@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from emberline.llm import bpe, exact_dedup, lang_id, mixing, quality, sharding, simhash, token_counts, url_filter
+from emberline.llm import bpe, exact_dedup, lang_id, mixing, quality, sharding, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_quality": quality.op6_quality,
     "op7_url_filter": url_filter.op7_url_filter,
