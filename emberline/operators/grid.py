@@ -53,8 +53,10 @@ def nearest_weights(cells: DataFrame, target: DataFrame) -> DataFrame:
 def apply_weights(field: DataFrame, weights: DataFrame, values: list[str], keys: list[str], skip_null: bool = False) -> DataFrame:
     """Fields on target cells: sum of w × value. A target with a null source is null, unless skip_null. Serves bilinear, nearest and sparse (conservative) weights alike."""
     small = weights.count() <= BROADCAST_WEIGHTS
+    # A source cell without a row is missing like one with a null.
+    weights = weights.join(weights.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n")), "target_id")
     both = field.join(F.broadcast(weights) if small else weights, "cell_id")
-    total = lambda v: F.sum(F.col("w") * F.col(v)) if skip_null else F.when(F.count(v) == F.count(F.lit(1)), F.sum(F.col("w") * F.col(v)))
+    total = lambda v: F.sum(F.col("w") * F.col(v)) if skip_null else F.when(F.count(v) == F.max("_n"), F.sum(F.col("w") * F.col(v)))
     return both.groupBy(*keys, F.col("target_id")).agg(*[total(v).alias(v) for v in values]).withColumnRenamed("target_id", "cell_id")
 
 

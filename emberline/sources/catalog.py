@@ -141,7 +141,7 @@ def load_catalog(documents: DataFrame, json_col: str = "json") -> DataFrame:
 
 def save_catalog(catalog: DataFrame) -> DataFrame:
     """One JSON document per model, nested as load_catalog reads it."""
-    nest = lambda df, keys, name: df.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "_m")))).alias("_m"))
+    nest = lambda df, keys, name: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, "_m"))).alias("_m"))
     out = catalog.select(*KEY, F.to_json(F.struct("kind", "paths", F.col("var_name").alias("var"))).alias("_j"))
     out = out.withColumn("_m", F.from_json("_j", "kind string, paths array<string>, var string")).drop("_j")
     for k in range(3, 0, -1):
