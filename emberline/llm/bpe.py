@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,12 @@ from emberline.llm.common import table
 
 #: Fixed value: the word pattern of byte-level tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts below U+0250, where the letters, numbers and white space can be listed, for Python's faster matcher.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+LATIN = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+NOT_LATIN = re.compile("[^\u0000-\u024f]")
 #: Words that a worker remembers, and the longest that it keeps.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
 #: Characters of texts that are encoded together; words of a longer text that are held at once.
 LOAD, CHUNK = 200_000, 50_000
 #: Longest word, in bytes, that is merged by scanning its pairs.
@@ -70,10 +75,11 @@ class ByteBpe:
         # Only tokens that their own merges make may be proposed.
         whole = self.left >= 0
         self.proposed = {b: i for b, i in self.id_of.items() if len(b) == 1 or whole[i]}
-        # The longest proposed token by its first two bytes.
+        # The longest proposed token by its first three bytes.
         self.reach: dict[bytes, int] = {}
         for b in self.proposed:
-            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
+            for head in {b[:1], b[:2], b[:3]} if len(b) < 3 else {b[:3]}:
+                self.reach[head] = max(len(b), self.reach.get(head, 0))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -87,7 +93,7 @@ class ByteBpe:
     def greedy(self, word: bytes) -> list[int]:
         out, at, n, get, reach = [], 0, len(word), self.proposed.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + reach(word[at : at + 2], 1)), at, -1):
+            for end in range(min(n, at + reach(word[at : at + 3], 2)), at, -1):
                 if (i := get(word[at:end])) is not None:
                     out.append(i)
                     at = end
@@ -184,9 +190,10 @@ class ByteBpe:
 
     def split(self, text: str) -> list[list[str] | int]:
         """Lists of words, and special tokens as their ids."""
-        if self.specials is None:
-            return [self.words.findall(text)]
-        return [self.special[x] if x in self.special else self.words.findall(x) for x in self.specials.split(text)]
+        find = (self.words if NOT_LATIN.search(text) else LATIN).findall
+        if not any(s in text for s in self.special):
+            return [find(text)]
+        return [self.special[x] if x in self.special else find(x) for x in self.specials.split(text)]
 
     def encode_long(self, text: str) -> bytes:
         """For a text of any length: no more than CHUNK words are held at once."""
@@ -195,7 +202,7 @@ class ByteBpe:
             if part in self.special:
                 out += array.array("I", [self.special[part]]).tobytes()
                 continue
-            found = (m[0] for m in self.words.finditer(part))
+            found = (m[0] for m in (self.words if NOT_LATIN.search(part) else LATIN).finditer(part))
             while chunk := list(itertools.islice(found, CHUNK)):
                 out += b"".join(map(self.look_up([chunk]).__getitem__, chunk))
         return bytes(out)
