@@ -59,7 +59,7 @@ def test_pooled_quantile_is_linear_and_skips_nulls(spark):
 
 def test_fire_season_wraps_ties_and_nulls(spark):
     def start(values):
-        df = spark.createDataFrame([(1, m + 1, v) for m, v in enumerate(values)], "cell_id long, month int, v double")
+        df = spark.createDataFrame([(1, m + 1, None if v is None else float(v)) for m, v in enumerate(values)], "cell_id long, month int, v double")
         return [r["month"] for r in season.fire_season_mask(df, "v", ["cell_id"]).where("in_season").orderBy("month").collect()]
 
     assert start([5, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 6]) == [1, 2, 12]
