@@ -150,7 +150,7 @@ def save_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def catalog_inventory(catalog: DataFrame, needed: list[str]) -> DataFrame:
-    wide = catalog.groupBy("model", "scenario", "member").pivot("var", needed).agg(F.lit("Y"))
+    wide = catalog.groupBy("model", "scenario", "member").pivot("var", needed).agg(F.max(F.lit("Y")))
     return wide.fillna("", needed)
 
 
