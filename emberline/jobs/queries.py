@@ -545,7 +545,7 @@ def common_grid(spark, sf):
 def remap_sparse(spark, sf):
     w = cells(spark, sf).select(F.floor(F.col("cell_id") / 5).alias("target_id"), "cell_id", F.lit(0.2).alias("w"))
     field = cube(spark, sf).groupBy("cell_id", "scenario").agg(F.avg("tas").alias("tas"))
-    return rounded(grid.apply_weights(field, w, ["tas"], ["scenario"]), "tas")
+    return rounded(grid.apply_weights(field, w, ["tas"], ["scenario"], skip_null=True), "tas")
 
 
 @query("wrap_lon", "SELECT CAST(n_nationkey AS BIGINT) AS cell_id, round(((n_nationkey * 37 % 360)::DOUBLE + 180) % 360 - 180 + 1.7e-8, 6) AS lon FROM nation")
