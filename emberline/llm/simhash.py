@@ -71,30 +71,32 @@ def cell_of(fp: Column) -> Column:
 
 
 def cells_near(cell: Column) -> Column:
-    """The cell itself and those at Manhattan distance one: structs (cell, seg, step)."""
+    """The cell itself and those at Manhattan distance one, null where a segment has no bit to give: structs (cell, seg, step)."""
     entry = lambda c, j, step: F.struct(c.alias("cell"), F.lit(j).alias("seg"), F.lit(step).alias("step"))
     out = [entry(cell, -1, 0)]
     for j in range(SEGMENTS):
         bits, one = F.shiftrightunsigned(cell, 3 * j).bitwiseAND(7), F.lit(1 << (3 * j)).cast("long")
-        out += [F.when(bits < WIDTH, entry(cell + one, j, 1)), F.when(bits > 0, entry(cell - one, j, -1))]
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        out += [entry(F.when(bits < WIDTH, cell + one), j, 1), entry(F.when(bits > 0, cell - one), j, -1)]
+    return F.array(*out)
 
 
 def words_in(fp: Column, seg: Column, step: Column) -> Column:
-    """Of the words within one flipped bit of fp, those in the cell that the segment's step leads to."""
+    """Of the words within one flipped bit of fp, those in the cell that the segment's step leads to; the rest null."""
     out = [F.when(seg < 0, fp)]
     for b in range(WIDTH):
         at = seg * WIDTH + b
         set_ = F.call_function("shiftrightunsigned", fp, at).bitwiseAND(1) == 1
         out.append(F.when((seg >= 0) & (set_ == (step < 0)), fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array(*out)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints (column fp): enough of them that fingerprints within two bits are connected, and none between others."""
-    near = fps.select("fp", F.explode(cells_near(cell_of(F.col("fp")))).alias("_c")).select("fp", "_c.*")
+    # Each fingerprint makes some thirty rows, so the small table is spread over all tasks first.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").withColumn("_own", cell_of(F.col("fp")))
+    near = spread.select("fp", F.explode(cells_near(F.col("_own"))).alias("_c")).select("fp", "_c.*").where("cell IS NOT NULL")
     shared = near.groupBy("cell").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high")).where("_low < _high").select("cell")
-    met = near.join(shared, "cell").select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word"))
+    met = near.join(shared, "cell").select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
     meetings = met.groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("_all")).where(F.size("_all") > 1)
     return meetings.select(F.explode(F.slice("_all", 2, 65)).alias("a"), F.col("_all")[0].alias("b")).distinct()
 
