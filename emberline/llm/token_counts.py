@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.bpe import default_path, token_count
-from emberline.llm.common import table
+from emberline.llm.common import cut, table
 
 #: Lengths that are summed in one piece; the pieces are then summed themselves.
 PIECE = 1024
@@ -21,7 +21,8 @@ def length_histogram(docs: DataFrame, length_col: str = "n_tokens", by: tuple[st
     gives no rows. Counts meet by group and length before they move, so a large group is as cheap as a small one.
     """
     by = list(by)
-    counts = docs.groupBy(*by, F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # Encoding is the costly part: its histogram is kept, so that both sums below start from it.
+    counts = cut(docs.groupBy(*by, F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")))
     counts = counts.withColumn("_piece", F.expr(f"n_tokens div {PIECE}"))
     longer_first = Window.partitionBy(*by, "_piece").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     within = counts.withColumns({"_docs": F.sum("n_docs").over(longer_first), "_tokens": F.sum(F.col("n_docs") * F.col("n_tokens")).over(longer_first)})
