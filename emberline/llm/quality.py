@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import SPACE, cut, table, whole, without_spaces, words
+from emberline.llm.common import cut, table, whole, without_spaces, words
 
 #: Common words of the languages, in lower case.
 COMMON_WORDS = {
@@ -29,28 +29,25 @@ MIN_CHARS, MIN_WORDS = 200, 100
 BROADCAST_LANGS = 10_000
 
 
-def char_classes(text: Column) -> list[Column]:
-    """Counts of the characters of a text: upper-case letters, other letters, digits, line ends, other white space, sentence marks, listed symbols, the rest. Each is found as what removing the class takes away."""
-    n = F.char_length(text)
-    gone = lambda pattern: (n - F.char_length(F.regexp_replace(text, pattern, ""))).cast("long")
-    listed = lambda chars: (n - F.char_length(F.translate(text, chars, ""))).cast("long")
-    letters, upper = gone(r"\p{L}+"), gone(r"\p{Lu}+")
-    parts = [upper, letters - upper, listed("0123456789"), listed("\n"), listed(" \t\x0b\f\r"), listed(".,;:!?'\"()-"), listed(SYMBOLS)]
-    rest = n.cast("long")
-    for x in parts:
-        rest = rest - x
-    return [*parts, rest]
+#: Character classes, in the order in which they are taken out of a text; what is left at the end is a class too.
+LOWER = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+UPPER = "".join(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+CLASSES = [" \t\x0b\f\r", "\n", LOWER, UPPER, ".,;:!?'\"()-", "0123456789", SYMBOLS]
 
 
-def common_words(text: Column) -> Column:
-    """The vocabulary's words in a text, whatever their case and sentence marks."""
-    return F.filter(F.split(F.lower(F.translate(text, ".,;:!?", "")), SPACE), lambda w: w.isin(VOCABULARY))
+def class_lengths(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds _left: the text's length in characters, then its length after each class is taken out. Every step works on what the one before left, so most of a text is read two or three times only."""
+    left, lengths = text, [F.char_length(text)]
+    for chars in CLASSES:
+        left = F.translate(left, chars, "")
+        lengths.append(F.char_length(left))
+    return docs.withColumn("_left", F.array(*lengths))
 
 
 def word_counts(found: Column, n_words: Column) -> Column:
-    """How often each word of the vocabulary was found, then the number of all other words."""
-    counts = F.transform(F.array(*map(F.lit, VOCABULARY)), lambda v: F.size(F.filter(found, lambda w: w == v)))
-    return F.concat(counts, F.array(F.greatest(F.lit(0), n_words - F.size(found))))
+    """How often each word of the vocabulary is among those found, then the number of all other words."""
+    counts = [F.size(found) - F.size(F.array_remove(found, v)) for v in VOCABULARY]
+    return F.array(*counts, n_words - F.size(found))
 
 
 #: Of a window's key the low bits hold its place, the others its hash.
@@ -60,13 +57,16 @@ PLACE = (1 << 24) - 1
 def repeated_words(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words from the words in _w: how many words lie in windows of three words that occur twice or more.
 
-    Windows meet by sorting (hash, place) keys within the row, and equal neighbours are compared word by word. Where the hashes
-    of different windows meet, or a text has more words than places, the windows themselves are sorted instead.
+    A text whose window hashes are all distinct has none. In others windows meet by sorting (hash, place) keys within the row, and
+    equal neighbours are compared word by word. Where the hashes of different windows meet, or a text has more words than places,
+    the windows themselves are sorted instead.
     """
     w, n = F.col("_w"), F.size("_w")
     at = lambda i: [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
-    starts = F.when((n >= 3) & (n <= PLACE), F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    docs = docs.withColumn("_k", F.sort_array(F.transform(starts, lambda i: F.xxhash64(*at(i)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))))
+    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    docs = docs.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(*at(i))))
+    again = (F.size("_h") > F.size(F.array_distinct("_h"))) & (n <= PLACE)
+    docs = docs.withColumn("_k", F.when(again, F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>")))
     k = F.col("_k")
     met = lambda x, y: F.shiftright(x.bitwiseXOR(y), 24) == 0
     beside = lambda a, x, i, same: F.coalesce(same(x, F.get(a, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(a, i + 1)), F.lit(False))
@@ -88,39 +88,39 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("_p", F.sort_array(F.when(s.isNotNull(), slow).otherwise(fast)))
     p = F.col("_p")
     covered = F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3), F.get(p, i + 1) - x), F.lit(3)))
-    return docs.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_k", "_c", "_s", "_p")
+    return docs.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_h", "_k", "_c", "_s", "_p")
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All input columns but the text, then the base counts and the two histograms."""
     text = whole(F.col(text_col))
     # Each array is a column of its own before it is used more than once: an expression inside a lambda runs for every element.
-    out = repeated_words(docs.withColumn("_w", words(F.col(text_col))))
-    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: F.length(without_spaces(x)) > 0), "_found": common_words(text), "_n": F.size("_w")}).drop("_w")
+    out = class_lengths(repeated_words(docs.withColumn("_w", words(F.col(text_col)))), text)
+    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: F.length(without_spaces(x)) > 0), "_found": F.filter("_w", lambda w: w.isin(VOCABULARY)), "_n": F.size("_w")}).drop("_w", text_col)
+    at = lambda k: F.get("_left", F.lit(k))
     return out.withColumns(
         {
             "n_words": F.col("_n").cast("long"),
-            "word_chars": F.char_length(without_spaces(F.col(text_col))).cast("long"),
-            "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": at(2).cast("long"),
+            "n_symbols": (at(6) - at(7)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_chars": F.array(*char_classes(text)).cast("array<int>"),
-            "_common": word_counts(F.col("_found"), F.col("_n")).cast("array<int>"),
+            "_chars": F.array(*[at(k) - at(k + 1) for k in range(7)], at(7)),
+            "_common": word_counts(F.col("_found"), F.col("_n")),
         }
-    ).drop("_lines", "_found", "_n", text_col)
+    ).drop("_lines", "_found", "_n", "_left")
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms, 0 to 1; null if either is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    tp, tq = total(p), total(q)
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+def shares(histogram: Column) -> Column:
+    """The histogram over its sum; null if that is zero."""
+    total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.when(total > 0, F.transform(F.arrays_zip(histogram.alias("h"), F.array_repeat(total, F.size(histogram)).alias("t")), lambda x: x["h"] / x["t"]))
 
-    def both(x: Column, y: Column) -> Column:
-        x, y = x / tp, y / tq
-        return (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2
 
-    d = F.aggregate(F.zip_with(p, q, both), F.lit(0.0), lambda a, x: a + x)
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), d)))
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two distributions, 0 to 1."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    both = F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x)))
 
 
 def judge(
@@ -142,13 +142,19 @@ def judge(
     own = [c for c in docs.columns if c not in (*added, text_col)]
     rows = cut(features(docs.select(*own, text_col), text_col))
     sums = lambda col, n: F.array(*[F.sum(F.get(col, F.lit(i)).cast("long")) for i in range(n)])
-    refs = cut(rows.groupBy(F.col(lang_col).alias("_lang")).agg(sums("_chars", 8).alias("_ref_chars"), sums("_common", len(VOCABULARY) + 1).alias("_ref_common")))
+    refs = rows.groupBy(F.col(lang_col).alias("_lang")).agg(sums("_chars", 8).alias("_c"), sums("_common", len(VOCABULARY) + 1).alias("_w"))
+    refs = cut(refs.select("_lang", shares(F.col("_c")).alias("_ref_chars"), shares(F.col("_w")).alias("_ref_common")))
     refs = F.broadcast(refs) if refs.count() <= BROADCAST_LANGS else refs
+    held = rows.join(refs, F.col(lang_col).eqNullSafe(F.col("_lang"))).withColumns({"_p": shares(F.col("_chars")), "_q": shares(F.col("_common"))})
+    # Lazy columns of their own, so that neither distance is worked out twice.
+    held = held.withColumns(
+        {
+            "char_distance": F.when(F.col("word_chars") >= min_chars, distance(F.col("_p"), F.col("_ref_chars"))),
+            "word_distance": F.when(F.col("n_words") >= min_words, distance(F.col("_q"), F.col("_ref_common"))),
+        }
+    )
     return (
-        rows.join(refs, F.col(lang_col).eqNullSafe(F.col("_lang")))
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .withColumn("char_distance", F.when(F.col("word_chars") >= min_chars, distance(F.col("_chars"), F.col("_ref_chars"))))
-        .withColumn("word_distance", F.when(F.col("n_words") >= min_words, distance(F.col("_common"), F.col("_ref_common"))))
+        held.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance))
         .select(*own, *added)
     )
