@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, table
+from emberline.llm.common import cut, store, table
 
 SEED = 42
 #: Segments of the embedding, of four bits each.
@@ -32,11 +32,11 @@ SEGMENTS, WIDTH = 16, 4
 PIECE = 1 << 15
 
 
-def fingerprint(text: str, n: int = 3) -> int:
-    """SimHash of a text as a signed 64-bit integer, over its word n-grams with repeats."""
+def shingles(text: str, n: int) -> np.ndarray:
+    """Hashes of the word n-grams of a text with repeats; a text of fewer words is one."""
     joined = b" ".join(text.encode().lower().split())  # bytes: only A-Z change, only ASCII white space separates
     if not joined:
-        return 0
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_intdigest
     at = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(joined)]
@@ -44,13 +44,23 @@ def fingerprint(text: str, n: int = 3) -> int:
         found = [h(joined, SEED)]
     else:
         found = [h(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :])]
-    hashes, counts = np.array(found, np.uint64), np.zeros(64, np.int64)
+    return np.array(found, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit integer; zero without hashes."""
+    counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), PIECE):
         counts += np.unpackbits(hashes[k : k + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str, n: int = 3) -> int:
+    """SimHash of a text as a signed 64-bit integer, over its word n-grams with repeats."""
+    return majority(shingles(text, n))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", n: int = 3) -> DataFrame:
     """All input columns but the text, and ``fp`` long. A text without words, or null, has fingerprint zero."""
 
@@ -136,5 +146,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(table_, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).select(*rows.columns, "fingerprint", "component_id")
 
 
+#: similar_documents: Jaccard similarity as a fraction, fewest shingles of texts that fingerprints may rule out, widest radius.
+SIMILAR, LONG, RADIUS = (4, 5), 64, 24
+#: Nodes of a shingle whose pairs are listed; crowded shingles of a document that are used instead.
+MOST, TURNS = 16, 12
+
+
+def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """All input columns but the text, then keys (sorted distinct shingle hashes), node (their digest) and fp (SimHash of the set)."""
+
+    @F.pandas_udf("keys array<bigint>, node long, fp long")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [np.unique(shingles(t or "", n).view(np.int64)) for t in texts]
+            yield pd.DataFrame({"keys": found, "node": pd.Series([xxhash.xxh3_64_intdigest(k.tobytes()) for k in found], dtype="uint64").astype("int64"), "fp": pd.Series([majority(k.view(np.uint64)) for k in found], dtype="int64")})
+
+    return docs.withColumn("_s", sets(F.col(text_col))).drop(text_col).select("*", "_s.*").drop("_s")
+
+
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes (node, m, fp, prefix) that may be similar.
+
+    Two sets of similarity s share a shingle among the first m - ceil(s m) + 1 of each, in any common order, here by hash. All
+    pairs of a shingle with up to MOST nodes are listed. A cluster of near copies would cost a square, so in a crowded shingle
+    nodes with the same further minimum hash are compared with one of them, for TURNS shingles of each node.
+    """
+    num, den = SIMILAR
+    met = nodes.select("node", "m", "fp", F.explode("prefix").alias("h"))
+    shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(met.join(shared, "h"))
+    fits = lambda x, y: (den * F.least(x["m"], y["m"]) >= num * F.greatest(x["m"], y["m"])) & ((F.least(x["m"], y["m"]) < LONG) | (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius))
+    one = F.struct("node", "m", "fp")
+    few = met.where(F.col("n") <= MOST).groupBy("h").agg(F.collect_list(one).alias("_all"))
+    few = few.select(F.explode("_all").alias("x"), "_all").select("x", F.explode("_all").alias("y")).where(F.col("x")["node"] > F.col("y")["node"])
+    crowd = met.where(F.col("n") > MOST).groupBy("node").agg(F.slice(F.sort_array(F.collect_list("h")), 1, TURNS).alias("_h"))
+    crowd = crowd.join(nodes, "node").select(one.alias("x"), "prefix", F.explode("_h").alias("h"))
+    crowd = cut(crowd.select("x", "h", F.array_min(F.transform("prefix", lambda e: F.xxhash64(e, F.col("h")))).alias("_min")))
+    leaders = crowd.groupBy("h", "_min").agg(F.min_by("x", F.xxhash64(F.col("x")["node"], F.col("h"))).alias("y"))
+    crowd = crowd.join(leaders, ["h", "_min"]).select("x", "y").where(F.col("x")["node"] != F.col("y")["node"])
+    a, b = F.col("x")["node"], F.col("y")["node"]
+    return few.select("x", "y").union(crowd).where(fits(F.col("x"), F.col("y"))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = RADIUS) -> DataFrame:
+    """All input columns but the text, then component_id: the smallest identifier among all documents that links reach.
+
+    A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more, which
+    is checked on the sets. Fingerprints rule out pairs of LONG texts beyond the radius only: of pairs at 0.8, which differ
+    in some ten bits of 64, about one in a million is. Texts without words are one component. Nulls as in ``near_duplicates``.
+    """
+    num, den = SIMILAR
+    own = [c for c in docs.columns if c not in (text_col, "component_id")]
+    rows = store(shingle_sets(docs.select(*own, text_col), text_col, n))
+    size = F.size("keys")
+    prefix = F.slice("keys", 1, F.when(size > 0, size - F.ceil(size * num / den).cast("int") + 1).otherwise(0))
+    first = F.min(id_col).alias("_first")
+    nodes = cut(rows.select(id_col, "node", "fp", size.alias("m"), prefix.alias("prefix")).groupBy("node").agg(first, F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    pairs = cut(candidates(nodes.drop("_first"), radius))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(rows.select("node", "keys").join(met, "node").groupBy("node").agg(F.first("keys").alias("keys")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
+    linked = both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b")
+    roots = components(linked)
+    rooted = nodes.select("node", "_first").join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+    return rows.join(rooted.join(named, "root").select("node", "component_id"), "node").select(*own, "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")

@@ -194,6 +194,43 @@ def test_simhash_links_of_chains_and_clusters(spark):
     assert max(map(len, members.values())) > 10
 
 
+def shingle_set(t):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("most", [16, 3])
+def test_near_stage_takes_edited_copies(spark, monkeypatch, most):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 8))) for _ in range(900)]
+    passage, rows = [rng.choice(vocab) for _ in range(40)], []
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = "Edit" + str(rng.randrange(10**6))
+        return " ".join(w)
+
+    for _ in range(40):  # similarities on either side of 0.8, boilerplate that all share, and short texts
+        base = [rng.choice(vocab) for _ in range(rng.choice([4, 12, 60, 300]))] + passage * (rng.random() < 0.5)
+        rows += [edited(base, k) for k in (0, 1, len(base) // 60, len(base) // 40, len(base) // 25) if k < 2 or len(base) > 30]
+    cluster = [rng.choice(vocab) for _ in range(200)]
+    rows += [edited(cluster, 1) for _ in range(50)] + [None, "", " "]
+    rng.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in enumerate(rows)}
+    roots = classes_of(sets, lambda a, b: (not sets[a] and not sets[b]) or (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and bool(sets[a] & sets[b])))
+    first = {}
+    for i, r in roots.items():
+        first[r] = min(i, first.get(r, i))
+    monkeypatch.setattr(simhash, "MOST", most)
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(rows)], DOC)
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == set(first.values()) and len(kept) < len(rows) - 90
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
 # Language ID
 
 
