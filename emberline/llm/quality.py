@@ -29,21 +29,28 @@ MIN_CHARS, MIN_WORDS = 200, 100
 BROADCAST_LANGS = 10_000
 
 
-#: Character classes, in the order in which they are taken out of a text; what is left at the end is a class too.
-LOWER = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
-UPPER = "".join(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
-CLASSES = [" \t\x0b\f\r", "\n", LOWER, UPPER, ".,;:!?'\"()-", "0123456789", SYMBOLS]
+#: Character classes, in the order in which they are taken out of a text: the plainest letters and white space first, so that
+#: most of a text is read once or twice only. Letters are Unicode's. What is left at the end is a class too.
+CLASSES = ["[a-z]+", "[ \\t\\x0B\\f\\r]+", "\\n+", r"[\p{L}&&[^\p{Lu}]]+", r"\p{Lu}+", r"[.,;:!?'\"()\-]+", "[0-9]+", "[" + SYMBOLS.replace("&", "\\&") + "]+"]
+#: Marks that don't count when common words are looked up.
+MARKS = "[.,;:!?]+"
+COMMON = rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(sorted(VOCABULARY, key=len, reverse=True))})(?![^\x20\x09-\x0D])"
 
 
 def class_lengths(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds _left: the text's length in characters, then its length after each class is taken out. Every step works on what the one before left, so most of a text is read two or three times only."""
+    """Adds _left: the text's length in characters, then its length after each class is taken out."""
     left, lengths = text, [F.char_length(text)]
-    for chars in CLASSES:
-        left = F.translate(left, chars, "")
+    for pattern in CLASSES:
+        left = F.regexp_replace(left, pattern, "")
         lengths.append(F.char_length(left))
     return docs.withColumn("_left", F.array(*lengths))
 
 
+def common_words(text: Column) -> Column:
+    """The vocabulary's words in a text, whatever their case and sentence marks. One match over the folded text, without an array of all words."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, MARKS, "")), F.lit(COMMON), F.lit(0))
+
+
 def word_counts(found: Column, n_words: Column) -> Column:
     """How often each word of the vocabulary is among those found, then the number of all other words."""
     counts = [F.size(found) - F.size(F.array_remove(found, v)) for v in VOCABULARY]
@@ -96,15 +103,15 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = whole(F.col(text_col))
     # Each array is a column of its own before it is used more than once: an expression inside a lambda runs for every element.
     out = class_lengths(repeated_words(docs.withColumn("_w", words(F.col(text_col)))), text)
-    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: F.length(without_spaces(x)) > 0), "_found": F.filter("_w", lambda w: w.isin(VOCABULARY)), "_n": F.size("_w")}).drop("_w", text_col)
+    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: F.length(without_spaces(x)) > 0), "_found": common_words(text), "_n": F.size("_w")}).drop("_w", text_col)
     at = lambda k: F.get("_left", F.lit(k))
     return out.withColumns(
         {
             "n_words": F.col("_n").cast("long"),
-            "word_chars": at(2).cast("long"),
-            "n_symbols": (at(6) - at(7)).cast("long"),
+            "word_chars": (at(0) - at(1) + at(3)).cast("long"),
+            "n_symbols": (at(7) - at(8)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_chars": F.array(*[at(k) - at(k + 1) for k in range(7)], at(7)),
+            "_chars": F.array(at(0) - at(1) + at(3) - at(4), *[at(k) - at(k + 1) for k in (1, 2, 4, 5, 6, 7)], at(8)),
             "_common": word_counts(F.col("_found"), F.col("_n")),
         }
     ).drop("_lines", "_found", "_n", "_left")

@@ -135,6 +135,16 @@ def test_quality_verdicts(spark):
     assert all(got[i]["kept"] for i in range(40)) and not got[40]["kept"] and not got[40]["base_failed"] and got[41]["base_failed"] and got[42]["base_failed"]
 
 
+def test_quality_folds_words_and_knows_all_letters(spark):
+    text = "The the, THE. t.h.e Und/und other y! Ünd Привет МИР Ωμέγα 漢字 ǅ Łódź 😀 \x01 <& 12 (á)\n"
+    r = quality.features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    found = dict(zip([*quality.VOCABULARY, ""], r["_common"]))
+    assert (found["the"], found["y"], found["und"], found[""]) == (4, 1, 0, len(words(text)) - 5)
+    upper, lower = len(regex.findall(r"\p{Lu}", text)), len(regex.findall(r"\p{L}", text)) - len(regex.findall(r"\p{Lu}", text))
+    marks, rest = sum(c in ".,;:!?'\"()-" for c in text), len("/😀\x01")
+    assert list(r["_chars"]) == [lower, text.count(" "), 1, upper, marks, 2, 2, rest] and upper == 12
+
+
 # SimHash
 
 
