@@ -3,7 +3,8 @@
 Each document has two histograms: of character classes over its text, and of common words over its words. The references
 are the summed histograms of each language over all documents. A document is kept if it passes the base rules and neither
 histogram is farther from its language's reference, in Jensen-Shannon distance, than allowed; a histogram of too few
-characters or words says nothing and is not held against its document.
+characters or words says nothing and is not held against its document. Most words are no common words, so even a text without
+any is not far from the reference: the limit for words is set for each language below that text's distance.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ SYMBOLS = "#*$%&|<>"
 #: Farthest Jensen-Shannon distances (0 to 1) from the reference, and the fewest characters and words that are compared.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.45
 MIN_CHARS, MIN_WORDS = 200, 100
+#: The limit for words as a share of the distance of a text without common words, and the share of a language's documents that
+#: must lie within it; it holds where so many common words are expected that their absence is no chance. Elsewhere (as in
+#: languages without words in the list) the limit is MAX_WORD_DISTANCE.
+BELOW_NONE, WITHIN, EXPECTED = 0.95, 0.5, 15
 #: Reference tables up to this many rows are broadcast.
 BROADCAST_LANGS = 10_000
 
@@ -141,7 +146,8 @@ def judge(
 ) -> DataFrame:
     """All input columns but the text, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    base_failed: fewer than 50 words, or over half of the words in repeated windows. Null text counts as empty and fails. Rows
+    base_failed: fewer than 50 words, or over half of the words in repeated windows. max_word_distance is the widest limit for
+    words; see BELOW_NONE. Null text counts as empty and fails. Rows
     with a null language are a language of their own. Distances are null below the minimum lengths. Repeated rows are judged one by
     one. An empty table gives no rows. Input columns with the names of result columns are replaced.
     """
@@ -158,11 +164,19 @@ def judge(
         {
             "char_distance": F.when(F.col("word_chars") >= min_chars, distance(F.col("_p"), F.col("_ref_chars"))),
             "word_distance": F.when(F.col("n_words") >= min_words, distance(F.col("_q"), F.col("_ref_common"))),
+            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
+    none = F.array(*[F.lit(0.0)] * len(VOCABULARY), F.lit(1.0))
+    held = cut(held.select(*own, *added[:-1], F.col("_lang").alias("_of"), (BELOW_NONE * distance(none, F.col("_ref_common"))).alias("_below"), (F.col("n_words") * (1 - F.get("_ref_common", F.lit(len(VOCABULARY)))) >= EXPECTED).alias("_enough")))
+    within = F.avg(F.when(F.col("word_distance") <= F.col("_below"), 1.0).when(F.col("word_distance").isNotNull(), 0.0))
+    widest = F.lit(float(max_word_distance))
+    limits = held.groupBy(F.col("_of").alias("_lang")).agg(within.alias("_within"), F.max("_below").alias("_cap"))
+    limits = cut(limits.select("_lang", F.when(F.col("_within") > WITHIN, F.least(widest, F.col("_cap"))).otherwise(widest).alias("_limit")))
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits
     return (
-        held.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance))
+        held.join(limits, F.col("_of").eqNullSafe(F.col("_lang")))
+        .withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= F.when(F.col("_enough"), F.col("_limit")).otherwise(widest)))
         .select(*own, *added)
     )
 

@@ -145,6 +145,17 @@ def test_quality_folds_words_and_knows_all_letters(spark):
     assert list(r["_chars"]) == [lower, text.count(" "), 1, upper, marks, 2, 2, rest] and upper == 12
 
 
+def test_quality_rejects_long_texts_without_common_words(spark):
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("etaoinshrdl") for _ in range(rng.randrange(3, 8))) for _ in range(400)]
+    clean = [" ".join(rng.choice(quality.COMMON_WORDS["en"]) if rng.random() < 0.15 else rng.choice(plain) for _ in range(300)) for _ in range(40)]
+    salad = " ".join(rng.choice(plain) for _ in range(300))
+    other = [" ".join(rng.choice(plain) for _ in range(300)) + " the" * (k == 0) for k in range(20)]  # a language without a list
+    rows = [(i, t, "en") for i, t in enumerate([*clean, salad])] + [(100 + i, t, "xx") for i, t in enumerate(other)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [i for i, r in got.items() if not r["kept"]] == [40] and not got[40]["base_failed"] and got[40]["word_distance"] < quality.MAX_WORD_DISTANCE
+
+
 # SimHash
 
 
