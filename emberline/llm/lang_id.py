@@ -2,8 +2,8 @@
 
 A text becomes a normalised TF-IDF vector of its byte bigrams and trigrams, hashed into a fixed number of dimensions. Each
 language has a few centroids, found by spherical k-means within its own sample in a task of its own. A text gets the language
-of the centroid of highest cosine. It is rejected when its distance from that centroid exceeds the language's reach: the
-farthest text of its sample, widened so that shorter ones still pass.
+of the centroid of highest cosine. It is rejected when that cosine is below the centroid's limit for texts of its length: a low
+quantile of the cosines that beginnings of about that length of the centroid's own sample texts have, with a small margin.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ DIMS = 1 << 14
 CENTROIDS = 4
 #: Bounds of the sample that the classifier is fitted on: documents per language, and languages.
 SAMPLE_PER_LANG, MAX_LANGS = 1024, 256
-#: A text is in reach if its cosine is at least this share of the lowest one in its language's sample.
-REACH = 0.2
+#: Lengths in characters of the beginnings whose cosines set the limits, the quantile taken, and the fewest beginnings for one.
+HEADS, LOW, FEWEST = (8, 32, 128, 512, 2048, 8192), 0.01, 5
+#: Centroids with a smaller share of their language's sample are dropped, and so are their texts.
+SMALL = 0.02
 #: Bytes of a text that are counted at once.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -56,11 +58,11 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """(unit centroids, cluster of each row). Starts from the rows farthest from each other, so it has no random part."""
+    """(unit centroids, cluster of each row). Starts from rows far from each other, though not from the farthest tenth, which are the odd ones; it has no random part."""
     picked = [int(np.argmax(x @ x.mean(axis=0)))]
     near = x @ x[picked[0]]
     while len(picked) < min(k, len(x)):
-        picked.append(int(np.argmin(near)))
+        picked.append(int(np.argsort(near, kind="stable")[len(x) // 10]))
         near = np.maximum(near, x @ x[picked[-1]])
     c = x[picked]
     for _ in range(rounds):
@@ -70,13 +72,41 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarra
     return c.astype(np.float32), np.argmax(x @ c.T, axis=1)
 
 
+def robust_clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, rows used, cluster of each of them). Clusters that are too small go with their rows."""
+    c, own = spherical_kmeans(x, k)
+    sizes = np.bincount(own, minlength=len(c))
+    rows = np.flatnonzero((sizes >= np.minimum(SMALL * len(x), sizes.max()))[own])
+    return c, rows, own[rows]
+
+
+def margin(length: np.ndarray | float) -> np.ndarray | float:
+    """What a limit is multiplied with: a tenth less for long texts, up to a half for a few characters, whose cosines vary more."""
+    return 0.9 - 0.4 * np.minimum(1.0, np.sqrt(HEADS[0] / np.maximum(1.0, length)))
+
+
+def limits(cosines: list[list[float]], full: np.ndarray) -> np.ndarray:
+    """One centroid's limit at each length of HEADS, from the cosines of the beginnings of each length. A length with too few has the one before, the first one that of whole texts."""
+    out, last = [], None
+    for some in cosines:
+        if len(some) >= FEWEST or last is None:
+            last = float(np.quantile(some or full, LOW)) if len(some) else float(np.quantile(full, LOW))
+        out.append(last)
+    return np.array(out)
+
+
 @dataclass
 class LangModel:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # the lowest cosine in reach of each centroid
+    floors: np.ndarray  # of each centroid the limit at each length of HEADS, before the margin
     idf: np.ndarray
 
+    def floor(self, j: int, length: int) -> float:
+        """The lowest cosine in reach of centroid j for a text of so many characters; below the shortest length it falls with the square root."""
+        at = float(np.interp(np.log(max(length, HEADS[0])), np.log(HEADS), self.floors[j]))
+        return at * float(margin(length)) * min(1.0, (length / HEADS[0]) ** 0.5)
+
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS) -> LangModel:
     """Fit on the rows given that have a label and text: a sample of per_lang documents per language at most, picked by hash."""
@@ -86,7 +116,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
-        return LangModel([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS))
+        return LangModel([], np.zeros((0, DIMS), np.float32), np.zeros((0, len(HEADS))), np.ones(DIMS))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * per_lang / n) * (1 << 30)))).otherwise(share)
@@ -99,7 +129,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pd.Series([ngram_counts(t).astype("<i4").tobytes() for t in texts])
 
     has_text = F.col("text").rlike(r"\p{L}")
-    sample = cut(some.where(has_text).select("lang", features(F.col("text")).alias("f")))
+    sample = cut(some.where(has_text).select("lang", F.left("text", F.lit(HEADS[-1])).alias("head"), features(F.col("text")).alias("f")))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,14 +147,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([weighted(np.frombuffer(f, "<i4"), shared.value) for f in sorted(pdf["f"])])
-        c, own = spherical_kmeans(x, k)
-        cosine = (x * c[own]).sum(axis=1)
+        pairs = sorted(zip(pdf["f"], pdf["head"]))
+        x = np.stack([weighted(np.frombuffer(f, "<i4"), shared.value) for f, _ in pairs])
+        c, rows, own = robust_clusters(x, k)
+        full = (x[rows] * c[own]).sum(axis=1)
         used = [j for j in range(len(c)) if (own == j).any()]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": used, "centroid": [c[j].astype("<f4").tobytes() for j in used], "floor": REACH * float(cosine.min())})
+        found = {j: [[] for _ in HEADS] for j in used}
+        for r, j in zip(rows, own):
+            for at, n in enumerate(HEADS):
+                if len(pairs[r][1]) >= n and has_letter(pairs[r][1][:n]):
+                    # As for a text to be judged, the nearest centroid of the language counts.
+                    cosines = c @ weighted(ngram_counts(pairs[r][1][:n]), shared.value)
+                    found[j][at].append(float(cosines[used].max()))
+        floors = [limits(found[j], full[own == j]).astype("<f8").tobytes() for j in used]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": used, "centroid": [c[j].astype("<f4").tobytes() for j in used], "floors": floors})
 
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centroid binary, floor double").toPandas().sort_values(["lang", "cluster"])
-    return LangModel(list(found["lang"]), np.stack([np.frombuffer(c, "<f4") for c in found["centroid"]]) if len(found) else np.zeros((0, DIMS), np.float32), found["floor"].to_numpy(), idf)
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centroid binary, floors binary").toPandas().sort_values(["lang", "cluster"])
+    unpack = lambda column, kind, n: np.stack([np.frombuffer(v, kind) for v in found[column]]) if len(found) else np.zeros((0, n), kind)
+    return LangModel(list(found["lang"]), unpack("centroid", "<f4", DIMS), unpack("floors", "<f8", len(HEADS)), idf)
 
 
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
@@ -150,7 +190,7 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFr
                 cosines = m.centroids @ weighted(ngram_counts(t), m.idf)
                 j = int(np.argmax(cosines))
                 score = float(min(1.0, max(0.0, cosines[j])))
-                out.append((m.langs[j], score, score < m.floors[j]))
+                out.append((m.langs[j], score, score < m.floor(j, len(t))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return docs.select(*own, nearest(F.col(text_col)).alias("_p")).select(*own, "_p.*")

@@ -273,6 +273,24 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in lang_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_rejects_unlike_texts(spark):
+    rng = random.Random(9)
+    vocab = {
+        "en": "the of and house which there with they have from water other people could through country government between".split(),
+        "fr": "le la les et des une que pour maison dans avec sont leurs toujours gouvernement pays entre personnes eau".split(),
+    }
+    finnish = "talossa on monta huonetta ja ikkunaa joista nähdään järvelle sekä kaukana siintävät metsät kylmänä syysyönä".split()
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(30, 120))), lang) for i in range(300) for lang in ["en" if i % 2 else "fr"]]
+    odd = [(1000 + i, letters(80), "en" if i % 2 else "fr") for i in range(2)]  # mislabelled: they set no limit
+    model = lang_id.fit(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"))
+    tests = [(2000 + i, letters(n), None) for i, n in enumerate([40, 80, 200])] + [(2100 + i, " ".join(rng.choice(finnish) for _ in range(n)), None) for i, n in enumerate([40, 80, 200])]
+    short = [(3000 + i, " ".join(t.split()[:4]), lang) for i, t, lang in rows[:20]]
+    got = by_id(lang_id.predict(spark.createDataFrame(rows + tests + short, "doc_id long, text string, lang string"), model))
+    assert all(got[i]["rejected"] for i, *_ in tests)
+    assert sum(got[i]["rejected"] for i, *_ in rows + short) <= 3
+
+
 def test_ngram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "abc " * 50 + "é–x" * 40
     whole = lang_id.ngram_counts(text)
