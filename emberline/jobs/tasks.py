@@ -65,7 +65,10 @@ def evaporative_demand(daily: DataFrame, cells: DataFrame, cell_region: DataFram
     out["changes"] = both.withColumn("offset_class", classify.classify_offset(F.col("dvpd"), F.col("dpr")))
     named = F.broadcast(stats.run_pairs(clim, pairs))
     of = lambda side: clim.join(named.select("pair", F.col(side).alias("run")), "run").drop("run")
-    out["terms"] = season.seasonal_mean(attribution.vpd_decomposition(of("a"), of("b"), key), mask, "t_term", key, ["model", "cell_id"])
+    split = attribution.vpd_decomposition(of("a"), of("b"), key)
+    out["terms"] = season.seasonal_mean(split, mask, "t_term", key, ["model", "cell_id"])
+    for term in ("rh_term", "total", "residual"):
+        out["terms"] = out["terms"].join(season.seasonal_mean(split, mask, term, key, ["model", "cell_id"]), key)
     out["areas"] = regions.area_fractions(out["changes"].select("pair", "model", "cell_id", "offset_class"), cells, ["pair", "model"])
     out["regional"] = regions.regional_means(out["changes"].select(*key, "dvpd", "dpr"), cell_region, cells, ["dvpd", "dpr"], ["pair", "model"])
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.physics import percent, vpd_from_rh
 from emberline.operators.fwi import compute_fwi
+from emberline.operators.season import fire_season_mask, seasonal_mean
 
 # How a variable's change is applied, what keeps a ratio finite, and its limits.
 ADDED, SCALED, RATIO_LIMITS = ["tasmax", "tas", "hurs", "hursmin"], {"pr": 1e-9, "sfcWind": 1e-3}, (0.2, 5.0)
@@ -51,13 +52,17 @@ def driver_sets(base: DataFrame, deltas: DataFrame, values: list[str], keys: lis
     return rows.withColumns({v: value(v) for v in values}).select("driver_set", *base.columns)
 
 
-def attribution(base: DataFrame, deltas: DataFrame, thresholds: DataFrame, values: list[str], series: list[str], temperature: str = "tas", start_year: int | None = None) -> DataFrame:
-    """Per driver set and cell: change against the baseline of the mean days a year above the threshold and of the mean index."""
+def attribution(base: DataFrame, deltas: DataFrame, thresholds: DataFrame, values: list[str], series: list[str], temperature: str = "tas", start_year: int | None = None, season_mask: DataFrame | None = None) -> DataFrame:
+    """Per driver set and cell: change against the baseline of the mean days a year above the threshold and of the fire-season mean index.
+
+    The season is season_mask (cell_id, month, in_season), or else the one of the baseline's index."""
     perturbed = driver_sets(base, deltas, values, ["cell_id"])
     daily = compute_fwi(perturbed, ["driver_set", *series], temperature=temperature, start_year=start_year)
     flagged = daily.join(thresholds, "cell_id")
-    yearly = flagged.groupBy("driver_set", "cell_id", "year").agg(F.sum(F.when(F.col("fwi") > F.col("threshold"), 1).otherwise(0)).alias("days"), F.avg("fwi").alias("fwi"))
-    means = yearly.groupBy("driver_set", "cell_id").agg(F.avg("days").alias("days"), F.avg("fwi").alias("fwi"))
+    yearly = flagged.groupBy("driver_set", "cell_id", "year").agg(F.sum(F.when(F.col("fwi") > F.col("threshold"), 1).otherwise(0)).alias("days"))
+    monthly = flagged.groupBy("driver_set", "cell_id", "month").agg(F.avg("fwi").alias("fwi"))
+    mask = season_mask if season_mask is not None else fire_season_mask(monthly.where("driver_set = 'baseline'"), "fwi", ["cell_id"])
+    means = yearly.groupBy("driver_set", "cell_id").agg(F.avg("days").alias("days")).join(seasonal_mean(monthly, mask, "fwi", ["driver_set", "cell_id"], ["cell_id"]), ["driver_set", "cell_id"], "left")
     at_base = means.where("driver_set = 'baseline'").select("cell_id", F.col("days").alias("_d"), F.col("fwi").alias("_f"))
     return means.where("driver_set <> 'baseline'").join(at_base, "cell_id").select("driver_set", "cell_id", (F.col("days") - F.col("_d")).alias("delta_days"), (F.col("fwi") - F.col("_f")).alias("delta_fwi"))
 

@@ -70,3 +70,22 @@ def test_harmonise(spark):
     raw = spark.createDataFrame(base, "model string, scenario string, member string, file_seq int, var string, units string, latitude double, longitude double, year int, month int, day int, hour int, doy int, day_idx int, has_bounds boolean, cell_id long, value double")
     out = tasks.harmonise(raw, ["tas", "hurs"], (2020, 2020)).collect()
     assert len(out) == 6 and {(r["tas"], r["hurs"], r["lon"]) for r in out} == {(290.0, 50.0, 10.0), (290.0, 50.0, -10.0)}
+
+
+def test_demand_returns_all_terms(archive):
+    terms = tasks.evaporative_demand(*archive, runs=RUNS, pairs=PAIRS)["terms"].collect()
+    assert len(terms) == 8 and all(r["total"] == pytest.approx(r["t_term"] + r["rh_term"] + r["residual"], abs=1e-9) for r in terms)
+
+
+def test_attribution_compares_the_fire_season(spark, monkeypatch):
+    from emberline.operators import attribution
+
+    days = [(s, 1, 2020, m, 10.0 + (4.0 if s != "baseline" and m in (7, 8, 9) else 0.0) + (m in (7, 8, 9))) for s in ("baseline", "x:T") for m in range(1, 13) for _ in range(3)]
+    daily = spark.createDataFrame(days, "driver_set string, cell_id long, year int, month int, fwi double")
+    monkeypatch.setattr(attribution, "driver_sets", lambda *a: None)
+    monkeypatch.setattr(attribution, "compute_fwi", lambda *a, **k: daily)
+    limit = spark.createDataFrame([(1, 12.0)], "cell_id long, threshold double")
+    mask = spark.createDataFrame([(1, m, m in (6, 7)) for m in range(1, 13)], "cell_id long, month int, in_season boolean")
+    own = attribution.attribution(None, None, limit, [], []).first()
+    given = attribution.attribution(None, None, limit, [], [], season_mask=mask).first()
+    assert (own["delta_fwi"], own["delta_days"]) == (pytest.approx(4.0), 9.0) and given["delta_fwi"] == pytest.approx(4.0 * 31 / 61)
