@@ -263,7 +263,11 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All input columns but the text, and n_tokens, ids_sha256, decoded_sha256: encode, decode and digest a text in one pass, without moving its ids between processes."""
+    """All input columns but the text, and n_tokens, ids_sha256, decoded_sha256: encode, decode and digest a text in one pass, without moving its ids between processes.
+
+    A null text counts as empty and has no tokens. Repeated rows are encoded one by one. An empty table gives no rows. Input columns with
+    the names of result columns are replaced.
+    """
     bpe = vocabulary(docs.sparkSession, path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

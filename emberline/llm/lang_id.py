@@ -170,8 +170,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
     """All input columns, then lang_pred, score, rejected.
 
-    score is the cosine with the nearest centroid, 0 to 1. Null texts, texts without a letter, and all texts if the model has no
-    language, are ``und`` with score 0, and rejected. Ties go to the first language by name. Input columns with the names of
+    score is the cosine with the nearest centroid, 0 to 1. Null texts and texts without a letter are ``und`` with score 0, and
+    rejected. If the model has no language, the others are ``und`` with score 0 too, but not rejected: nothing speaks against them. Ties go to the first language by name. Input columns with the names of
     result columns are replaced. An empty table gives no rows.
     """
     added = ["lang_pred", "score", "rejected"]
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFr
             out = []
             for t in texts:
                 if not t or not m.langs or not has_letter(t):
-                    out.append((UNKNOWN, 0.0, True))
+                    out.append((UNKNOWN, 0.0, not t or not has_letter(t)))
                     continue
                 cosines = m.centroids @ weighted(ngram_counts(t), m.idf)
                 j = int(np.argmax(cosines))

@@ -76,18 +76,27 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max
 def copies(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """sized has source, size and id_col; every row comes back once with source_size, target and copies added.
 
-    A row of size 0 gets no copies. Rows that repeat in full are rounded one by one.
+    A row of null size or size 0 gets no copies. A null source is a source of its own, ranked last; null identifiers are as good as
+    others. Rows that repeat in full are rounded one by one. An empty table gives no rows. Input columns with the
+    names of result columns are replaced. Columns of map type are not supported.
     """
-    sized = cut(sized)
+    names = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
+    own = [c for c in names if c not in ("source", "size", id_col)]
+    # Columns of the caller may have any name, so they are packed. Rows that repeat in full are counted and numbered, which makes
+    # them fall into different blocks, and into the same ones in every run.
+    packed = sized.select(F.col(id_col).alias("_id"), "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), F.struct(F.lit(0).alias("_"), F.col("size").alias("_size"), *own).alias("_own"))
+    units = packed.groupBy("_id", "source", "size", "_own").agg(F.count(F.lit(1)).alias("_n"))
+    sized = cut(units.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n"))
     stats = cut(source_targets(sized, weights, share, max_repeat).withColumn("_blocks", F.ceil(F.col("docs") / BLOCK)))
     n_sources, most = stats.agg(F.count(F.lit(1)), F.max("_blocks")).first()
     known = stats.withColumnRenamed("source", "_source").drop("docs")
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    hashed = F.xxhash64(F.col("_id").cast("string"), F.lit(seed), F.col("_own"), F.when(F.col("_nth") > 1, F.col("_nth")))
     rows = (
         sized.join(F.broadcast(known) if n_sources <= BROADCAST_SOURCES else known, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_whole", F.floor(rate + EPS).cast("int"))
         .withColumn("_p", F.greatest(F.lit(0.0), rate - F.col("_whole")))
-        .withColumn("_hash", F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
+        .withColumn("_hash", hashed)
         .withColumn("_block", F.pmod("_hash", "_blocks"))
         .drop("_source", "_blocks")
     )
@@ -95,7 +104,7 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
 
     def rounded(level: int, last: bool):
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "_hash", id_col], ascending=[False, True, True], kind="stable")
+            pdf = pdf.sort_values(["size", "_hash", "_id", "_nth"], ascending=[False, True, True, True], kind="stable")
             rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, level, int(pdf["_rank"].iloc[0]), int(pdf["_block"].iloc[0])])))
             p = pivotal(pdf["_p"].to_numpy(), pdf["size"].to_numpy(dtype=float), rng.random(len(pdf)))
             if last:
@@ -116,7 +125,9 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.withColumn("copies", (F.col("_whole") + F.round("_p").cast("int")).cast("int")).select(*sized.columns, "source_size", "target", "copies")
+    given = {id_col: F.col("_id"), "source": F.col("source"), "size": F.col("_own._size")}
+    count = (F.col("_whole") + F.round("_p").cast("int")).cast("int")
+    return out.select(*[given.get(c, F.col("_own")[c]).alias(c) for c in names], "source_size", "target", count.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -124,15 +135,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words; null text counts 0 and is never taken. A null source is a source of its own, ranked last.
     Rows with the same identifier, source and size count as one unit and get the same copies. An empty table gives no rows.
+    Input columns may have any names.
     """
-    key = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("_one")]
-    units = docs.select(*key).groupBy("_id", "source", "_one").agg((F.count(F.lit(1)) * F.col("_one")).alias("size"))
-    taken = copies(units, id_col="_id", **options).where("copies > 0").select("_id", F.col("source").alias("_source"), "_one", "copies")
-    own = docs.columns
-    got = docs.withColumn("_words", F.size(words(F.col(text_col))).cast("long")).join(
-        taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_one"))
-    )
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.size(words(F.col(text_col))).cast("long").alias("_w"))
+    units = rows.groupBy("_i", "_s", "_w").agg((F.count(F.lit(1)) * F.col("_w")).alias("size")).select(F.col("_i").alias("_unit"), F.col("_s").alias("source"), "size", F.col("_w").alias("_one"))
+    taken = copies(units, id_col="_unit", **options).where("copies > 0").select("_unit", F.col("source").alias("_of"), "_one", "copies")
+    got = rows.join(taken, F.col("_i").eqNullSafe(F.col("_unit")) & F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_w") == F.col("_one")))
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

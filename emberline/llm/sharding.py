@@ -74,11 +74,14 @@ def plan_moves(asked: dict[tuple[int, int], int], free: dict[int, int], shards:
 def propagate(rows: DataFrame, group: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """rows has _id, _text, size; adds shard. group: equal values are linked, null is linked to nothing."""
     rows = cut(rows.withColumn("_group", group).withColumn("_bucket", F.pmod(F.xxhash64(F.col("_id").cast("string"), F.col("_text"), F.lit(7)), F.lit(BUCKETS)).cast("int")))
-    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1 AND _group IS NOT NULL")
+    # Rows meet their group's values by (group, bucket), so that a large group, or the rows of none, are dealt over the buckets.
+    leaf = rows.where("_group IS NOT NULL").groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_here"))
+    sizes = leaf.groupBy("_group").agg(F.sum("_here").alias("_size")).where("_size > 1")
+    leaf = cut(leaf.drop("_here").join(sizes, "_group"))
     total = rows.count()
     capacity = max(1, total // shards)
     rows = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], "_rank").drop("_all").withColumn("shard", F.pmod("_rank", F.lit(shards)).cast("int")).drop("_rank")
-    rows = cut(rows.join(sizes, "_group", "left"))
+    rows = cut(rows.join(leaf, ["_group", "_bucket"], "left"))
     columns = rows.columns
     for round_ in range(rounds):
         held = rows.where("_size IS NOT NULL").groupBy("_group", "_size", "shard").agg(F.count(F.lit(1)).alias("_here"))
@@ -88,7 +91,8 @@ def propagate(rows: DataFrame, group: Column, shards: int = SHARDS, rounds: int
         targets = order.select("_group", F.slice("_shards", F.lit(1), F.ceil(F.col("_size") / capacity).cast("int")).alias("_targets"))
         pick = F.col("_targets")[F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(round_)), F.size("_targets")).cast("int")]
         want = F.when(F.col("_size").isNull(), FREE).when(F.array_contains("_targets", F.col("shard")), F.lit(None)).otherwise(pick)
-        asking = cut(rows.join(targets, "_group", "left").withColumn("_want", want.cast("int")).select(*columns, "_want"))
+        down = leaf.drop("_size").join(targets, "_group")
+        asking = cut(rows.join(down, ["_group", "_bucket"], "left").withColumn("_want", want.cast("int")).select(*columns, "_want"))
         counts = {(r["shard"], r["_want"]): r["n"] for r in asking.where("_want IS NOT NULL").groupBy("shard", "_want").agg(F.count(F.lit(1)).alias("n")).collect()}
         moves = plan_moves({k: n for k, n in counts.items() if k[1] != FREE}, {k[0]: n for k, n in counts.items() if k[1] == FREE}, shards)
         if not moves:

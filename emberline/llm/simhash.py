@@ -1,14 +1,14 @@
-"""SimHash near-deduplication: a segment-popcount grid finds candidates, and exact words of 64 bits verify them.
+"""SimHash near-deduplication by segment-popcount embedding.
 
-Fingerprints p and q that differ in at most two bits have a midpoint: a word within one flipped bit of both. So links are
-found by meeting at midpoints, which never lists the pairs of a group. Two levels keep the meetings few:
+A fingerprint is embedded as the vector of the bit counts of its segments. The Manhattan distance of two such vectors is a lower
+bound of the Hamming distance, so fingerprints that differ in at most two bits lie in cells at distance two or less.
 
-1. Grid. A fingerprint is embedded as the vector of the bit counts of its segments. The Manhattan distance of two such
-   vectors is a lower bound of the Hamming distance, and a midpoint's vector is within distance one of both. Every distinct
-   fingerprint enters its own cell and those at distance one; cells with a single fingerprint go.
-2. Words. In the cells that are left, each fingerprint enters the words of the cell that lie within one flipped bit of it.
-   Fingerprints that meet in a word are within two bits of each other, and all such pairs meet. A word has at most 65
-   fingerprints, whatever the data.
+1. Grid range join. Two cells at distance two or less have a cell within distance one of both. So every distinct fingerprint
+   enters its own cell and those at distance one, and the join is a grouping by cell. Cells with a single fingerprint go.
+2. Exact check. Pairs of a cell are links if the fingerprints differ in two bits or fewer.
+3. Crowded cells, as a cluster of near copies makes them, don't list their pairs. Each fingerprint enters the words of the cell
+   within one flipped bit of it. All that meet in a word, 65 at most whatever the data, are within two bits of each other,
+   and all such pairs meet; one of them is linked to the others, by the same check.
 
 Connected components then run over distinct fingerprints by star contraction, with a checkpoint in the shared folder after each round.
 """
@@ -28,8 +28,12 @@ from emberline.llm.common import cut, store, table
 SEED = 42
 #: Segments of the embedding, of four bits each.
 SEGMENTS, WIDTH = 16, 4
+#: Bits in which linked fingerprints may differ; fingerprints of a cell whose pairs are listed.
+BITS, CELL = 2, 64
 #: Shingle hashes whose bits are counted at once.
 PIECE = 1 << 15
+#: Runs into which the rows of a fingerprint are dealt when it gets its component.
+RUNS = 64
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -101,14 +105,18 @@ def words_in(fp: Column, seg: Column, step: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, between distinct fingerprints (column fp): enough of them that fingerprints within two bits are connected, and none between others."""
+    """Links (a, b), a > b, between distinct fingerprints (column fp): enough of them that fingerprints within BITS bits are connected, and none between others."""
     # Each fingerprint makes some thirty rows, so the small table is spread over all tasks first.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").withColumn("_own", cell_of(F.col("fp")))
     near = spread.select("fp", F.explode(cells_near(F.col("_own"))).alias("_c")).select("fp", "_c.*").where("cell IS NOT NULL")
-    shared = near.groupBy("cell").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high")).where("_low < _high").select("cell")
-    met = near.join(shared, "cell").select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
-    meetings = met.groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("_all")).where(F.size("_all") > 1)
-    return meetings.select(F.explode(F.slice("_all", 2, 65)).alias("a"), F.col("_all")[0].alias("b")).distinct()
+    shared = near.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = cut(near.join(shared, "cell"))
+    few = met.where(F.col("_n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("_all"))
+    few = few.select(F.explode("_all").alias("a"), "_all").select("a", F.explode("_all").alias("b"))
+    words = met.where(F.col("_n") > CELL).select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
+    meetings_ = words.groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("_all")).where(F.size("_all") > 1)
+    many = meetings_.select(F.explode(F.slice("_all", 2, 65)).alias("a"), F.col("_all")[0].alias("b"))
+    return few.union(many).where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,22 +142,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text counts as empty; texts without words have fingerprint zero and are linked like others. Null identifiers are
     passed over by the minimum; a component without any has a null component_id. Repeated rows share a component. An empty table
-    gives no rows.
+    gives no rows. Input columns with the names of result columns are replaced.
     """
-    added = ["fp", "fingerprint", "component_id"]
-    rows = cut(fingerprints(docs.drop(*(c for c in added if c in docs.columns)), text_col, n))
-    fps = cut(rows.groupBy("fp").agg(F.min(id_col).alias("_first")))
+    own = [c for c in docs.columns if c not in (text_col, "fp", "fingerprint", "component_id")]
+    # Columns of the caller may have any name, so they are packed while the work is done.
+    rows = cut(fingerprints(docs.select(F.struct(*own).alias("_own"), F.col(text_col).alias("_text")), "_text", n))
+    # Rows of a frequent fingerprint are dealt over the runs that hold them.
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64(F.col("_own")[id_col].cast("string")), F.lit(RUNS)).cast("int"))
+    runs = cut(rows.groupBy("fp", "_run").agg(F.min(F.col("_own")[id_col]).alias("_first")))
+    fps = cut(runs.groupBy("fp").agg(F.min("_first").alias("_first")))
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    table_ = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(table_, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).select(*rows.columns, "fingerprint", "component_id")
+    table_ = runs.select("fp", "_run").join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    return rows.join(table_, ["fp", "_run"]).select("_own.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: similar_documents: Jaccard similarity as a fraction, fewest shingles of texts that fingerprints may rule out, widest radius.
 SIMILAR, LONG, RADIUS = (4, 5), 64, 24
-#: Nodes of a shingle whose pairs are listed; crowded shingles of a document that are used instead.
-MOST, TURNS = 16, 12
+#: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks that meet in one place.
+MOST, CHUNK, PER_KEY = 16, 64, 16
+#: Crowded shingles that go to the end of the order, at most, each time they are looked for. The order only decides how many candidates there are.
+COMMON, LOOKS = 1 << 16, 1
 
 
 def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -164,53 +178,125 @@ def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     return docs.withColumn("_s", sets(F.col(text_col))).drop(text_col).select("*", "_s.*").drop("_s")
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b), a > b, of nodes (node, m, fp, prefix) that may be similar.
+def prefixes(keys: Column, common: np.ndarray) -> Column:
+    """The first m - ceil(s m) + 1 of m sorted keys, those in the sorted array ``common`` coming after all others."""
+    num, den = SIMILAR
+    if not len(common):
+        return F.slice(keys, 1, F.when(F.size(keys) > 0, F.size(keys) - F.ceil(F.size(keys) * num / den).cast("int") + 1).otherwise(0))
+
+    @F.pandas_udf("array<bigint>")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            out = []
+            for k in many:
+                take = len(k) + (-num * len(k)) // den + 1 if len(k) else 0
+                if len(k):
+                    last = common[np.minimum(np.searchsorted(common, k), len(common) - 1)] == k
+                    k = np.concatenate([k[~last], k[last]])
+                out.append(k[:take])
+            yield pd.Series(out)
+
+    return first(keys)
+
+
+def meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, met): the distinct sets (node, m, fp), and (h, n, node, m, fp) for every shingle of a prefix that n > 1 sets share.
 
-    Two sets of similarity s share a shingle among the first m - ceil(s m) + 1 of each, in any common order, here by hash. All
-    pairs of a shingle with up to MOST nodes are listed. A cluster of near copies would cost a square, so in a crowded shingle
-    nodes with the same further minimum hash are compared with one of them, for TURNS shingles of each node.
+    Two sets of similarity s share a shingle in their prefixes, whatever the common order of shingles. Rare ones first make few
+    candidates: shingles that turn out crowded go behind the others, and the prefixes are taken anew.
     """
+    common = np.zeros(0, np.int64)
+    for look in range(LOOKS + 1):
+        some = rows.select("node", "fp", F.size("keys").alias("m"), prefixes(F.col("keys"), common).alias("prefix"))
+        nodes = cut(some.groupBy("node").agg(F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+        met = nodes.select("node", "m", "fp", F.explode("prefix").alias("h"))
+        shared = store(met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        if look < LOOKS:
+            # At most COMMON rows, the most crowded ones.
+            more = np.array([r["h"] for r in shared.where(F.col("n") > MOST).orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64)
+            more = np.setdiff1d(more, common)
+            if not len(more):
+                break
+            common = np.union1d(common, more)
+    return nodes.drop("prefix"), store(met.join(shared, "h"))
+
+
+def may_link(x: Column, y: Column, radius: int) -> Column:
+    """Sizes allow the similarity, and the fingerprints of long texts are within the radius."""
     num, den = SIMILAR
-    met = nodes.select("node", "m", "fp", F.explode("prefix").alias("h"))
-    shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(met.join(shared, "h"))
-    fits = lambda x, y: (den * F.least(x["m"], y["m"]) >= num * F.greatest(x["m"], y["m"])) & ((F.least(x["m"], y["m"]) < LONG) | (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius))
+    low, high = F.least(x["m"], y["m"]), F.greatest(x["m"], y["m"])
+    return (den * low >= num * high) & ((low < LONG) | (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius))
+
+
+def as_pairs(both: DataFrame, radius: int) -> DataFrame:
+    """Distinct (a, b), a > b, of the structs x and y that may be linked."""
+    a, b = F.col("x")["node"], F.col("y")["node"]
+    return both.where((a != b) & may_link(F.col("x"), F.col("y"), radius)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def first_pairs(met: DataFrame, radius: int) -> DataFrame:
+    """All pairs of a shingle with up to MOST nodes; in crowded ones each node with one leader of those that share its least second hash."""
     one = F.struct("node", "m", "fp")
     few = met.where(F.col("n") <= MOST).groupBy("h").agg(F.collect_list(one).alias("_all"))
     few = few.select(F.explode("_all").alias("x"), "_all").select("x", F.explode("_all").alias("y")).where(F.col("x")["node"] > F.col("y")["node"])
-    crowd = met.where(F.col("n") > MOST).groupBy("node").agg(F.slice(F.sort_array(F.collect_list("h")), 1, TURNS).alias("_h"))
-    crowd = crowd.join(nodes, "node").select(one.alias("x"), "prefix", F.explode("_h").alias("h"))
-    crowd = cut(crowd.select("x", "h", F.array_min(F.transform("prefix", lambda e: F.xxhash64(e, F.col("h")))).alias("_min")))
-    leaders = crowd.groupBy("h", "_min").agg(F.min_by("x", F.xxhash64(F.col("x")["node"], F.col("h"))).alias("y"))
-    crowd = crowd.join(leaders, ["h", "_min"]).select("x", "y").where(F.col("x")["node"] != F.col("y")["node"])
-    a, b = F.col("x")["node"], F.col("y")["node"]
-    return few.select("x", "y").union(crowd).where(fits(F.col("x"), F.col("y"))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    crowd = met.where(F.col("n") > MOST)
+    leaders = crowd.groupBy("h").agg(F.min_by(one, F.xxhash64("node", "h")).alias("y"))
+    return as_pairs(few.select("x", "y").union(crowd.select("h", one.alias("x")).join(leaders, "h").select("x", "y")), radius)
+
+
+def cross_pairs(met: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """Pairs of crowded shingles whose nodes no link has joined yet, every one of them.
+
+    The nodes of a shingle are dealt into chunks, those of a large component into its own; two chunks of one component
+    needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them.
+    """
+    one = F.struct("node", "m", "fp", "root")
+    of = met.where(F.col("n") > MOST).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.ceil(F.col("c") / CHUNK)).alias("parts")).where("k > 1")
+    of = of.join(per.join(mixed, "h"), ["h", "root"])
+    large = F.col("c") >= CHUNK
+    own = F.when(large, F.col("root"))
+    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / CHUNK))))
+    chunks = store(of.groupBy("h", own.alias("own"), part.alias("part"), F.ceil(F.least("parts", F.lit(1) + F.ceil(F.col("small") / CHUNK) + F.col("parts")) / PER_KEY).alias("keys")).agg(F.collect_list(one).alias("all")))
+    name = F.struct("own", "part")
+    left = chunks.select("h", name.alias("p"), F.col("all").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
+    right = chunks.select("h", name.alias("q"), F.col("all").alias("ys"), F.pmod(F.xxhash64("own", "part"), "keys").alias("key"))
+    met_chunks = left.join(right, ["h", "key"]).where("(p > q OR (p = q AND p.own IS NULL)) AND NOT coalesce(p.own = q.own, false)")
+    both = met_chunks.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    return as_pairs(both.where(F.col("x")["root"] != F.col("y")["root"]), radius)
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose sets have the similarity."""
+    num, den = SIMILAR
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(rows.select("node", "keys").join(wanted, "node").groupBy("node").agg(F.first("keys").alias("keys")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
+    return cut(both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = RADIUS) -> DataFrame:
     """All input columns but the text, then component_id: the smallest identifier among all documents that links reach.
 
-    A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more, which
-    is checked on the sets. Fingerprints rule out pairs of LONG texts beyond the radius only: of pairs at 0.8, which differ
-    in some ten bits of 64, about one in a million is. Texts without words are one component. Nulls as in ``near_duplicates``.
+    A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more. Candidates
+    share a shingle of their prefixes; fingerprints rule out pairs of LONG texts beyond the radius (of pairs at 0.8, which
+    differ in some ten bits of 64, about one in a million), and the sets decide. At a radius this wide the Manhattan distance of
+    segment counts rules out less than the fingerprints themselves, so it has no part here. No pair is left out for the size
+    of its group: pairs of crowded shingles are left out only where links join the two already. Texts without words
+    are one component. Nulls, repeated rows and empty tables as in ``near_duplicates``.
     """
-    num, den = SIMILAR
     own = [c for c in docs.columns if c not in (text_col, "component_id")]
-    rows = store(shingle_sets(docs.select(*own, text_col), text_col, n))
-    size = F.size("keys")
-    prefix = F.slice("keys", 1, F.when(size > 0, size - F.ceil(size * num / den).cast("int") + 1).otherwise(0))
-    first = F.min(id_col).alias("_first")
-    nodes = cut(rows.select(id_col, "node", "fp", size.alias("m"), prefix.alias("prefix")).groupBy("node").agg(first, F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
-    pairs = cut(candidates(nodes.drop("_first"), radius))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(rows.select("node", "keys").join(met, "node").groupBy("node").agg(F.first("keys").alias("keys")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
-    linked = both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b")
-    roots = components(linked)
-    rooted = nodes.select("node", "_first").join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
+    # Columns of the caller may have any name, so they are packed while the work is done.
+    rows = store(shingle_sets(docs.select(F.struct(*own).alias("_own"), F.col(text_col).alias("_text")), "_text", n))
+    firsts = cut(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first")))
+    nodes, met = meetings(rows)
+    links = verified(cut(first_pairs(met, radius)), rows)
+    more = cut(cross_pairs(met, components(links).select("node", "root"), radius))
+    roots = components(links.union(verified(more, rows)))
+    rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("node", "component_id"), "node").select(*own, "component_id")
+    return rows.select("_own", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("_own.*", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filter: pattern rules indexed by their rarest literal token, in DataFrame operations only.
 
 Every rule is a regular expression over ``host + path`` with a set of literal tokens that each url it fits must contain. The
-index holds a rule once, under that literal token that fewest urls of the table contain. The tokens of a url fetch its
+index holds a rule once, under that literal token that fewest urls of the table contain, in lower case. The tokens of a url fetch its
 candidate rules, and only those run their expressions.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
 #: Rule sets up to this many rules are broadcast; larger ones are joined by shuffle.
 BROADCAST_RULES = 20_000
 
@@ -42,11 +43,10 @@ def prefix_rule(rule: str, verdict: str) -> Rule:
     return Rule(rule, verdict, pattern, tuple(t for t in re.split("[^0-9A-Za-z]+", f"{host}/{closed}") if t), len(rule))
 
 
-def word_rule(name: str, verdict: str, token: str) -> Rule:
-    """A rule on a literal in the host or path, between non-alphanumeric characters."""
-    edge = "[^0-9A-Za-z]"
-    parts = tuple(t for t in re.split(f"{edge}+", token) if t)
-    return Rule(name, verdict, rf"(?:^|{edge}){re.escape(token)}(?:{edge}|$)", parts, len(token), tier=1)
+def word_rule(verdict: str, *words: str) -> Rule:
+    """A rule on lower-case words in the host or path, whatever their case, with one of ``-_.`` between them and no letter or digit beside them."""
+    pattern = "[-_.]".join(map(re.escape, words))
+    return Rule("*" + "-".join(words) + "*", verdict, f"(?i)(?:^|[^0-9A-Za-z]){pattern}(?:[^0-9A-Za-z]|$)", words, sum(map(len, words)), tier=1)
 
 
 #: The rules of the query, then the patterns that judge urls which none of them fits.
@@ -57,7 +57,10 @@ HOST_RULES = [
     prefix_rule("net/es/", "block"),
     prefix_rule("net/fr/", "block"),
 ]
-PATTERN_RULES = [word_rule(f"*{w}*", "block", w) for w in ("spam-farm", "cheap-pills", "casino", "porn", "xxx", "viagra")]
+WORDS = ["casino", "porn", "xxx", "viagra", "cialis", "jackpot", "warez", "camgirls"]
+OFFERS = ["best", "buy", "cheap", "discount", "easy", "fast", "free", "get", "instant", "legal", "live", "no", "online", "order", "real", "safe", "secret", "spam", "top", "win"]
+GOODS = ["bets", "betting", "bonus", "cash", "casinos", "credit", "dating", "diet", "drugs", "farm", "followers", "gambling", "keygen", "likes", "loan", "loans", "lottery", "meds", "payday", "pharmacy", "pills", "poker", "replica", "roulette", "sex", "slots", "steroids", "torrents", "traffic", "watches"]
+PATTERN_RULES = [word_rule("block", w) for w in WORDS] + [word_rule("block", a, b) for a in OFFERS for b in GOODS] + [word_rule("block", b, a) for a in OFFERS for b in GOODS]
 
 
 def host_of(url: Column) -> Column:
@@ -86,11 +89,11 @@ def url_filter(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     # Equal host and path get equal verdicts: each is judged once, whatever the number of its rows.
     urls = base.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_rows"))
     target = F.concat("host", "path")
-    tokens = F.array_distinct(F.array_remove(F.split(target, "[^0-9A-Za-z]+"), ""))
+    tokens = F.array_distinct(F.array_remove(F.split(F.translate(target, UPPER, LOWER), "[^0-9a-z]+"), ""))
 
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)
-    given = json.dumps([{"rule_id": i, "name": r.name, "rule_verdict": r.verdict, "regex": r.regex, "tokens": r.tokens, "weight": r.weight, "tier": r.tier} for i, r in enumerate(rules)])
+    given = json.dumps([{"rule_id": i, "name": r.name, "rule_verdict": r.verdict, "regex": r.regex, "tokens": [t.translate(FOLD) for t in r.tokens], "weight": r.weight, "tier": r.tier} for i, r in enumerate(rules)])
     kind = "array<struct<rule_id int, name string, rule_verdict string, regex string, tokens array<string>, weight int, tier int>>"
     listed = spark.range(1).select(F.inline(F.from_json(F.lit(given), kind)))
     literals = listed.select("rule_id", F.explode("tokens").alias("token"))
@@ -119,7 +122,8 @@ _FITS = " ".join(
     for r in sorted(HOST_RULES, key=lambda r: -len(r.name))
     for h, _, p in [r.name.partition("/")]
 )
-_WORDS = "|".join(re.escape(r.name.strip("*")) for r in PATTERN_RULES)
+_PAIR = f"({'|'.join(OFFERS)})[-_.]({'|'.join(GOODS)})|({'|'.join(GOODS)})[-_.]({'|'.join(OFFERS)})"
+_WORDS = f"{'|'.join(WORDS)}|{_PAIR}"
 SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -130,6 +134,6 @@ WITH parts AS (
 judged AS (SELECT *, CASE {_FITS} ELSE NULL END AS rule FROM hosts)
 SELECT page_id, host, path, rule,
   CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in HOST_RULES)}
-    WHEN regexp_matches(host || path, '(^|[^0-9A-Za-z])({_WORDS})([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_matches(host || path, '(?i)(^|[^0-9A-Za-z])({_WORDS})([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """

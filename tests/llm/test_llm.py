@@ -246,6 +246,7 @@ def test_near_stage_takes_edited_copies(spark, monkeypatch, most):
     for i, r in roots.items():
         first[r] = min(i, first.get(r, i))
     monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "CHUNK", most)
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(rows)], DOC)
     kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
     assert kept == set(first.values()) and len(kept) < len(rows) - 90
@@ -502,14 +503,14 @@ def test_pipeline(spark, tmp_path, library):
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     left = {i: t for i, t, *_ in rows if i not in (201, 202, 0)}
-    fps = {i: simhash_of(t) for i, t in left.items()}
-    roots = classes_of(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    sets = {i: shingle_set(t) for i, t in left.items()}
+    roots = classes_of(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
     first = {}
-    for i, f in fps.items():
-        first[roots[f]] = min(i, first.get(roots[f], i))
-    kept = {i for i, f in fps.items() if first[roots[f]] == i}
+    for i, r in roots.items():
+        first[r] = min(i, first.get(r, i))
+    kept = set(first.values())
     sized = spark.createDataFrame([(i, dict((r[0], r[3]) for r in rows)[i], len(words(left[i]))) for i in kept], "_id long, source string, size long")
-    copies = {r["_id"]: r["copies"] for r in mixing.copies(sized, id_col="_id").collect() if r["copies"]}
+    copies = {r["_id"]: r["copies"] for r in mixing.copies(sized.withColumn("_one", F.col("size")), id_col="_id").collect() if r["copies"]}
     assert got == Counter({(i, len(library.encode(left[i], add_special_tokens=False).ids)): n for i, n in copies.items()})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
