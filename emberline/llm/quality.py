@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, table, whole, without_spaces, words
+from emberline.llm.common import SPACE, cut, table, whole, words
 
 #: Common words of the languages, in lower case.
 COMMON_WORDS = {
@@ -37,9 +37,9 @@ BROADCAST_LANGS = 10_000
 #: Character classes, in the order in which they are taken out of a text: the plainest letters and white space first, so that
 #: most of a text is read once or twice only. Letters are Unicode's. What is left at the end is a class too.
 CLASSES = ["[a-z]+", "[ \\t\\x0B\\f\\r]+", "\\n+", r"[\p{L}&&[^\p{Lu}]]+", r"\p{Lu}+", r"[.,;:!?'\"()\-]+", "[0-9]+", "[" + SYMBOLS.replace("&", "\\&") + "]+"]
+WORD_CHAR = r"[^\x20\x09-\x0D]"
 #: Marks that don't count when common words are looked up.
 MARKS = "[.,;:!?]+"
-COMMON = rf"(?<![^\x20\x09-\x0D])(?:{'|'.join(sorted(VOCABULARY, key=len, reverse=True))})(?![^\x20\x09-\x0D])"
 
 
 def class_lengths(docs: DataFrame, text: Column) -> DataFrame:
@@ -52,14 +52,15 @@ def class_lengths(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def common_words(text: Column) -> Column:
-    """The vocabulary's words in a text, whatever their case and sentence marks. One match over the folded text, without an array of all words."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, MARKS, "")), F.lit(COMMON), F.lit(0))
+    """The vocabulary's words in a text, whatever their case and sentence marks, in one string with a space on either side of each."""
+    found = F.filter(F.split(F.lower(F.regexp_replace(text, MARKS, "")), SPACE), lambda x: x.isin(VOCABULARY))
+    return F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
 
 
 def word_counts(found: Column, n_words: Column) -> Column:
-    """How often each word of the vocabulary is among those found, then the number of all other words."""
-    counts = [F.size(found) - F.size(F.array_remove(found, v)) for v in VOCABULARY]
-    return F.array(*counts, n_words - F.size(found))
+    """How often each word of the vocabulary is among those found, then the number of all other words. What a word's removal takes off the string's length tells its count, without a pass over an array for each word."""
+    counts = [((F.length(found) - F.length(F.replace(found, F.lit(f" {v} "), F.lit("")))) / (len(v) + 2)).cast("int") for v in VOCABULARY]
+    return F.array(*counts, n_words - sum(counts[1:], counts[0]))
 
 
 #: Of a window's key the low bits hold its place, the others its hash.
@@ -108,7 +109,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = whole(F.col(text_col))
     # Each array is a column of its own before it is used more than once: an expression inside a lambda runs for every element.
     out = class_lengths(repeated_words(docs.withColumn("_w", words(F.col(text_col)))), text)
-    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: F.length(without_spaces(x)) > 0), "_found": common_words(text), "_n": F.size("_w")}).drop("_w", text_col)
+    out = out.withColumns({"_lines": F.filter(F.split(text, "\\n"), lambda x: x.rlike(WORD_CHAR)), "_found": common_words(text), "_n": F.size("_w")}).drop("_w", text_col)
     at = lambda k: F.get("_left", F.lit(k))
     return out.withColumns(
         {

@@ -157,3 +157,82 @@ def test_stages_on_odd_tables(spark):
         none = stage(spark, docs.limit(0), "")
         assert none.columns == docs.columns and none.count() == 0
     assert corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0
+
+
+def test_quality_against_plain_distances(spark):
+    rng = random.Random(12)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßABC") for _ in range(k))
+    vocab = {lang: some * 3 + [letters(rng.randrange(2, 9)) for _ in range(60)] for lang, some in quality.COMMON_WORDS.items()}
+    rows = []
+    for i in range(120):
+        lang = rng.choice([*vocab, None])
+        some = [rng.choice(vocab[lang or "en"]) + rng.choice(["", "", "", ",", ".", "\n", " 12 #", "!?"]) for _ in range(rng.randrange(20, 260))]
+        if i % 9 == 0:
+            some = [letters(6) for _ in some]
+        if i % 11 == 0:
+            some = ["".join(rng.choice("#%0123456789-()") for _ in range(5)) for _ in some]
+        rows.append((i, " ".join(some), lang))
+    rows += [(900, None, "en"), (901, "The the THE, the.", "en")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def classes(t):
+        kinds = [str.islower, None, None, None, str.isupper]
+        out = [0] * 8
+        for c in t or "":
+            if "a" <= c <= "z":
+                out[0] += 1
+            elif c in " \t\x0b\f\r":
+                out[1] += 1
+            elif c == "\n":
+                out[2] += 1
+            elif c.isalpha():
+                out[4 if kinds[4](c) else 3] += 1
+            elif c in ".,;:!?'\"()-":
+                out[5] += 1
+            elif c in "0123456789":
+                out[6] += 1
+            else:
+                out[7] += 1
+        return out
+
+    def split(t):
+        """Symbols are a class of their own in the histogram's last two places."""
+        c = classes(t)
+        symbols = sum(x in quality.SYMBOLS for x in t or "")
+        # Order of the operator: plain letters, blanks, line ends, other lower, upper, marks, digits, symbols, rest.
+        return np.array([c[0], c[1], c[2], c[3], c[4], c[5], c[6], symbols, c[7] - symbols], float)
+
+    def tokens(t):
+        return [w.lower() for w in "".join(x for x in t or "" if x not in ".,;:!?").split()]
+
+    def common(t):
+        w = tokens(t)
+        counts = [w.count(v) for v in quality.VOCABULARY]
+        return np.array([*counts, len((t or "").split()) - sum(counts)], float)
+
+    def js(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    merged = lambda c: np.array([c[0] + c[3], *np.delete(c, [0, 3])])
+    refs = {lang: [sum(f(t) for _, t, k in rows if k == lang) for f in (lambda t: merged(split(t)), common)] for lang in {k for *_, k in rows}}
+    none = np.array([0.0] * len(quality.VOCABULARY) + [1.0])
+    far, cap = {}, {}
+    for i, t, lang in rows:
+        c, w = refs[lang][0] / refs[lang][0].sum(), refs[lang][1] / refs[lang][1].sum()
+        n, chars = len((t or "").split()), sum(not x.isspace() for x in t or "")
+        a = js(merged(split(t)) / merged(split(t)).sum(), c) if chars >= quality.MIN_CHARS else None
+        b = js(common(t) / n, w) if n >= quality.MIN_WORDS else None
+        far[i], cap[lang] = (lang, a, b, n, n * (1 - w[-1]) >= quality.EXPECTED), quality.BELOW_NONE * js(none, w)
+        assert (got[i]["char_distance"] is None) == (a is None) and (got[i]["word_distance"] is None) == (b is None), i
+        assert a is None or got[i]["char_distance"] == pytest.approx(a, abs=1e-9), i
+        assert b is None or got[i]["word_distance"] == pytest.approx(b, abs=1e-9), i
+    for i, (lang, a, b, n, enough) in far.items():
+        known = [x[2] for x in far.values() if x[0] == lang and x[2] is not None]
+        calm = known and np.mean([x <= cap[lang] for x in known]) > quality.WITHIN
+        limit = min(quality.MAX_WORD_DISTANCE, cap[lang]) if enough and calm else quality.MAX_WORD_DISTANCE
+        kept = not got[i]["base_failed"] and (a or 0) <= quality.MAX_CHAR_DISTANCE and (b or 0) <= limit
+        assert got[i]["kept"] == kept, i
+    both = [sum(not got[i]["base_failed"] and x is not None and x > m for i, x, m in some) for some in ([(i, v[1], quality.MAX_CHAR_DISTANCE) for i, v in far.items()], [(i, v[2], cap[v[0]]) for i, v in far.items()])]
+    assert min(both) > 0 and sum(r["kept"] for r in got.values()) > 20
