@@ -264,9 +264,23 @@ def pair_delta(spark, sf):
     return rounded(stats.pair_delta(m, "vpd", ["cell_id"], PAIR, "scenario"), "delta")
 
 
-@query("ensemble_delta")
+P_VALUE = """g AS (SELECT unnest(range(0, 4000)) AS k), p AS (SELECT cell_id, delta, t, df, coalesce(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * abs(t) / 3 / 4000 *
+  (sum((CASE WHEN k = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(abs(t) * k / 4000, 2) / df, -(df + 1) / 2)) + power(1 + t * t / df, -(df + 1) / 2)), 1) AS pvalue FROM welch CROSS JOIN g GROUP BY cell_id, delta, t, df)"""
+
+
+@query(
+    "ensemble_delta",
+    f"""{WITH}, {SAMPLES}, {P_VALUE}, k AS (SELECT cell_id, pvalue, row_number() OVER (PARTITION BY cell_id % 2 ORDER BY pvalue) AS k, count(*) OVER (PARTITION BY cell_id % 2) AS n FROM p),
+c AS (SELECT cell_id % 2 AS map, max(pvalue) AS crit FROM k WHERE pvalue <= 0.3 * k / n GROUP BY ALL),
+md AS (SELECT cell_id, x - y AS d, avg(x - y) OVER (PARTITION BY cell_id) AS m FROM (SELECT member, cell_id, avg(days_p95) AS x FROM yearly WHERE scenario = 'F' GROUP BY ALL) JOIN (SELECT cell_id, avg(days_p95) AS y FROM yearly WHERE scenario = 'O' GROUP BY ALL) USING (cell_id)),
+ag AS (SELECT cell_id, avg(CASE WHEN sign(d) = sign(m) THEN 1.0 ELSE 0.0 END) AS agreement FROM md GROUP BY cell_id)
+SELECT p.cell_id % 2 AS map, p.cell_id, round(delta + 1.7e-8, 6) AS delta, round(t + 1.7e-8, 6) AS t, round(df + 1.7e-8, 6) AS df, round(pvalue, 5) AS pvalue, coalesce(pvalue <= crit, false) AS significant, round(agreement + 1.7e-8, 6) AS member_agreement
+FROM p LEFT JOIN c ON p.cell_id % 2 = c.map LEFT JOIN ag ON ag.cell_id = p.cell_id""",
+)
 def ensemble_delta(spark, sf):
-    return rounded(stats.ensemble_delta(annual(spark, sf).withColumnRenamed("scenario", "run").withColumn("map", F.lit("m")), "days_p95", ["map", "cell_id"], "F", "O", map_keys=("map",)), "delta", "t", "df", "pvalue")
+    y = annual(spark, sf).withColumnRenamed("scenario", "run").withColumn("map", F.col("cell_id") % 2)
+    out = stats.ensemble_delta(y, "days_p95", ["map", "cell_id"], "F", "O", alpha=0.3, map_keys=("map",))
+    return rounded(out, "delta", "t", "df", "member_agreement").withColumn("pvalue", F.round("pvalue", 5))
 
 
 CHANGES = f"{MONTHLY}, m AS (SELECT scenario, cell_id, avg(vpd) AS vpd, avg(pr) AS pr, avg(tas) AS tas FROM clim GROUP BY ALL), x AS (SELECT cell_id, round(a.vpd - b.vpd, 9) AS dvpd, round(a.pr - b.pr, 9) AS dpr, round(a.tas - b.tas, 9) AS dfwi, b.pr AS base FROM m a JOIN m b USING (cell_id) WHERE a.scenario = 'F' AND b.scenario = 'O'), k AS (SELECT *, CASE WHEN dvpd < 0 AND dpr >= 0 THEN 1 WHEN dvpd < 0 AND dpr < 0 AND dfwi <= 0 THEN 2 WHEN dvpd < 0 AND dpr < 0 AND dfwi > 0 THEN 3 WHEN dvpd >= 0 AND dpr < 0 THEN 4 WHEN dvpd >= 0 THEN 5 END::INT AS offset_class FROM x)"
@@ -314,9 +328,48 @@ def apply_deltas(spark, sf):
     return out.select(*CM, "day_idx", *[F.round(F.col(x).cast("double"), 3).alias(x) for x in v])
 
 
-@query("fwi_daily")
+BAND_HOURS = lambda table: "[" + ", ".join("[" + ", ".join(map(str, row)) + "]" for row in table.tolist()) + "]"
+
+
+def fwi_sql(source: str, keys: str) -> str:
+    """Recursive CTE over the days of a cell: the table ``walked`` (keys, k, f, d, c) of codes after day k of ``source`` (keys, k, month, lat, t, h, w, p), and ``fwi`` with all codes."""
+    on = " AND ".join(f"s.{k.strip()} = z.{k.strip()}" for k in keys.split(","))
+    s_keys = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""walked AS (
+  SELECT {keys}, 0::BIGINT AS k, 85.0::DOUBLE AS f, 6.0::DOUBLE AS d, 15.0::DOUBLE AS c FROM (SELECT DISTINCT {keys} FROM {source})
+  UNION ALL
+  SELECT {keys}, k, least(greatest(59.5 * (250 - m3) / (147.2 + m3), 0), 101) AS f,
+    CASE WHEN p > 1.5 THEN greatest(43.43 * (5.6348 - ln(greatest(20 + 280 * exp(-0.023 * d) + 1000 * (0.92 * p - 1.27) / (48.77 + b * (0.92 * p - 1.27)) - 20, 1e-9))), 0) ELSE d END
+      + CASE WHEN t < -1.1 THEN 0.0 ELSE 1.894 * (t + 1.1) * (100 - h) * dmc_hours * 1e-4 END AS d,
+    CASE WHEN p > 2.8 THEN greatest(c - 400 * ln(1 + 3.937 * (0.83 * p - 1.27) / (800 * exp(-c / 400))), 0) ELSE c END + greatest((0.36 * (greatest(t, -2.8) + 2.8) + dc_hours) / 2, 0) AS c
+  FROM (SELECT *, CASE WHEN m1 > ed THEN ed + (m1 - ed) * power(10, -((0.424 * (1 - power(h / 100, 1.7)) + 0.0694 * sqrt(w) * (1 - power(h / 100, 8))) * 0.581 * exp(0.0365 * t)))
+      WHEN m1 < ed AND m1 < ew THEN ew - (ew - m1) * power(10, -((0.424 * (1 - power((100 - h) / 100, 1.7)) + 0.0694 * sqrt(w) * (1 - power((100 - h) / 100, 8))) * 0.581 * exp(0.0365 * t))) ELSE m1 END AS m3
+    FROM (SELECT *, CASE WHEN p > 0.5 THEN least(m0 + 42.5 * (p - 0.5) * exp(-100 / (251 - m0)) * (1 - exp(-6.93 / (p - 0.5))) + CASE WHEN m0 > 150 THEN 0.0015 * power(m0 - 150, 2) * sqrt(p - 0.5) ELSE 0 END, 250) ELSE m0 END AS m1,
+        0.942 * power(h, 0.679) + 11 * exp((h - 100) / 10) + 0.18 * (21.1 - t) * (1 - exp(-0.115 * h)) AS ed,
+        0.618 * power(h, 0.753) + 10 * exp((h - 100) / 10) + 0.18 * (21.1 - t) * (1 - exp(-0.115 * h)) AS ew,
+        CASE WHEN d <= 33 THEN 100 / (0.5 + 0.3 * d) WHEN d <= 65 THEN 14 - 1.3 * ln(greatest(d, 1e-9)) ELSE 6.2 * ln(greatest(d, 1e-9)) - 17.2 END AS b
+      FROM (SELECT {s_keys}, s.k, s.t, s.h, s.w, s.p, s.dmc_hours, s.dc_hours, z.f, z.d, z.c, 147.2 * (101 - z.f) / (59.5 + z.f) AS m0 FROM walked z JOIN {source} s ON {on} AND s.k = z.k + 1)))),
+fwi AS (SELECT *, CASE WHEN bb <= 1 THEN bb ELSE exp(2.72 * power(0.434 * ln(greatest(bb, 1)), 0.647)) END AS fwi
+  FROM (SELECT *, 0.1 * isi * CASE WHEN bui <= 80 THEN 0.626 * power(bui, 0.809) + 2 ELSE 1000 / (25 + 108.64 * exp(-0.023 * bui)) END AS bb
+    FROM (SELECT *, CASE WHEN d + 0.4 * c > 0 THEN greatest(CASE WHEN d <= 0.4 * c THEN 0.8 * c / (d + 0.4 * c) * d ELSE d - (1 - 0.8 * c / (d + 0.4 * c)) * (0.92 + power(0.0114 * d, 1.7)) END, 0) ELSE 0 END AS bui
+      FROM (SELECT s.*, z.f, z.d, z.c, 19.1152 * exp(-0.1386 * (147.2 * (101 - z.f) / (59.5 + z.f))) * (1 + power(147.2 * (101 - z.f) / (59.5 + z.f), 5.31) / 4.93e7) * exp(0.05039 * s.w) AS isi
+        FROM {source} s JOIN walked z ON {on} AND s.k = z.k))))"""
+
+
+def fwi_source(name: str, table_: str, keys: str, t: str = "tas", h: str = "hurs", w: str = "sfcWind", p: str = "pr") -> str:
+    band = "CASE WHEN lat >= 30 THEN 5 WHEN lat >= 15 THEN 4 WHEN lat >= -15 THEN 3 WHEN lat >= -30 THEN 2 ELSE 1 END"
+    half = "CASE WHEN lat >= 15 THEN 3 WHEN lat >= -15 THEN 2 ELSE 1 END"
+    return f"""{name} AS MATERIALIZED (SELECT {keys}, year, month, day_idx, {t} - 273.15 AS t, {h}::DOUBLE AS h, {w} * 3.6 AS w, {p}::DOUBLE AS p, {BAND_HOURS(fwi.DMC_HOURS)}[{band}][month] AS dmc_hours, {BAND_HOURS(fwi.DC_HOURS)}[{half}][month] AS dc_hours,
+  row_number() OVER (PARTITION BY {keys} ORDER BY day_idx) AS k FROM {table_})"""
+
+
+RECURSIVE = WITH.replace("WITH", "WITH RECURSIVE", 1)
+CODES_SQL = ", ".join(f"round({c} + 1.7e-8, 6) AS {n}" for c, n in (("f", "ffmc"), ("d", "dmc"), ("c", "dc"), ("isi", "isi"), ("bui", "bui"), ("fwi", "fwi")))
+
+
+@query("fwi_daily", f"{RECURSIVE}, {fwi_source('src', 'daily', 'scenario, member, cell_id')}, {fwi_sql('src', 'scenario, member, cell_id')} SELECT scenario, member, cell_id, day_idx, {CODES_SQL} FROM fwi")
 def fwi_daily(spark, sf):
-    d = daily(spark, sf).withColumn("tile", ingest.tile_of(F.col("cell_id"), 8))
+    d = daily(spark, sf).withColumn("tile", ingest.tile_of(F.col("cell_id")))
     return rounded(fwi.compute_fwi(d, ["model", "scenario", "member", "tile"], temperature="tas", flux=False, codes=("ffmc", "dmc", "dc", "isi", "bui", "fwi")).select(*CM, "day_idx", "ffmc", "dmc", "dc", "isi", "bui", "fwi"), "ffmc", "dmc", "dc", "isi", "bui", "fwi")
 
 
@@ -415,11 +468,13 @@ def convert_units(spark, sf):
     return wide.select(*CM, "day_idx", *[(F.round(F.col(v).cast("double") + OFF_TIES, 6) if v == "pr" else F.round(F.col(v).cast("double"), 2)).alias(v) for v in ("tas", "hurs", "pr", "sfcWind")])
 
 
-@query("merge_variables", f"{WITH}, l AS (SELECT cell_id, day_idx, avg(tas) AS tas, avg(hurs) FILTER (day_idx % 5 <> 0) AS hurs FROM daily WHERE scenario = 'F' GROUP BY ALL) SELECT cell_id, day_idx, round(tas + 1.7e-8, 6) AS tas, round(hurs + 1.7e-8, 6) AS hurs FROM l WHERE hurs IS NOT NULL")
+@query("merge_variables", f"{WITH}, a AS (SELECT cell_id, day_idx, avg(tas) AS tas FROM daily GROUP BY ALL), b AS (SELECT c_nationkey::BIGINT AS cell_id, (CAST(o_orderdate AS DATE) - DATE '1970-01-01')::INT AS day_idx, avg(o_totalprice) / 1000 AS load FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT cell_id, day_idx, round(tas + 1.7e-8, 6) AS tas, round(load + 1.7e-8, 6) AS load FROM a JOIN b USING (cell_id, day_idx)")
 def merge_variables(spark, sf):
-    d = cube(spark, sf).where("scenario = 'F'").groupBy("cell_id", "day_idx").agg(F.avg("tas").alias("tas"), F.avg("hurs").alias("hurs"))
-    long = d.select("cell_id", "day_idx", F.expr("stack(2, 'tas', tas, 'hurs', hurs) AS (var, value)")).where("var = 'tas' OR day_idx % 5 <> 0")
-    return rounded(ingest.merge_variables(long, ["tas", "hurs"], ["cell_id", "day_idx"])[0], "tas", "hurs")
+    """Temperature of the cube and the day's orders of the cell: each has days that the other lacks."""
+    tas = cube(spark, sf).groupBy("cell_id", "day_idx").agg(F.avg("tas").alias("value")).withColumn("var", F.lit("tas"))
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    load = orders.groupBy(F.col("c_nationkey").cast("long").alias("cell_id"), F.unix_date(F.to_date("o_orderdate")).alias("day_idx")).agg((F.avg("o_totalprice") / 1000).alias("value")).withColumn("var", F.lit("load"))
+    return rounded(ingest.merge_variables(tas.unionByName(load), ["tas", "load"], ["cell_id", "day_idx"])[0], "tas", "load")
 
 
 @query("sanity", f"{WITH}, k AS (SELECT scenario, cell_id, avg(tas) AS tas, avg(hurs) AS hurs, avg(sfcWind) AS sfcWind, avg(pr / 100) AS pr FROM daily JOIN (SELECT scenario, min(day_idx) AS d0 FROM daily GROUP BY ALL) USING (scenario) WHERE day_idx < d0 + 365 GROUP BY ALL), m AS (SELECT scenario, {', '.join(f'sum({v} * cos(radians(lat))) / sum(cos(radians(lat))) AS {v}' for v in ('tas', 'hurs', 'sfcWind', 'pr'))} FROM k JOIN cells USING (cell_id) WHERE land GROUP BY scenario) SELECT scenario, {', '.join(f'round({v} + 1.7e-8, 6) AS {v}' for v in ('tas', 'hurs', 'sfcWind', 'pr'))}, CASE WHEN pr BETWEEN 0.05 AND 20 THEN 'ok' ELSE 'IMPLAUSIBLE: pr' END AS check FROM m".replace("AS check", 'AS "check"'))
@@ -440,9 +495,45 @@ def compare_fields(spark, sf):
     return rounded(ingest.compare_fields(d, "tas", "tasmax", ["scenario"]), "mean_a", "mean_b", "max_diff")
 
 
-@query("fwi_temperature", f"{WITH}, d AS (SELECT model, scenario, avg(CASE WHEN scenario = 'F' THEN 0.8 ELSE 0.4 END) AS x FROM daily GROUP BY ALL) SELECT model, CASE WHEN min(x) >= 0.5 THEN 'tasmax' ELSE 'tas' END AS temperature FROM d GROUP BY model")
-def fwi_temperature(spark, sf):
-    return ingest.choose_fwi_temp(cube(spark, sf).withColumn("tasmax", F.col("tas") + F.when(F.col("scenario") == "F", 0.8).otherwise(0.4)))
+@query(
+    "choose_temperature",
+    f"""{WITH}, x AS (SELECT CASE cell_id % 5 WHEN 2 THEN 'E3SMv3' ELSE 'm' || (cell_id % 5) END AS model, scenario, member, day_idx, CASE WHEN cell_id % 5 <> 4 THEN tas END AS tas,
+  CASE WHEN cell_id % 5 <> 3 OR scenario = 'F' THEN tas + CASE WHEN cell_id % 5 = 1 AND scenario = 'O' THEN 0.4 ELSE 0.8 END END AS tasmax FROM daily),
+s AS (SELECT model, scenario, member, min(day_idx) AS d0 FROM x GROUP BY ALL HAVING count(tasmax) > 0), f AS (SELECT model, scenario, min(member) AS member, arg_min(d0, member) AS d0 FROM s GROUP BY ALL),
+g AS (SELECT model, scenario, coalesce(avg(tasmax - tas), 0.5) >= 0.5 AS ok FROM x JOIN f USING (model, scenario, member) WHERE day_idx < d0 + 60 GROUP BY ALL)
+SELECT model, CASE WHEN bool_and(coalesce(ok, false) AND model <> 'E3SMv3') THEN 'tasmax' ELSE 'tas' END AS temperature FROM (SELECT DISTINCT model, scenario FROM x) LEFT JOIN g USING (model, scenario) GROUP BY model""",
+)
+def choose_temperature(spark, sf):
+    """Models with genuine tasmax, with one that is hardly warmer in one scenario, a known bad one, one without it in a scenario, and one without tas."""
+    d, k = cube(spark, sf), F.col("cell_id") % 5
+    d = d.withColumn("tasmax", F.when((k != 3) | (F.col("scenario") == "F"), F.col("tas") + F.when((k == 1) & (F.col("scenario") == "O"), 0.4).otherwise(0.8)))
+    return ingest.choose_fwi_temp(d.withColumns({"tas": F.when(k != 4, F.col("tas")), "model": F.when(k == 2, "E3SMv3").otherwise(F.concat(F.lit("m"), k.cast("string")))}))
+
+
+@query(
+    "resolve_variable",
+    """WITH f AS (SELECT s_suppkey AS file, s_suppkey % 5 AS kind FROM supplier), c AS (SELECT unnest(['tas', 'tasmax']) AS canon)
+SELECT file, canon, CASE WHEN canon = 'tas' THEN CASE kind WHEN 0 THEN 'mean_t' WHEN 1 THEN 'tas' WHEN 2 THEN 'only' WHEN 3 THEN 'given' END
+  ELSE CASE kind WHEN 0 THEN 'max_t' WHEN 1 THEN 'TREFHTMX' WHEN 2 THEN 'only' END END AS var_name
+FROM f CROSS JOIN c WHERE kind < 3 OR (kind = 3 AND canon = 'tas')""",
+)
+def resolve_variable(spark, sf):
+    """Files whose fields tell by their cell methods, by aliases, by being alone, by an explicit name, and not at all."""
+    field = lambda name, standard=None, methods=None, explicit=None: F.struct(F.lit(name).alias("var_name"), F.lit(standard).cast("string").alias("standard_name"), F.lit(methods).cast("string").alias("cell_methods"), F.lit(explicit).cast("string").alias("explicit"))
+    air = "air_temperature"
+    kinds = [
+        F.array(field("mean_t", air, "area: mean time: mean"), field("max_t", air, "area: mean time: maximum")),
+        F.array(field("other"), field("tas"), field("TREFHTMX")),
+        F.array(field("only")),
+        F.array(field("given", None, None, "given"), field("spare")),
+        F.array(field("x"), field("y")),
+    ]
+    kind, fields = F.col("s_suppkey") % 5, F.lit(None)
+    for k, some in enumerate(kinds):
+        fields = F.when(kind == k, some).otherwise(fields)
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), fields.alias("_f")).withColumn("n_fields", F.size("_f"))
+    rows = rows.select("file", "n_fields", F.inline("_f")).withColumn("canon", F.explode(F.array(F.lit("tas"), F.lit("tasmax")))).withColumn("explicit", F.when(F.col("canon") == "tas", F.col("explicit")))
+    return ingest.resolve_variable(rows, ["file"]).select("file", "canon", "var_name")
 
 
 LISTING = """listing AS (SELECT DISTINCT concat('root/', CASE o_orderkey % 3 WHEN 0 THEN 'CESM2-WACCM' WHEN 1 THEN 'UKESM1-1' ELSE 'e3sm' END, '/', CASE o_custkey % 4 WHEN 0 THEN 'SSP245' WHEN 1 THEN 'G6-1.5K-SAI' WHEN 2 THEN 'G6_hilla' ELSE 'other' END, '/r', o_orderkey % 4 + 1, '/', CASE WHEN o_custkey % 5 = 0 THEN 'Amon' ELSE 'day' END, '/', CASE o_orderkey % 7 WHEN 0 THEN 'TREFHTMX' WHEN 1 THEN 'tas' WHEN 2 THEN 'hurs' WHEN 3 THEN 'U10' WHEN 4 THEN 'PRECT' WHEN 5 THEN 'uas' ELSE 'zz' END, CASE WHEN o_custkey % 11 = 0 THEN '.clm2' ELSE '' END, '_run_', o_custkey % 3 + 2020, '0101-', o_custkey % 3 + 2029, '1231.nc') AS path FROM orders)"""
@@ -484,9 +575,16 @@ def catalog_(spark, sf):
     return c.withColumn("paths", F.concat_ws(",", "paths"))
 
 
-@query("catalog_round_trip", f"{CATALOG} SELECT model, scenario, member, var, 'netcdf' AS kind, len(paths) AS files, var_name FROM cat")
+@query(
+    "catalog_round_trip",
+    f"""{CATALOG} SELECT model, scenario, member, var, CASE WHEN member = 'r1' THEN 'zarr' ELSE 'netcdf' END AS kind, CASE WHEN member <> 'r1' THEN len(paths) END AS files, var_name,
+CASE WHEN member = 'r1' THEN 's3://' || model END AS store, CASE WHEN member = 'r1' THEN var END AS "group", NULL AS repo, NULL AS branch FROM cat""",
+)
 def catalog_round_trip(spark, sf):
-    return catalog.load_catalog(catalog.save_catalog(catalog_of(spark, sf))).withColumn("files", F.size("paths").cast("long")).drop("paths")
+    """Entries of files, and of stores, to JSON and back."""
+    c, stored = catalog_of(spark, sf), F.col("member") == "r1"
+    c = c.withColumns({"kind": F.when(stored, "zarr").otherwise(F.col("kind")), "paths": F.when(~stored, F.col("paths")), "store": F.when(stored, F.concat(F.lit("s3://"), "model")), "group": F.when(stored, F.col("var"))})
+    return catalog.load_catalog(catalog.save_catalog(c)).withColumn("files", F.size("paths").cast("long")).withColumn("files", F.when(F.col("files") >= 0, F.col("files"))).drop("paths")
 
 
 @query("catalog_merge", f"{CATALOG} SELECT model, scenario, member, var, len(paths) AS files FROM cat WHERE member <> 'r1' UNION ALL SELECT model, scenario, member, var, 0 FROM cat WHERE member = 'r1'")
@@ -534,9 +632,33 @@ b AS (SELECT target AS cell_id, year, month, CASE WHEN count(tas) = 4 THEN sum(w
 SELECT cell_id, year, month, round(coalesce(b.tas, m.tas) + 1.7e-8, 6) AS tas FROM m LEFT JOIN b USING (cell_id, year, month)"""
 
 
-@query("common_grid")
+def on_common_grid(name: str, source: str, value: str, keys: str, shift: float) -> str:
+    """SQL: a global field of 5 × 5 cells, columns from shift - 144 on, at the centres of the 10-degree grid."""
+    return f"""{name}_at AS (SELECT i * 36 + j AS cell_id, least(greatest((-85 + 10 * i + 72) / 36.0::DOUBLE, 0), 4) AS y, (-175 + 10 * j + 144 - ({shift})) / 72.0::DOUBLE AS x FROM (SELECT unnest(range(18)) AS i), (SELECT unnest(range(36)) AS j)),
+{name}_corner AS (SELECT cell_id, ((floor(y) + dy) * 5 + (floor(x) + dx + 5)::INT % 5)::BIGINT AS src, (CASE dy WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE dx WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w FROM {name}_at, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)),
+{name} AS (SELECT {keys}, k.cell_id, CASE WHEN count({value}) = max(n) THEN sum(w * {value}) END AS {value} FROM (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM {name}_corner WHERE w > 0) k JOIN {source} ON {source}.cell_id = src GROUP BY ALL)"""
+
+
+def grid_of_cells(spark, sf, shift: float = 0.0) -> DataFrame:
+    return cells(spark, sf).select("cell_id", (F.floor(F.col("cell_id") / 5) * 36.0 - 72).alias("lat"), ((F.col("cell_id") % 5) * 72.0 - 144 + shift).alias("lon"))
+
+
+STACKED = f"""m AS (SELECT cell_id, avg(tas) FILTER (scenario = 'F') - avg(tas) FILTER (scenario = 'O') AS delta FROM daily GROUP BY ALL), {on_common_grid('ga', 'm', 'delta', "'A' AS model", 0.0)}, {on_common_grid('gb', 'm', 'delta', "'B' AS model", 36.0)}, st AS (SELECT * FROM ga UNION ALL SELECT model, cell_id, delta * 0.5 AS delta FROM gb), ok AS (SELECT * FROM st WHERE delta IS NOT NULL)"""
+
+
+@query("stack_models", f"{WITH}, {STACKED}, mm AS (SELECT *, avg(delta) OVER (PARTITION BY cell_id) AS m FROM ok) SELECT cell_id, round(avg(delta) + 1.7e-8, 6) AS mean, count(*) AS models, CASE WHEN count(*) = 1 THEN true ELSE avg(CASE WHEN sign(delta) = sign(m) THEN 1.0 ELSE 0.0 END) >= 2/3 END AS robust FROM mm GROUP BY cell_id")
+def stack_models(spark, sf):
+    """Change of two models on grids of their own, on the common grid, and their mean."""
+    means = cube(spark, sf).groupBy("cell_id").agg((F.avg(F.when(F.col("scenario") == "F", F.col("tas"))) - F.avg(F.when(F.col("scenario") == "O", F.col("tas")))).alias("delta"))
+    own = lambda model, factor: means.select(F.lit(model).alias("model"), "cell_id", (F.col("delta") * factor).alias("delta"), F.lit(True).alias("significant"))
+    both = grid_of_cells(spark, sf).withColumn("model", F.lit("A")).unionByName(grid_of_cells(spark, sf, 36.0).withColumn("model", F.lit("B")))
+    stacked = grid.stack_models(own("A", 1.0).unionByName(own("B", 0.5)), both, ["delta", "significant"], [], 10.0).where("delta IS NOT NULL")
+    return rounded(stats.multimodel(stacked, ["cell_id"]), "mean")
+
+
+@query("common_grid", f"{WITH}, m AS (SELECT cell_id, scenario, avg(tas) AS tas FROM daily GROUP BY ALL), {on_common_grid('g', 'm', 'tas', 'scenario', 0.0)} SELECT scenario, cell_id, round(tas + 1.7e-8, 6) AS tas FROM g")
 def common_grid(spark, sf):
-    c = cells(spark, sf).select("cell_id", (F.floor(F.col("cell_id") / 5) * 36.0 - 72).alias("lat"), ((F.col("cell_id") % 5) * 72.0 - 144).alias("lon"))
+    c = grid_of_cells(spark, sf)
     field = cube(spark, sf).groupBy("cell_id", "scenario").agg(F.avg("tas").alias("tas"))
     return rounded(grid.to_common_grid(field, c, ["tas"], ["scenario"], 10.0), "tas")
 
@@ -548,14 +670,22 @@ def remap_sparse(spark, sf):
     return rounded(grid.apply_weights(field, w, ["tas"], ["scenario"], skip_null=True), "tas")
 
 
-@query("wrap_lon", "SELECT CAST(n_nationkey AS BIGINT) AS cell_id, round(((n_nationkey * 37 % 360)::DOUBLE + 180) % 360 - 180 + 1.7e-8, 6) AS lon FROM nation")
+def stations(spark, sf) -> DataFrame:
+    """A place for every customer."""
+    key = F.col("c_custkey").cast("long")
+    return table(spark, sf, "customer").select(key.alias("cell_id"), (key * 7 % 144 - 72).cast("double").alias("lat"), (key * 37 % 360).cast("double").alias("lon"))
+
+
+STATIONS = "st AS (SELECT c_custkey::BIGINT AS cell_id, (c_custkey * 7 % 144 - 72)::DOUBLE AS lat, (c_custkey * 37 % 360)::DOUBLE AS lon FROM customer)"
+
+
+@query("wrap_lon", f"WITH {STATIONS} SELECT cell_id, round((lon + 180) % 360 - 180 + 1.7e-8, 6) AS lon FROM st")
 def wrap_lon(spark, sf):
-    c = cells(spark, sf).withColumn("model", F.lit("M"))
-    return rounded(ingest.wrap_longitudes(c, ["model"]).select("cell_id", "lon"), "lon")
+    return rounded(ingest.wrap_longitudes(stations(spark, sf).withColumn("model", F.lit("M")), ["model"]).select("cell_id", "lon"), "lon")
 
 
-@query("assign_regions", "SELECT CAST(n_nationkey AS BIGINT) AS cell_id, CASE WHEN n_nationkey * 6 - 72 < 3 THEN 'S' ELSE 'N' END AS region, CASE WHEN n_nationkey * 6 - 72 < 3 THEN 'South' ELSE 'North' END AS region_name FROM nation WHERE n_nationkey * 37 % 360 BETWEEN 1 AND 200")
+@query("assign_regions", f"WITH {STATIONS} SELECT cell_id, CASE WHEN lat < 3.5 THEN 'S' ELSE 'N' END AS region, CASE WHEN lat < 3.5 THEN 'South' ELSE 'North' END AS region_name FROM st WHERE lon BETWEEN 1 AND 200")
 def assign_regions(spark, sf):
     ring = lambda lo, hi: [(1.0 - 0.5, lo), (200.5, lo), (200.5, hi), (0.5, hi)]
-    polygons = spark.createDataFrame([("S", "South", ring(-90.0, 3.0)), ("N", "North", ring(3.0, 90.0))], "region string, region_name string, ring array<struct<lon double, lat double>>")
-    return regions.assign_regions(cells(spark, sf).select("cell_id", "lat", "lon"), polygons)
+    polygons = spark.createDataFrame([("S", "South", ring(-90.0, 3.5)), ("N", "North", ring(3.5, 90.0))], "region string, region_name string, ring array<struct<lon double, lat double>>")
+    return regions.assign_regions(stations(spark, sf), polygons)

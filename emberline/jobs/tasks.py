@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.physics import daily_vpd
-from emberline.operators import attribution, classify, extremes, fwi, overview, regions, season, stats
+from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
 from emberline.schema import PAIRS, RUNS
 from emberline.sources import catalog, ingest
 
@@ -35,24 +35,54 @@ def changes(annual: DataFrame, value: str, pairs=PAIRS, alpha: float = 0.10) ->
     return stats.fdr_significant(stats.welch(a, b, ["pair", "model", "cell_id"]), ["pair", "model"], alpha)
 
 
-def fire_weather(daily: DataFrame, cells: DataFrame, cell_region: DataFrame, runs=RUNS, target: str = "target", temperature: str = "tasmax", pairs=PAIRS, absolute: float = 30.0, flux: bool = True) -> dict[str, DataFrame]:
-    """Daily index, thresholds, days above them, spells, fire season, changes, multi-model mean and regional means."""
+def complete_inputs(daily: DataFrame, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None) -> DataFrame:
+    """Wind and humidity where they lack: wind from the climatology by day of year (model, cell_id, doy, sfcWind) of the models that have one, else from its components times the monthly ratio (model, cell_id, month, ratio); humidity from specific humidity."""
+    lacking = [c for c in ("sfcWind", "hurs", "uas", "vas", "huss", "ps") if c not in daily.columns]
+    if not {"sfcWind", "hurs"} & set(lacking) and ratio is None and wind_doy is None and {"uas", "vas", "huss", "ps"} <= set(lacking):
+        return daily
+    out = daily.withColumns({c: F.lit(None).cast("float") for c in lacking})
+    if wind_doy is not None:
+        clim = wind_doy.select("model", "cell_id", "doy", F.col("sfcWind").alias("_clim"))
+        out = grid.lookup_doy(out, clim, ["model", "cell_id"], ["_clim"]).withColumn("sfcWind", F.coalesce("_clim", "sfcWind")).drop("_clim")
+    return ingest.fill_derived(out, ratio).select(*daily.columns, *[c for c in ("sfcWind", "hurs") if c not in daily.columns])
+
+
+def fire_weather(
+    daily: DataFrame, cells: DataFrame, cell_region: DataFrame, runs=RUNS, target: str = "target", temperature: str | None = None, pairs=PAIRS, absolute: float = 30.0, flux: bool = True,
+    common_res: float | None = 1.0, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Daily index, thresholds, days above them, spells, fire season, changes, multi-model mean and regional means.
+
+    Each model uses the temperature that choose_fwi_temp finds, unless one is named for all. Series that start with a run's first year run
+    up on a copy of it. The multi-model mean is taken on the common grid; common_res None says that all models share one grid."""
+    daily = complete_inputs(daily, ratio, wind_doy)
     inputs = with_runs(daily, runs, spinup=1)
-    index = fwi.compute_fwi(inputs, ["model", "run", "member", "tile"], temperature, flux=flux)
-    starts = index.sparkSession.createDataFrame([(r, y0) for r, _, y0, _ in runs], "run string, _y0 int")
+    starts = daily.sparkSession.createDataFrame([(r, y0) for r, _, y0, _ in runs], "run string, _y0 int")
+    inputs = fwi.prepend_spinup(inputs.join(F.broadcast(starts), "run"), ["model", "run", "member"], "_y0")
+    if temperature is None and "tasmax" in daily.columns:
+        # A row per model.
+        choice = F.broadcast(ingest.choose_fwi_temp(daily))
+        inputs = inputs.join(choice, "model").withColumn("_warm", F.when(F.col("temperature") == "tasmax", F.col("tasmax")).otherwise(F.col("tas")) if "tas" in daily.columns else F.col("tasmax"))
+    index = fwi.compute_fwi(inputs, ["model", "run", "member", "tile"], temperature or ("_warm" if "tasmax" in daily.columns else "tas"), flux=flux)
     index = index.join(F.broadcast(starts), "run").where("year >= _y0").drop("_y0")
     out = {"index": index} | index_metrics(index, "fwi", target, absolute)
     out["season"] = season.fire_season_mask(out["monthly"].where(F.col("run") == target).groupBy("model", "cell_id", "month").agg(F.avg("mean_month").alias("v")), "v", ["model", "cell_id"])
     out["seasonal"] = season.seasonal_mean(out["monthly"].select(*MEMBER_CELL, "month", F.col("mean_month").alias("fwi")), out["season"], "fwi", MEMBER_CELL, ["model", "cell_id"])
     out["changes"] = changes(out["yearly"], "days_p95", pairs)
-    out["multimodel"] = stats.multimodel(out["changes"], ["pair", "cell_id"])
+    # The change of the fire-season index, which tells classes of evaporative_demand apart.
+    by_run = stats.ensemble_mean(out["seasonal"], ["fwi"], ["model", "run", "cell_id"])
+    out["season_change"] = stats.pair_delta(by_run, "fwi", ["model", "cell_id"], pairs)
+    stacked = out["changes"] if common_res is None else grid.stack_models(out["changes"].select("model", "pair", "cell_id", "delta", "significant"), cells, ["delta", "significant"], ["pair"], common_res).where("delta IS NOT NULL")
+    out["multimodel"] = stats.multimodel(stacked, ["pair", "cell_id"])
     means = stats.ensemble_mean(out["yearly"], ["days_p95", "days_abs", "spell_max"], ["model", "run", "cell_id"])
     out["regional"] = regions.regional_means(means, cell_region, cells, ["days_p95", "days_abs", "spell_max"], ["model", "run"])
     return out
 
 
-def evaporative_demand(daily: DataFrame, cells: DataFrame, cell_region: DataFrame, season_mask: DataFrame | None = None, runs=RUNS, target: str = "target", method: str = "mean", pairs=PAIRS) -> dict[str, DataFrame]:
-    """Daily VPD with its extremes, fire-season changes of VPD and rain, decomposition, classes and their areas."""
+def evaporative_demand(daily: DataFrame, cells: DataFrame, cell_region: DataFrame, season_mask: DataFrame | None = None, runs=RUNS, target: str = "target", method: str = "mean", pairs=PAIRS, season_change: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Daily VPD with its extremes, fire-season changes of VPD and rain, decomposition, classes and their areas.
+
+    season_change: (pair, model, cell_id, delta) of the fire-season index from fire_weather; without it no cell is of class 3."""
     days = with_runs(daily, runs).withColumn("vpd", daily_vpd(method))
     out = index_metrics(days, "vpd", target, None)
     series = season.resample_monthly(days, ["vpd", "pr"], MEMBER_CELL, {"pr": 86400.0})
@@ -62,7 +92,10 @@ def evaporative_demand(daily: DataFrame, cells: DataFrame, cell_region: DataFram
     key = ["pair", "model", "cell_id"]
     both = changes(yearly["vpd"], "vpd", pairs).select(*key, F.col("delta").alias("dvpd"), F.col("pvalue").alias("p_vpd"), F.col("significant").alias("sig_vpd"))
     both = both.join(changes(yearly["pr"], "pr", pairs).select(*key, F.col("delta").alias("dpr"), F.col("significant").alias("sig_pr")), key)
-    out["changes"] = both.withColumn("offset_class", classify.classify_offset(F.col("dvpd"), F.col("dpr")))
+    index = None
+    if season_change is not None:
+        both, index = both.join(season_change.select(*key, F.col("delta").alias("dfwi")), key, "left"), F.col("dfwi")
+    out["changes"] = both.withColumn("offset_class", classify.classify_offset(F.col("dvpd"), F.col("dpr"), index))
     named = F.broadcast(stats.run_pairs(clim, pairs))
     of = lambda side: clim.join(named.select("pair", F.col(side).alias("run")), "run").drop("run")
     split = attribution.vpd_decomposition(of("a"), of("b"), key)
@@ -107,8 +140,11 @@ def discovery(listing: DataFrame, required: list[str], extra: DataFrame | None =
 
 
 def harmonise(raw: DataFrame, variables: list[str], years: tuple[int, int], bbox=None) -> DataFrame:
-    """Raw values (model, scenario, member, file_seq, var, units, lat, lon, year, month, day, hour, doy, day_idx, has_bounds, cell_id, value) to one wide daily table."""
-    df = ingest.drop_bad_time(ingest.harmonize_columns(raw))
+    """Raw values (model, scenario, member, file_seq, var, units, lat, lon, year, month, day, hour, doy, day_idx, has_bounds, cell_id, value) to one wide daily table. Bounds of the days, if there are any, are bounds_lo and bounds_hi in days."""
+    df = ingest.harmonize_columns(raw)
+    if {"bounds_lo", "bounds_hi"} <= set(df.columns):
+        df = df.withColumn("day_idx", ingest.label_day(F.col("bounds_lo"), F.col("bounds_hi"), F.col("day_idx"))).drop("bounds_lo", "bounds_hi")
+    df = ingest.drop_bad_time(df)
     df = ingest.dedupe_days(ingest.shift_end_stamps(ingest.wrap_longitudes(df, ingest.SERIES)))
     df = ingest.convert_units(ingest.subset_bbox(ingest.slice_years(df, years), bbox))
     keys = ["model", "scenario", "member", "cell_id", "lat", "lon", "year", "month", "day", "doy", "day_idx"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.physics import percent, vpd_from_rh
-from emberline.operators.fwi import compute_fwi
+from emberline.operators.fwi import compute_fwi, prepend_spinup
 from emberline.operators.season import fire_season_mask, seasonal_mean
 
 # How a variable's change is applied, what keeps a ratio finite, and its limits.
@@ -56,6 +56,8 @@ def attribution(base: DataFrame, deltas: DataFrame, thresholds: DataFrame, value
     """Per driver set and cell: change against the baseline of the mean days a year above the threshold and of the fire-season mean index.
 
     The season is season_mask (cell_id, month, in_season), or else the one of the baseline's index."""
+    if start_year is not None:  # a series that starts with it runs up on a copy of its first year
+        base = prepend_spinup(base, series, start_year)
     perturbed = driver_sets(base, deltas, values, ["cell_id"])
     daily = compute_fwi(perturbed, ["driver_set", *series], temperature=temperature, start_year=start_year)
     flagged = daily.join(thresholds, "cell_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Start of the codes; effective day lengths of DMC and day length adjustments of DC, by latitude band and month.
@@ -98,12 +98,12 @@ def walk(t, h, w, p, month, lat, start=START) -> dict[str, np.ndarray]:
     return out
 
 
-def prepend_spinup(daily: DataFrame, keys: list[str], start: int) -> DataFrame:
-    """Where a series has no day before the start year, its first year comes once more as the year before, without 29 February where that year has none."""
-    first = daily.groupBy(*keys).agg(F.min("year").alias("_first")).where(F.col("_first") >= start)
+def prepend_spinup(daily: DataFrame, keys: list[str], start: int | str) -> DataFrame:
+    """Where a series has no day before the start year (a number, or a column of daily), its first year comes once more as the year before, without 29 February where that year has none."""
+    begin = F.first(start) if isinstance(start, str) else F.lit(start)
+    first = daily.groupBy(*keys).agg(F.min("year").alias("_first"), begin.alias("_start"), F.max("day").alias("_long")).where(F.col("_first") >= F.col("_start"))
     leap = (F.pmod(F.col("year"), F.lit(4)) == 0) & ((F.pmod(F.col("year"), F.lit(100)) != 0) | (F.pmod(F.col("year"), F.lit(400)) == 0))
-    length = F.max("day").over(Window.partitionBy(*keys))
-    copy = daily.join(first, keys).where("year = _first").withColumn("_long", length).withColumn("year", F.col("year") - 1)
+    copy = daily.join(first.drop("_start"), keys).where("year = _first").withColumn("year", F.col("year") - 1)
     # In a calendar of 30-day months every day exists in every year.
     has_31 = F.col("_long") > 30
     copy = copy.where(~((F.col("month") == 2) & (F.col("day") == 29) & has_31 & ~leap)).withColumn("day_idx", F.col("day_idx") - 366)

@@ -111,6 +111,20 @@ def to_common_grid(field: DataFrame, cells: DataFrame, values: list[str], keys:
     return out.withColumns({c: F.coalesce(F.col(c) > 0.5, F.lit(False)) for c in flags})
 
 
+def stack_models(field: DataFrame, cells: DataFrame, values: list[str], keys: list[str], res: float = 1.0) -> DataFrame:
+    """Fields of several models, each on its own grid, on the common one: (model, keys, cell_id of the common grid, values).
+
+    cells has a model column, or else a model's grid is the cells that its field names, whose numbers must then be unique over all
+    grids. Models are few: each has its own weights, and all are one table after."""
+    out = None
+    for (model,) in field.select("model").distinct().orderBy("model").collect():
+        own = field.where(F.col("model").eqNullSafe(F.lit(model)))
+        grid = cells.where(F.col("model").eqNullSafe(F.lit(model))) if "model" in cells.columns else cells.join(own.select("cell_id").distinct(), "cell_id", "left_semi")
+        one = to_common_grid(own, grid, values, keys, res).withColumn("model", F.lit(model)).select("model", *keys, "cell_id", *values)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else field.select("model", *keys, "cell_id", *values)
+
+
 def _ends(ax: DataFrame) -> tuple[float, float]:
     return tuple(ax.agg(F.min("x"), F.max("x")).first())
 

@@ -46,9 +46,10 @@ def zonal_anomaly(zonal: DataFrame, base: DataFrame, value: str, keys: list[str]
     return ensemble_envelope(align_members(zonal, base, value, keys).withColumn("anomaly", F.col("a") - F.col("b")), "anomaly", keys)
 
 
-def merge_logs(logs: list[DataFrame]) -> DataFrame:
-    """Full outer merge of logs on year, a column per member."""
-    return reduce(lambda a, b: a.join(b, "year", "full_outer"), logs)
+def merge_logs(logs: dict[str, DataFrame], value: str, keys: tuple[str, ...] = ("year",)) -> DataFrame:
+    """Logs side by side: a row per key that any log has, a column per log, null where it has none. One union and one pivot, whatever their number."""
+    long = reduce(lambda a, b: a.unionByName(b), [log.select(*keys, F.lit(name).alias("_log"), F.col(value).alias("_v")) for name, log in logs.items()])
+    return long.groupBy(*keys).pivot("_log", list(logs)).agg(F.min("_v"))
 
 
 def injection_totals(log: DataFrame) -> DataFrame:

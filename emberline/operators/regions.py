@@ -13,6 +13,8 @@ from emberline.operators.season import month_days
 
 #: Bridge tables up to this many rows are broadcast.
 BROADCAST_BRIDGE = 1_000_000
+#: Points of all rings that are sent to the tasks as they are.
+SMALL_RINGS = 1_000_000
 ICE_SHEETS = ["GIC", "EAN", "WAN"]
 
 
@@ -27,20 +29,33 @@ def in_ring(lon: np.ndarray, lat: np.ndarray, ring) -> np.ndarray:
 
 
 def assign_regions(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(cell_id, region, region_name) for cells (cell_id, lat, lon) in polygons (region, region_name, ring array<struct<lon, lat>>). A cell may be in several regions. Cells meet only polygons whose bounding box holds them."""
-    boxed = polygons.select("region", "region_name", "ring", *[f(F.expr(f"transform(ring, p -> p.{c})")).alias(f"_{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
-    near = cells.join(F.broadcast(boxed) if boxed.count() <= 10_000 else boxed, F.col("lat").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("lon").between(F.col("_lo_lon"), F.col("_hi_lon")))
+    """(cell_id, region, region_name) for cells (cell_id, lat, lon) in polygons (region, region_name, ring array<struct<lon, lat>>). A cell may be in several regions.
+
+    Up to SMALL_RINGS points of rings go to the tasks as they are; beyond that cells meet the polygons whose bounding box holds them."""
+    n_points = polygons.agg(F.sum(F.size("ring"))).first()[0] or 0
+    out = "cell_id long, region string, region_name string"
+    if n_points <= SMALL_RINGS:
+        rings = cells.sparkSession.sparkContext.broadcast([(r["region"], r["region_name"], [(p["lon"], p["lat"]) for p in r["ring"]]) for r in polygons.collect()])
+
+        def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                lon, lat = b["lon"].to_numpy(), b["lat"].to_numpy()
+                for region, name, ring in rings.value:
+                    ok = in_ring(lon, lat, [{"lon": x, "lat": y} for x, y in ring])
+                    yield pd.DataFrame({"cell_id": b["cell_id"][ok].astype("int64"), "region": region, "region_name": name})
+
+        return cells.where("lat IS NOT NULL AND lon IS NOT NULL").select("cell_id", "lat", "lon").mapInPandas(members, out).distinct()
+    numbered = polygons.withColumn("_ring", F.xxhash64("region", "ring"))
+    boxed = numbered.select("_ring", *[f(F.expr(f"transform(ring, p -> p.{c})")).alias(f"_{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    near = cells.join(boxed, F.col("lat").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("lon").between(F.col("_lo_lon"), F.col("_hi_lon"))).groupBy("_ring").agg(F.collect_list(F.struct("cell_id", "lat", "lon")).alias("points"))
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [pd.DataFrame(columns=["cell_id", "region", "region_name"])]
-            for _, g in b.groupby("region", sort=False):
-                for ring, same in g.groupby(g["ring"].map(lambda r: tuple((p["lon"], p["lat"]) for p in r)), sort=False):
-                    ok = in_ring(same["lon"].to_numpy(), same["lat"].to_numpy(), [{"lon": x, "lat": y} for x, y in ring])
-                    keep.append(same.loc[ok, ["cell_id", "region", "region_name"]])
-            yield pd.concat(keep).astype({"cell_id": "int64"})
-
-    return near.select("cell_id", "lat", "lon", "region", "region_name", "ring").mapInPandas(inside, "cell_id long, region string, region_name string").distinct()
+            for region, name, ring, points in zip(b["region"], b["region_name"], b["ring"], b["points"]):
+                ok = in_ring(np.array([p["lon"] for p in points]), np.array([p["lat"] for p in points]), ring)
+                yield pd.DataFrame({"cell_id": np.array([p["cell_id"] for p in points], np.int64)[ok], "region": region, "region_name": name})
+
+    return numbered.join(near, "_ring").select("region", "region_name", "ring", "points").mapInPandas(inside, out).distinct()
 
 
 def land_mask(cells: DataFrame, cell_region: DataFrame) -> DataFrame:

@@ -107,8 +107,10 @@ def sign_agreement(deltas: DataFrame, keys: list[str], delta: str = "delta", nam
     return deltas.withColumn("_m", mean).groupBy(*keys).agg(F.avg(F.when(F.signum(delta) == F.signum("_m"), 1.0).otherwise(0.0)).alias(name))
 
 
-def ensemble_delta(annual: DataFrame, value: str, keys: list[str], a: str, b: str, alpha: float = 0.10, mask: Column | None = None, map_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Change of annual values (run, member, year, keys) from run b to run a: delta, pvalue, significant and the members' agreement."""
+def ensemble_delta(annual: DataFrame, value: str, keys: list[str], a: str, b: str, alpha: float = 0.10, mask: Column | None = None, map_keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Change of annual values (run, member, year, keys) from run b to run a: delta, pvalue, significant within each map (map_keys, of the keys), and the members' agreement."""
+    if not map_keys or not set(map_keys) <= set(keys):
+        raise ValueError("map_keys name the columns of keys that tell maps apart")
     of = lambda run: annual.where(F.col("run") == run)
     test = fdr_significant(welch(moments(of(a), value, keys), moments(of(b), value, keys), keys), list(map_keys), alpha, mask)
     members = of(a).groupBy(*keys, "member").agg(F.avg(value).alias("_a")).join(of(b).groupBy(*keys).agg(F.avg(value).alias("_b")), keys)

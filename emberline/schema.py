@@ -38,7 +38,7 @@ BANDS = {"Global": (-90, 90), "Tropics": (-20, 20), "NH_Boreal": (50, 70), "SH_E
 #: Schemas as DDL.
 LISTING = "path string, length long"
 CATALOG = "model string, scenario string, member string, var string, kind string, paths array<string>, var_name string"
-CATALOG_JSON = "map<string, map<string, map<string, map<string, struct<kind: string, paths: array<string>, store: string, group: string, var: string>>>>>"
+CATALOG_JSON = "map<string, map<string, map<string, map<string, struct<kind: string, paths: array<string>, store: string, group: string, repo: string, branch: string, var: string>>>>>"
 DAILY = (
     "model string, scenario string, member string, cell_id long, lat double, lon double, tile int, year int, month int, day int, doy int, day_idx int, "
     "tasmax float, tas float, hurs float, hursmin float, sfcWind float, pr float, huss float, ps float, uas float, vas float"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from emberline.schema import CANON, CATALOG_JSON, SCENARIOS
 
 KEY = ["model", "scenario", "member", "var"]
+#: Where the entries of other kinds than files are.
+STORE = ["store", "group", "repo", "branch"]
 
 # Tokens and patterns by which archives tell models, frequencies, components, scenarios and members.
 MODELS = ["CESM2-WACCM", "UKESM1-1", "UKESM1-0-LL", "MIROC-ES2H", "E3SMv3", "E3SM", "MPI-ESM1-2-LR", "MPI-ESM1-2-HR", "GISS-E2-1-G", "IPSL-CM6A-LR", "CNRM-ESM2-1"]
@@ -119,16 +121,16 @@ def build_catalog(listing: DataFrame, freq: str = "day", scenarios: list[str] =
 
 def merge_catalog(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Entries of extra that base lacks are added; models whose name starts with _ are comments."""
-    return base.unionByName(extra.where(~F.col("model").startswith("_")).join(base, KEY, "left_anti"))
+    return base.unionByName(extra.where(~F.col("model").startswith("_")).join(base, KEY, "left_anti"), allowMissingColumns=True)
 
 
 def overlay_catalog(base: DataFrame, over: DataFrame) -> DataFrame:
     """The later source wins."""
-    return over.unionByName(base.join(over, KEY, "left_anti"))
+    return over.unionByName(base.join(over, KEY, "left_anti"), allowMissingColumns=True)
 
 
 def load_catalog(documents: DataFrame, json_col: str = "json") -> DataFrame:
-    """Flat catalog of nested JSON documents; keys that start with _ are comments."""
+    """Flat catalog of nested JSON documents; keys that start with _ are comments. STORE columns are null but for entries in stores."""
     def level(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[c for c in df.columns if c != "_m"], F.explode("_m").alias(name, "_m")).where(~F.col(name).startswith("_"))
 
@@ -136,14 +138,14 @@ def load_catalog(documents: DataFrame, json_col: str = "json") -> DataFrame:
     out = documents.select(F.from_json(text, CATALOG_JSON).alias("_m"))
     for name in KEY:
         out = level(out, name)
-    return out.select(*KEY, F.coalesce("_m.kind", F.lit("netcdf")).alias("kind"), "_m.paths", F.col("_m.var").alias("var_name"))
+    return out.select(*KEY, F.coalesce("_m.kind", F.lit("netcdf")).alias("kind"), "_m.paths", F.col("_m.var").alias("var_name"), *[F.col(f"_m.{c}").alias(c) for c in STORE])
 
 
 def save_catalog(catalog: DataFrame) -> DataFrame:
     """One JSON document per model, nested as load_catalog reads it."""
     nest = lambda df, keys, name: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, "_m"))).alias("_m"))
-    out = catalog.select(*KEY, F.to_json(F.struct("kind", "paths", F.col("var_name").alias("var"))).alias("_j"))
-    out = out.withColumn("_m", F.from_json("_j", "kind string, paths array<string>, var string")).drop("_j")
+    entry = F.struct("kind", "paths", F.col("var_name").alias("var"), *[c for c in STORE if c in catalog.columns])
+    out = catalog.select(*KEY, entry.alias("_m"))
     for k in range(3, 0, -1):
         out = nest(out, KEY[:k], KEY[k])
     return out.select("model", F.to_json(F.create_map("model", "_m")).alias("json"))
@@ -220,6 +222,11 @@ def query_catalog(stores: DataFrame, **wanted: list[str]) -> DataFrame:
     return out.groupBy(*keys).agg(F.max("store").alias("store"))
 
 
+def describe_stores(stores: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of an external store catalog the number of its rows and of the distinct values of every other column."""
+    return stores.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in stores.columns if c not in by])
+
+
 def find_variables(listing: DataFrame, targets: dict[str, str]) -> DataFrame:
     """(var, files): how many paths match each variable's pattern."""
     spec = listing.sparkSession.createDataFrame(list(targets.items()), "var string, pattern string")

@@ -12,11 +12,12 @@ from emberline.functions.physics import at_least_zero, mm_per_day, percent, rh_f
 from emberline.operators.grid import wrap_lon
 from emberline.operators.regions import area_weight, weighted_mean
 from emberline.schema import ALIASES, SCENARIOS
+from emberline.sources.catalog import BAD_VARIABLES
 
 SERIES = ["model", "scenario", "member", "var"]
 
 # Names of coordinates, unit labels in normal form, plausible ranges of land means.
-COORDINATES = {"latitude": "lat", "longitude": "lon", "nav_lat": "lat", "nav_lon": "lon", "Time": "time", "valid_time": "time"}
+COORDINATES = {"latitude": "lat", "longitude": "lon", "nav_lat": "lat", "nav_lon": "lon", "t": "time", "Time": "time", "valid_time": "time"}
 CELSIUS, FRACTION = ["c", "degc", "celsius", "°c", "deg_c"], ["1", "fraction", "0-1"]
 METRES, PER_DAY = ["m/s", "ms-1", "m/sec"], ["mm/day", "mmd-1", "mm/d", "mmday-1", "kgm-2d-1"]
 WIND, KMH = ["m/s", "ms-1", "m/sec", "km/h", "kmh-1", "km/hr", "knot"], ["km/h", "kmh-1", "km/hr"]
@@ -26,10 +27,31 @@ FILL = 1e10
 
 def harmonize_columns(df: DataFrame) -> DataFrame:
     """Coordinates as lat, lon, time. NaN values become null."""
-    out = df.withColumnsRenamed({k: v for k, v in COORDINATES.items() if k in df.columns and v not in df.columns})
+    out = df
+    for k, v in COORDINATES.items():  # the first of several names for a coordinate
+        if k in out.columns and v not in out.columns:
+            out = out.withColumnRenamed(k, v)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in out.dtypes if t in ("float", "double")})
 
 
+def drop_singletons(df: DataFrame, dims: list[str]) -> DataFrame:
+    """Without those further dimensions (a height, a realisation) that have one value only. One row of bounds is read."""
+    dims = [d for d in dims if d in df.columns]
+    if not dims:
+        return df
+    low_high = df.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return df.drop(*[d for d in dims if low_high[f"lo_{d}"] == low_high[f"hi_{d}"]])
+
+
+def number_cells(points: DataFrame) -> DataFrame:
+    """(cell_id, lat, lon) of the distinct points, numbered by ascending latitude, then longitude, by their places on both axes."""
+    place = lambda n: points.select(n).distinct().withColumn(f"_{n}", F.row_number().over(Window.orderBy(n)) - 1)  # noqa: E731  axes, never fields
+    lat, lon = place("lat"), place("lon")
+    width = lon.agg(F.count(F.lit(1)).alias("_width"))
+    ids = points.select("lat", "lon").distinct().join(lat, "lat").join(lon, "lon").join(F.broadcast(width))
+    return ids.select((F.col("_lat") * F.col("_width") + F.col("_lon")).cast("long").alias("cell_id"), "lat", "lon")
+
+
 def wrap_longitudes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Longitudes of each key's grid as -180 to 180, if the grid goes beyond 180."""
     top = df.groupBy(*keys).agg(F.max("lon").alias("_top"))
@@ -110,7 +132,7 @@ def resolve_variable(fields: DataFrame, keys: list[str]) -> DataFrame:
     for canon, names in ALIASES.items():
         place = F.when(F.col("canon") == canon, F.array_position(F.array(*map(F.lit, names)), F.col("var_name")).cast("int")).otherwise(place)
     standard = F.when(F.col("canon").isin("tas", "tasmax"), "air_temperature").when(F.col("canon").isin("hurs", "hursmin"), "relative_humidity").when(F.col("canon") == "sfcWind", "wind_speed").when(F.col("canon") == "pr", "precipitation_flux").when(F.col("canon") == "huss", "specific_humidity").when(F.col("canon") == "ps", "surface_air_pressure").when(F.col("canon") == "uas", "eastward_wind").when(F.col("canon") == "vas", "northward_wind")
-    method = F.when(F.col("canon") == "tasmax", "max").when(F.col("canon") == "hursmin", "min").otherwise("mean")
+    method = F.when(F.col("canon") == "tasmax", "time: maximum").when(F.col("canon") == "hursmin", "time: minimum").otherwise("time: mean")
     fits = F.coalesce(F.contains(F.col("cell_methods"), method), F.lit(False))
     rank = F.when(F.col("var_name") == F.col("explicit"), 0).when(place > 0, place).when(F.col("standard_name") == standard, F.when(fits, 100).otherwise(101)).when(F.col("n_fields") == 1, 200)
     best = Window.partitionBy(*keys, "canon").orderBy("_rank", "var_name")
@@ -142,21 +164,27 @@ def check_completeness(df: DataFrame, keys: list[str], years: tuple[int, int], l
 def drop_incomplete(daily: DataFrame, runs: list[tuple[str, str, int, int]], least: int = 300, scenarios: list[str] = SCENARIOS) -> DataFrame:
     """Without members that have a year of under 300 days in any run of their scenario, and without models that so lose a scenario."""
     key = ["model", "scenario", "member"]
-    bad = None
-    for _, scenario, y0, y1 in runs:
-        one = days_per_year(daily.where(F.col("scenario") == scenario), key, (y0, y1)).where(F.col("days") < least).select(*key)
-        bad = one if bad is None else bad.unionByName(one)
-    good = daily.select(*key).distinct().join(bad.distinct(), key, "left_anti")
+    have = daily.groupBy(*key, "year").agg(F.count_distinct("day_idx").alias("_days"))
+    # The years of all runs: a small table, so the cube is read once whatever their number.
+    years = sorted({(s, y) for _, s, y0, y1 in runs for y in range(y0, y1 + 1)})
+    wanted = F.broadcast(daily.sparkSession.createDataFrame(years, "scenario string, year int"))
+    series = have.select(*key).distinct()
+    bad = series.join(wanted, "scenario").join(have, [*key, "year"], "left").where(F.coalesce("_days", F.lit(0)) < least).select(*key).distinct()
+    good = series.join(bad, key, "left_anti")
     whole = good.where(F.col("scenario").isin(scenarios)).groupBy("model").agg(F.count_distinct("scenario").alias("_n")).where(F.col("_n") == len(scenarios)).select("model")
     # A few rows per model.
     return daily.join(good.join(whole, "model", "left_semi"), key, "left_semi")
 
 
 def merge_variables(long: DataFrame, variables: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(wide, lost): a row per key with all variables, by one shuffle; and how many days of each variable found no partner."""
-    wide = long.groupBy(*keys).pivot("var", variables).agg(F.first("value", ignorenulls=True))
+    """(wide, lost): a row per key with all variables, by one shuffle; and how many days (keys, if they have no day) of each variable found no partner.
+
+    Of several values of a key and variable the first in file order counts, else the smallest."""
+    value = F.min_by("value", F.when(F.col("value").isNotNull(), F.col("file_seq"))) if "file_seq" in long.columns else F.min("value")
+    wide = long.groupBy(*keys).pivot("var", variables).agg(value)
     present = long.groupBy(*keys).agg(F.collect_set("var").alias("_have"))
-    lost = present.where(F.size(F.array_intersect("_have", F.array(*map(F.lit, variables)))) < len(variables)).select(F.explode("_have").alias("var")).groupBy("var").agg(F.count(F.lit(1)).alias("lost"))
+    lone = present.where(F.size(F.array_intersect("_have", F.array(*map(F.lit, variables)))) < len(variables)).withColumn("var", F.explode("_have"))
+    lost = lone.groupBy("var").agg((F.count_distinct("day_idx") if "day_idx" in keys else F.count(F.lit(1))).alias("lost"))
     return wide.dropna(subset=variables), lost
 
 
@@ -234,19 +262,30 @@ def read_injection(spark: SparkSession, path: str, columns: list[str], sep: str
 
 def extract_sample(daily: DataFrame, spans: dict[str, tuple[str, int, int]], members: list[str], bbox) -> DataFrame:
     """A small box of some members, days numbered from 0 within each run."""
-    out = None
-    for run, (scenario, y0, y1) in spans.items():
-        one = subset_bbox(daily.where((F.col("scenario") == scenario) & F.col("year").between(y0, y1) & F.col("member").isin(members)), bbox)
-        one = one.withColumn("run", F.lit(run)).withColumn("day_index", F.dense_rank().over(Window.partitionBy("model", "member").orderBy("day_idx")) - 1)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
-
-
-def choose_fwi_temp(daily: DataFrame, days: int = 60, least: float = 0.5) -> DataFrame:
-    """(model, temperature): ``tasmax`` where in every scenario it is on average at least half a kelvin above tas over the first days, else ``tas``."""
-    first = daily.groupBy("model", "scenario").agg(F.min("day_idx").alias("_d0"))
-    diff = daily.join(first, ["model", "scenario"]).where(F.col("day_idx") < F.col("_d0") + days).groupBy("model", "scenario").agg(F.avg(F.col("tasmax") - F.col("tas")).alias("d"))
-    return diff.groupBy("model").agg(F.when(F.min(F.coalesce("d", F.lit(-1.0))) >= least, "tasmax").otherwise("tas").alias("temperature"))
+    runs = daily.sparkSession.createDataFrame([(r, s, y0, y1) for r, (s, y0, y1) in spans.items()], "run string, scenario string, _y0 int, _y1 int")
+    some = subset_bbox(daily.where(F.col("member").isin(members)), bbox).join(F.broadcast(runs), "scenario").where(F.col("year").between(F.col("_y0"), F.col("_y1")))
+    key = ["model", "run", "member"]
+    days = some.select(*key, "day_idx").distinct().withColumn("day_index", F.row_number().over(Window.partitionBy(*key).orderBy("day_idx")) - 1)
+    return some.join(days, [*key, "day_idx"]).select(*daily.columns, "run", "day_index")
+
+
+def choose_fwi_temp(daily: DataFrame, required: tuple[str, ...] = ("tasmax", "hurs", "sfcWind", "pr"), scenarios: list[str] | None = None, days: int = 60, least: float = 0.5) -> DataFrame:
+    """(model, temperature): ``tasmax`` if every scenario (those given, or all the model has) has a member with all inputs whose tasmax is genuine, else ``tas``.
+
+    Genuine: over the member's first days on average at least half a kelvin above its tas, or without a tas to compare with. The first
+    such member by name speaks for its scenario. Models with a known bad tasmax take tas."""
+    key, has = ["model", "scenario", "member"], lambda v: F.count(v) > 0 if v in daily.columns else F.lit(False)
+    full = F.lit(True)
+    for v in required:
+        full &= has(v)
+    series = daily.groupBy(*key).agg(full.alias("_full"), F.min("day_idx").alias("_d0"))
+    first = series.where("_full").groupBy("model", "scenario").agg(F.min("member").alias("member"), F.min_by("_d0", "member").alias("_d0"))
+    warmer = F.avg(F.col("tasmax") - F.col("tas")) if {"tas", "tasmax"} <= set(daily.columns) else F.lit(None).cast("double")
+    genuine = daily.join(first, key).where(F.col("day_idx") < F.col("_d0") + days).groupBy("model", "scenario").agg((F.coalesce(warmer, F.lit(least)) >= least).alias("_ok"))
+    wanted = daily.select("model", "scenario").distinct() if scenarios is None else daily.select("model").distinct().withColumn("scenario", F.explode(F.array(*map(F.lit, scenarios))))
+    bad = F.col("model").isin([m for m, v in BAD_VARIABLES if v == "tasmax"])
+    ok = F.min(F.coalesce("_ok", F.lit(False)) & ~bad)
+    return wanted.join(genuine, ["model", "scenario"], "left").groupBy("model").agg(F.when(ok, "tasmax").otherwise("tas").alias("temperature"))
 
 
 def compare_fields(daily: DataFrame, a: str, b: str, keys: list[str], days: int = 10) -> DataFrame:

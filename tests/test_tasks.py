@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.jobs import tasks
+from emberline.operators import fwi, grid, stats
 
 RUNS = [("target", "ssp245", 2020, 2021), ("ssp245", "ssp245", 2064, 2065), ("exp", "exp", 2064, 2065)]
 PAIRS = [("exp-target", "exp", "target"), ("exp-ssp245", "exp", "ssp245")]
@@ -20,21 +21,27 @@ def archive(spark):
             for member in ("r1", "r2"):
                 for cell, lat in ((0, 40.0), (1, -10.0)):
                     for y in years:
+                        if model == "B" and y in (2019, 2063):
+                            continue  # B starts with its runs
                         for d in range(1, 361):
                             warm = 2.0 if scenario == "ssp245" and y > 2050 else 0.0
                             m = (d - 1) // 30 + 1
                             rows.append((model, scenario, member, cell, lat, 10.0, 0, y, m, (d - 1) % 30 + 1, d, (y - 2000) * 360 + d, 285 + warm + 8 * (m in (6, 7, 8)) + rng.gauss(0, 3), 60 - warm + rng.gauss(0, 10), 3.0, max(0.0, rng.gauss(0, 2)) / 86400))
     ddl = "model string, scenario string, member string, cell_id long, lat double, lon double, tile int, year int, month int, day int, doy int, day_idx int, tas double, hurs double, sfcWind double, pr double"
-    cells = spark.createDataFrame([(0, 40.0, True), (1, -10.0, True)], "cell_id long, lat double, land boolean")
+    cells = spark.createDataFrame([(0, 40.0, 10.0, True), (1, -10.0, 10.0, True)], "cell_id long, lat double, lon double, land boolean")
     bridge = spark.createDataFrame([(0, "N", "north"), (1, "S", "south")], "cell_id long, region string, region_name string")
     return spark.createDataFrame(rows, ddl).cache(), cells, bridge
 
 
 def test_fire_weather(archive):
-    out = tasks.fire_weather(*archive, runs=RUNS, temperature="tas", pairs=PAIRS, absolute=5.0)
+    out = tasks.fire_weather(*archive, runs=RUNS, pairs=PAIRS, absolute=5.0, common_res=None)
     days = {r[0]: r[1] for r in out["yearly"].groupBy("run").agg(F.avg("days_p95")).collect()}
     assert days["target"] == pytest.approx(18.0, abs=0.6) and out["index"].where("fwi < 0").count() == 0
-    assert out["index"].agg(F.min("year")).first()[0] == 2020
+    assert {tuple(r) for r in out["index"].groupBy("model").agg(F.min("year"), F.count_distinct("year")).collect()} == {("A", 2020, 4), ("B", 2020, 4)}
+    # B runs up on a copy of its first year: its first index is not the one of fresh codes.
+    fresh = fwi.compute_fwi(archive[0].where("model = 'B' AND scenario = 'exp'"), ["model", "member", "tile"], "tas").where("day_idx % 360 = 1").agg(F.avg("fwi")).first()[0]
+    run_up = out["index"].where("model = 'B' AND run = 'exp' AND day_idx % 360 = 1 AND year = 2064").agg(F.avg("fwi")).first()[0]
+    assert fresh is not None and abs(run_up - fresh) > 1e-6
     assert out["multimodel"].count() == 4 and out["regional"].count() == 2 * 3 * 2
     assert {r["month"] for r in out["season"].where("in_season AND cell_id = 0").collect()} >= {6, 7}
     assert out["changes"].where("pvalue BETWEEN 0 AND 1").count() == 8 and out["seasonal"].where("fwi IS NULL").count() == 0
@@ -74,6 +81,9 @@ def test_harmonise(spark):
 
 def test_demand_returns_all_terms(archive):
     terms = tasks.evaporative_demand(*archive, runs=RUNS, pairs=PAIRS)["terms"].collect()
+    change = archive[0].sparkSession.createDataFrame([("exp-ssp245", m, c, 1.0) for m in ("A", "B") for c in (0, 1)], "pair string, model string, cell_id long, delta double")
+    classes = tasks.evaporative_demand(*archive, runs=RUNS, pairs=PAIRS, season_change=change)["changes"].where("pair = 'exp-ssp245'").collect()
+    assert len(classes) == 4 and all(r["offset_class"] in (1, 3) for r in classes)
     assert len(terms) == 8 and all(r["total"] == pytest.approx(r["t_term"] + r["rh_term"] + r["residual"], abs=1e-9) for r in terms)
 
 
@@ -89,3 +99,15 @@ def test_attribution_compares_the_fire_season(spark, monkeypatch):
     own = attribution.attribution(None, None, limit, [], []).first()
     given = attribution.attribution(None, None, limit, [], [], season_mask=mask).first()
     assert (own["delta_fwi"], own["delta_days"]) == (pytest.approx(4.0), 9.0) and given["delta_fwi"] == pytest.approx(4.0 * 31 / 61)
+
+
+def test_multimodel_on_grids_of_their_own(spark):
+    points = lambda lats, lons, first: [(first + i * len(lons) + j, x, y) for i, x in enumerate(lats) for j, y in enumerate(lons)]
+    a, b = points((0.0, 10.0, 20.0), (0.0, 10.0, 20.0), 0), points((5.0, 15.0), (5.0, 15.0), 100)
+    cells = spark.createDataFrame(a + b, "cell_id long, lat double, lon double")
+    rows = [("A", "p", c, x + y, True) for c, x, y in a] + [("B", "p", c, 2 * (x + y), True) for c, x, y in b]
+    field = spark.createDataFrame(rows, "model string, pair string, cell_id long, delta double, significant boolean")
+    stacked = grid.stack_models(field, cells, ["delta", "significant"], ["pair"], 10.0).where("delta IS NOT NULL")
+    got = {r["cell_id"]: (r["mean"], r["models"], r["robust"]) for r in stats.multimodel(stacked, ["pair", "cell_id"]).collect()}
+    at = lambda lat, lon: int((lat + 90) // 10 * 36 + (lon + 180) // 10)
+    assert got == {at(x, y): (pytest.approx(1.5 * (x + y)), 2, True) for x in (5.0, 15.0) for y in (5.0, 15.0)}
