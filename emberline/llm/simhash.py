@@ -162,63 +162,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILAR, LONG, RADIUS = (4, 5), 64, 24
 #: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks that meet in one place.
 MOST, CHUNK, PER_KEY = 16, 64, 16
-#: Crowded shingles that go to the end of the order, at most, each time they are looked for. The order only decides how many candidates there are.
-COMMON, LOOKS = 1 << 16, 1
+#: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
+COMMON = 1 << 16
+#: Parts in which pairs are checked one after the other, to hold fewer sets on disk at once.
+SLICES = 4
 
 
-def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """All input columns but the text, then keys (sorted distinct shingle hashes), node (their digest) and fp (SimHash of the set)."""
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(shingles(text or "", n).view(np.int64))
 
-    @F.pandas_udf("keys array<bigint>, node long, fp long")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [np.unique(shingles(t or "", n).view(np.int64)) for t in texts]
-            yield pd.DataFrame({"keys": found, "node": pd.Series([xxhash.xxh3_64_intdigest(k.tobytes()) for k in found], dtype="uint64").astype("int64"), "fp": pd.Series([majority(k.view(np.uint64)) for k in found], dtype="int64")})
 
-    return docs.withColumn("_s", sets(F.col(text_col))).drop(text_col).select("*", "_s.*").drop("_s")
+def node_of(keys: np.ndarray) -> int:
+    """Digest of a set, as a signed integer."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).view(np.int64))
 
 
-def prefixes(keys: Column, common: np.ndarray) -> Column:
+def prefix_of(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first m - ceil(s m) + 1 of m sorted keys, those in the sorted array ``common`` coming after all others."""
     num, den = SIMILAR
-    if not len(common):
-        return F.slice(keys, 1, F.when(F.size(keys) > 0, F.size(keys) - F.ceil(F.size(keys) * num / den).cast("int") + 1).otherwise(0))
+    if not len(keys):
+        return keys
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+        keys = np.concatenate([keys[~last], keys[last]])
+    return keys[: len(keys) + (-num * len(keys)) // den + 1]
+
+
+def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
+    """The shingles, COMMON at most, that most texts (column _text) have in their prefixes, if more than MOST have. Sorted."""
 
     @F.pandas_udf("array<bigint>")
-    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for many in batches:
-            out = []
-            for k in many:
-                take = len(k) + (-num * len(k)) // den + 1 if len(k) else 0
-                if len(k):
-                    last = common[np.minimum(np.searchsorted(common, k), len(common) - 1)] == k
-                    k = np.concatenate([k[~last], k[last]])
-                out.append(k[:take])
-            yield pd.Series(out)
+    def heads(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([prefix_of(shingle_set(t, n), np.zeros(0, np.int64)) for t in some])
+
+    counts = texts.select(F.explode(heads("_text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+    return np.unique(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64))
 
-    return first(keys)
 
+def described(texts: DataFrame, n: int, common: np.ndarray) -> DataFrame:
+    """All columns but _text, then node (the set's digest), m (its size), fp (its SimHash) and prefix."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
-def meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, met): the distinct sets (node, m, fp), and (h, n, node, m, fp) for every shingle of a prefix that n > 1 sets share.
+    @F.pandas_udf("node long, m int, fp long, prefix array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            found = [shingle_set(t, n) for t in some]
+            of = lambda f, kind: pd.Series([f(k) for k in found], dtype=kind)
+            yield pd.DataFrame({"node": of(node_of, "int64"), "m": of(len, "int32"), "fp": of(lambda k: majority(k.view(np.uint64)), "int64"), "prefix": [prefix_of(k, shared.value) for k in found]})
 
-    Two sets of similarity s share a shingle in their prefixes, whatever the common order of shingles. Rare ones first make few
-    candidates: shingles that turn out crowded go behind the others, and the prefixes are taken anew.
+    return texts.withColumn("_s", sets("_text")).drop("_text").select("*", "_s.*").drop("_s")
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(h, n, node, m, fp) for every shingle that n > 1 distinct sets have in their prefixes.
+
+    Two sets of similarity s share a shingle in their prefixes, whatever the common order of shingles; crowded ones last make
+    few candidates.
     """
-    common = np.zeros(0, np.int64)
-    for look in range(LOOKS + 1):
-        some = rows.select("node", "fp", F.size("keys").alias("m"), prefixes(F.col("keys"), common).alias("prefix"))
-        nodes = cut(some.groupBy("node").agg(F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
-        met = nodes.select("node", "m", "fp", F.explode("prefix").alias("h"))
-        shared = store(met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        if look < LOOKS:
-            # At most COMMON rows, the most crowded ones.
-            more = np.array([r["h"] for r in shared.where(F.col("n") > MOST).orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64)
-            more = np.setdiff1d(more, common)
-            if not len(more):
-                break
-            common = np.union1d(common, more)
-    return nodes.drop("prefix"), store(met.join(shared, "h"))
+    nodes = store(rows.groupBy("node").agg(F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    each = nodes.select("node", F.explode("prefix").alias("h"))
+    shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = store(each.join(shared, "h"))
+    return store(met.join(nodes.select("node", "m", "fp"), "node"))
 
 
 def may_link(x: Column, y: Column, radius: int) -> Column:
@@ -267,13 +274,26 @@ def cross_pairs(met: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     return as_pairs(both.where(F.col("x")["root"] != F.col("y")["root"]), radius)
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose sets have the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets have the similarity. The sets of these nodes only are made again, each from one text."""
     num, den = SIMILAR
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(rows.select("node", "keys").join(wanted, "node").groupBy("node").agg(F.first("keys").alias("keys")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
-    return cut(both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b"))
+
+    @F.pandas_udf("node long, keys array<bigint>")
+    def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            found = [shingle_set(t, n) for t in some]
+            yield pd.DataFrame({"node": pd.Series([node_of(k) for k in found], dtype="int64"), "keys": found})
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select("_digest")
+    some = texts.join(wanted, "_digest", "left_semi").dropDuplicates(["_digest"]).select(again("_text").alias("_s")).select("_s.*")
+    sets = store(some.groupBy("node").agg(F.first("keys").alias("keys")))
+    out = None
+    for k in range(SLICES):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == k)
+        both = part.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
+        links = store(both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b"))
+        out = links if out is None else out.union(links)
+    return out
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = RADIUS) -> DataFrame:
@@ -288,12 +308,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     own = [c for c in docs.columns if c not in (text_col, "component_id")]
     # Columns of the caller may have any name, so they are packed while the work is done.
-    rows = store(shingle_sets(docs.select(F.struct(*own).alias("_own"), F.col(text_col).alias("_text")), "_text", n))
-    firsts = cut(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first")))
-    nodes, met = meetings(rows)
-    links = verified(cut(first_pairs(met, radius)), rows)
-    more = cut(cross_pairs(met, components(links).select("node", "root"), radius))
-    roots = components(links.union(verified(more, rows)))
+    texts = docs.select(F.struct(*own).alias("_own"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).alias("_text"))
+    rows = store(described(texts, n, crowded_shingles(texts, n)))
+    firsts = store(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first"), F.min("_digest").alias("_digest")))
+    met = meetings(rows)
+    links = verified(store(first_pairs(met, radius)), texts, firsts, n)
+    more = store(cross_pairs(met, components(links).select("node", "root"), radius))
+    roots = components(links.union(verified(more, texts, firsts, n)))
     rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select("_own", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("_own.*", "component_id")
