@@ -81,6 +81,7 @@ class ByteBpe:
             for head in {b[:1], b[:2], b[:3]} if len(b) < 3 else {b[:3]}:
                 self.reach[head] = max(len(b), self.reach.get(head, 0))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.remembered: int | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"words": None, "specials": None, "known": {}}
@@ -180,7 +181,7 @@ class ByteBpe:
         if new := {w for some in words for w in some if w not in known}:
             got = self.learn(list(new))
             short = {w: ids for w, ids in got.items() if len(w) <= REMEMBERED_CHARS}
-            full = len(known) + len(short) > REMEMBERED
+            full = len(known) + len(short) > (self.remembered or REMEMBERED)
             if full or len(short) < len(got):
                 look = {w: known[w] for some in words for w in some if w not in new} | got
             if full:
@@ -232,10 +233,12 @@ class ByteBpe:
         return b"".join(map(self.decode_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def vocabulary(spark: SparkSession, path: str):
-    """Broadcast of the vocabulary file at a path that the driver reads; its size is fixed by the vocabulary."""
+def vocabulary(spark: SparkSession, path: str, remembered: int | None = None):
+    """Broadcast of the vocabulary file at a path that the driver reads; its size is fixed by the vocabulary. remembered: words that a worker keeps, REMEMBERED by default."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(ByteBpe(f.read()))
+        bpe = ByteBpe(f.read())
+    bpe.remembered = remembered
+    return spark.sparkContext.broadcast(bpe)
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -262,13 +265,13 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     return encoded.withColumn("decoded", decoded(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """All input columns but the text, and n_tokens, ids_sha256, decoded_sha256: encode, decode and digest a text in one pass, without moving its ids between processes.
 
     A null text counts as empty and has no tokens. Repeated rows are encoded one by one. An empty table gives no rows. Input columns with
-    the names of result columns are replaced.
+    the names of result columns are replaced. remembered: as in ``vocabulary``; fewer words take less memory and more time.
     """
-    bpe = vocabulary(docs.sparkSession, path)
+    bpe = vocabulary(docs.sparkSession, path, remembered)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
