@@ -577,14 +577,14 @@ def catalog_(spark, sf):
 
 @query(
     "catalog_round_trip",
-    f"""{CATALOG} SELECT model, scenario, member, var, CASE WHEN member = 'r1' THEN 'zarr' ELSE 'netcdf' END AS kind, CASE WHEN member <> 'r1' THEN len(paths) END AS files, var_name,
-CASE WHEN member = 'r1' THEN 's3://' || model END AS store, CASE WHEN member = 'r1' THEN var END AS "group", NULL AS repo, NULL AS branch FROM cat""",
+    f"""{CATALOG} SELECT model, scenario, member, var, CASE WHEN member = 'r1' THEN 'zarr' ELSE 'netcdf' END AS kind, CASE WHEN member <> 'r1' THEN len(paths) ELSE 0 END AS files, var_name,
+CASE WHEN member = 'r1' THEN 's3://' || model END AS store, CASE WHEN member = 'r1' THEN var END AS "group" FROM cat""",
 )
 def catalog_round_trip(spark, sf):
     """Entries of files, and of stores, to JSON and back."""
     c, stored = catalog_of(spark, sf), F.col("member") == "r1"
     c = c.withColumns({"kind": F.when(stored, "zarr").otherwise(F.col("kind")), "paths": F.when(~stored, F.col("paths")), "store": F.when(stored, F.concat(F.lit("s3://"), "model")), "group": F.when(stored, F.col("var"))})
-    return catalog.load_catalog(catalog.save_catalog(c)).withColumn("files", F.size("paths").cast("long")).withColumn("files", F.when(F.col("files") >= 0, F.col("files"))).drop("paths")
+    return catalog.load_catalog(catalog.save_catalog(c)).withColumn("files", F.size(F.coalesce("paths", F.array().cast("array<string>"))).cast("long")).drop("paths", "repo", "branch")
 
 
 @query("catalog_merge", f"{CATALOG} SELECT model, scenario, member, var, len(paths) AS files FROM cat WHERE member <> 'r1' UNION ALL SELECT model, scenario, member, var, 0 FROM cat WHERE member = 'r1'")
