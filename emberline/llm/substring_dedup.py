@@ -6,9 +6,13 @@ so each anchor's windows can be compared on their own.
 
 1. Anchors that occur once are dropped. They are counted by hash with pre-aggregation.
 2. Of equal contexts of an anchor the first stays, and all windows of the others are repeats.
-3. Where an anchor has different contexts, these are cut out of the texts and dealt into blocks of bounded size. A suffix array
-   of each block, by linear grouping, puts equal windows side by side, and all but the first of them are repeats.
-4. An anchor with more contexts than a block takes would be one task's work. Its windows are dealt by their own hash instead.
+3. Where an anchor has different contexts, these are cut out of the texts and dealt into blocks of bounded size. Windows whose
+   hash no other window of the block has are left out. A suffix array of what remains, by linear grouping, puts windows of
+   equal bytes side by side, and all but the first of them are repeats.
+4. An anchor with more contexts than a block takes would be one task's work. Each of its contexts is halved: windows that reach
+   far to the left of the anchor share more bytes there, the others share more to the right. These bytes make a narrower key,
+   of which equal halves are one again, and crowded keys are halved further, until all go into blocks. The shared bytes double their
+   way to WINDOW, so there are eight levels at most.
 5. Repeats are collected per document and cut out.
 """
 
@@ -21,103 +25,179 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.anchors import WINDOW, blocks, hashes, mixed, runs
+from emberline.llm.anchors import GRAM, WINDOW, blocks, hashes, runs
 from emberline.llm.common import store, table
 from emberline.llm.suffix import suffix_array
 
-#: Contexts in a block, on average; contexts of one anchor that may be in a block.
+#: Contexts in a block, on average; contexts of one key that may be in a block.
 PER_BLOCK, MOST = 300, 1500
+#: A document: its identifier, and the digest of its text, which tells apart rows that repeat an identifier with other texts.
+DOC = ["doc_id", "v"]
+#: A place, in the order that says what is earlier.
+PLACE = "struct(doc_id, v, pos)"
+#: Bytes of a symbol on the right of an anchor.
+CHUNK = 8
+#: Rows of windows that are compared at once.
+ROWS = 1 << 16
 
 
 def anchor_runs(docs: DataFrame) -> DataFrame:
-    """docs has doc_id and text. One row per run: h (anchor hash), c (context hash), doc_id, pos (first window), n (windows)."""
+    """docs has doc_id, v and text. One row per run: h (anchor hash), c (context hash), doc_id, v, pos (first window), n (windows)."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = b["doc_id"].to_numpy()
+            ids, v = b["doc_id"].to_numpy(), b["v"].to_numpy()
             for data, number, place, starts, lengths in blocks([t.encode() for t in b["text"]]):
                 part, first, n, h, c = runs(data, starts, lengths)
-                yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "doc_id": ids[number[part]], "pos": first - starts[part] + place[part], "n": n.astype(np.int32)})
+                yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "doc_id": ids[number[part]], "v": v[number[part]], "pos": first - starts[part] + place[part], "n": n.astype(np.int32)})
 
-    return docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}").select("doc_id", "text").mapInPandas(found, "h long, c long, doc_id long, pos long, n int")
+    return docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}").select(*DOC, "text").mapInPandas(found, "h long, c long, doc_id long, v long, pos long, n int")
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted has h, doc_id, pos, n, crowded. For calm anchors a row per context (block key h, bytes); for crowded ones a row per window (its hash in w1, w2, no bytes)."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "n", "crowded")).alias("runs"))
+    """wanted has h, doc_id, v, pos, n, crowded. A row per context with its bytes; ``at`` is the anchor's place in them if crowded, or else -1."""
+    per_doc = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("h", "pos", "n", "crowded")).alias("runs"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, w2, doc, pos, n, data = [], [], [], [], [], []
-            for i, text, some in zip(b["doc_id"], b["text"], b["runs"]):
+            rows = []
+            for i, v, text, some in zip(b["doc_id"], b["v"], b["text"], b["runs"]):
                 raw = text.encode()
                 for r in some:
-                    piece = raw[r["pos"] : r["pos"] + r["n"] + WINDOW - 1]
-                    if not r["crowded"]:
-                        h.append(r["h"]), w2.append(0), doc.append(i), pos.append(r["pos"]), n.append(r["n"]), data.append(piece)
-                    elif len(piece) >= WINDOW:
-                        one = hashes(np.frombuffer(piece, np.uint8))[1]
-                        two = mixed(hashes(np.frombuffer(piece, np.uint8)[::-1])[1][::-1])
-                        for k, (x, y) in enumerate(zip(one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True)):
-                            h.append(x), w2.append(y), doc.append(i), pos.append(r["pos"] + k), n.append(1), data.append(None)
-            yield pd.DataFrame({"h": pd.array(h, "int64"), "w2": pd.array(w2, "int64"), "doc_id": pd.array(doc, "int64"), "pos": pd.array(pos, "int64"), "n": pd.array(n, "int32"), "bytes": pd.Series(data, dtype=object)})
+                    piece, at = raw[r["pos"] : r["pos"] + r["n"] + WINDOW - 1], -1
+                    if r["crowded"]:  # all windows hold the anchor, so it starts in the last one
+                        grams = hashes(np.frombuffer(piece, np.uint8))[0].view(np.int64)[r["n"] - 1 :]
+                        at = r["n"] - 1 + int(np.argmax(grams == r["h"]))
+                    rows.append((r["h"], i, v, r["pos"], r["n"], at, piece))
+            yield pd.DataFrame(rows, columns=["h", "doc_id", "v", "pos", "n", "at", "bytes"])
+
+    return docs.select(*DOC, "text").dropDuplicates(DOC).join(per_doc, DOC).mapInPandas(found, "h long, doc_id long, v long, pos long, n int, at int, bytes binary")
+
+
+def halves(pieces: DataFrame) -> DataFrame:
+    """Pieces whose windows all hold the ``core`` bytes from ``at`` on, as pieces that share more: on the left of these bytes, or on their right."""
+    slack = F.lit(WINDOW) - F.col("core")
+    half = F.ceil(slack / 2).cast("int")
+    split = pieces.withColumn("_half", half).withColumn("_n", F.greatest(F.lit(0), F.least(F.col("n"), F.col("at") - F.col("_half") + 1)))
+    left = F.struct(F.lit(0).alias("side"), F.col("pos"), F.col("_n").alias("n"), (F.col("at") - F.col("_half")).alias("at"), (F.col("core") + F.col("_half")).alias("core"), F.substring("bytes", F.lit(1), F.col("_n") + WINDOW - 1).alias("bytes"))
+    right = F.struct(F.lit(1).alias("side"), (F.col("pos") + F.col("_n")).alias("pos"), (F.col("n") - F.col("_n")).alias("n"), (F.col("at") - F.col("_n")).alias("at"), (F.lit(WINDOW) - F.col("_half") + 1).alias("core"), F.substring("bytes", F.col("_n") + 1, F.col("n") - F.col("_n") + WINDOW - 1).alias("bytes"))
+    both = split.select("h", *DOC, F.explode(F.array(left, right)).alias("_p")).select("h", *DOC, "_p.*").where("n > 0")
+    key = F.xxhash64("h", "side", F.substring("bytes", F.col("at") + 1, F.col("core")))
+    return both.select(key.alias("h"), *DOC, "pos", "n", "at", "core", "bytes")
+
+
+def candidates(window: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Which of the windows at places ``has`` share their hash with another one of them, as flags of all places."""
+    h = window[has]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(window) + WINDOW - 1, bool)
+    out[has[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]] = True
+    return out
+
 
-    return docs.select("doc_id", "text").join(per_doc, "doc_id").mapInPandas(found, "h long, w2 long, doc_id long, pos long, n int, bytes binary")
+def edges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+    return edge[::2], edge[1::2]
+
+
+def symbols(data: np.ndarray, place: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that get a symbol, and their symbols from 1 on. ``beyond`` is the distance of each place from its piece's ``at``.
+
+    Bytes before ``at`` are symbols of their own. From there on CHUNK bytes are one, numbered in the order of their bytes, so that
+    suffixes with a common beginning stay neighbours even where it ends within a chunk. Equal windows have ``at`` at equal places.
+    """
+    keep = (beyond < 0) | (beyond % CHUNK == 0)
+    place, chunk = place[keep], beyond[keep] >= 0
+    out = data[place].astype(np.int64) + 1
+    padded = np.concatenate([data, np.zeros(CHUNK, np.uint8)])
+    values = padded[place[chunk][:, None] + np.arange(CHUNK)].view(">u8").ravel().astype(np.uint64)
+    out[chunk] = 257 + np.unique(values, return_inverse=True)[1]
+    return place, out
+
+
+def repeated(data: np.ndarray, owner: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Which windows with an owner have the bytes of an earlier one that has, by a suffix array of the candidates' bytes. ``at`` is the place of shared bytes for each owner, ``window`` has the hashes of windows."""
+    out = np.zeros(len(data), bool)
+    some = candidates(window, np.flatnonzero(owner[: len(window)] >= 0))
+    if not some.any():
+        return out
+    # The bytes of all candidates one after the other. Windows lie within them whole, so no marks are needed between.
+    covered = np.zeros(len(data) + WINDOW, np.int64)
+    lo, hi = edges(some)
+    covered[lo] += 1
+    covered[hi + WINDOW - 1] -= 1
+    place = np.flatnonzero(np.cumsum(covered)[: len(data)])
+    last = np.maximum.accumulate(np.where(owner >= 0, owner, 0))
+    place, text = symbols(data, place, place - at[last[place]])
+    order = np.array(suffix_array([*text.tolist(), 0]))[1:]
+    at = place[order[some[place][order]]]
+    # Neighbours with the same bytes are a class; its first window in the block's order stays.
+    rows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+    differ = [np.ones(1, bool)]
+    for k in range(0, len(at) - 1, ROWS):
+        some = rows[at[k : k + ROWS + 1]]
+        differ.append((some[1:] != some[:-1]).any(axis=1))
+    start = np.flatnonzero(np.concatenate(differ))
+    first = np.minimum.reduceat(at, start)
+    out[at] = True
+    out[first] = False
+    return out
 
 
 def repeats_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a block that also start earlier in it, as runs (doc_id, pos, n)."""
-    pdf = pdf.drop_duplicates(["doc_id", "pos", "h"]).sort_values(["doc_id", "pos", "h"])
-    symbols, owner, text = [], [], []
-    for k, (data, n) in enumerate(zip(pdf["bytes"], pdf["n"])):
-        symbols += [b + 2 for b in data]
-        symbols.append(1)
-        owner += [k] * n + [-1] * (len(data) + 1 - n)
-        text.append(data)
-    symbols.append(0)
-    owner.append(-1)
-    joined = b"\0".join(text)
-    starts = np.cumsum([0, *(len(t) + 1 for t in text)])
-    repeated = np.zeros(len(symbols), bool)
-    last, first, group = None, 0, []
-    for i in suffix_array(symbols):
-        if owner[i] < 0:
-            continue
-        window = joined[i : i + WINDOW]
-        if window != last:
-            for j in group:
-                repeated[j] = j != first
-            last, first, group = window, i, [i]
-        else:
-            first = min(first, i)
-            group.append(i)
-    for j in group:
-        repeated[j] = j != first
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
-    lo, hi = edge[::2], edge[1::2]
-    own = np.array(owner)[lo] if len(lo) else np.zeros(0, np.int64)
-    return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[own], "pos": pdf["pos"].to_numpy()[own] + lo - starts[own], "n": (hi - lo).astype(np.int32)})
+    """Windows of a block that also start earlier in it, as runs (doc_id, v, pos, n)."""
+    pdf = pdf.drop_duplicates([*DOC, "pos", "h"]).sort_values([*DOC, "pos", "h"])
+    n, size = pdf["n"].to_numpy(), np.array([len(b) for b in pdf["bytes"]])
+    starts = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+    gram, window = hashes(data)
+    owner = np.repeat(np.arange(len(pdf)), size)
+    offset = np.arange(len(owner)) - starts[owner]
+    # The anchor starts in the last window at the earliest, and is the first of its hash there.
+    anchor = np.flatnonzero((gram == pdf["h"].to_numpy().view(np.uint64)[owner[: len(gram)]]) & (offset[: len(gram)] >= n[owner[: len(gram)]] - 1))
+    at = starts + pdf["at"].to_numpy()
+    calm = np.flatnonzero(pdf["at"].to_numpy() < 0)
+    at[calm] = anchor[np.searchsorted(anchor, starts[calm])]
+    owner[offset >= n[owner]] = -1
+    lo, hi = edges(repeated(data, owner, at, window))
+    own = owner[lo]
+    return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[own], "v": pdf["v"].to_numpy()[own], "pos": pdf["pos"].to_numpy()[own] + lo - starts[own], "n": (hi - lo).astype(np.int32)})
+
+
+def in_blocks(pieces: DataFrame) -> DataFrame:
+    """Repeats among pieces of equal key h, of which no key has more than a block takes."""
+    n_blocks = max(1, pieces.count() // PER_BLOCK)
+    block = F.pmod(F.xxhash64("h"), F.lit(n_blocks))
+    return pieces.select("h", *DOC, "pos", "n", "at", "bytes").groupBy(block.alias("block")).applyInPandas(repeats_in_block, "doc_id long, v long, pos long, n int")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, n): n windows from pos on also start earlier. May overlap, and may name a window more than once."""
-    counted = anchor_runs(docs).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1")
+    """(doc_id, v, pos, n): n windows from pos on also start earlier. May overlap, and may name a window more than once."""
+    all_runs = store(anchor_runs(docs))
+    counted = all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1")
     again = store(counted.select("h", (F.col("lo") != F.col("hi")).alias("differ")))
-    members = store(anchor_runs(docs).join(again, "h"))
-    contexts = store(members.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.first("differ").alias("differ")))
+    members = store(all_runs.join(again, "h"))
+    contexts = store(members.groupBy("h", "c").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.first("differ").alias("differ")))
     copied = contexts.where("k > 1").select("h", "c", "first")
-    whole = members.join(copied, ["h", "c"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", "n")
+    whole = members.join(copied, ["h", "c"]).where(f"{PLACE} > first").select(*DOC, "pos", "n")
 
-    differing = contexts.where("differ").select("h", "first.doc_id", "first.pos", "n")
+    differing = contexts.where("differ").select("h", "first.*", "n")
     crowd = differing.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    pieces = store(cut_contexts(docs, differing.join(crowd, "h").select("h", "doc_id", "pos", "n", (F.col("k") > MOST).alias("crowded"))))
-    calm = pieces.where("bytes IS NOT NULL")
-    n_blocks = max(1, calm.count() // PER_BLOCK)
-    in_blocks = calm.groupBy(F.pmod(F.xxhash64("h"), F.lit(n_blocks)).alias("block")).applyInPandas(repeats_in_block, "doc_id long, pos long, n int")
-    windows = pieces.where("bytes IS NULL").select("h", "w2", "doc_id", "pos")
-    firsts = windows.groupBy("h", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    crowded = windows.join(firsts, ["h", "w2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"))
-    return store(whole.unionByName(in_blocks).unionByName(crowded))
+    pieces = store(cut_contexts(docs, differing.join(crowd, "h").select("h", *DOC, "pos", "n", (F.col("k") > MOST).alias("crowded"))))
+    found = whole.unionByName(in_blocks(pieces.where("at < 0")))
+    crowded = pieces.where("at >= 0").withColumn("core", F.lit(GRAM))
+    while not crowded.isEmpty():
+        split = store(halves(crowded))
+        kinds = store(split.groupBy("h", "bytes").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", "at", "core")]))
+        copied = kinds.where("k > 1").select("h", "bytes", "first")
+        found = found.unionByName(split.join(copied, ["h", "bytes"]).where(f"{PLACE} > first").select(*DOC, "pos", "n"))
+        crowd = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+        kinds = store(kinds.join(crowd, "h").select("h", "first.*", "n", "at", "core", "bytes", (F.col("_k") > MOST).alias("crowded")))
+        found = found.unionByName(in_blocks(kinds.where("NOT crowded")))
+        crowded = kinds.where("crowded").drop("crowded")
+    return store(found)
 
 
 def spans(many) -> list[tuple[int, int]]:
@@ -135,11 +215,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: the identifier, n_bytes, n_removed, n_spans, kept (binary: what remains) and spans.
 
     Identifiers are integers and order the documents. A null text is empty. Rows without an identifier are left whole and repeat
-    nothing; rows that repeat an identifier with its text are one document and are treated alike. Texts shorter than a window lose
-    nothing. An empty table gives no rows. What remains is bytes, since a cut may fall within a character.
+    nothing; rows that repeat an identifier with its text are one document and are treated alike, those that repeat it with other
+    texts are documents of their own, ordered by the digests of their texts. Texts shorter than a window lose nothing. An empty
+    table gives no rows. What remains is bytes, since a cut may fall within a character.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("v", F.xxhash64("text"))
+    gone = repeated_windows(docs).groupBy(*DOC).agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
-    return docs.join(gone, "doc_id", "left").mapInPandas(left, schema).withColumnRenamed("doc_id", id_col)
+    return docs.join(gone, DOC, "left").mapInPandas(left, schema).withColumnRenamed("doc_id", id_col)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -377,6 +378,40 @@ def test_repeated_substrings(docs, empty, monkeypatch, most):
         assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_one_identifier_with_two_texts(spark):
+    rng = random.Random(1)
+    one, two = ("".join(rng.choice("abc ") for _ in range(n)) for n in (150, 130))
+    rows = [(1, one), (1, two), (1, two), (2, one + two)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == [(1, 130, 0), (1, 130, 0), (1, 150, 0), (2, 280, 280)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_blocks_find_what_windows_say(letters):
+    rng = random.Random(3)
+    for _ in range(30):
+        near, texts = "".join(rng.choice(letters) for _ in range(260)), []
+        for _ in range(8):
+            t = list(near)
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = rng.choice(letters)
+            texts.append("".join(t[rng.randrange(40) :]).encode())
+        pieces = []
+        for data, number, place, starts, lengths in anchors.blocks(texts):
+            part, first, n, h, _ = anchors.runs(data, starts, lengths)
+            for p, f, k, g in zip(part.tolist(), first.tolist(), n.tolist(), h.view(np.int64).tolist()):
+                pieces.append((g, number[p], 0, f - starts[p] + place[p], k, -1, data[f : f + k + 99].tobytes()))
+        found = substring_dedup.repeats_in_block(pd.DataFrame(pieces, columns=["h", "doc_id", "v", "pos", "n", "at", "bytes"]))
+        got = {(r.doc_id, r.pos + k) for r in found.itertuples() for k in range(r.n)}
+        seen, want = set(), set()
+        for i, t in enumerate(texts):
+            for k in range(len(t) - 99):
+                if t[k : k + 100] in seen:
+                    want.add((i, k))
+                seen.add(t[k : k + 100])
+        assert got == want
+
+
 def test_long_texts_come_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
     texts = [rng.integers(97, 101, n, dtype=np.uint8).tobytes() for n in (5000, 99, 100, 0, 700)]
