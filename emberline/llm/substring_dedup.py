@@ -35,6 +35,9 @@ PER_BLOCK, MOST = 300, 1500
 DOC = ["doc_id", "v"]
 #: A place, in the order that says what is earlier.
 PLACE = "struct(doc_id, v, pos)"
+#: Runs into which the rows of a context are dealt, by document, when they learn which of them is the first.
+RUNS = 32
+RUN = f"cast(pmod(xxhash64(doc_id), {RUNS}) AS int)"
 #: Bytes of a symbol on the right of an anchor.
 CHUNK = 8
 #: Rows of windows that are compared at once.
@@ -173,15 +176,26 @@ def in_blocks(pieces: DataFrame) -> DataFrame:
     return pieces.select("h", *DOC, "pos", "n", "at", "bytes").groupBy(block.alias("block")).applyInPandas(repeats_in_block, "doc_id long, v long, pos long, n int")
 
 
+def kinds_of(rows: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """A row per key: its first place, how many rows it has, the runs that hold them as bits, and some row's values of ``more``."""
+    return rows.groupBy(*key).agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("k"), F.expr(f"bit_or(shiftleft(1L, {RUN}))").alias("runs"), *[F.first(c).alias(c) for c in more])
+
+
+def later(rows: DataFrame, kinds: DataFrame, key: list[str]) -> DataFrame:
+    """(doc_id, v, pos, n) of rows that aren't the first of their key. A key's rows, which may be many, meet its first place run by run."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.getbit(F.col("runs"), r) == 1)
+    firsts = kinds.where("k > 1").select(*key, "first", F.explode(held).alias("run"))
+    return rows.withColumn("run", F.expr(RUN)).join(firsts, [*key, "run"]).where(f"{PLACE} > first").select(*DOC, "pos", "n")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, v, pos, n): n windows from pos on also start earlier. May overlap, and may name a window more than once."""
     all_runs = store(anchor_runs(docs))
     counted = all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1")
     again = store(counted.select("h", (F.col("lo") != F.col("hi")).alias("differ")))
     members = store(all_runs.join(again, "h"))
-    contexts = store(members.groupBy("h", "c").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.first("differ").alias("differ")))
-    copied = contexts.where("k > 1").select("h", "c", "first")
-    whole = members.join(copied, ["h", "c"]).where(f"{PLACE} > first").select(*DOC, "pos", "n")
+    contexts = store(kinds_of(members, ["h", "c"], "n", "differ"))
+    whole = later(members, contexts, ["h", "c"])
 
     differing = contexts.where("differ").select("h", "first.*", "n")
     crowd = differing.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
@@ -190,9 +204,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     crowded = pieces.where("at >= 0").withColumn("core", F.lit(GRAM))
     while not crowded.isEmpty():
         split = store(halves(crowded))
-        kinds = store(split.groupBy("h", "bytes").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", "at", "core")]))
-        copied = kinds.where("k > 1").select("h", "bytes", "first")
-        found = found.unionByName(split.join(copied, ["h", "bytes"]).where(f"{PLACE} > first").select(*DOC, "pos", "n"))
+        kinds = store(kinds_of(split, ["h", "bytes"], "n", "at", "core"))
+        found = found.unionByName(later(split, kinds, ["h", "bytes"]))
         crowd = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
         kinds = store(kinds.join(crowd, "h").select("h", "first.*", "n", "at", "core", "bytes", (F.col("_k") > MOST).alias("crowded")))
         found = found.unionByName(in_blocks(kinds.where("NOT crowded")))
