@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import bpe, exact_dedup, lang_id, mixing, quality, sharding, simhash, substring_dedup, token_counts, url_filter
+from emberline.llm import bpe, exact_dedup, html_text, lang_id, mixing, prefix_trie, quality, sharding, simhash, spelling, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_html_text": html_text.op13_html_text,
 }
 SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL}
