@@ -253,7 +253,7 @@ def sign_agreement(spark, sf):
     return rounded(stats.sign_agreement(member_deltas(spark, sf), ["cell_id"]), "agreement")
 
 
-@query("multimodel", f"{WITH}, {MEMBERS} SELECT cell_id, round(avg(delta) + 1.7e-8, 6) AS mean, count(*) AS models, avg(CASE WHEN sign(delta) = sign(m) THEN 1.0 ELSE 0.0 END) >= 2/3 AND avg(CASE WHEN abs(delta) > 0.3 THEN 1.0 ELSE 0.0 END) >= 0.5 AS robust FROM mm GROUP BY cell_id")
+@query("multimodel", f"{WITH}, {MEMBERS} SELECT cell_id, round(avg(delta) + 1.7e-8, 6) AS mean, count(*) AS models, count(delta) AS valued, avg(CASE WHEN sign(delta) = sign(m) THEN 1.0 ELSE 0.0 END) >= 2/3 AND avg(CASE WHEN abs(delta) > 0.3 THEN 1.0 ELSE 0.0 END) >= 0.5 AS robust FROM mm GROUP BY cell_id")
 def multimodel(spark, sf):
     return rounded(stats.multimodel(member_deltas(spark, sf).withColumn("significant", F.abs("delta") > 0.3), ["cell_id"]), "mean")
 
@@ -643,17 +643,34 @@ def grid_of_cells(spark, sf, shift: float = 0.0) -> DataFrame:
     return cells(spark, sf).select("cell_id", (F.floor(F.col("cell_id") / 5) * 36.0 - 72).alias("lat"), ((F.col("cell_id") % 5) * 72.0 - 144 + shift).alias("lon"))
 
 
-STACKED = f"""m AS (SELECT cell_id, avg(tas) FILTER (scenario = 'F') - avg(tas) FILTER (scenario = 'O') AS delta FROM daily GROUP BY ALL), {on_common_grid('ga', 'm', 'delta', "'A' AS model", 0.0)}, {on_common_grid('gb', 'm', 'delta', "'B' AS model", 36.0)}, st AS (SELECT * FROM ga UNION ALL SELECT model, cell_id, delta * 0.5 AS delta FROM gb), ok AS (SELECT * FROM st WHERE delta IS NOT NULL)"""
+#: A global grid, another whose columns lie between, and a box of 3 × 3 cells that a third model covers alone. Their significance differs by cell.
+SIGNIFICANT = {"A": "cell_id % 2 = 0", "B": "cell_id % 3 <> 1", "C": "cell_id % 4 <> 0"}
+BOX = "box AS (SELECT * FROM m WHERE cell_id // 5 BETWEEN 1 AND 3 AND cell_id % 5 BETWEEN 1 AND 3)"
+BOXED = """gc AS (SELECT 'C' AS model, k.cell_id, CASE WHEN count(delta) = max(n) THEN sum(w * delta) END AS delta, CASE WHEN count(sc) = max(n) THEN sum(w * sc) END AS sig FROM (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM
+  (SELECT cell_id, ((floor(y) + 1 + dy) * 5 + floor(x) + 1 + dx)::BIGINT AS src, (CASE dy WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE dx WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w
+    FROM (SELECT i * 36 + j AS cell_id, (-85 + 10 * i + 36) / 36.0::DOUBLE AS y, (-175 + 10 * j + 72) / 72.0::DOUBLE AS x FROM (SELECT unnest(range(18)) AS i), (SELECT unnest(range(36)) AS j)), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)
+    WHERE y BETWEEN 0 AND 2 AND x BETWEEN 0 AND 2) WHERE w > 0) k JOIN box ON box.cell_id = src GROUP BY ALL)"""
+FLAGS = ", ".join(f"CASE WHEN {when} THEN 1.0 ELSE 0.0 END AS s{k.lower()}" for k, when in SIGNIFICANT.items())
+STACKED = f"""m AS (SELECT *, {FLAGS} FROM (SELECT cell_id, avg(tas) FILTER (scenario = 'F') - avg(tas) FILTER (scenario = 'O') AS delta FROM daily GROUP BY ALL)), {BOX},
+{on_common_grid('ga', 'm', 'delta', "'A' AS model", 0.0)}, {on_common_grid('gb', 'm', 'delta', "'B' AS model", 36.0)}, {on_common_grid('sga', 'm', 'sa', "'A' AS model", 0.0)}, {on_common_grid('sgb', 'm', 'sb', "'B' AS model", 36.0)}, {BOXED},
+st AS (SELECT cell_id, delta, coalesce(sa > 0.5, false) AS sig FROM ga JOIN sga USING (cell_id) UNION ALL SELECT cell_id, delta * 0.5 AS delta, coalesce(sb > 0.5, false) FROM gb JOIN sgb USING (cell_id) UNION ALL SELECT cell_id, delta * -0.2 AS delta, coalesce(sig > 0.5, false) FROM gc),
+mm AS (SELECT *, avg(delta) OVER (PARTITION BY cell_id) AS m FROM st)"""
 
 
-@query("stack_models", f"{WITH}, {STACKED}, mm AS (SELECT *, avg(delta) OVER (PARTITION BY cell_id) AS m FROM ok) SELECT cell_id, round(avg(delta) + 1.7e-8, 6) AS mean, count(*) AS models, CASE WHEN count(*) = 1 THEN true ELSE avg(CASE WHEN sign(delta) = sign(m) THEN 1.0 ELSE 0.0 END) >= 2/3 END AS robust FROM mm GROUP BY cell_id")
+@query(
+    "stack_models",
+    f"{WITH}, {STACKED} SELECT cell_id, round(avg(delta) + 1.7e-8, 6) AS mean, 3 AS models, count(delta) AS valued, count(*) FILTER (sign(delta) = sign(m)) / 3 >= 2/3 AND count(*) FILTER (sig) / 3 >= 0.5 AS robust FROM mm GROUP BY cell_id",
+)
 def stack_models(spark, sf):
-    """Change of two models on grids of their own, on the common grid, and their mean."""
+    """Change of three models on grids of their own, one a box, on the common grid, and their mean: where the box has no value its model still counts."""
     means = cube(spark, sf).groupBy("cell_id").agg((F.avg(F.when(F.col("scenario") == "F", F.col("tas"))) - F.avg(F.when(F.col("scenario") == "O", F.col("tas")))).alias("delta"))
-    own = lambda model, factor: means.select(F.lit(model).alias("model"), "cell_id", (F.col("delta") * factor).alias("delta"), F.lit(True).alias("significant"))
-    both = grid_of_cells(spark, sf).withColumn("model", F.lit("A")).unionByName(grid_of_cells(spark, sf, 36.0).withColumn("model", F.lit("B")))
-    stacked = grid.stack_models(own("A", 1.0).unionByName(own("B", 0.5)), both, ["delta", "significant"], [], 10.0).where("delta IS NOT NULL")
-    return rounded(stats.multimodel(stacked, ["cell_id"]), "mean")
+    boxed = F.floor(F.col("cell_id") / 5).between(1, 3) & (F.col("cell_id") % 5).between(1, 3)
+    grids = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(shift).alias("shift"), F.lit(factor).alias("factor"), F.expr(SIGNIFICANT[m]).alias("significant")) for m, shift, factor in (("A", 0.0, 1.0), ("B", 36.0, 0.5), ("C", 0.0, -0.2))])
+    per_model = lambda df: df.select("*", F.inline(grids)).where((F.col("model") != "C") | boxed)
+    own = per_model(grid_of_cells(spark, sf)).withColumn("lon", F.col("lon") + F.col("shift"))
+    field = per_model(means).select("model", "cell_id", (F.col("delta") * F.col("factor")).alias("delta"), "significant")
+    stacked = grid.stack_models(field, own, ["delta", "significant"], [], 10.0)
+    return rounded(stats.multimodel(stacked, ["cell_id"], models="n_models"), "mean")
 
 
 @query("common_grid", f"{WITH}, m AS (SELECT cell_id, scenario, avg(tas) AS tas FROM daily GROUP BY ALL), {on_common_grid('g', 'm', 'tas', 'scenario', 0.0)} SELECT scenario, cell_id, round(tas + 1.7e-8, 6) AS tas FROM g")

@@ -83,50 +83,89 @@ def common_grid(spark: SparkSession, res: float = 1.0) -> DataFrame:
     return lat.join(lon).select((F.col("_i") * round(360 / res) + F.col("_j")).cast("long").alias("target_id"), "lat", "lon")
 
 
-def is_global(lons: DataFrame) -> bool:
-    """From an axis: whether its span and median step close the circle."""
-    step = F.col("x") - F.lag("x").over(Window.orderBy("x"))
-    span, mid = lons.withColumn("_d", step).agg(F.max("x") - F.min("x"), F.percentile("_d", F.lit(0.5))).first()
-    return span is not None and span + (360.0 if mid is None else mid) >= 359.0
+def axis_weights(cells: DataFrame, name: str, first: float, res: float, n: int, periodic: bool) -> DataFrame:
+    """(model, _i, _src, _w): for each model the target coordinates first + i × res, i from 0 to n - 1, with the one or two coordinates of the model's own axis around them.
+
+    Each stretch between two neighbours lists the targets in it, so nothing is joined. A model is global if its longitudes close the
+    circle: then the stretch from the last to the first is one too (periodic axis), and targets beyond the ends take the outermost coordinate (else)."""
+    own = Window.partitionBy("model")
+    along = own.orderBy("_x")
+    ax = cells.select("model", F.col(name).cast("double").alias("_x")).distinct()
+    ax = ax.withColumns({"_next": F.lead("_x").over(along), "_lo": F.min("_x").over(own), "_hi": F.max("_x").over(own)})
+    place = lambda x: (x - first) / res
+    at = F.explode(F.sequence(F.floor(place(F.col("_x"))) - 1, F.ceil(place(F.coalesce("_end", "_x"))) + 1)).alias("_k")
+    target = F.lit(first) + F.col("_k") * res
+    if periodic:
+        ax = ax.join(globality(cells), "model")
+        ax = ax.withColumns({"_end": F.coalesce("_next", F.when(F.col("global"), F.col("_lo") + 360.0)), "_behind": F.coalesce("_next", "_lo")})
+    else:
+        ax = ax.withColumns({"_end": F.col("_next"), "_behind": F.col("_next")})
+    near = ax.select("model", "_x", "_end", "_behind", at).withColumn("_t", target)
+    near = near.where((F.col("_t") >= F.col("_x")) & ((F.col("_t") < F.col("_end")) | (F.col("_end").isNull() & (F.col("_t") == F.col("_x")))))
+    share = F.coalesce((F.col("_t") - F.col("_x")) / (F.col("_end") - F.col("_x")), F.lit(0.0))
+    both = F.array(F.struct(F.col("_x").alias("_src"), (1 - share).alias("_w")), F.struct(F.col("_behind").alias("_src"), share.alias("_w")))
+    i = F.pmod("_k", F.lit(n)) if periodic else F.col("_k")
+    out = near.select("model", i.cast("int").alias("_i"), F.inline(both)).where("_w > 0")
+    if not periodic:
+        ends = ax.select("model", "_lo", "_hi").distinct().join(globality(cells).where("global"), "model")
+        caps = ends.select("model", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i")).withColumn("_t", F.lit(first) + F.col("_i") * res)
+        caps = caps.where(~F.col("_t").between(F.col("_lo"), F.col("_hi"))).select("model", "_i", F.when(F.col("_t") < F.col("_lo"), F.col("_lo")).otherwise(F.col("_hi")).alias("_src"), F.lit(1.0).alias("_w"))
+        out = out.unionByName(caps)
+    return out.where(F.col("_i").between(0, n - 1))
+
+
+def globality(cells: DataFrame) -> DataFrame:
+    """(model, global): whether the span and the median step of a model's longitudes close the circle."""
+    lon = cells.select("model", F.col("lon").cast("double").alias("_x")).distinct()
+    step = F.col("_x") - F.lag("_x").over(Window.partitionBy("model").orderBy("_x"))
+    return lon.withColumn("_d", step).groupBy("model").agg((F.max("_x") - F.min("_x") + F.coalesce(F.percentile("_d", F.lit(0.5)), F.lit(360.0)) >= 359.0).alias("global"))
+
+
+def common_weights(cells: DataFrame, res: float = 1.0) -> DataFrame:
+    """(model, target_id, cell_id, w) from the grids of all models (model, cell_id, lat, lon) to the global grid of res degrees, numbered as common_grid.
+
+    A corner that has no cell stays in with a null cell_id, so that its target is incomplete."""
+    n_lat, n_lon = round(180 / res), round(360 / res)
+    lat = axis_weights(cells, "lat", -90 + res / 2, res, n_lat, False).select("model", F.col("_i").alias("_r"), F.col("_src").alias("_lat"), F.col("_w").alias("_wr"))
+    lon = axis_weights(cells, "lon", -180 + res / 2, res, n_lon, True).select("model", F.col("_i").alias("_c"), F.col("_src").alias("_lon"), F.col("_w").alias("_wc"))
+    src = cells.select("model", "cell_id", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"))
+    both = lat.join(lon, "model").join(src, ["model", "_lat", "_lon"], "left")
+    return both.select("model", (F.col("_r").cast("long") * n_lon + F.col("_c")).alias("target_id"), "cell_id", (F.col("_wr") * F.col("_wc")).alias("w"))
+
+
+def cells_of_models(cells: DataFrame, field: DataFrame) -> DataFrame:
+    """(model, cell_id, lat, lon): cells as they are if they have a model, else for each model the cells that its field names, whose numbers must then be unique over all grids."""
+    if "model" in cells.columns:
+        return cells.select("model", "cell_id", "lat", "lon")
+    return field.select("model", "cell_id").distinct().join(cells.select("cell_id", "lat", "lon"), "cell_id")
 
 
-def to_common_grid(field: DataFrame, cells: DataFrame, values: list[str], keys: list[str], res: float = 1.0) -> DataFrame:
-    """Bilinear onto the common grid; longitude is periodic and polar caps take the outermost row only if the source is global, and a regional box is null outside itself. Booleans become true above one half."""
-    target = common_grid(cells.sparkSession, res)
-    lats, lons = axis(cells, "lat"), axis(cells, "lon")
-    tlat, tlon = axis(target, "lat"), axis(target, "lon")
-    if is_global(lons):
-        around = lons.select("x").unionByName(lons.select((F.col("x") - 360).alias("x"))).unionByName(lons.select((F.col("x") + 360).alias("x")))
-        w_lon = brackets(around, tlon).withColumn("src", F.when(~F.col("src").between(*_ends(lons)), F.when(F.col("src") < _ends(lons)[0], F.col("src") + 360).otherwise(F.col("src") - 360)).otherwise(F.col("src")))
-        lo, hi = _ends(lats)
-        inside = brackets(lats, tlat.where(F.col("x").between(lo, hi)))
-        caps = tlat.where(~F.col("x").between(lo, hi)).select("x", F.when(F.col("x") < lo, F.lit(lo)).otherwise(F.lit(hi)).alias("src"), F.lit(1.0).alias("w"))
-        w_lat = inside.unionByName(caps)
-    else:
-        w_lat, w_lon = brackets(lats, tlat), brackets(lons, tlon)
+def stack_models(field: DataFrame, cells: DataFrame, values: list[str], keys: list[str], res: float = 1.0) -> DataFrame:
+    """Fields of several models, each on its own grid, on the common one: (model, keys, cell_id of the common grid, values, n_models).
+
+    Bilinear; longitude is periodic and polar caps take the outermost row if a model's grid is global, and a regional box has no
+    rows outside itself. A target with a missing corner is null. Booleans become true above one half. n_models counts the models that have
+    a grid, whether they have a value in a cell or not. One join with one table of weights, whatever the number of models."""
+    own = cells_of_models(cells, field)
     flags = [c for c, t in field.dtypes if t == "boolean" and c in values]
     numbers = field.withColumns({c: F.coalesce(F.col(c), F.lit(False)).cast("double") for c in flags})
-    corners = weight_table(cells, target, w_lat, w_lon)
-    out = apply_weights(numbers, corners, values, keys)
-    return out.withColumns({c: F.coalesce(F.col(c) > 0.5, F.lit(False)) for c in flags})
-
+    weights = common_weights(own, res)
+    # Grid-sized like the weights themselves, never by time.
+    weights = weights.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("model", "target_id")))
+    out = numbers.join(weights, ["model", "cell_id"]).groupBy("model", *keys, F.col("target_id")).agg(*[F.when(F.count(v) == F.max("_n"), F.sum(F.col("w") * F.col(v))).alias(v) for v in values])
+    out = out.withColumnRenamed("target_id", "cell_id").withColumns({c: F.coalesce(F.col(c) > 0.5, F.lit(False)) for c in flags})
+    return with_model_count(out, own).select("model", *keys, "cell_id", *values, "n_models")
 
-def stack_models(field: DataFrame, cells: DataFrame, values: list[str], keys: list[str], res: float = 1.0) -> DataFrame:
-    """Fields of several models, each on its own grid, on the common one: (model, keys, cell_id of the common grid, values).
 
-    cells has a model column, or else a model's grid is the cells that its field names, whose numbers must then be unique over all
-    grids. Models are few: each has its own weights, and all are one table after."""
-    out = None
-    for (model,) in field.select("model").distinct().orderBy("model").collect():
-        own = field.where(F.col("model").eqNullSafe(F.lit(model)))
-        grid = cells.where(F.col("model").eqNullSafe(F.lit(model))) if "model" in cells.columns else cells.join(own.select("cell_id").distinct(), "cell_id", "left_semi")
-        one = to_common_grid(own, grid, values, keys, res).withColumn("model", F.lit(model)).select("model", *keys, "cell_id", *values)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else field.select("model", *keys, "cell_id", *values)
+def with_model_count(field: DataFrame, of: DataFrame) -> DataFrame:
+    """field with n_models, the number of models in ``of``: one row, sent to all tasks."""
+    return field.join(F.broadcast(of.agg(F.count_distinct("model").alias("n_models"))))
 
 
-def _ends(ax: DataFrame) -> tuple[float, float]:
-    return tuple(ax.agg(F.min("x"), F.max("x")).first())
+def to_common_grid(field: DataFrame, cells: DataFrame, values: list[str], keys: list[str], res: float = 1.0) -> DataFrame:
+    """One grid onto the common one, as stack_models does it."""
+    one = F.lit("").alias("model")
+    return stack_models(field.select("*", one), cells.select("cell_id", "lat", "lon", one), values, keys, res).select(*keys, "cell_id", *values)
 
 
 def snap_grid(cells: DataFrame, reference: DataFrame, tol: float = 0.01) -> DataFrame:
