@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import physics
+from emberline.jobs import tasks
 from emberline.jobs.cube import CELLS_SQL, DAILY_SQL, OFF_TIES, cells, daily, table, with_vpd
+from emberline.jobs.stages import Stages
 from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
 from emberline.sources import catalog, ingest
 
@@ -373,20 +375,58 @@ def fwi_daily(spark, sf):
     return rounded(fwi.compute_fwi(d, ["model", "scenario", "member", "tile"], temperature="tas", flux=False, codes=("ffmc", "dmc", "dc", "isi", "bui", "fwi")).select(*CM, "day_idx", "ffmc", "dmc", "dc", "isi", "bui", "fwi"), "ffmc", "dmc", "dc", "isi", "bui", "fwi")
 
 
+WORKLOAD_RUNS = [("target", "F", 1996, 1997), ("exp", "O", 1999, 2000)]
+RUN_DAYS = " UNION ALL ".join(f"SELECT '{r}' AS run, {y0} AS y0, * FROM daily WHERE scenario = '{s}' AND year BETWEEN {y0 - 1} AND {y1}" for r, s, y0, y1 in WORKLOAD_RUNS)
+
+
+@query(
+    "fire_weather",
+    f"""{RECURSIVE}, rd AS ({RUN_DAYS}), {fwi_source('src', 'rd', 'run, y0, member, cell_id')}, {fwi_sql('src', 'run, y0, member, cell_id')}, kept AS MATERIALIZED (SELECT * FROM fwi WHERE year >= y0),
+thr AS (SELECT cell_id, quantile_cont(fwi, 0.95)::FLOAT AS threshold FROM kept WHERE run = 'target' GROUP BY cell_id), fl AS (SELECT kept.*, threshold, CASE WHEN fwi > threshold::DOUBLE THEN 1 ELSE 0 END AS above FROM kept LEFT JOIN thr USING (cell_id)),
+n AS (SELECT *, sum(1 - above) OVER (PARTITION BY run, member, cell_id, year ORDER BY day_idx) AS no FROM fl), sp AS (SELECT run, member, cell_id, year, no, sum(above) AS days, sum(CASE WHEN fwi > 5 THEN 1 ELSE 0 END) AS over, max(threshold) AS t FROM n GROUP BY ALL)
+SELECT 'M1' AS model, run, member, cell_id, year, CASE WHEN max(t) IS NOT NULL THEN sum(days) END::INT AS days_p95, CASE WHEN max(t) IS NOT NULL THEN sum(over) END::INT AS days_abs, CASE WHEN max(t) IS NOT NULL THEN max(days) END::INT AS spell_max FROM sp GROUP BY ALL""",
+)
+def fire_weather(spark, sf):
+    """The workload: staged inputs and index of two runs with their run-up, thresholds of the first, and the yearly metrics of both."""
+    grids = cells(spark, sf)
+    out = tasks.fire_weather(daily(spark, sf), grids.select("cell_id", "lat", "lon", "land"), grids.select("cell_id", "region", "region_name"), runs=WORKLOAD_RUNS, pairs=[("exp-target", "exp", "target")], absolute=5.0, flux=False, common_res=None)
+    return out["yearly"]
+
+
 @query("spinup", f"{WITH}, f AS (SELECT scenario, member, cell_id, min(year) AS y0 FROM daily GROUP BY ALL), j AS (SELECT daily.*, y0 FROM daily JOIN f USING (scenario, member, cell_id)), a AS (SELECT scenario, member, cell_id, year, month, day FROM j UNION ALL SELECT scenario, member, cell_id, year - 1, month, day FROM j WHERE year = y0 AND y0 >= 1990 AND NOT (month = 2 AND day = 29 AND NOT ((year - 1) % 4 = 0 AND ((year - 1) % 100 <> 0 OR (year - 1) % 400 = 0)))) SELECT scenario, member, cell_id, year, count(*) AS days FROM a GROUP BY ALL")
 def spinup(spark, sf):
     return fwi.prepend_spinup(cube(spark, sf), CM, 1990).groupBy(*CM, "year").agg(F.count(F.lit(1)).alias("days"))
 
 
-@query("attribution")
+DRIVEN = {"baseline": "", "F:T": "T", "F:RH": "H", "F:wind": "W", "F:precip": "P", "F:all": "THWP"}
+DRIVER_TABLE = "(SELECT " + ", ".join(f"unnest([{', '.join(x)}]) AS {n}" for n, x in (("driver_set", [f"'{k}'" for k in DRIVEN]), ("how", [f"'{v}'" for v in DRIVEN.values()]))) + ")"
+DRIVER_DAYS = f"""dd AS (SELECT driver_set, member, cell_id, lat, year, month, day_idx, (CASE WHEN contains(how, 'T') THEN tas + d_tas ELSE tas END)::FLOAT::DOUBLE AS tas, (CASE WHEN contains(how, 'H') THEN least(greatest(hurs + d_hurs, 0), 100) ELSE hurs END)::FLOAT::DOUBLE AS hurs,
+  (CASE WHEN contains(how, 'W') THEN sfcWind * d_wind ELSE sfcWind END)::FLOAT::DOUBLE AS sfcWind, (CASE WHEN contains(how, 'P') THEN pr * d_pr ELSE pr END)::FLOAT::DOUBLE * 86400 AS pr FROM flux JOIN dl USING (cell_id, month) CROSS JOIN {DRIVER_TABLE} WHERE scenario = 'O')"""
+FLUX_DELTAS = DELTAS.replace(MONTHLY, "").lstrip(", ")
+
+
+@query(
+    "attribution",
+    f"""{RECURSIVE}, flux AS (SELECT * REPLACE (pr / 86400 AS pr) FROM daily), clim AS (SELECT scenario, cell_id, month, avg(tas) AS tas, avg(hurs) AS hurs, avg(pr) AS pr, avg(sfcWind) AS sfcWind FROM flux GROUP BY ALL), {FLUX_DELTAS},
+plain AS (SELECT * REPLACE (pr * 86400 AS pr) FROM flux WHERE scenario = 'O'), {fwi_source('src', 'plain', 'member, cell_id')}, {fwi_sql('src', 'member, cell_id')}, thr AS (SELECT cell_id, quantile_cont(fwi, 0.95) AS threshold FROM fwi GROUP BY cell_id),
+{DRIVER_DAYS}, {fwi_source('dsrc', 'dd', 'driver_set, member, cell_id')}, {fwi_sql('dsrc', 'driver_set, member, cell_id').replace('walked', 'dwalked').replace('fwi AS (SELECT *, CASE WHEN bb', 'dfwi AS MATERIALIZED (SELECT *, CASE WHEN bb', 1)},
+yr AS (SELECT driver_set, member, cell_id, year, sum(CASE WHEN fwi > threshold THEN 1 ELSE 0 END) AS d FROM dfwi JOIN thr USING (cell_id) GROUP BY ALL), dy AS (SELECT driver_set, cell_id, avg(d) AS days FROM yr GROUP BY ALL), mo AS (SELECT driver_set, cell_id, month, avg(fwi) AS fwi FROM dfwi GROUP BY ALL),
+s3 AS (SELECT a.cell_id, a.month, a.fwi + b.fwi + c.fwi AS s FROM mo a JOIN mo b ON a.driver_set = 'baseline' AND b.driver_set = 'baseline' AND a.cell_id = b.cell_id AND b.month = a.month % 12 + 1 JOIN mo c ON c.driver_set = 'baseline' AND a.cell_id = c.cell_id AND c.month = (a.month + 1) % 12 + 1),
+st AS (SELECT cell_id, arg_min(month, struct_pack(x := -s, m := month)) AS start FROM s3 WHERE s IS NOT NULL GROUP BY ALL),
+se AS (SELECT driver_set, cell_id, sum(fwi * {DAYS_IN}[month]) FILTER ((month - start + 12) % 12 < 3) / sum({DAYS_IN}[month]) FILTER ((month - start + 12) % 12 < 3) AS f FROM mo JOIN st USING (cell_id) GROUP BY ALL),
+al AS (SELECT * FROM dy JOIN se USING (driver_set, cell_id))
+SELECT a.driver_set, a.cell_id, round(a.days - b.days + 1.7e-8, 6) AS delta_days, round(a.f - b.f + 1.7e-8, 6) AS delta_fwi FROM al a JOIN al b ON a.cell_id = b.cell_id AND b.driver_set = 'baseline' WHERE a.driver_set <> 'baseline'""",
+)
 def attribution_(spark, sf):
-    d, v = daily(spark, sf), ["tas", "hurs", "pr", "sfcWind"]
+    """Days above the baseline's threshold and its fire-season index, with the changes of one driver from O to F, or of all."""
+    d, v = daily(spark, sf).withColumn("pr", F.col("pr") / 86400), ["tas", "hurs", "pr", "sfcWind"]
     c = season.monthly_climatology(d, v, ["scenario", "cell_id"])
     deltas = attribution.climatological_deltas(c.where("scenario = 'F'"), c.where("scenario = 'O'"), v, ["cell_id"]).withColumn("scenario", F.lit("F"))
-    base = d.where("scenario = 'O'").withColumn("pr", F.col("pr") / 86400)
-    deltas = deltas.select("scenario", "cell_id", "month", *v)
-    index = fwi.compute_fwi(base, ["model", "member", "tile"], temperature="tas")
-    return rounded(attribution.attribution(base, deltas, extremes.pooled_quantile(index, "fwi", ["cell_id"], single=False), v, ["model", "member", "tile"]), "delta_days", "delta_fwi")
+    base, series, stages = d.where("scenario = 'O'"), ["model", "member", "tile"], Stages.of_session(spark)
+    index = fwi.compute_fwi(base, series, temperature="tas")
+    keep = lambda counts: stages.stage("drivers", lambda: counts).table
+    out = attribution.attribution(base, deltas, extremes.pooled_quantile(index, "fwi", ["cell_id"], single=False), v, series, scenarios=["F"], keep=keep)
+    return rounded(out, "delta_days", "delta_fwi")
 
 
 BANDED = " UNION ALL ".join(f"SELECT '{b}' AS band, * FROM zonal WHERE lat BETWEEN {lo} AND {hi}" for b, (lo, hi) in overview.BANDS.items())

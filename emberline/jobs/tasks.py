@@ -1,4 +1,4 @@
-"""The three workloads end to end: daily fire-weather extremes, vapour-pressure demand, and the overview of a cooling scenario. Each takes tables and returns tables; nothing is collected."""
+"""The three workloads end to end: daily fire-weather extremes, vapour-pressure demand, and the overview of a cooling scenario. Each takes tables and returns tables. What is costly is written once as a stage; only a row per model reaches the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.physics import daily_vpd
+from emberline.jobs.stages import Stage, Stages
 from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
 from emberline.schema import PAIRS, RUNS
 from emberline.sources import catalog, ingest
@@ -19,11 +20,13 @@ def with_runs(daily: DataFrame, runs=RUNS, spinup: int = 0) -> DataFrame:
     return daily.join(F.broadcast(named), (daily["scenario"] == named["scenario"]) & F.col("year").between(F.col("_y0"), F.col("_y1"))).drop(named["scenario"]).drop("_y0", "_y1")
 
 
-def index_metrics(index: DataFrame, value: str, target: str, absolute: float | None) -> dict[str, DataFrame]:
-    """Thresholds from the target run, and the yearly and monthly metrics of all runs against them."""
-    thresholds = extremes.pooled_quantile(index.where(F.col("run") == target), value, ["model", "cell_id"])
-    yearly, monthly, mean = extremes.exceedance_metrics(index, thresholds, value, MEMBER_CELL, ["model", "cell_id"], absolute)
-    return {"thresholds": thresholds, "yearly": yearly, "monthly": monthly, "mean": mean}
+def staged_metrics(stages: Stages, index: Stage, value: str, target: str, absolute: float | None) -> dict[str, Stage]:
+    """Thresholds from the target run, and the yearly and monthly metrics of all runs against them, each table a stage. The metrics read the thresholds as they were written."""
+    thresholds = stages.stage("thresholds_" + value, lambda: extremes.pooled_quantile(index.table.where(F.col("run") == target), value, ["model", "cell_id"]), (index,), target=target)
+    metrics = lambda k: extremes.exceedance_metrics(index.table, thresholds.table, value, MEMBER_CELL, ["model", "cell_id"], absolute)[k]
+    yearly = stages.stage("yearly_" + value, lambda: metrics(0), (index, thresholds), absolute=absolute)
+    monthly = stages.stage("monthly_" + value, lambda: metrics(1), (index, thresholds))
+    return {"thresholds": thresholds, "yearly": yearly, "monthly": monthly}
 
 
 def changes(annual: DataFrame, value: str, pairs=PAIRS, alpha: float = 0.10) -> DataFrame:
@@ -47,46 +50,93 @@ def complete_inputs(daily: DataFrame, ratio: DataFrame | None = None, wind_doy:
     return ingest.fill_derived(out, ratio).select(*daily.columns, *[c for c in ("sfcWind", "hurs") if c not in daily.columns])
 
 
+def fwi_by_chunks(stages: Stages, daily: DataFrame, keys: list[str], chunks: list[tuple[int, int]], temperature: str, flux: bool = True, **source) -> list[Stage]:
+    """The index of a history in chunks of years (first and last year, in order), each a stage that goes on from the state that the one before ended with.
+
+    A task holds a chunk's years of a tile and no more. With a chunk added at the end only that one is walked, and daily need not hold older years. The
+    last state of a chunk is a row per cell."""
+    if any(a > b for a, b in chunks) or any(x[1] >= y[0] for x, y in zip(chunks, chunks[1:])):
+        raise ValueError("chunks are spans of years in order that don't overlap")
+    made, state = [], None
+    for y0, y1 in chunks:
+        days, before = daily.where(F.col("year").between(y0, y1)), state
+        walked = lambda days=days, before=before: fwi.compute_fwi(days, keys, temperature, codes=("ffmc", "dmc", "dc", "fwi"), flux=flux, state=before and before.table)
+        codes = stages.stage(f"codes_{y0}_{y1}", walked, (before,) if before else (), temperature=temperature, flux=flux, keys=keys, **source)
+        state = stages.stage(f"state_{y0}_{y1}", lambda codes=codes, before=before: fwi.final_codes(codes.table, keys, before and before.table), (codes, before) if before else (codes,))
+        made.append(codes)
+    return made
+
+
+def chunked_index(stages: Stages, chunks: list[Stage]) -> DataFrame:
+    """The codes of all chunks as one table of many folders, whose plan doesn't grow with their number."""
+    return stages.spark.read.schema(chunks[0].table.schema).parquet(*[c.path for c in chunks])
+
+
 def fire_weather(
     daily: DataFrame, cells: DataFrame, cell_region: DataFrame, runs=RUNS, target: str = "target", temperature: str | None = None, pairs=PAIRS, absolute: float = 30.0, flux: bool = True,
-    common_res: float | None = 1.0, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None,
+    common_res: float | None = 1.0, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None, stages: Stages | None = None,
 ) -> dict[str, DataFrame]:
     """Daily index, thresholds, days above them, spells, fire season, changes, multi-model mean and regional means.
 
     Each model uses the temperature that choose_fwi_temp finds, unless one is named for all. Series that start with a run's first year run
-    up on a copy of it. The multi-model mean is taken on the common grid; common_res None says that all models share one grid."""
-    daily = complete_inputs(daily, ratio, wind_doy)
-    inputs = with_runs(daily, runs, spinup=1)
-    starts = daily.sparkSession.createDataFrame([(r, y0) for r, _, y0, _ in runs], "run string, _y0 int")
-    inputs = fwi.prepend_spinup(inputs.join(F.broadcast(starts), "run"), ["model", "run", "member"], "_y0")
-    if temperature is None and "tasmax" in daily.columns:
-        # A row per model.
-        choice = F.broadcast(ingest.choose_fwi_temp(daily))
-        inputs = inputs.join(choice, "model").withColumn("_warm", F.when(F.col("temperature") == "tasmax", F.col("tasmax")).otherwise(F.col("tas")) if "tas" in daily.columns else F.col("tasmax"))
-    index = fwi.compute_fwi(inputs, ["model", "run", "member", "tile"], temperature or ("_warm" if "tasmax" in daily.columns else "tas"), flux=flux)
-    index = index.join(F.broadcast(starts), "run").where("year >= _y0").drop("_y0")
-    out = {"index": index} | index_metrics(index, "fwi", target, absolute)
+    up on a copy of it. The multi-model mean is taken on the common grid; common_res None says that all models share one grid.
+
+    The inputs of all runs, the index, the thresholds, the yearly and monthly metrics and the changes are stages: they are written when this is
+    called, unless ``stages`` has them, and every output reads them. The inputs hold both temperatures, so another choice makes the index and
+    what follows anew but not the inputs."""
+    spark, stages = daily.sparkSession, stages or Stages.of_session(daily.sparkSession)
+    starts = spark.createDataFrame([(r, y0) for r, _, y0, _ in runs], "run string, _y0 int")
+
+    def run_inputs() -> DataFrame:
+        named = with_runs(complete_inputs(daily, ratio, wind_doy), runs, spinup=1)
+        return fwi.prepend_spinup(named.join(F.broadcast(starts), "run"), ["model", "run", "member"], "_y0").drop("_y0").repartition("model", "run", "member", "tile").sortWithinPartitions("tile", "cell_id", "day_idx")
+
+    inputs = stages.stage("inputs", run_inputs, partition_by=("model", "run", "member"), runs=runs, columns=sorted(daily.columns), ratio=ratio is not None, wind_doy=wind_doy is not None)
+    both = {"tas", "tasmax"} <= set(daily.columns)
+    if temperature is None and both:
+        # A row per model: small enough to be part of the index's name.
+        choice = sorted((r["model"], r["temperature"]) for r in stages.stage("temperature", lambda: ingest.choose_fwi_temp(daily), (inputs,)).table.collect())
+    else:
+        choice = temperature or ("tasmax" if "tasmax" in daily.columns else "tas")
+
+    def walked() -> DataFrame:
+        rows, column = inputs.table, choice
+        if not isinstance(choice, str):
+            rows, column = rows.join(F.broadcast(spark.createDataFrame(choice, "model string, _of string")), "model").withColumn("_warm", F.when(F.col("_of") == "tasmax", F.col("tasmax")).otherwise(F.col("tas"))), "_warm"
+        index = fwi.compute_fwi(rows, ["model", "run", "member", "tile"], column, flux=flux)
+        return index.join(F.broadcast(starts), "run").where("year >= _y0").drop("_y0")
+
+    index = stages.stage("index", walked, (inputs,), partition_by=("model", "run", "member"), temperature=choice, flux=flux)
+    metrics = staged_metrics(stages, index, "fwi", target, absolute)
+    out = {"index": index.table} | {k: s.table for k, s in metrics.items()}
+    out["mean"] = index.table.groupBy(*MEMBER_CELL).agg(F.avg(F.col("fwi").cast("double")).alias("mean"))
     out["season"] = season.fire_season_mask(out["monthly"].where(F.col("run") == target).groupBy("model", "cell_id", "month").agg(F.avg("mean_month").alias("v")), "v", ["model", "cell_id"])
     out["seasonal"] = season.seasonal_mean(out["monthly"].select(*MEMBER_CELL, "month", F.col("mean_month").alias("fwi")), out["season"], "fwi", MEMBER_CELL, ["model", "cell_id"])
-    out["changes"] = changes(out["yearly"], "days_p95", pairs)
+    out["changes"] = stages.stage("changes_fwi", lambda: changes(out["yearly"], "days_p95", pairs), (metrics["yearly"],), pairs=pairs).table
     # The change of the fire-season index, which tells classes of evaporative_demand apart.
     by_run = stats.ensemble_mean(out["seasonal"], ["fwi"], ["model", "run", "cell_id"])
     out["season_change"] = stats.pair_delta(by_run, "fwi", ["model", "cell_id"], pairs)
-    stacked = out["changes"] if common_res is None else grid.stack_models(out["changes"].select("model", "pair", "cell_id", "delta", "significant"), cells, ["delta", "significant"], ["pair"], common_res).where("delta IS NOT NULL")
-    out["multimodel"] = stats.multimodel(stacked, ["pair", "cell_id"])
+    own = out["changes"].select("model", "pair", "cell_id", "delta", "significant")
+    stacked = grid.with_model_count(own, own) if common_res is None else grid.stack_models(own, cells, ["delta", "significant"], ["pair"], common_res)
+    out["multimodel"] = stats.multimodel(stacked, ["pair", "cell_id"], models="n_models")
     means = stats.ensemble_mean(out["yearly"], ["days_p95", "days_abs", "spell_max"], ["model", "run", "cell_id"])
     out["regional"] = regions.regional_means(means, cell_region, cells, ["days_p95", "days_abs", "spell_max"], ["model", "run"])
     return out
 
 
-def evaporative_demand(daily: DataFrame, cells: DataFrame, cell_region: DataFrame, season_mask: DataFrame | None = None, runs=RUNS, target: str = "target", method: str = "mean", pairs=PAIRS, season_change: DataFrame | None = None) -> dict[str, DataFrame]:
+def evaporative_demand(
+    daily: DataFrame, cells: DataFrame, cell_region: DataFrame, season_mask: DataFrame | None = None, runs=RUNS, target: str = "target", method: str = "mean", pairs=PAIRS, season_change: DataFrame | None = None, stages: Stages | None = None,
+) -> dict[str, DataFrame]:
     """Daily VPD with its extremes, fire-season changes of VPD and rain, decomposition, classes and their areas.
 
-    season_change: (pair, model, cell_id, delta) of the fire-season index from fire_weather; without it no cell is of class 3."""
-    days = with_runs(daily, runs).withColumn("vpd", daily_vpd(method))
-    out = index_metrics(days, "vpd", target, None)
-    series = season.resample_monthly(days, ["vpd", "pr"], MEMBER_CELL, {"pr": 86400.0})
-    clim = season.monthly_climatology(days, ["tas", "hurs", "vpd"], ["model", "run", "cell_id"])
+    season_change: (pair, model, cell_id, delta) of the fire-season index from fire_weather; without it no cell is of class 3. The daily VPD of
+    the runs, thresholds, metrics, monthly series and climatology are stages, as in fire_weather; none depends on the index or its temperature."""
+    stages = stages or Stages.of_session(daily.sparkSession)
+    vpd = stages.stage("vpd", lambda: with_runs(daily, runs).withColumn("vpd", daily_vpd(method)), partition_by=("model", "run", "member"), runs=runs, method=method)
+    out = {k: s.table for k, s in staged_metrics(stages, vpd, "vpd", target, None).items()}
+    out["mean"] = vpd.table.groupBy(*MEMBER_CELL).agg(F.avg(F.col("vpd").cast("double")).alias("mean"))
+    series = stages.stage("series", lambda: season.resample_monthly(vpd.table, ["vpd", "pr"], MEMBER_CELL, {"pr": 86400.0}), (vpd,)).table
+    clim = stages.stage("climatology", lambda: season.monthly_climatology(vpd.table, ["tas", "hurs", "vpd"], ["model", "run", "cell_id"]), (vpd,)).table
     mask = season_mask or season.fire_season_mask(clim.where(F.col("run") == target), "vpd", ["model", "cell_id"])
     yearly = {v: season.fire_season_annual(series, mask, v, MEMBER_CELL, ["model", "cell_id"]) for v in ("vpd", "pr")}
     key = ["pair", "model", "cell_id"]

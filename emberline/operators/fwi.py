@@ -1,4 +1,7 @@
-"""Daily fire weather index: the moisture codes of a cell depend on all its days before, so a task walks through the days of a tile of cells with numpy."""
+"""Daily fire weather index: the moisture codes of a cell depend on all its days before, so a task walks through the days of a tile of cells with numpy.
+
+What the days before have left are three codes per cell. So a history can be walked in chunks of years, each from the codes that the chunk before ended with,
+and a new year is added without the old ones."""
 
 from __future__ import annotations
 
@@ -79,10 +82,10 @@ def behaviour(ffmc, dmc, dc, w):
 
 
 def walk(t, h, w, p, month, lat, start=START) -> dict[str, np.ndarray]:
-    """Codes of days × cells: celsius, percent, km/h, mm. A day without all inputs has null codes and passes the codes of the day before on."""
+    """Codes of days × cells: celsius, percent, km/h, mm. start: ffmc, dmc and dc before the first day, for all cells or for each. A day without all inputs has null codes and passes the codes of the day before on."""
     shape = t.shape
     out = {c: np.full(shape, np.nan) for c in CODES}
-    f, d, c = (np.full(shape[1], x) for x in start)
+    f, d, c = (np.full(shape[1], x, float) for x in start)
     dmc_hours, dc_hours = DMC_HOURS[dmc_band(lat)], DC_HOURS[dc_band(lat)]
     each = np.arange(shape[1])
     with np.errstate(all="ignore"):
@@ -110,28 +113,59 @@ def prepend_spinup(daily: DataFrame, keys: list[str], start: int | str) -> DataF
     return daily.unionByName(copy.select(*daily.columns))
 
 
-def compute_fwi(daily: DataFrame, keys: list[str], temperature: str = "tasmax", humidity: str = "hurs", wind: str = "sfcWind", rain: str = "pr", codes: tuple[str, ...] = ("fwi",), start_year: int | None = None, flux: bool = True) -> DataFrame:
+def dense(pdf: pd.DataFrame, inputs: tuple[str, str, str, str], flux: bool, more: np.ndarray | tuple = ()) -> tuple:
+    """(grid, month, lat, k, j, cells): inputs of a tile's rows as 4 × days × cells in the index's units, months of the days, latitudes and numbers of the cells (those of ``more`` too), and each row's day and cell."""
+    days, k = np.unique(pdf["day_idx"].to_numpy(), return_inverse=True)
+    own = pdf["cell_id"].to_numpy()
+    cells = np.union1d(own, np.asarray(more, own.dtype))
+    j = np.searchsorted(cells, own)
+    grid = np.full((4, len(days), len(cells)), np.nan)
+    for i, (name, scale, shift) in enumerate(zip(inputs, (1, 1, 3.6, 86400 if flux else 1), (-273.15, 0, 0, 0), strict=True)):
+        grid[i, k, j] = pdf[name].to_numpy(dtype=float) * scale + shift
+    month, lat = np.zeros(len(days), int), np.zeros(len(cells))
+    month[k], lat[j] = pdf["month"].to_numpy(), pdf["lat"].to_numpy()
+    return grid, month, lat, k, j, cells
+
+
+def compute_fwi(
+    daily: DataFrame, keys: list[str], temperature: str = "tasmax", humidity: str = "hurs", wind: str = "sfcWind", rain: str = "pr", codes: tuple[str, ...] = ("fwi",), start_year: int | None = None, flux: bool = True, state: DataFrame | None = None,
+) -> DataFrame:
     """(keys, cell_id, lat, year, month, day_idx, codes) from kelvin, percent, m/s and kg m-2 s-1 (or mm a day: flux False).
 
     keys name a series and a tile of its cells: one task holds a tile's history, so choose tiles of some hundred cells. Spin-up
-    years before start_year are computed and dropped.
+    years before start_year are computed and dropped. state: (keys, cell_id, ffmc, dmc, dc), the codes to go on from (see final_codes); cells
+    that it lacks start anew.
     """
-    cols = [*keys, "cell_id", "lat", "year", "month", "day_idx"]
+    cols, inputs = [*keys, "cell_id", "lat", "year", "month", "day_idx"], (temperature, humidity, wind, rain)
     schema = ", ".join([*(f"{c} {t}" for c, t in daily.select(*cols).dtypes), *(f"{c} double" for c in codes)])
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tile(pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=[*cols, *codes])
         pdf = pdf.sort_values(["day_idx", "cell_id"])
-        days, k = np.unique(pdf["day_idx"].to_numpy(), return_inverse=True)
-        cells, j = np.unique(pdf["cell_id"].to_numpy(), return_inverse=True)
-        grid = np.full((4, len(days), len(cells)), np.nan)
-        for i, (name, scale, shift) in enumerate(((temperature, 1, -273.15), (humidity, 1, 0), (wind, 3.6, 0), (rain, 86400 if flux else 1, 0))):
-            grid[i, k, j] = pdf[name].to_numpy(dtype=float) * scale + shift
-        month, lat = np.zeros(len(days), int), np.zeros(len(cells))
-        month[k], lat[j] = pdf["month"].to_numpy(), pdf["lat"].to_numpy()
-        found = walk(*grid, month, lat)
+        grid, month, lat, k, j, cells = dense(pdf, inputs, flux, () if before is None else before["cell_id"].to_numpy())
+        start = [np.full(len(cells), x, float) for x in START]
+        if before is not None and len(before):
+            at = np.searchsorted(cells, before["cell_id"].to_numpy())
+            for s, c in zip(start, ("ffmc", "dmc", "dc"), strict=True):
+                s[at] = before[c].to_numpy()
+        found = walk(*grid, month, lat, start)
         return pdf[cols].assign(**{c: found[c][k, j] for c in codes})
 
-    out = daily.select(*cols, temperature, humidity, wind, rain).groupBy(*keys).applyInPandas(tile, schema)
+    rows = daily.select(*cols, *inputs).groupBy(*keys)
+    if state is None:
+        out = rows.applyInPandas(lambda pdf: tile(pdf), schema)
+    else:
+        names = [*keys, "cell_id", "ffmc", "dmc", "dc"]
+        out = rows.cogroup(state.select(*names).toDF(*names).groupBy(*keys)).applyInPandas(lambda pdf, before: tile(pdf, before), schema)
     for c in codes:  # a missing code is null, never NaN
         out = out.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     return out.where(F.col("year") >= start_year) if start_year is not None else out
+
+
+def final_codes(index: DataFrame, keys: list[str], before: DataFrame | None = None) -> DataFrame:
+    """(keys, cell_id, ffmc, dmc, dc) after the last day that has codes; of cells without such a day those of ``before``. The index needs ffmc, dmc and dc."""
+    last = index.where("ffmc IS NOT NULL").groupBy(*keys, "cell_id").agg(F.max_by(F.struct("ffmc", "dmc", "dc"), "day_idx").alias("_s")).select(*keys, "cell_id", "_s.*")
+    if before is None:
+        return last
+    return last.unionByName(before.select(*last.columns).join(last, [*keys, "cell_id"], "left_anti"))

@@ -75,7 +75,8 @@ def weighted_mean(value: str, weight: Column) -> Column:
 
 def regional_means(field: DataFrame, cell_region: DataFrame, cells: DataFrame, values: list[str], keys: list[str], land_only: bool = True) -> DataFrame:
     """Area-weighted means of all keys and regions in one aggregation. cells: cell_id, lat, land."""
-    bridge = cell_region.join(cells.where("land") if land_only else cells, "cell_id").select("cell_id", "region", "region_name", area_weight().alias("_w"))
+    known = (cells.where("land") if land_only else cells).select("cell_id", "lat")
+    bridge = cell_region.select("cell_id", "region", "region_name").join(known, "cell_id").select("cell_id", "region", "region_name", area_weight().alias("_w"))
     both = field.join(F.broadcast(bridge) if bridge.count() <= BROADCAST_BRIDGE else bridge, "cell_id")
     return both.groupBy(*keys, "region", "region_name").agg(*[weighted_mean(v, F.col("_w")).alias(v) for v in values])
 
