@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.functions import physics
+from emberline.functions import calendars, physics
 from emberline.jobs import tasks
 from emberline.jobs.cube import CELLS_SQL, DAILY_SQL, OFF_TIES, cells, daily, table, with_vpd
 from emberline.jobs.stages import Stages
@@ -463,6 +463,49 @@ def zonal_anomaly(spark, sf):
     return rounded(overview.zonal_anomaly(z.where("scenario = 'F'"), z.where("scenario = 'O'"), "tas", ["lat"]), "mean", "low", "high")
 
 
+#: Members in calendars of their own, whose day numbers are decoded there: standard, 365 days and 360 days.
+CALENDARS = {"A": "standard", "N": "noleap", "R": "360_day"}
+STARTS = "[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]"
+OWN_DAYS = f"""own AS (SELECT scenario, member, CASE member WHEN 'A' THEN 'standard' WHEN 'N' THEN 'noleap' ELSE '360_day' END AS calendar, cell_id, lat, tas, day_idx AS n, CASE member WHEN 'N' THEN 365 WHEN 'R' THEN 360 END AS size FROM daily),
+od AS (SELECT *, n - floor(n / size) * size AS rest, 1970 + floor(n / size) AS y FROM own),
+dt AS (SELECT scenario, member, calendar, cell_id, lat, tas, n, (CASE WHEN size IS NULL THEN year(DATE '1970-01-01' + n) ELSE y END)::INT AS year,
+  (CASE calendar WHEN 'standard' THEN month(DATE '1970-01-01' + n) WHEN 'noleap' THEN len(list_filter({STARTS}, lambda x: x <= rest)) ELSE floor(rest / 30) + 1 END)::INT AS month,
+  (CASE calendar WHEN 'standard' THEN day(DATE '1970-01-01' + n) WHEN 'noleap' THEN rest - {STARTS}[len(list_filter({STARTS}, lambda x: x <= rest))] + 1 ELSE rest % 30 + 1 END)::INT AS day,
+  (CASE WHEN size IS NULL THEN dayofyear(DATE '1970-01-01' + n) ELSE rest + 1 END)::INT AS doy FROM od)"""
+OWN_MONTH = "CASE calendar WHEN '360_day' THEN 30 WHEN 'noleap' THEN [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month] ELSE day(last_day(make_date(year, month, 1))) END"
+
+
+def in_own_calendars(spark, sf) -> DataFrame:
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in CALENDARS.items() for x in kv]), F.col("member"))
+    return calendars.decode_days(daily(spark, sf).withColumn("calendar", named), F.col("day_idx"))
+
+
+@query("calendar_days", f"{WITH}, {OWN_DAYS} SELECT scenario, member, cell_id, n AS day_idx, year, month, day, doy, {OWN_MONTH} AS month_days, n AS back FROM dt")
+def calendar_days(spark, sf):
+    """Dates of day numbers in three calendars, and back."""
+    d, c = in_own_calendars(spark, sf), F.col("calendar")
+    parts = [F.col(x) for x in ("year", "month", "day")]
+    return d.select(*CM, "day_idx", "year", "month", "day", "doy", calendars.days_in_month(c, *parts[:2]).alias("month_days"), calendars.day_number(c, *parts).cast("int").alias("back"))
+
+
+@query("calendar_annual", f"{WITH}, {OWN_DAYS}, z AS (SELECT scenario, member, calendar, year, month, lat, avg(tas) AS tas FROM dt GROUP BY ALL), g AS (SELECT scenario, member, calendar, year, month, sum(tas * cos(radians(lat))) / sum(cos(radians(lat))) AS tas FROM z GROUP BY ALL) SELECT scenario, member, year, round(sum(tas * {OWN_MONTH}) / sum({OWN_MONTH}) + 1.7e-8, 6) AS tas FROM g GROUP BY ALL")
+def calendar_annual(spark, sf):
+    """Annual means of series in three calendars: months of 360-day years weigh alike."""
+    return rounded(overview.global_annual_series(in_own_calendars(spark, sf), "tas", ["scenario", "member"]), "tas")
+
+
+@query(
+    "calendar_completeness",
+    f"""{WITH}, {OWN_DAYS}, c AS (SELECT scenario, member, calendar, year, count(DISTINCT n) AS days FROM dt WHERE year BETWEEN 1994 AND 2001 GROUP BY ALL), k AS (SELECT DISTINCT scenario, member, calendar FROM dt),
+y AS (SELECT k.*, u.year, coalesce(days, 0) AS days, CASE k.calendar WHEN '360_day' THEN 360 WHEN 'noleap' THEN 365 ELSE dayofyear(make_date(u.year, 12, 31)) END AS whole FROM k CROSS JOIN (SELECT unnest(range(1994, 2002)) AS year) u LEFT JOIN c ON k.scenario = c.scenario AND k.member = c.member AND u.year = c.year)
+SELECT scenario, member, coalesce(array_to_string(list_sort(list(year) FILTER (days = 0)), ','), '') AS missing, coalesce(array_to_string(list_sort(list(year) FILTER (days > 0 AND days < whole)), ','), '') AS short, count(*) FILTER (days < whole) = 0 AS complete FROM y GROUP BY ALL""",
+)
+def calendar_completeness(spark, sf):
+    """Missing and short years by the length of a year in the series' calendar."""
+    join = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c)
+    return ingest.check_completeness(in_own_calendars(spark, sf), ["scenario", "member"], (1994, 2001), None).select("scenario", "member", join("missing"), join("short"), "complete")
+
+
 LOG = "log AS (SELECT 'M' AS model, o_orderstatus AS scenario, (c_nationkey % 3)::VARCHAR AS member, year(o_orderdate)::INT AS year, round(sum(CASE WHEN c_nationkey < 12 THEN o_totalprice ELSE 0 END) / 1e6 + 1.7e-8, 6) AS north_tg, round(sum(CASE WHEN c_nationkey >= 12 THEN o_totalprice ELSE 0 END) / 1e6 + 1.7e-8, 6) AS south_tg FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 

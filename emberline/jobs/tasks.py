@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import calendars
 from emberline.functions.physics import daily_vpd
 from emberline.jobs.stages import Stage, Stages
 from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
@@ -190,12 +191,18 @@ def discovery(listing: DataFrame, required: list[str], extra: DataFrame | None =
 
 
 def harmonise(raw: DataFrame, variables: list[str], years: tuple[int, int], bbox=None) -> DataFrame:
-    """Raw values (model, scenario, member, file_seq, var, units, lat, lon, year, month, day, hour, doy, day_idx, has_bounds, cell_id, value) to one wide daily table. Bounds of the days, if there are any, are bounds_lo and bounds_hi in days."""
+    """Raw values (model, scenario, member, file_seq, var, units, lat, lon, year, month, day, hour, doy, day_idx, has_bounds, cell_id, value) to one wide daily table. Bounds of the days, if there are any, are bounds_lo and bounds_hi in days.
+
+    With a column calendar, day_idx counts days in it (see calendars), and year, month, day and doy are taken from that number instead of being given."""
     df = ingest.harmonize_columns(raw)
     if {"bounds_lo", "bounds_hi"} <= set(df.columns):
         df = df.withColumn("day_idx", ingest.label_day(F.col("bounds_lo"), F.col("bounds_hi"), F.col("day_idx"))).drop("bounds_lo", "bounds_hi")
     df = ingest.drop_bad_time(df)
+    if "calendar" in df.columns:
+        df = calendars.decode_days(df, F.col("day_idx"))
     df = ingest.dedupe_days(ingest.shift_end_stamps(ingest.wrap_longitudes(df, ingest.SERIES)))
+    if "calendar" in df.columns:  # once more: a stamp at a day's end may have moved to the year before
+        df = calendars.decode_days(df, F.col("day_idx"))
     df = ingest.convert_units(ingest.subset_bbox(ingest.slice_years(df, years), bbox))
-    keys = ["model", "scenario", "member", "cell_id", "lat", "lon", "year", "month", "day", "doy", "day_idx"]
+    keys = ["model", "scenario", "member", *(["calendar"] if "calendar" in df.columns else []), "cell_id", "lat", "lon", "year", "month", "day", "doy", "day_idx"]
     return ingest.merge_variables(df, variables, keys)[0].withColumn("tile", ingest.tile_of(F.col("cell_id")))

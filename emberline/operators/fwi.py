@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import calendars
+
 # Start of the codes; effective day lengths of DMC and day length adjustments of DC, by latitude band and month.
 START = (85.0, 6.0, 15.0)
 CODES = ["dc", "dmc", "ffmc", "isi", "bui", "fwi"]
@@ -102,14 +104,16 @@ def walk(t, h, w, p, month, lat, start=START) -> dict[str, np.ndarray]:
 
 
 def prepend_spinup(daily: DataFrame, keys: list[str], start: int | str) -> DataFrame:
-    """Where a series has no day before the start year (a number, or a column of daily), its first year comes once more as the year before, without 29 February where that year has none."""
+    """Where a series has no day before the start year (a number, or a column of daily), its first year comes once more as the year before, without 29 February where that year has none.
+
+    Years are those of the series' calendar (a column calendar); without one, a series that never has a 31st has months of 30 days."""
     begin = F.first(start) if isinstance(start, str) else F.lit(start)
-    first = daily.groupBy(*keys).agg(F.min("year").alias("_first"), begin.alias("_start"), F.max("day").alias("_long")).where(F.col("_first") >= F.col("_start"))
-    leap = (F.pmod(F.col("year"), F.lit(4)) == 0) & ((F.pmod(F.col("year"), F.lit(100)) != 0) | (F.pmod(F.col("year"), F.lit(400)) == 0))
+    own = F.first("calendar", ignorenulls=True) if "calendar" in daily.columns else F.when(F.max("day") > 30, "standard").otherwise("360_day")
+    first = daily.groupBy(*keys).agg(F.min("year").alias("_first"), begin.alias("_start"), own.alias("_calendar")).where(F.col("_first") >= F.col("_start"))
     copy = daily.join(first.drop("_start"), keys).where("year = _first").withColumn("year", F.col("year") - 1)
-    # In a calendar of 30-day months every day exists in every year.
-    has_31 = F.col("_long") > 30
-    copy = copy.where(~((F.col("month") == 2) & (F.col("day") == 29) & has_31 & ~leap)).withColumn("day_idx", F.col("day_idx") - 366)
+    calendar = calendars.known(F.col("_calendar"))
+    gone = (F.col("month") == 2) & (F.col("day") == 29) & ~calendar.isin(calendars.THIRTY) & ~calendars.is_leap(calendar, F.col("year"))
+    copy = copy.where(~gone).withColumn("day_idx", F.col("day_idx") - 366)
     return daily.unionByName(copy.select(*daily.columns))
 
 

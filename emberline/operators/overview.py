@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions import calendars
 from emberline.operators.regions import spatial_mean
 from emberline.schema import BANDS
 
@@ -17,17 +18,24 @@ def weighted_annual_mean(monthly: DataFrame, value: str, keys: list[str], days:
 
 
 def with_month_days(monthly: DataFrame) -> DataFrame:
-    return monthly.withColumn("days_in_month", F.dayofmonth(F.last_day(F.make_date("year", "month", F.lit(1)))))
+    """days_in_month by each series' own calendar (a column calendar), the standard one without."""
+    own = F.col("calendar") if "calendar" in monthly.columns else F.lit("standard")
+    return monthly.withColumn("days_in_month", calendars.days_in_month(own, F.col("year"), F.col("month")))
+
+
+def by_calendar(df: DataFrame, keys: list[str]) -> list[str]:
+    """The keys of series, whose calendar goes with them."""
+    return [*keys, "calendar"] if "calendar" in df.columns and "calendar" not in keys else keys
 
 
 def global_annual_series(monthly: DataFrame, value: str, keys: list[str], band: str = "Global", drop_years: tuple[int, ...] = ()) -> DataFrame:
-    means = spatial_mean(monthly, value, [*keys, "year", "month"], BANDS[band])
+    means = spatial_mean(monthly, value, [*by_calendar(monthly, keys), "year", "month"], BANDS[band])
     return weighted_annual_mean(with_month_days(means.where(~F.col("year").isin(list(drop_years)) if drop_years else F.lit(True))), value, keys)
 
 
 def zonal_mean_period(monthly: DataFrame, value: str, keys: list[str], years: tuple[int, int]) -> DataFrame:
     """By latitude: mean over longitudes, then over the months of a year, then over the years."""
-    rows = monthly.where(F.col("year").between(*years)).groupBy(*keys, "lat", "year", "month").agg(F.avg(value).alias(value))
+    rows = monthly.where(F.col("year").between(*years)).groupBy(*by_calendar(monthly, keys), "lat", "year", "month").agg(F.avg(value).alias(value))
     return weighted_annual_mean(with_month_days(rows), value, [*keys, "lat"]).groupBy(*keys, "lat").agg(F.avg(value).alias(value))
 
 

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.functions import calendars
 from emberline.functions.physics import at_least_zero, mm_per_day, percent, rh_from_huss, wind_speed
 from emberline.operators.grid import wrap_lon
 from emberline.operators.regions import area_weight, weighted_mean
@@ -154,9 +155,12 @@ def days_per_year(df: DataFrame, keys: list[str], years: tuple[int, int]) -> Dat
     return wanted.join(have, [*keys, "year"], "left").fillna(0, ["days"])
 
 
-def check_completeness(df: DataFrame, keys: list[str], years: tuple[int, int], least: int = 360) -> DataFrame:
-    """Per series its missing years and its short ones."""
+def check_completeness(df: DataFrame, keys: list[str], years: tuple[int, int], least: int | None = 360) -> DataFrame:
+    """Per series its missing years and its short ones: those of fewer than ``least`` days, or with least None those that lack a day of the series' own calendar (a column calendar, the standard one without)."""
     d = days_per_year(df, keys, years)
+    if least is None:
+        own = df.groupBy(*keys).agg(F.first("calendar", ignorenulls=True).alias("_c")) if "calendar" in df.columns else df.select(*keys, F.lit("standard").alias("_c")).distinct()
+        d, least = d.join(own, keys).withColumn("_least", calendars.days_in_year(calendars.known(F.col("_c")), F.col("year"))), F.col("_least")
     some = lambda when: F.sort_array(F.collect_list(F.when(when, F.col("year"))))
     return d.groupBy(*keys).agg(some(F.col("days") == 0).alias("missing"), some((F.col("days") > 0) & (F.col("days") < least)).alias("short")).withColumn("complete", (F.size("missing") == 0) & (F.size("short") == 0))
 

@@ -233,3 +233,40 @@ def test_staged_tables_are_reused(spark, tmp_path):
     for k in (1, 1, 2):
         assert ingest.cached(spark, make, f"{tmp_path}/t", years=k).count() == 3
     assert len(made) == 2
+
+
+def test_calendars_against_python(spark):
+    """Every day of some years, leap and century years among them, by counting; and offsets from a reference date."""
+    import datetime
+
+    from emberline.functions import calendars
+
+    lengths = {"standard": None, "noleap": [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31], "all_leap": [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31], "360_day": [30] * 12}
+    want = {}
+    for name, months in lengths.items():
+        if months is None:
+            first = datetime.date(1899, 1, 1)
+            for k in range(3 * 366 + 1):
+                d = first + datetime.timedelta(k)
+                want[name, (d - datetime.date(1970, 1, 1)).days] = (d.year, d.month, d.day, d.timetuple().tm_yday)
+        else:
+            for y in (1968, 1969, 1970, 2000, 2100):
+                n = (y - 1970) * sum(months)
+                for doy, (m, d) in enumerate(((m, d) for m in range(1, 13) for d in range(1, months[m - 1] + 1)), 1):
+                    want[name, n + doy - 1] = (y, m, d, doy)
+    df = spark.createDataFrame([(c, n) for c, n in want], "calendar string, n int")
+    out = calendars.decode_days(df, F.col("n") + 0.75)
+    back = calendars.day_number(F.col("calendar"), F.col("year"), F.col("month"), F.col("day"))
+    assert {(r["calendar"], r["n"]): (r["year"], r["month"], r["day"], r["doy"]) for r in out.collect()} == want and out.where(back != F.col("n")).count() == 0
+    since = spark.createDataFrame([("360_day", 30.5, "1850-02-30 12:00:00"), ("noleap", 59.0, "2000-01-01"), (None, 59.0, "2000-01-01"), ("365_day", None, "2000-01-01")], "calendar string, x double, since string")
+    assert [tuple(r) for r in calendars.decode_days(since, F.col("x"), F.col("since")).select("year", "month", "day").collect()] == [(1850, 4, 1), (2000, 3, 1), (2000, 2, 29), (None, None, None)]
+    with pytest.raises(Exception, match="unknown calendar mayan"):
+        calendars.decode_days(since.withColumn("calendar", F.lit("Mayan")), F.col("x")).collect()
+
+
+def test_spin_up_in_calendars(spark):
+    """The copied year has the days that the year before has in the series' calendar."""
+    rows = [(c, 2020, m, d, 0) for c in ("standard", "noleap", "all_leap", "360_day") for m, d in ((2, 28), (2, 29), (2, 30), (12, 30)) if not (d == 30 and m == 2 and c != "360_day") and not (d == 29 and c == "noleap")]
+    df = spark.createDataFrame(rows, "calendar string, year int, month int, day int, day_idx int")
+    out = fwi.prepend_spinup(df.withColumn("series", F.col("calendar")), ["series"], 2020).where("year = 2019").groupBy("series").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["series"]: r["n"] for r in out} == {"standard": 2, "noleap": 2, "all_leap": 3, "360_day": 4}
