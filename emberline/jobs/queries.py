@@ -10,7 +10,7 @@ from emberline.jobs import tasks
 from emberline.jobs.cube import CELLS_SQL, DAILY_SQL, OFF_TIES, cells, daily, table, with_vpd
 from emberline.jobs.stages import Stages
 from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
-from emberline.sources import catalog, ingest
+from emberline.sources import catalog, ingest, resolve
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -191,6 +191,46 @@ def smooth_doy(spark, sf):
     return rounded(season.smooth_doy(c, "wind", ["cell_id"]), "wind")
 
 
+def with_components(d: DataFrame) -> DataFrame:
+    """Components of the wind for all members but A, and specific humidity and pressure."""
+    return d.withColumns({"uas": F.when(F.col("member") != "A", F.col("sfcWind") * 0.6), "vas": F.when(F.col("member") != "A", F.col("sfcWind") * 0.3), "huss": F.col("hurs") / 1e4, "ps": F.lit(101325.0)})
+
+
+def entries(d: DataFrame) -> DataFrame:
+    """A catalog: A has wind files in F and lacks all wind files in O, where the catalog names a climatology; N has components; R has wind and specific humidity."""
+    m, s = F.col("member"), F.col("scenario")
+    names = F.when(m == "A", F.when(s == "O", F.array(*map(F.lit, ("tas", "hurs", "pr", "clim")))).otherwise(F.array(*map(F.lit, ("tas", "hurs", "pr", "sfcWind"))))).when(m == "N", F.array(*map(F.lit, ("tas", "hurs", "pr", "uas", "vas")))).otherwise(F.array(*map(F.lit, ("tas", "huss", "ps", "pr", "sfcWind"))))
+    rows = d.select("model", "scenario", "member").distinct().withColumn("var", F.explode(names))
+    return rows.select("model", "scenario", "member", F.when(F.col("var") == "clim", "sfcWind").otherwise(F.col("var")).alias("var"), F.when(F.col("var") == "clim", "wind_climatology").otherwise("netcdf").alias("kind"))
+
+
+CLIM = """donor AS (SELECT cell_id, doy, avg(sqrt(power(sfcWind * 0.6, 2) + power(sfcWind * 0.3, 2))) AS w FROM daily WHERE scenario = 'F' AND member = 'N' AND year BETWEEN 1996 AND 1997 GROUP BY ALL), dn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY doy) AS k, count(*) OVER (PARTITION BY cell_id) AS n FROM donor),
+three AS (SELECT cell_id, doy, k + j * n AS at, k, w, n FROM dn, (SELECT unnest([-1, 0, 1]) AS j)), sm AS (SELECT a.cell_id, a.doy, CASE WHEN count(b.w) = 31 THEN avg(b.w) END::FLOAT AS w FROM dn a JOIN three b ON a.cell_id = b.cell_id AND b.at BETWEEN a.k - 15 AND a.k + 15 GROUP BY ALL)"""
+
+
+@query("wind_climatology", f"{WITH}, {CLIM} SELECT cell_id, doy, round(w::DOUBLE, 4) AS wind FROM sm")
+def wind_climatology(spark, sf):
+    """Wind by day of year of the donor that the catalog leads to: the first member with both components, in the baseline's years."""
+    d = with_components(cube(spark, sf))
+    donors = resolve.donors_of(resolve.plan_inputs(entries(d), ["sfcWind"], "F"))
+    return season.wind_climatology(d, donors, ["cell_id"], "F", (1996, 1997)).select("cell_id", "doy", F.round(F.col("sfcWind").cast("double"), 4).alias("wind"))
+
+
+@query(
+    "resolve_inputs",
+    f"""{WITH}, {CLIM}, near AS (SELECT d.scenario, d.member, d.cell_id, d.day_idx, arg_min(sm.w, struct_pack(x := abs(sm.doy - d.doy), y := sm.doy)) AS w FROM daily d JOIN sm ON d.cell_id = sm.cell_id WHERE d.scenario = 'O' AND d.member = 'A' GROUP BY ALL)
+SELECT scenario, member, cell_id, day_idx, round(CASE WHEN member = 'A' AND scenario = 'O' THEN near.w::DOUBLE WHEN member = 'N' THEN (sqrt(power(sfcWind * 0.6, 2) + power(sfcWind * 0.3, 2)) * (1 + month / 10.0))::FLOAT::DOUBLE ELSE sfcWind END, 3) AS wind,
+  round(CASE WHEN member = 'R' THEN least(greatest(100 * (hurs / 1e4 * 101325.0 / (0.622 + 0.378 * (hurs / 1e4))) / exp(-6096.9385 / tas + 21.2409642 - 2.711193e-2 * tas + 1.673952e-5 * tas * tas + 2.433502 * ln(tas)), 0), 100)::FLOAT::DOUBLE ELSE hurs END, 3) AS hurs
+FROM daily LEFT JOIN near USING (scenario, member, cell_id, day_idx)""",
+)
+def resolve_inputs(spark, sf):
+    """Wind and humidity from where the catalog says: files, components with a monthly ratio, specific humidity, and a donor's climatology."""
+    d = with_components(cube(spark, sf))
+    ratio = d.select("model", "cell_id", "month").distinct().withColumn("ratio", 1 + F.col("month") / 10.0)
+    out = resolve.resolve_inputs(d, resolve.plan_inputs(entries(d), ["sfcWind", "hurs", "tas", "pr"], "F"), ratio, "F", (1996, 1997))
+    return out.select(*CM, "day_idx", F.round(F.col("sfcWind").cast("double"), 3).alias("wind"), F.round(F.col("hurs").cast("double"), 3).alias("hurs"))
+
+
 @query(
     "wind_uv_ratio",
     f"""{WITH}, c AS (SELECT model, cell_id, month, avg(sfcWind) AS s, avg(sqrt(power(sfcWind * 0.6, 2) + power(sfcWind * 0.3, 2))) AS uv FROM daily GROUP BY ALL)

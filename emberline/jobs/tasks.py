@@ -9,8 +9,8 @@ from emberline.functions import calendars
 from emberline.functions.physics import daily_vpd
 from emberline.jobs.stages import Stage, Stages
 from emberline.operators import attribution, classify, extremes, fwi, grid, overview, regions, season, stats
-from emberline.schema import PAIRS, RUNS
-from emberline.sources import catalog, ingest
+from emberline.schema import PAIRS, RUNS, TARGET_PERIOD
+from emberline.sources import catalog, ingest, resolve
 
 MEMBER_CELL = ["model", "run", "member", "cell_id"]
 
@@ -75,13 +75,16 @@ def chunked_index(stages: Stages, chunks: list[Stage]) -> DataFrame:
 
 def fire_weather(
     daily: DataFrame, cells: DataFrame, cell_region: DataFrame, runs=RUNS, target: str = "target", temperature: str | None = None, pairs=PAIRS, absolute: float = 30.0, flux: bool = True,
-    common_res: float | None = 1.0, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None, stages: Stages | None = None,
+    common_res: float | None = 1.0, ratio: DataFrame | None = None, wind_doy: DataFrame | None = None, stages: Stages | None = None, archive: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Daily index, thresholds, days above them, spells, fire season, changes, multi-model mean and regional means.
 
     Each model uses the temperature that choose_fwi_temp finds, unless one is named for all. Series that start with a run's first year run
     up on a copy of it. The multi-model mean is taken on the common grid; common_res None says that all models share one grid.
 
+    archive: the catalog of the members. With it the catalog decides where wind and humidity come from (see resolve), the ratio corrects derived wind, and members that it
+    lacks are left out; without it gaps are filled where they are found (see complete_inputs).
+
     The inputs of all runs, the index, the thresholds, the yearly and monthly metrics and the changes are stages: they are written when this is
     called, unless ``stages`` has them, and every output reads them. The inputs hold both temperatures, so another choice makes the index and
     what follows anew but not the inputs."""
@@ -89,10 +92,16 @@ def fire_weather(
     starts = spark.createDataFrame([(r, y0) for r, _, y0, _ in runs], "run string, _y0 int")
 
     def run_inputs() -> DataFrame:
-        named = with_runs(complete_inputs(daily, ratio, wind_doy), runs, spinup=1)
+        if archive is not None:
+            wanted = ["sfcWind", "hurs", "pr", *[v for v in ("tas", "tasmax") if v in daily.columns]]
+            base = next(((s, (y0, y1)) for r, s, y0, y1 in runs if r == target), (resolve.DONOR_SCENARIO, TARGET_PERIOD))
+            filled = resolve.resolve_inputs(daily, resolve.plan_inputs(archive, wanted, base[0]), ratio, *base)
+        else:
+            filled = complete_inputs(daily, ratio, wind_doy)
+        named = with_runs(filled, runs, spinup=1)
         return fwi.prepend_spinup(named.join(F.broadcast(starts), "run"), ["model", "run", "member"], "_y0").drop("_y0").repartition("model", "run", "member", "tile").sortWithinPartitions("tile", "cell_id", "day_idx")
 
-    inputs = stages.stage("inputs", run_inputs, partition_by=("model", "run", "member"), runs=runs, columns=sorted(daily.columns), ratio=ratio is not None, wind_doy=wind_doy is not None)
+    inputs = stages.stage("inputs", run_inputs, partition_by=("model", "run", "member"), runs=runs, columns=sorted(daily.columns), ratio=ratio is not None, wind_doy=wind_doy is not None, archive=archive is not None)
     both = {"tas", "tasmax"} <= set(daily.columns)
     if temperature is None and both:
         # A row per model: small enough to be part of the index's name.

@@ -187,11 +187,14 @@ def lookup_month(daily: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
 
 
 def lookup_doy(daily: DataFrame, climatology: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Climatology by day of year, days 1 to 366, absent ones from the nearest present (the earlier on ties)."""
-    days = climatology.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("doy", *values))).alias("_c"))
-    at = F.explode(F.sequence(F.lit(1), F.lit(366)))
-    pick = F.expr("array_min(transform(_c, x -> struct(abs(x.doy - _doy) AS d, x AS v)))")
-    full = days.select(*keys, "_c", at.alias("_doy")).withColumn("_v", pick).select(*keys, F.col("_doy").alias("doy"), *[F.col(f"_v.v.{v}").alias(v) for v in values])
+    """Climatology by day of year, days 1 to 366, absent ones from the nearest present (the earlier on ties): one pass forwards and one backwards over the days of a key."""
+    days = climatology.select(*keys).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(366))))
+    full = days.join(climatology.select(*keys, "doy", F.struct("doy", *values).alias("_v")), [*keys, "doy"], "left")
+    along = Window.partitionBy(*keys).orderBy("doy")
+    before = F.last("_v", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_v", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    near = F.when(F.col("_a").isNull() | (F.col("doy") - F.col("_b.doy") <= F.col("_a.doy") - F.col("doy")), F.col("_b")).otherwise(F.col("_a"))
+    full = full.withColumns({"_b": before, "_a": after}).select(*keys, "doy", near.alias("_v")).select(*keys, "doy", *[F.col(f"_v.{v}").alias(v) for v in values])
     return daily.join(full, [*keys, "doy"], "left")
 
 

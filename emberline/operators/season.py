@@ -60,11 +60,10 @@ def smooth_doy(climatology: DataFrame, value: str, keys: list[str], window: int
     return padded.withColumn(value, F.when(full, F.avg(value).over(near))).where("_at = _k").drop("_k", "_n", "_at")
 
 
-def wind_climatology(daily: DataFrame, keys: list[str], window: int = 31) -> DataFrame:
-    """Smoothed wind by day of year from the first member by name that has both components."""
-    has = daily.where("uas IS NOT NULL AND vas IS NOT NULL")
-    donor = has.groupBy("model").agg(F.min("member").alias("member"))
-    return smooth_doy(doy_climatology(has.join(donor, ["model", "member"]), F.hypot("uas", "vas"), keys, "wind"), "wind", keys, window)
+def wind_climatology(daily: DataFrame, donors: DataFrame, keys: list[str], scenario: str, years: tuple[int, int], window: int = 31) -> DataFrame:
+    """(keys, doy, sfcWind): smoothed speed of the components by day of year, of the donors (model, member) in one scenario and the given years."""
+    days = daily.where((F.col("scenario") == scenario) & F.col("year").between(*years)).join(donors, ["model", "member"], "left_semi")
+    return smooth_doy(doy_climatology(days, F.hypot("uas", "vas"), keys, "sfcWind"), "sfcWind", keys, window).withColumn("sfcWind", F.col("sfcWind").cast("float"))
 
 
 def wind_uv_ratio(daily: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.jobs import tasks
 from emberline.jobs.stages import Stages
 from emberline.operators import attribution, fwi, grid, stats
+from emberline.sources import catalog, resolve
 
 RUNS = [("target", "ssp245", 2020, 2021), ("ssp245", "ssp245", 2064, 2065), ("exp", "exp", 2064, 2065)]
 PAIRS = [("exp-target", "exp", "target"), ("exp-ssp245", "exp", "ssp245")]
@@ -230,3 +231,20 @@ def test_multimodel_on_grids_of_their_own(spark):
     got = {r["cell_id"]: (r["mean"], r["models"], r["robust"]) for r in stats.multimodel(stacked, ["pair", "cell_id"]).collect()}
     at = lambda lat, lon: int((lat + 90) // 10 * 36 + (lon + 180) // 10)
     assert got == {at(x, y): (pytest.approx(1.5 * (x + y)), 2, True) for x in (5.0, 15.0) for y in (5.0, 15.0)}
+
+
+def test_catalog_decides_where_wind_comes_from(spark, archive):
+    """A model whose catalog entry names the climatology runs on its donor's wind; the other's file stays."""
+    daily = archive[0].where("cell_id = 0 AND model IN ('A', 'B')").withColumns({"uas": F.lit(6.0), "vas": F.lit(8.0), "model": F.when(F.col("model") == "A", "MIROC-ES2H").otherwise("B")})
+    entries = [(m, s, r, v, "netcdf", [f"{v}.nc"]) for m in ("MIROC-ES2H", "B") for s in ("ssp245", "exp") for r in ("r1", "r2") for v in ("tas", "hurs", "sfcWind", "pr", *(("uas", "vas") if s == "ssp245" and r == "r2" else ()))]
+    found = catalog.apply_known_issues(spark.createDataFrame(entries, "model string, scenario string, member string, var string, kind string, paths array<string>").withColumn("var_name", F.col("var")))
+    plan = resolve.plan_inputs(found, ["sfcWind", "hurs", "tasmax", "huss"])
+    how = {(r["model"], r["var"]): (r["how"], r["donor"]) for r in plan.collect()}
+    assert how == {("MIROC-ES2H", "sfcWind"): ("climatology", "r2"), ("B", "sfcWind"): ("file", None), **{(m, "hurs"): ("file", None) for m in ("MIROC-ES2H", "B")}, **{(m, "tasmax"): ("absent", None) for m in ("MIROC-ES2H", "B")}, **{(m, "huss"): ("missing", None) for m in ("MIROC-ES2H", "B")}}
+    out = tasks.fire_weather(daily, *archive[1:], runs=RUNS, pairs=PAIRS, absolute=5.0, common_res=None, archive=found)
+    plain = tasks.fire_weather(daily, *archive[1:], runs=RUNS, pairs=PAIRS, absolute=5.0, common_res=None)
+    mean = lambda o: {r[0]: r[1] for r in o["index"].groupBy("model").agg(F.avg("fwi")).collect()}
+    a, b = mean(out), mean(plain)
+    assert a["MIROC-ES2H"] > 1.5 * b["MIROC-ES2H"] and a["B"] == pytest.approx(b["B"])
+    with pytest.raises(Exception, match="no source for hurs"):
+        resolve.resolve_inputs(daily, resolve.plan_inputs(found.where("var <> 'hurs'"), ["sfcWind", "hurs"])).collect()
