@@ -829,3 +829,22 @@ def assign_regions(spark, sf):
     ring = lambda lo, hi: [(1.0 - 0.5, lo), (200.5, lo), (200.5, hi), (0.5, hi)]
     polygons = spark.createDataFrame([("S", "South", ring(-90.0, 3.5)), ("N", "North", ring(3.5, 90.0))], "region string, region_name string, ring array<struct<lon double, lat double>>")
     return regions.assign_regions(stations(spark, sf), polygons)
+
+
+@query(
+    "assign_polygons",
+    f"""WITH {STATIONS}, p AS (SELECT cell_id, lat, lon AS e, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS x FROM st)
+SELECT cell_id, 'H' AS region, 'hole and island' AS region_name FROM p WHERE (x BETWEEN 10.5 AND 60.5 AND lat BETWEEN -30.5 AND 30.5 AND NOT (x BETWEEN 20.5 AND 40.5 AND lat BETWEEN -10.5 AND 10.5)) OR (x BETWEEN 26.5 AND 30.5 AND lat BETWEEN -4.5 AND 4.5) OR (x BETWEEN 100.5 AND 110.5 AND lat BETWEEN -5.5 AND 5.5)
+UNION ALL SELECT cell_id, 'D', 'across 180' FROM p WHERE e BETWEEN 160.5 AND 209.5 AND lat BETWEEN 0.5 AND 50.5
+UNION ALL SELECT cell_id, 'T', 'triangle' FROM p WHERE lat > -60.7 AND (lat + 60.7) * 45 < 81.4 * (x - 0.3) AND (lat + 60.7) * 45 < 81.4 * (90.3 - x)""",
+)
+def assign_polygons(spark, sf):
+    """Customers' places in a region with a hole, an island in it and one outside, one across 180°, and one with slanting sides."""
+    box = lambda w, e, s, n: [(w, s), (e, s), (e, n), (w, n)]
+    rows = [
+        ("H", "hole and island", [box(10.5, 60.5, -30.5, 30.5), box(20.5, 40.5, -10.5, 10.5), box(26.5, 30.5, -4.5, 4.5), box(100.5, 110.5, -5.5, 5.5)], False),
+        ("D", "across 180", [box(160.5, -150.5, 0.5, 50.5)], True),
+        ("T", "triangle", [[(0.3, -60.7), (90.3, -60.7), (45.3, 20.7)]], False),
+    ]
+    polygons = spark.createDataFrame(rows, "region string, region_name string, rings array<array<struct<lon double, lat double>>>, wraps boolean")
+    return regions.assign_regions(stations(spark, sf), polygons)

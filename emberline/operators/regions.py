@@ -2,60 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.season import month_days
 
 #: Bridge tables up to this many rows are broadcast.
 BROADCAST_BRIDGE = 1_000_000
-#: Points of all rings that are sent to the tasks as they are.
-SMALL_RINGS = 1_000_000
 ICE_SHEETS = ["GIC", "EAN", "WAN"]
 
 
-def in_ring(lon: np.ndarray, lat: np.ndarray, ring) -> np.ndarray:
-    """Whether points lie in a closed ring, by the parity of the edges to the east."""
-    x, y = np.array([p["lon"] for p in ring]), np.array([p["lat"] for p in ring])
-    x2, y2 = np.roll(x, -1), np.roll(y, -1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        crosses = (y[None] > lat[:, None]) != (y2[None] > lat[:, None])
-        at = x[None] + (lat[:, None] - y[None]) / (y2 - y)[None] * (x2 - x)[None]
-    return (crosses & (lon[:, None] < at)).sum(axis=1) % 2 == 1
-
-
-def assign_regions(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(cell_id, region, region_name) for cells (cell_id, lat, lon) in polygons (region, region_name, ring array<struct<lon, lat>>). A cell may be in several regions.
-
-    Up to SMALL_RINGS points of rings go to the tasks as they are; beyond that cells meet the polygons whose bounding box holds them."""
-    n_points = polygons.agg(F.sum(F.size("ring"))).first()[0] or 0
-    out = "cell_id long, region string, region_name string"
-    if n_points <= SMALL_RINGS:
-        rings = cells.sparkSession.sparkContext.broadcast([(r["region"], r["region_name"], [(p["lon"], p["lat"]) for p in r["ring"]]) for r in polygons.collect()])
-
-        def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                lon, lat = b["lon"].to_numpy(), b["lat"].to_numpy()
-                for region, name, ring in rings.value:
-                    ok = in_ring(lon, lat, [{"lon": x, "lat": y} for x, y in ring])
-                    yield pd.DataFrame({"cell_id": b["cell_id"][ok].astype("int64"), "region": region, "region_name": name})
-
-        return cells.where("lat IS NOT NULL AND lon IS NOT NULL").select("cell_id", "lat", "lon").mapInPandas(members, out).distinct()
-    numbered = polygons.withColumn("_ring", F.xxhash64("region", "ring"))
-    boxed = numbered.select("_ring", *[f(F.expr(f"transform(ring, p -> p.{c})")).alias(f"_{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
-    near = cells.join(boxed, F.col("lat").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("lon").between(F.col("_lo_lon"), F.col("_hi_lon"))).groupBy("_ring").agg(F.collect_list(F.struct("cell_id", "lat", "lon")).alias("points"))
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for region, name, ring, points in zip(b["region"], b["region_name"], b["ring"], b["points"]):
-                ok = in_ring(np.array([p["lon"] for p in points]), np.array([p["lat"] for p in points]), ring)
-                yield pd.DataFrame({"cell_id": np.array([p["cell_id"] for p in points], np.int64)[ok], "region": region, "region_name": name})
-
-    return numbered.join(near, "_ring").select("region", "region_name", "ring", "points").mapInPandas(inside, out).distinct()
+def polygon_edges(polygons: DataFrame, tile: float) -> DataFrame:
+    """(region, region_name, _p, row, x1, y1, x2, y2, lo, hi): the edges of all rings in each row of tiles that they pass, with the longitudes lo to hi that they have in it.
+
+    Rings close by themselves. Of a polygon that wraps, an edge goes the shorter way round, so longitudes run on beyond 180."""
+    rings = polygons.select("region", "region_name", "_p", F.posexplode("rings").alias("_part", "_ring"), "wraps").select("region", "region_name", "_p", "_part", "wraps", F.posexplode("_ring").alias("_k", "_v"))
+    ring = Window.partitionBy("region", "region_name", "_p", "_part").orderBy("_k")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = rings.select("*", F.col("_v.lon").alias("_lon"), F.col("_v.lat").alias("y1")).withColumns({f"_next_{c}": F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)) for c in ("_lon", "y1")})
+    step = F.pmod(F.col("_next__lon") - F.col("_lon") + 180, F.lit(360.0)) - 180
+    way = F.first("_lon").over(whole) + F.coalesce(F.sum("_step").over(ring.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # Whole turns are added to the longitudes as they are given, so nothing is lost by summing.
+    near = lambda lon, at: F.when(F.col("wraps"), lon + 360 * F.round((at - lon) / 360)).otherwise(lon)
+    edges = v.withColumn("_step", step).withColumn("x1", near(F.col("_lon"), way)).withColumn("x2", near(F.col("_next__lon"), F.col("x1") + F.col("_step"))).withColumnRenamed("_next_y1", "y2")
+    edges = edges.where("x1 <> x2 OR y1 <> y2")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.select("region", "region_name", "_p", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile))).alias("row"))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")))
+    a, b = at(F.greatest(low, F.col("row") * tile)), at(F.least(high, (F.col("row") + 1) * tile))
+    return rows.select("*", F.coalesce(F.least(a, b), F.least("x1", "x2")).alias("lo"), F.coalesce(F.greatest(a, b), F.greatest("x1", "x2")).alias("hi"))
+
+
+def turned(lon: Column) -> Column:
+    """The longitude from -180 on, below 180; one that is so already stays as it is."""
+    return lon - 360 * F.floor((lon + 180) / 360)
+
+
+def inside(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point (turned) lies within rings, by the parity of the edges to the east: a ring within a ring is a hole, and one within that an island.
+
+    Rings may have been drawn a turn apart, so the point is seen from three turns; from those in which it lies outside a ring, the ring has an even number of edges."""
+    at = lambda e: e["x1"] + (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) * (e["x2"] - e["x1"])
+    east = lambda e: sum(((x + 360 * k < at(e)).cast("int") for k in (0, 1)), (x - 360 < at(e)).cast("int"))
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when((e["y1"] > y) != (e["y2"] > y), east(e)).otherwise(0)) % 2 == 1
+
+
+def region_tiles(rows: DataFrame, tile: float, around: int) -> DataFrame:
+    """(region, region_name, _p, row, col, edge) of the tiles that a polygon covers wholly (edge false) or that an edge passes. Of a polygon's rows of tiles with their edges."""
+    first, last = (F.floor(f(F.transform("edges", lambda e: e[c])) / tile) for f, c in ((F.array_min, "lo"), (F.array_max, "hi")))
+    span = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + around)), lambda c: F.pmod(c, F.lit(around))))
+    tiles = rows.select("region", "region_name", "_p", "row", "edges", F.explode(span).alias("col"))
+    west, slack = F.col("col") * tile, 1e-9
+    # Some turn of the edge overlaps the tile.
+    edge = F.exists("edges", lambda e: F.ceil((e["lo"] - west - tile - slack) / 360) <= F.floor((e["hi"] - west + slack) / 360))
+    centre = inside(F.col("edges"), turned(west + tile / 2), (F.col("row") + 0.5) * tile)
+    return tiles.select("region", "region_name", "_p", "row", "col", edge.alias("edge"), centre.alias("_in")).where("edge OR _in").drop("_in")
+
+
+def assign_regions(cells: DataFrame, polygons: DataFrame, tile: float = 2.0) -> DataFrame:
+    """(cell_id, region, region_name) for cells (cell_id, lat, lon) in polygons (region, region_name, rings array<array<struct<lon, lat>>>, or one ring). A cell may be in several regions; a region may have several rows.
+
+    Rings may have holes and islands, and a polygon whose column ``wraps`` is true crosses 180°: its edges go the shorter way. Longitudes of cells
+    and rings may be of either convention. The polygons are laid over a grid of tiles (whole parts of 360°): cells in tiles wholly inside
+    are members at once, and only those in tiles that an edge passes are tested, against the edges of that row of tiles. Cells without a place are in no region."""
+    around = round(360 / tile)
+    if abs(around * tile - 360) > 1e-9:
+        raise ValueError("tile is a whole part of 360")
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    wraps = F.coalesce(F.col("wraps"), F.lit(False)) if "wraps" in polygons.columns else F.lit(False)
+    shapes = polygons.select("region", "region_name", rings.alias("rings"), wraps.alias("wraps")).distinct().withColumn("_p", F.xxhash64("region", "region_name", "rings", "wraps"))
+    edge = F.struct("x1", "y1", "x2", "y2", "lo", "hi")
+    # A polygon's edges within a row of tiles.
+    rows = polygon_edges(shapes, tile).groupBy("region", "region_name", "_p", "row").agg(F.collect_list(edge).alias("edges"))
+    tiles = region_tiles(rows, tile, around)
+    at = cells.where("lat IS NOT NULL AND lon IS NOT NULL").select("cell_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    at = at.withColumns({"row": F.floor(F.col("lat") / tile), "col": F.pmod(F.floor(F.col("lon") / tile), F.lit(around))})
+    near = at.join(tiles, ["row", "col"])
+    sure = near.where(~F.col("edge")).select("cell_id", "region", "region_name")
+    tested = near.where("edge").join(rows.select("_p", "row", "edges"), ["_p", "row"]).where(inside(F.col("edges"), turned(F.col("lon")), F.col("lat"))).select("cell_id", "region", "region_name")
+    return sure.unionByName(tested).distinct()
 
 
 def land_mask(cells: DataFrame, cell_region: DataFrame) -> DataFrame:

@@ -101,14 +101,13 @@ def test_staggered_components_meet_at_centres(spark):
     assert got == [(i * 3 + j, x + 2 * y, x - y) for i, x in enumerate(lat) for j, y in enumerate(lon)]
 
 
-def test_many_ring_points_take_the_join(spark, monkeypatch):
+def test_tiles_of_any_size(spark):
     square = lambda x: [(x, 0.0), (x + 10, 0.0), (x + 10, 10.0), (x, 10.0)]
     polygons = spark.createDataFrame([("a", "A", square(0.0)), ("b", "B", square(5.0)), ("b", "B", square(40.0))], "region string, region_name string, ring array<struct<lon double, lat double>>")
     cells = spark.createDataFrame([(i, 5.0, i * 3.0 + 1) for i in range(18)], "cell_id long, lat double, lon double")
     want = sorted([(i, "a", "A") for i in range(18) if i * 3 + 1 < 10] + [(i, "b", "B") for i in range(18) if 5 < i * 3 + 1 < 15 or 40 <= i * 3 + 1 < 50])
     assert rows(regions.assign_regions(cells, polygons)) == want
-    monkeypatch.setattr(regions, "SMALL_RINGS", 0)
-    assert rows(regions.assign_regions(cells, polygons)) == want
+    assert rows(regions.assign_regions(cells, polygons, 90.0)) == want and rows(regions.assign_regions(cells, polygons, 0.5)) == want
 
 
 def test_ensemble_delta_needs_maps(spark):
@@ -125,3 +124,36 @@ def test_inputs_that_lack_wind_and_humidity(spark):
     clim = spark.createDataFrame([("B", 0, 4, 7.0), ("B", 0, 200, 9.0)], "model string, cell_id long, doy int, sfcWind double")
     got = tasks.complete_inputs(daily, ratio, clim).collect()
     assert {(r["model"], round(r["sfcWind"], 4)) for r in got} == {("A", 6.0), ("B", 7.0)} and all(70 < r["hurs"] < 100 for r in got)
+
+
+def test_polygons_against_all_edges(spark):
+    """Random stars with holes, some across 180°, on tiles of two sizes, against a plain test of every edge of every ring."""
+    import math
+    import random
+
+    rng = random.Random(3)
+
+    def star(x, y, r, n):
+        return [(x + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), max(-89.0, min(89.0, y + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)))) for k in range(n)]
+
+    shapes = [(f"R{k}", [star(x, y, r, 9), star(x, y, r / 4, 5), star(x + 2 * r, y, r / 3, 4)]) for k, (x, y, r) in enumerate([(10, 10, 30), (175, -20, 25), (-178, 60, 20), (0, 0, 5), (200, 30, 12)])]
+    place = [(k, rng.uniform(-89, 89), rng.uniform(-180, 180)) for k in range(1500)] + [(9000, None, 1.0), (9001, 10.0, 350.0), (9002, 10.0, -10.0)]
+
+    def within(rings, lat, lon):
+        n = 0
+        for turn in (-360, 0, 360):
+            for ring in rings:
+                for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                    n += (y1 > lat) != (y2 > lat) and lon + turn < x1 + (lat - y1) / (y2 - y1) * (x2 - x1)
+        return n % 2 == 1
+
+    want = {(c, name) for c, lat, lon in place if lat is not None for name, rings in shapes if within(rings, lat, lon)}
+    short = lambda x: (x + 180) % 360 - 180
+    given = [(name, name, [[(short(x), y) for x, y in ring] for ring in rings], True) for name, rings in shapes]
+    polygons = spark.createDataFrame(given + given[:1], "region string, region_name string, rings array<array<struct<lon double, lat double>>>, wraps boolean")
+    cells = spark.createDataFrame(place, "cell_id long, lat double, lon double")
+    for tile in (1.0, 10.0):
+        assert {(r["cell_id"], r["region"]) for r in regions.assign_regions(cells, polygons, tile).collect()} == want
+    assert regions.assign_regions(cells, polygons.where("region = 'none'")).count() == 0
+    with pytest.raises(ValueError):
+        regions.assign_regions(cells, polygons, 7.0)
