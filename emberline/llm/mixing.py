@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source gets the same real number of copies, target / source size. Its whole part is taken as it is; the
-fractional parts are rounded by pivotal pairing: of two documents, words of copy probability go from one to the other, in a
-random direction that keeps both expectations, until one of the two is integral. What a source takes in words is so kept at
-every pairing. Pairings run within blocks of bounded size, whatever a source's size; each block leaves one fractional
-document at most, and these residuals meet in the blocks of the next level of a tree, until one is left for each source.
+fractional parts are rounded by pivotal pairing: a document is paired with the next smaller ones of its block, as many as can settle
+it, and words of copy probability go from it to them or back, in a random direction that keeps all expectations, until one is integral.
+What a source takes in words is so kept at every pairing. Pairings run within blocks of bounded size, whatever a source's size; each
+block leaves one fractional document at most, and these residuals meet in the blocks of the next level of a tree, until one is left for
+each source. There the words count for more than one document's expectation: one that could be settled to one side only goes there.
 Draws depend on the seed, the source and the block alone, so reruns agree on any cluster.
 """
 
@@ -24,28 +25,41 @@ BROADCAST_SOURCES = 50_000
 EPS = 1e-9
 
 
-def pivotal(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Round p (each in 0..1) but for one entry at most, keeping the sum of p * size and each entry's expectation."""
-    p, held = p.astype(float).tolist(), -1
-    for j, (s_j, u) in enumerate(zip(size.tolist(), draws.tolist(), strict=True)):
-        if not EPS < p[j] < 1 - EPS:
-            p[j] = float(round(p[j]))
-            continue
-        if held < 0:
-            held = j
-            continue
-        i, s_i = held, size[held]
-        up = min((1 - p[i]) * s_i, p[j] * s_j)  # words that i can take from j
-        down = min(p[i] * s_i, (1 - p[j]) * s_j)
-        move = up if u * (up + down) < down else -down
-        p[i] += move / s_i
-        p[j] -= move / s_j
-        open_ = [k for k in (i, j) if EPS < p[k] < 1 - EPS]
-        for k in (i, j):
-            if k not in open_:
-                p[k] = float(round(p[k]))
-        held = open_[0] if open_ else -1
-    return np.array(p)
+def pivotal(p: np.ndarray, size: np.ndarray, draws: np.ndarray, last: bool = False) -> np.ndarray:
+    """Round p (each in 0..1) but for one entry at most, keeping the sum of p * size and each entry's expectation. Sizes come in falling order.
+
+    The largest open entry is paired with the next smaller ones together, as many as it takes to settle it: words move from it to them
+    or back, in a random direction that keeps all expectations, until it is integral or one of them is. They share a move by p (1 - p), the same for
+    both directions. So an entry that outweighs each of the others does not stay open to the end: what is left over is mostly a small one.
+    last: there is no further level, so an entry that all others together can settle to one side only goes to that side, which keeps the sum, not its expectation."""
+    p, size, moves = p.astype(float).copy(), size.astype(float), iter(draws.tolist())
+    fixed = (p <= EPS) | (p >= 1 - EPS)
+    p[fixed] = np.round(p[fixed])
+    for i in range(len(p) - 1):
+        while EPS < p[i] < 1 - EPS:
+            partners = 1
+            while True:
+                rest, heavy = p[i + 1 : i + 1 + partners], size[i + 1 : i + 1 + partners]
+                share = rest * (1 - rest)
+                total, open_ = float((share * heavy).sum()), rest[share > 0]
+                # Words that it can take from them, and that they can take from it.
+                give, take = (total / (1 - open_.min()), total / open_.max()) if total > 0 else (0.0, 0.0)
+                if i + 1 + partners >= len(p) or (give >= (1 - p[i]) * size[i] and take >= p[i] * size[i]):
+                    break
+                partners *= 2
+            if total <= 0:  # all after it are settled
+                return p
+            up, down = min((1 - p[i]) * size[i], give), min(p[i] * size[i], take)
+            rises = next(moves) * (up + down) < down  # a move settles it or one of them, so there are no more moves than entries
+            if last and (give >= (1 - p[i]) * size[i]) != (take >= p[i] * size[i]):
+                rises = give >= (1 - p[i]) * size[i]
+            move = up if rises else -down
+            p[i] += move / size[i]
+            rest -= move * share / total
+            near = (rest <= EPS) | (rest >= 1 - EPS)
+            rest[near] = np.round(rest[near])
+        p[i] = np.round(p[i])
+    return p
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max_repeat: float) -> DataFrame:
@@ -106,7 +120,7 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "_hash", "_id", "_nth"], ascending=[False, True, True, True], kind="stable")
             rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, level, int(pdf["_rank"].iloc[0]), int(pdf["_block"].iloc[0])])))
-            p = pivotal(pdf["_p"].to_numpy(), pdf["size"].to_numpy(dtype=float), rng.random(len(pdf)))
+            p = pivotal(pdf["_p"].to_numpy(), pdf["size"].to_numpy(dtype=float), rng.random(len(pdf)), last)
             if last:
                 p = np.where((p > 0) & (p < 1), rng.random(len(pdf)) < p, p)
             return pdf.assign(_p=p)

@@ -525,6 +525,13 @@ def test_mixing(docs, empty, monkeypatch):
     assert mixing.mix(docs).columns == docs.columns and sum(mixed.values()) > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_comes_near_small_targets(spark):
+    """Documents that outweigh all others of their source by far: each source still comes within 2 % of its target."""
+    rows = [(s * 1000 + k, f"s{s}", int(20_000 / (k + 1) ** 1.5) + 3) for s in range(6) for k in range(60)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, source string, size long"), seed=5).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 6 and max(abs(r["taken"] / r["target"] - 1) for r in got) <= 0.02
+
+
 # Pipeline
 
 
