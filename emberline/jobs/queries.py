@@ -77,6 +77,14 @@ def pooled_p95(spark, sf):
     return rounded(thresholds(cube(spark, sf)), "threshold")
 
 
+@query("selected_p95", f"{WITH}, k AS (SELECT scenario, quantile_cont(vpd, 0.95) AS threshold, quantile_cont(pr, 0.5) AS rain FROM daily GROUP BY scenario) SELECT scenario, round(threshold + 1.7e-8, 6) AS threshold, round(rain + 1.7e-8, 6) AS rain FROM k")
+def selected_p95(spark, sf):
+    """Quantiles of two keys that hold all rows, by selection; half of the rain values are alike."""
+    d = cube(spark, sf)
+    rain = extremes.selected_quantile(d, "pr", ["scenario"], 0.5, bins=16, held=100).withColumnRenamed("threshold", "rain")
+    return rounded(extremes.selected_quantile(d, "vpd", ["scenario"], bins=64, held=100).join(rain, "scenario"), "threshold", "rain")
+
+
 @query("yearly_metrics", f"{WITH}, {YEARLY} SELECT * FROM yearly")
 def yearly_metrics(spark, sf):
     d = cube(spark, sf)
@@ -848,3 +856,17 @@ def assign_polygons(spark, sf):
     ]
     polygons = spark.createDataFrame(rows, "region string, region_name string, rings array<array<struct<lon double, lat double>>>, wraps boolean")
     return regions.assign_regions(stations(spark, sf), polygons)
+
+
+@query(
+    "nearest_points",
+    """WITH t AS (SELECT c_custkey::BIGINT AS target_id, radians((c_custkey * 7919 % 17993) / 100.0::DOUBLE - 89.9) AS lat, radians((c_custkey * 10473 % 35993) / 100.0::DOUBLE) AS lon FROM customer),
+s AS (SELECT s_suppkey::BIGINT AS cell_id, radians((s_suppkey * 6151 % 17989) / 100.0::DOUBLE - 89.9) AS lat, radians((s_suppkey * 9859 % 35983) / 100.0::DOUBLE) AS lon FROM supplier)
+SELECT target_id, arg_min(cell_id, power(cos(t.lat) * cos(t.lon) - cos(s.lat) * cos(s.lon), 2) + power(cos(t.lat) * sin(t.lon) - cos(s.lat) * sin(s.lon), 2) + power(sin(t.lat) - sin(s.lat), 2)) AS cell_id FROM t CROSS JOIN s GROUP BY target_id""",
+)
+def nearest_points(spark, sf):
+    """The nearest supplier of every customer, both scattered over the globe."""
+    at = lambda key, a, m, turn: ((F.col(key).cast("long") * a % m) / 100.0 - turn)
+    target = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("target_id"), at("c_custkey", 7919, 17993, 89.9).alias("lat"), at("c_custkey", 10473, 35993, 0.0).alias("lon"))
+    source = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("cell_id"), at("s_suppkey", 6151, 17989, 89.9).alias("lat"), at("s_suppkey", 9859, 35983, 0.0).alias("lon"))
+    return grid.nearest_points(source, target).select("target_id", "cell_id")

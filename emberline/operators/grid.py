@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.lineage import kept
+
 #: Weight tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_WEIGHTS = 1_000_000
 
@@ -50,6 +54,46 @@ def nearest_weights(cells: DataFrame, target: DataFrame) -> DataFrame:
     return weight_table(cells, target, *(nearest(axis(cells, n), axis(target, n)) for n in ("lat", "lon")))
 
 
+def on_sphere(points: DataFrame) -> DataFrame:
+    """points with _x, _y, _z on the unit sphere."""
+    lat, lon = F.radians(F.col("lat").cast("double")), F.radians(F.col("lon").cast("double"))
+    return points.withColumns({"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)})
+
+
+def nearest_points(cells: DataFrame, target: DataFrame, start: float | None = None) -> DataFrame:
+    """(target_id, cell_id, w = 1): the nearest cell of each target by great circle, the smallest number on ties, for points of any arrangement: curvilinear and unstructured grids.
+
+    Points are put into cubes. The nearest of the 27 cubes around a target is the nearest of all if it is no farther than a cube's side; targets for which it isn't go into
+    the next round, with cubes of twice the side. start: the first side, by default such that a cube has a few cells if they are spread evenly. Points without a place are
+    left out."""
+    there = "lat IS NOT NULL AND lon IS NOT NULL"
+    source, left = on_sphere(cells.where(there)).select("cell_id", "_x", "_y", "_z"), on_sphere(target.where(there)).select("target_id", "_x", "_y", "_z")
+    n = source.count()
+    if n == 0:
+        return left.select("target_id", F.lit(None).cast("long").alias("cell_id"), F.lit(1.0).alias("w")).limit(0)
+    side, found = start or min(2.0, 2 * (4 * math.pi / n) ** 0.5), None
+    axes = ("_x", "_y", "_z")
+    while True:
+        cube = lambda p, step=side: [F.floor(F.col(c) / step) for c in axes]
+        held = source.select("cell_id", *[F.col(c).alias(f"s{c}") for c in axes], *[x.alias(f"c{c}") for c, x in zip(axes, cube(source), strict=True)])
+        near = left
+        for c, x in zip(axes, cube(left), strict=True):
+            near = near.withColumn(f"c{c}", F.explode(F.array(x - 1, x, x + 1)))
+        apart = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in axes), F.lit(0.0))
+        best = near.join(held, [f"c{c}" for c in axes]).groupBy("target_id").agg(F.min(F.struct(apart.alias("d"), "cell_id")).alias("_b"))
+        # Beyond the side of two there is no point left out.
+        best = kept(best)
+        sure = best if side >= 2 else best.where(F.col("_b.d") <= side * side)
+        done = sure.select("target_id", F.col("_b.cell_id").alias("cell_id"), F.lit(1.0).alias("w"))
+        found = done if found is None else found.unionByName(done)
+        if side >= 2:
+            return found
+        left = kept(left.join(done.select("target_id"), "target_id", "left_anti"))
+        if left.isEmpty():
+            return found
+        side *= 2
+
+
 def apply_weights(field: DataFrame, weights: DataFrame, values: list[str], keys: list[str], skip_null: bool = False) -> DataFrame:
     """Fields on target cells: sum of w × value. A target with a null source is null, unless skip_null. Serves bilinear, nearest and sparse (conservative) weights alike."""
     small = weights.count() <= BROADCAST_WEIGHTS

@@ -270,3 +270,34 @@ def test_spin_up_in_calendars(spark):
     df = spark.createDataFrame(rows, "calendar string, year int, month int, day int, day_idx int")
     out = fwi.prepend_spinup(df.withColumn("series", F.col("calendar")), ["series"], 2020).where("year = 2019").groupBy("series").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["series"]: r["n"] for r in out} == {"standard": 2, "noleap": 2, "all_leap": 3, "360_day": 4}
+
+
+def test_selection_equals_percentile_to_the_bit(spark):
+    """One key with most rows, one with a single row, equal values, extremes of the range, nulls; in few bins, so that several rounds run."""
+    import random
+
+    rng = random.Random(0)
+    rows = [("a", rng.gauss(0, 1) * 10 ** rng.randint(-3, 3)) for _ in range(5000)] + [("b", 7.0)] + [("c", 2.5)] * 400 + [("d", x) for x in (-1e308, 1e308, 0.0, 1.0)] + [("e", None)] + [("f", 1.0)] * 300 + [("f", 2.0)] * 200
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        want = {r["k"]: r["threshold"] for r in extremes.pooled_quantile(df, "v", ["k"], q, single=False).collect()}
+        got = {r["k"]: r["threshold"] for r in extremes.selected_quantile(df, "v", ["k"], q, bins=4, held=5).collect()}
+        assert want.pop("e") is None and got == want
+    assert extremes.selected_quantile(df.where("k = 'none'"), "v", ["k"]).count() == 0
+
+
+def test_nearest_points_against_all(spark):
+    """Clusters, a lone source on the other side, poles, the dateline, and points without a place."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    source = [(k, rng.gauss(10, 0.5), rng.gauss(179.9, 0.5)) for k in range(200)] + [(500, -60.0, 20.0), (501, 89.9, 0.0), (502, None, 1.0)]
+    target = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(300)] + [(900, 90.0, 77.0), (901, 10.0, -179.9), (902, 10.0, None)]
+    unit = lambda lat, lon: (math.cos(math.radians(lat)) * math.cos(math.radians(lon)), math.cos(math.radians(lat)) * math.sin(math.radians(lon)), math.sin(math.radians(lat)))
+    want = {t: min((math.dist(unit(a, b), unit(x, y)), c) for c, x, y in source if x is not None)[1] for t, a, b in target if b is not None}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, lat double, lon double")
+    for start in (None, 0.01):
+        got = grid.nearest_points(frame(source, "cell_id"), frame(target, "target_id"), start).collect()
+        assert {r["target_id"]: r["cell_id"] for r in got} == want and len(got) == len(want)
+    assert grid.nearest_points(frame(source, "cell_id").limit(0), frame(target, "target_id")).count() == 0
