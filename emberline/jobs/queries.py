@@ -870,3 +870,22 @@ def nearest_points(spark, sf):
     target = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("target_id"), at("c_custkey", 7919, 17993, 89.9).alias("lat"), at("c_custkey", 10473, 35993, 0.0).alias("lon"))
     source = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("cell_id"), at("s_suppkey", 6151, 17989, 89.9).alias("lat"), at("s_suppkey", 9859, 35983, 0.0).alias("lon"))
     return grid.nearest_points(source, target).select("target_id", "cell_id")
+
+
+BOXES = """bx AS (SELECT c_custkey::BIGINT AS cell_id, (c_custkey * 7 % 170 - 85)::DOUBLE AS lat_lo, (c_custkey * 7 % 170 - 82.5)::DOUBLE AS lat_hi, (c_custkey * 37 % 360 - 180)::DOUBLE AS lon_lo, (c_custkey * 37 % 360 - 173)::DOUBLE AS lon_hi, c_mktsegment AS segment, c_acctbal::DOUBLE AS bal FROM customer)"""
+
+
+@query(
+    "remap_conservative",
+    f"""WITH {BOXES}, t AS (SELECT i * 72 + j AS cell_id, i * 5.0::DOUBLE - 90 AS s, j * 5.0::DOUBLE - 180 AS w FROM (SELECT unnest(range(36)) AS i), (SELECT unnest(range(72)) AS j)),
+o AS (SELECT segment, bal, t.cell_id, (sin(radians(least(lat_hi, s + 5))) - sin(radians(greatest(lat_lo, s)))) * (least(lon_hi, w + k + 5) - greatest(lon_lo, w + k)) / ((sin(radians(s + 5)) - sin(radians(s))) * 5) AS x
+  FROM bx, t, (SELECT unnest([0, 360]) AS k) WHERE lat_lo < s + 5 AND lat_hi > s AND lon_lo < w + k + 5 AND lon_hi > w + k)
+SELECT segment, cell_id, round(sum(x) + 1.7e-8, 6) AS covered, round(sum(x * bal) + 1.7e-8, 4) AS bal FROM o GROUP BY ALL""",
+)
+def remap_conservative(spark, sf):
+    """Customers' boxes, which overlap each other and many targets, onto a grid of 5 degrees: weights, coverage and sums grow with the table."""
+    k = F.col("c_custkey").cast("long")
+    lat, lon = (k * 7 % 170 - 85).cast("double"), (k * 37 % 360 - 180).cast("double")
+    boxes = table(spark, sf, "customer").select(k.alias("cell_id"), lat.alias("lat_lo"), (lat + 2.5).alias("lat_hi"), lon.alias("lon_lo"), (lon + 7).alias("lon_hi"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("bal"))
+    out = grid.remap_conservative(boxes.select("cell_id", "segment", "bal"), grid.conservative_weights(boxes, 5.0), ["bal"], ["segment"])
+    return rounded(rounded(out, "covered"), "bal", digits=4)

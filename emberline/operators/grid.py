@@ -104,6 +104,38 @@ def apply_weights(field: DataFrame, weights: DataFrame, values: list[str], keys:
     return both.groupBy(*keys, F.col("target_id")).agg(*[total(v).alias(v) for v in values]).withColumnRenamed("target_id", "cell_id")
 
 
+def conservative_weights(cells: DataFrame, res: float) -> DataFrame:
+    """(target_id, cell_id, w) from cells with bounds (cell_id, lat_lo, lat_hi, lon_lo, lon_hi in degrees; lon_hi may run beyond 180) to the global grid of res degrees, numbered as common_grid: w is the share of the target's area that the cell overlaps.
+
+    Each cell lists the rows and columns of targets that it reaches, so nothing is joined; a cell of any shape of grid may overlap many targets and a target many cells."""
+    n_lon, rad = round(360 / res), math.pi / 180
+    first = lambda lo, origin: F.floor((F.col(lo) - origin) / res)
+    last = lambda hi, origin: F.ceil((F.col(hi) - origin) / res) - 1
+    real = cells.where("lat_hi > lat_lo AND lon_hi > lon_lo")
+    rows = real.select("*", F.explode(F.sequence(F.greatest(first("lat_lo", -90), F.lit(0)), F.least(last("lat_hi", -90), F.lit(round(180 / res) - 1)))).alias("_r"))
+    both = rows.select("*", F.explode(F.sequence(first("lon_lo", -180), last("lon_hi", -180))).alias("_c"))
+    south, west = F.col("_r") * res - 90, F.col("_c") * res - 180
+    tall = F.sin(F.least("lat_hi", south + res) * rad) - F.sin(F.greatest("lat_lo", south) * rad)
+    wide = F.least("lon_hi", west + res) - F.greatest("lon_lo", west)
+    share = tall * wide / ((F.sin((south + res) * rad) - F.sin(south * rad)) * res)
+    # A cell that goes round and meets a target twice has one weight.
+    return both.select((F.col("_r") * n_lon + F.pmod("_c", F.lit(n_lon))).cast("long").alias("target_id"), "cell_id", share.alias("w")).where("w > 0").groupBy("target_id", "cell_id").agg(F.sum("w").alias("w"))
+
+
+def remap_conservative(field: DataFrame, weights: DataFrame, values: list[str], keys: list[str], by_covered: bool = False) -> DataFrame:
+    """(keys, cell_id, covered, values): sums of w × value over the source cells that have one, and the share of the target that those of the first value cover; by_covered: means over the covered part instead.
+
+    Without by_covered the integral over the sphere is kept. The sums begin where a source cell's rows are, before anything is dealt by target."""
+    both = field.join(weights, "cell_id")
+    out = both.groupBy(*keys, F.col("target_id")).agg(F.sum(F.when(F.col(values[0]).isNotNull(), F.col("w"))).alias("covered"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values], *[F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"_w_{v}") for v in values])
+    return out.select(*keys, F.col("target_id").alias("cell_id"), F.coalesce("covered", F.lit(0.0)).alias("covered"), *[(F.col(v) / F.col(f"_w_{v}") if by_covered else F.col(v)).alias(v) for v in values])
+
+
+def integral(field: DataFrame, areas: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, integral): sums of value times area (cell_id, area). Equal before and after a conservative remap: what it has lost, if they aren't, lies outside the target."""
+    return field.join(areas, "cell_id").groupBy(*keys).agg(F.sum(F.col(value) * F.col("area")).alias("integral"))
+
+
 def regrid_bilinear(field: DataFrame, cells: DataFrame, target: DataFrame, values: list[str], keys: list[str], fill: str | None = "nearest") -> DataFrame:
     """Bilinear, and where that has no value the nearest source cell."""
     out = apply_weights(field, bilinear_weights(cells, target), values, keys)

@@ -21,6 +21,7 @@ SERIES = ["model", "scenario", "member", "var"]
 COORDINATES = {"latitude": "lat", "longitude": "lon", "nav_lat": "lat", "nav_lon": "lon", "t": "time", "Time": "time", "valid_time": "time"}
 CELSIUS, FRACTION = ["c", "degc", "celsius", "°c", "deg_c"], ["1", "fraction", "0-1"]
 METRES, PER_DAY = ["m/s", "ms-1", "m/sec"], ["mm/day", "mmd-1", "mm/d", "mmday-1", "kgm-2d-1"]
+FLUX = ["kgm-2s-1", "kg/m2/s", "kg/m2s", "kgm-2/s", "mm/s", "mms-1"]
 WIND, KMH = ["m/s", "ms-1", "m/sec", "km/h", "kmh-1", "km/hr", "knot"], ["km/h", "kmh-1", "km/hr"]
 PLAUSIBLE = {"tasmax": (240, 320), "tas": (235, 315), "hurs": (20, 98), "sfcWind": (0.5, 15), "pr": (0.05, 20)}
 FILL = 1e10
@@ -209,6 +210,49 @@ def read_daily(spark: SparkSession, path: str, years: tuple[int, int] | None = N
     return subset_bbox(slice_years(df, years) if years else df, bbox)
 
 
+def expand_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths with their globs expanded, each pattern's files in name order; a pattern that finds nothing is an error."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        if not found:
+            raise ValueError(f"no file at {path}")
+        out += sorted(f.getPath().toString() for f in found)
+    return list(dict.fromkeys(out))
+
+
+def read_files(spark: SparkSession, paths: list[str], keys: list[str] = SERIES, years: tuple[int, int] | None = None, bbox=None, day: str = "day_idx") -> DataFrame:
+    """Many files of raw values as one table, first file wins: of the files that hold a day of a series the first in the order given stays, with the whole day. Rows without a day go (see time_report).
+
+    paths: files or folders of Parquet, or globs. Columns that only some have are null in the others. file_seq is the place in the expanded list. Years and the box are
+    pushed to the files."""
+    expanded = expand_paths(spark, paths)
+    # A row per file, as many as the caller named.
+    order = spark.createDataFrame([(p, k) for k, p in enumerate(expanded)], "_path string, file_seq int")
+    df = spark.read.option("mergeSchema", "true").parquet(*expanded)
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    df = subset_bbox(slice_years(df, years) if years else df, bbox).select("*", F.array(file, F.regexp_replace(file, "/[^/]*$", "")).alias("_files"))
+    named = df.join(F.broadcast(order) if len(expanded) <= 100_000 else order, F.array_contains("_files", F.col("_path"))).drop("_files", "_path")
+    return dedupe_days(drop_bad_time(named, day), keys, day)
+
+
+def time_report(df: DataFrame, keys: list[str] = SERIES, day: str = "day_idx") -> DataFrame:
+    """(keys, rows, bad, days): how many rows of each series have no day and are skipped, and how many days are left."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(day).isNull()).alias("bad"), F.count_distinct(day).alias("days"))
+
+
+def rain_report(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """(keys, units, mean, note) of precipitation as it is given: notes on labels that are not known, and on series whose mean in target units, over the first 31 days, is above 0.01 kg m-2 s-1."""
+    rain = df.where("var = 'pr'")
+    first = rain.groupBy(*keys).agg(F.min("day_idx").alias("_d0"))
+    unit = plain_unit(F.col("units"))
+    near = rain.join(first, keys).where(F.col("day_idx") < F.col("_d0") + 31).withColumn("_v", to_target_units("pr", F.col("value").cast("double"), unit, F.lit(None).cast("double")))
+    out = near.groupBy(*keys, "units").agg(F.avg("_v").alias("mean"))
+    notes = F.concat_ws("; ", F.when(~unit.isin(METRES + PER_DAY + FLUX), "unknown units, taken as kg m-2 s-1"), F.when(F.col("mean") > 1e-2, "mean too large, check units"))
+    return out.select(*keys, "units", "mean", notes.alias("note"))
+
+
 def write_cube(df: DataFrame, path: str, keys: list[str] = ("model", "scenario", "member")) -> None:
     """Parquet by series; a tile's cells in one file, each cell's days in order, so that what follows reads whole histories."""
     df.repartition(*keys, "tile").sortWithinPartitions("tile", "cell_id", "day_idx").write.mode("overwrite").partitionBy(*keys).parquet(path)

@@ -157,3 +157,45 @@ def test_polygons_against_all_edges(spark):
     assert regions.assign_regions(cells, polygons.where("region = 'none'")).count() == 0
     with pytest.raises(ValueError):
         regions.assign_regions(cells, polygons, 7.0)
+
+
+def test_many_files_first_wins(spark, tmp_path):
+    """Overlapping files of a series, a folder of parts, a further column in one, days without a number."""
+    ddl = "model string, scenario string, member string, var string, year int, day_idx int, cell_id long, value double"
+    row = lambda d, v, c=0, y=2020: ("m", "s", "r1", "tas", y, d, c, v)
+    spark.createDataFrame([row(1, 1.0), row(2, 1.0), row(2, 1.5, 1)], ddl).coalesce(1).write.parquet(f"{tmp_path}/b")
+    spark.createDataFrame([row(2, 2.0), row(3, 2.0), row(None, 9.0)], ddl).repartition(3).write.parquet(f"{tmp_path}/a1")
+    spark.createDataFrame([row(3, 3.0), row(4, 3.0), row(400, 3.0, y=2021)], ddl).withColumn("note", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/a2")
+    got = ingest.read_files(spark, [f"{tmp_path}/b", f"{tmp_path}/a*"], years=(2020, 2020))
+    assert rows(got.select("day_idx", "cell_id", "value", "file_seq")) == [(1, 0, 1.0, 0), (2, 0, 1.0, 0), (2, 1, 1.5, 0), (3, 0, 2.0, 1), (4, 0, 3.0, 2)] and "note" in got.columns
+    report = ingest.time_report(spark.read.parquet(f"{tmp_path}/a1")).first()
+    assert (report["rows"], report["bad"], report["days"]) == (3, 1, 2)
+    with pytest.raises(ValueError, match="no file"):
+        ingest.read_files(spark, [f"{tmp_path}/none*"])
+
+
+def test_rain_report(spark):
+    days = [(m, "s", "r", "pr", u, d, v) for m, u, v in (("ok", "kg m-2 s-1", 3e-5), ("mm", "mm/day", 4.0), ("big", "kg m-2 s-1", 4.0), ("odd", "inch", 1e-5), ("none", None, 5.0)) for d in range(40)]
+    got = ingest.rain_report(spark.createDataFrame(days, "model string, scenario string, member string, var string, units string, day_idx int, value double")).collect()
+    assert {r["model"]: r["note"] for r in got} == {"ok": "", "mm": "", "big": "mean too large, check units", "odd": "unknown units, taken as kg m-2 s-1", "none": "unknown units, taken as kg m-2 s-1; mean too large, check units"}
+
+
+def test_conservative_remap_keeps_the_integral(spark):
+    import math
+
+    lat = [-90.0, -50.0, -7.0, 33.0, 90.0]
+    lon = [-175.0, -60.0, 10.0, 100.0, 185.0]
+    cells = [(4 * i + j, a, b, w, e) for i, (a, b) in enumerate(zip(lat, lat[1:])) for j, (w, e) in enumerate(zip(lon, lon[1:]))]
+    frame = spark.createDataFrame(cells, "cell_id long, lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+    weights = grid.conservative_weights(frame, 30.0)
+    whole = weights.groupBy("target_id").agg(F.sum("w").alias("w")).collect()
+    assert len(whole) == 72 and all(r["w"] == pytest.approx(1.0) for r in whole)
+    area = lambda a, b, w, e: (math.sin(math.radians(b)) - math.sin(math.radians(a))) * math.radians(e - w)
+    own = spark.createDataFrame([(c, area(*x)) for c, *x in cells], "cell_id long, area double")
+    target = spark.createDataFrame([(i * 12 + j, area(30 * i - 90, 30 * i - 60, 0, 30)) for i in range(6) for j in range(12)], "cell_id long, area double")
+    field = frame.select(F.lit("k").alias("k"), "cell_id", F.when(F.col("cell_id") != 5, F.col("cell_id") + 1.0).alias("v"))
+    out = grid.remap_conservative(field, weights, ["v"], ["k"])
+    total = lambda f, a: grid.integral(f, a, "v", ["k"]).first()["integral"]
+    assert total(out, target) == pytest.approx(total(field, own))
+    mean = grid.remap_conservative(field.withColumn("v", F.when(F.col("v").isNotNull(), 3.0)), weights, ["v"], ["k"], by_covered=True).collect()
+    assert all(r["v"] == pytest.approx(3.0) for r in mean if r["v"] is not None) and any(r["covered"] < 0.99 for r in mean)
