@@ -121,10 +121,11 @@ def multimodel(deltas: DataFrame, keys: list[str], value: str = "delta", agree:
     """Mean over models on one grid, and whether it is robust: two thirds of all models have its sign and half are significant; if only one model is given, its significance.
 
     models names the column that has the number of all models (see grid.stack_models); without it the rows of a key are all. A model without a value or
-    without a row has no part in the mean, but counts as one that disagrees and isn't significant. valued: models with a value."""
+    without a row has no part in the mean, but counts as one that disagrees and isn't significant. valued (if models is named): models with a value."""
     per_cell = Window.partitionBy(*keys)
     flagged = deltas.withColumn("_m", F.avg(value).over(per_cell))
     n = F.max(models) if models else F.count(F.lit(1))
     share = lambda when: F.count_if(F.coalesce(when, F.lit(False))) / n
     sig, same = share(F.col("significant")), share(F.signum(value) == F.signum("_m"))
-    return flagged.groupBy(*keys).agg(F.avg(value).alias("mean"), n.cast("long").alias("models"), F.count(value).alias("valued"), F.when(n == 1, sig > 0.5).otherwise((same >= agree) & (sig >= 0.5)).alias("robust"))
+    robust = F.when(n == 1, sig > 0.5).otherwise((same >= agree) & (sig >= 0.5)).alias("robust")
+    return flagged.groupBy(*keys).agg(F.avg(value).alias("mean"), n.cast("long").alias("models"), *([F.count(value).alias("valued")] if models else []), robust)
