@@ -1,21 +1,37 @@
-"""Exact deduplication by a tree merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Rows are dealt into ``runs`` runs by a hash of their identifier. Within a run equal texts meet by digest, which leaves
-one entry per (run, digest): the identifier to keep and the count. Runs then merge in rounds of ``fan_in`` at a time until
-one is left; every round again keeps one verified entry per digest. Verified means that all three of SHA-256, XXH64 and
-byte length agree, since all three are the merge key. Finally the winners go back down: entry by entry to the runs that hold
-the digest, then to the rows of that run. A text that a third of all rows share is thus never gathered in one place: it has
-at most ``runs`` entries on the way up and its rows are dealt by (digest, run) on the way down.
+one entry per (run, digest): the identifier to keep and the count. A run is cut into slices by the first hex digits of the
+digest, so that no task holds a whole run. In each round ``fan_in`` runs go to one place, slice by slice, and are merged there
+in the order of their digests: as a run has a digest once, equal ones are at most ``fan_in`` neighbours, of which the first has
+the identifier to keep and takes the counts of the others. Each round leaves one verified entry per digest and run, until one
+run is left. Verified means that neighbours agree in all three of SHA-256, XXH64 and byte length. Finally the winners go back down:
+entry by entry to the runs that hold the digest, then to the rows of that run. A text that a third of all rows share is thus never
+gathered in one place: it has at most ``runs`` entries on the way up and its rows are dealt by (digest, run) on the way down.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import table, whole
 
 KEY = ["_sha", "_xx", "_len"]
+#: Hex digits of the digest that name a slice: 4096 slices of a run.
+DIGITS = 3
+
+
+def merge_runs(level: DataFrame, fan_in: int, keep: str) -> DataFrame:
+    """One round: entries (_run, _slice, _key, _keep, _n) of ``fan_in`` sorted runs each, merged by position into one run."""
+    first = F.asc_nulls_last("_keep") if keep == "smallest" else F.desc_nulls_last("_keep")
+    place = Window.partitionBy("_run", "_slice").orderBy("_key", first)
+    n = F.col("_n")
+    for k in range(1, fan_in):
+        n = n + F.when(F.lead("_key", k).over(place) == F.col("_key"), F.lead("_n", k).over(place)).otherwise(0)
+    met = level.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
+    again = F.coalesce(F.lag("_key").over(place) == F.col("_key"), F.lit(False))
+    return met.select("_run", "_slice", "_key", "_keep", n.alias("_n"), again.alias("_again")).where("NOT _again").drop("_again")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = 256, fan_in: int = 4) -> DataFrame:
@@ -39,11 +55,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         }
     )
     leaf = rows.groupBy("_run", *KEY).agg(best(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    level, left = leaf, runs
+    level, left = leaf.select("_run", F.left(F.hex("_sha"), F.lit(DIGITS)).alias("_slice"), F.struct(*KEY).alias("_key"), "_keep", "_n"), runs
     while left > 1:
-        left = -(-left // fan_in)
-        level = level.groupBy(F.floor(F.col("_run") / fan_in).cast("int").alias("_run"), *KEY).agg(best("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-    winners = level.select(*KEY, F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"))
+        level, left = merge_runs(level, fan_in, keep), -(-left // fan_in)
+    winners = level.select("_key.*", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"))
     down = leaf.select("_run", *KEY).join(winners, KEY)
     return (
         rows.join(down, ["_run", *KEY])
