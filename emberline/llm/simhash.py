@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, store, table
+from emberline.llm.common import cut, store, table, whole
 
 SEED = 42
 #: Segments of the embedding, of four bits each.
@@ -158,12 +158,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(table_, ["fp", "_run"]).select("_own.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: similar_documents: Jaccard similarity as a fraction, fewest shingles of texts that fingerprints may rule out, widest radius.
-SIMILAR, LONG, RADIUS = (4, 5), 64, 24
+#: similar_documents: Jaccard similarity as a fraction, and the longs of the parities that rule pairs out.
+SIMILAR, PARITY = (4, 5), [f"b{k}" for k in range(8)]
 #: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks that meet in one place.
 MOST, CHUNK, PER_KEY = 16, 64, 16
 #: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
 COMMON = 1 << 16
+#: Times that prefixes are made to find them.
+ROUNDS = 4
 #: Parts in which pairs are checked one after the other, to hold fewer sets on disk at once.
 SLICES = 4
 
@@ -173,9 +175,16 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingles(text or "", n).view(np.int64))
 
 
-def node_of(keys: np.ndarray) -> int:
-    """Digest of a set, as a signed integer."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).view(np.int64))
+def node_of(keys: np.ndarray) -> bytes:
+    """Digest of a set, of 128 bits."""
+    return xxhash.xxh3_128_digest(keys.tobytes())
+
+
+def parities(keys: np.ndarray) -> np.ndarray:
+    """Keys are dealt over 64 bits of each of PARITY; a bit is set if an odd number of them falls on it. Two sets differ in at least as many keys as their parities in bits."""
+    size = 64 * len(PARITY)
+    odd = np.bincount((keys.view(np.uint64) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def prefix_of(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -189,100 +198,140 @@ def prefix_of(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
     return keys[: len(keys) + (-num * len(keys)) // den + 1]
 
 
-def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
-    """The shingles, COMMON at most, that most texts (column _text) have in their prefixes, if more than MOST have. Sorted."""
+def heads(texts: DataFrame, n: int, common: np.ndarray) -> DataFrame:
+    """Column h: the shingles in the prefix of each text (column _text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     @F.pandas_udf("array<bigint>")
-    def heads(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def head(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in batches:
-            yield pd.Series([prefix_of(shingle_set(t, n), np.zeros(0, np.int64)) for t in some])
+            yield pd.Series([prefix_of(shingle_set(t, n), shared.value) for t in some])
+
+    return texts.select(F.explode(head("_text")).alias("h"))
+
+
+def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
+    """The shingles, COMMON at most, that most texts (column _text) have in their prefixes, if more than MOST have. Sorted.
 
-    counts = texts.select(F.explode(heads("_text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
-    return np.unique(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64))
+    Prefixes change as crowded shingles go to their end: others, which may be as crowded, come in. So the prefixes are made again
+    with what has been found, until nothing new is crowded or ROUNDS are over.
+    """
+    found, best = np.zeros(0, np.int64), {}
+    for _ in range(ROUNDS):
+        counts = heads(texts, n, found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+        now = {r["h"]: r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()}
+        if not now.keys() - best.keys():
+            break
+        best = {h: max(now.get(h, 0), best.get(h, 0)) for h in now.keys() | best.keys()}
+        found = np.array(sorted(sorted(best, key=lambda h: (-best[h], h))[:COMMON]), np.int64)
+        if len(best) > COMMON:
+            break
+    return found
 
 
 def described(texts: DataFrame, n: int, common: np.ndarray) -> DataFrame:
-    """All columns but _text, then node (the set's digest), m (its size), fp (its SimHash) and prefix."""
+    """All columns but _text, then node (the set's digest), m (its size), its PARITY and prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
-    @F.pandas_udf("node long, m int, fp long, prefix array<bigint>")
+    @F.pandas_udf(f"node binary, m int, {', '.join(f'{b} long' for b in PARITY)}, prefix array<bigint>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in batches:
             found = [shingle_set(t, n) for t in some]
-            of = lambda f, kind: pd.Series([f(k) for k in found], dtype=kind)
-            yield pd.DataFrame({"node": of(node_of, "int64"), "m": of(len, "int32"), "fp": of(lambda k: majority(k.view(np.uint64)), "int64"), "prefix": [prefix_of(k, shared.value) for k in found]})
+            bits = np.array([parities(k) for k in found], np.int64).reshape(-1, len(PARITY))
+            yield pd.DataFrame({"node": [node_of(k) for k in found], "m": np.array([len(k) for k in found], np.int32), **dict(zip(PARITY, bits.T)), "prefix": [prefix_of(k, shared.value) for k in found]})
 
     return texts.withColumn("_s", sets("_text")).drop("_text").select("*", "_s.*").drop("_s")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(h, n, node, m, fp) for every shingle that n > 1 distinct sets have in their prefixes.
+    """(h, n, node, m, PARITY) for every shingle that n > 1 distinct sets have in their prefixes.
 
     Two sets of similarity s share a shingle in their prefixes, whatever the common order of shingles; crowded ones last make
     few candidates.
     """
-    nodes = store(rows.groupBy("node").agg(F.first("m").alias("m"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    nodes = store(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("m", *PARITY, "prefix"))))
     each = nodes.select("node", F.explode("prefix").alias("h"))
     shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = store(each.join(shared, "h"))
-    return store(met.join(nodes.select("node", "m", "fp"), "node"))
+    return store(met.join(nodes.select("node", "m", *PARITY), "node"))
 
 
-def may_link(x: Column, y: Column, radius: int) -> Column:
-    """Sizes allow the similarity, and the fingerprints of long texts are within the radius."""
+def may_link(x: Column, y: Column) -> Column:
+    """Sizes and parities allow the similarity: two sets of s or more differ in (1 - s) / (1 + s) of the sum of their sizes at most."""
     num, den = SIMILAR
     low, high = F.least(x["m"], y["m"]), F.greatest(x["m"], y["m"])
-    return (den * low >= num * high) & ((low < LONG) | (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius))
+    apart = sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in PARITY), F.lit(0))
+    return (den * low >= num * high) & ((den + num) * apart <= (den - num) * (low + high))
 
 
-def as_pairs(both: DataFrame, radius: int) -> DataFrame:
+def as_pairs(both: DataFrame) -> DataFrame:
     """Distinct (a, b), a > b, of the structs x and y that may be linked."""
     a, b = F.col("x")["node"], F.col("y")["node"]
-    return both.where((a != b) & may_link(F.col("x"), F.col("y"), radius)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    return both.where((a != b) & may_link(F.col("x"), F.col("y"))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
-def first_pairs(met: DataFrame, radius: int) -> DataFrame:
+def first_pairs(met: DataFrame) -> DataFrame:
     """All pairs of a shingle with up to MOST nodes; in crowded ones each node with one leader of those that share its least second hash."""
-    one = F.struct("node", "m", "fp")
+    one = F.struct("node", "m", *PARITY)
     few = met.where(F.col("n") <= MOST).groupBy("h").agg(F.collect_list(one).alias("_all"))
     few = few.select(F.explode("_all").alias("x"), "_all").select("x", F.explode("_all").alias("y")).where(F.col("x")["node"] > F.col("y")["node"])
     crowd = met.where(F.col("n") > MOST)
     leaders = crowd.groupBy("h").agg(F.min_by(one, F.xxhash64("node", "h")).alias("y"))
-    return as_pairs(few.select("x", "y").union(crowd.select("h", one.alias("x")).join(leaders, "h").select("x", "y")), radius)
+    return as_pairs(few.select("x", "y").union(crowd.select("h", one.alias("x")).join(leaders, "h").select("x", "y")))
+
+
+def block_pairs(x_nodes: list[bytes], x: np.ndarray, y_nodes: list[bytes], y: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Pairs (a, b), a > b, between two chunks that sizes and parities allow; of rows (component, size, parities) those of one component are left out."""
+    num, den = SIMILAR
+    p, q = x.reshape(2 + len(PARITY), -1, 1), y.reshape(2 + len(PARITY), 1, -1)
+    low, high = np.minimum(p[1], q[1]), np.maximum(p[1], q[1])
+    may = (p[0] != q[0]) & (den * low >= num * high)
+    apart = np.bitwise_count((p[2:] ^ q[2:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+    at = np.nonzero(may & ((den + num) * apart <= (den - num) * (low + high)))
+    return [(max(a, b), min(a, b)) for a, b in ((x_nodes[i], y_nodes[j]) for i, j in zip(*at))]
 
 
-def cross_pairs(met: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
-    """Pairs of crowded shingles whose nodes no link has joined yet, every one of them.
+def cross_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of crowded shingles whose nodes no link has joined yet, of all such pairs those that sizes and parities allow.
 
     The nodes of a shingle are dealt into chunks, those of a large component into its own; two chunks of one component
-    needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them.
+    needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
+    block: only pairs that may be links become rows.
     """
-    one = F.struct("node", "m", "fp", "root")
-    of = met.where(F.col("n") > MOST).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = met.where(F.col("n") > MOST).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.ceil(F.col("c") / CHUNK)).alias("parts")).where("k > 1")
     of = of.join(per.join(mixed, "h"), ["h", "root"])
     large = F.col("c") >= CHUNK
     own = F.when(large, F.col("root"))
     part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / CHUNK))))
-    chunks = store(of.groupBy("h", own.alias("own"), part.alias("part"), F.ceil(F.least("parts", F.lit(1) + F.ceil(F.col("small") / CHUNK) + F.col("parts")) / PER_KEY).alias("keys")).agg(F.collect_list(one).alias("all")))
-    name = F.struct("own", "part")
-    left = chunks.select("h", name.alias("p"), F.col("all").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
-    right = chunks.select("h", name.alias("q"), F.col("all").alias("ys"), F.pmod(F.xxhash64("own", "part"), "keys").alias("key"))
-    met_chunks = left.join(right, ["h", "key"]).where("(p > q OR (p = q AND p.own IS NULL)) AND NOT coalesce(p.own = q.own, false)")
-    both = met_chunks.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    return as_pairs(both.where(F.col("x")["root"] != F.col("y")["root"]), radius)
+    keys = F.ceil(F.least("parts", F.lit(1) + F.ceil(F.col("small") / CHUNK) + F.col("parts")) / PER_KEY)
+    chunks = of.groupBy("h", own.alias("own"), part.alias("part"), keys.alias("keys")).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY)).alias("all"))
+    numbers = F.flatten(F.array(*(F.col("all")[c] for c in ("root", "m", *PARITY))))
+    chunks = store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.col("all")["node"].alias("nodes"), numbers.alias("numbers")))
+    left = chunks.select("h", F.col("name").alias("p"), F.col("nodes").alias("x_nodes"), F.col("numbers").alias("x"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
+    right = chunks.select("h", F.col("name").alias("q"), F.col("nodes").alias("y_nodes"), F.col("numbers").alias("y"), F.pmod(F.xxhash64("name"), "keys").alias("key"))
+    blocks = left.join(right, ["h", "key"]).where("(p > q OR (p = q AND p.own IS NULL)) AND NOT coalesce(p.own = q.own, false)")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            found = set()
+            for x_nodes, x, y_nodes, y in zip(some["x_nodes"], some["x"], some["y_nodes"], some["y"]):
+                found.update(block_pairs(x_nodes, np.asarray(x, np.int64), y_nodes, np.asarray(y, np.int64)))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    return blocks.select("x_nodes", "x", "y_nodes", "y").mapInPandas(compared, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
     """Of pairs (a, b) those whose sets have the similarity. The sets of these nodes only are made again, each from one text."""
     num, den = SIMILAR
 
-    @F.pandas_udf("node long, keys array<bigint>")
+    @F.pandas_udf("node binary, keys array<bigint>")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in batches:
             found = [shingle_set(t, n) for t in some]
-            yield pd.DataFrame({"node": pd.Series([node_of(k) for k in found], dtype="int64"), "keys": found})
+            yield pd.DataFrame({"node": [node_of(k) for k in found], "keys": found})
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select("_digest")
     some = texts.join(wanted, "_digest", "left_semi").dropDuplicates(["_digest"]).select(again("_text").alias("_s")).select("_s.*")
@@ -296,24 +345,23 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> D
     return out
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = RADIUS) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """All input columns but the text, then component_id: the smallest identifier among all documents that links reach.
 
     A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more. Candidates
-    share a shingle of their prefixes; fingerprints rule out pairs of LONG texts beyond the radius (of pairs at 0.8, which
-    differ in some ten bits of 64, about one in a million), and the sets decide. At a radius this wide the Manhattan distance of
-    segment counts rules out less than the fingerprints themselves, so it has no part here. No pair is left out for the size
+    share a shingle of their prefixes. As a fingerprint's segments bound the Hamming distance from below, so do parities of
+    the set the number of shingles in which two texts differ; they rule out no link, and the sets decide. No pair is left out for the size
     of its group: pairs of crowded shingles are left out only where links join the two already. Texts without words
     are one component. Nulls, repeated rows and empty tables as in ``near_duplicates``.
     """
     own = [c for c in docs.columns if c not in (text_col, "component_id")]
     # Columns of the caller may have any name, so they are packed while the work is done.
-    texts = docs.select(F.struct(*own).alias("_own"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.struct(*own).alias("_own"), F.unhex(F.md5(whole(F.col(text_col)))).alias("_digest"), F.col(text_col).alias("_text"))
     rows = store(described(texts, n, crowded_shingles(texts, n)))
     firsts = store(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first"), F.min("_digest").alias("_digest")))
     met = meetings(rows)
-    links = verified(store(first_pairs(met, radius)), texts, firsts, n)
-    more = store(cross_pairs(met, components(links).select("node", "root"), radius))
+    links = verified(store(first_pairs(met)), texts, firsts, n)
+    more = store(cross_pairs(met, components(links).select("node", "root")))
     roots = components(links.union(verified(more, texts, firsts, n)))
     rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))

@@ -240,6 +240,8 @@ def test_near_stage_takes_edited_copies(spark, monkeypatch, most):
         rows += [edited(base, k) for k in (0, 1, len(base) // 60, len(base) // 40, len(base) // 25) if k < 2 or len(base) > 30]
     cluster = [rng.choice(vocab) for _ in range(200)]
     rows += [edited(cluster, 1) for _ in range(50)] + [None, "", " "]
+    straddling = [rng.choice(vocab) for _ in range(150)]  # one group, few of whose pairs are similar enough
+    rows += [edited(straddling, rng.randrange(1, 7)) for _ in range(70)]
     rng.shuffle(rows)
     sets = {i: shingle_set(t) for i, t in enumerate(rows)}
     roots = classes_of(sets, lambda a, b: (not sets[a] and not sets[b]) or (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and bool(sets[a] & sets[b])))
@@ -254,6 +256,18 @@ def test_near_stage_takes_edited_copies(spark, monkeypatch, most):
     assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 100, 3000):
+        keys = np.unique(rng.integers(-(2**63), 2**63, 2 * size))
+        for k in range(0, size, max(1, size // 20)):
+            x, y = keys[:size], np.concatenate([keys[k:size], keys[size : size + k]])
+            apart = sum(int(np.uint64(v)).bit_count() for v in (simhash.parities(x) ^ simhash.parities(y)).view(np.uint64))
+            assert apart <= 2 * k
+            pairs = simhash.block_pairs([b"x"], np.array([1, len(x), *simhash.parities(x)]), [b"y"], np.array([2, len(y), *simhash.parities(y)]))
+            assert pairs == [(b"y", b"x")] or 5 * (size - k) < 4 * (size + k)
+
+
 # Language ID
 
 
