@@ -43,29 +43,40 @@ def suffix_array(s: list[int]) -> list[int]:
                 group[j], size[top] = top, 1
             end = start
             continue
-        pointers: dict[int, int] = {}
-        for i in sorted(slots[start:end]):
+        members, open_ = slots[start:end], {}
+        for i in members:  # up to the first suffix that isn't in a higher group
             j = i - 1
-            while j >= 0 and group[j] >= start:
+            while j >= 0 and group[j] >= end:
                 j = before[j]
-            before[i] = j
-            if j >= 0:
-                pointers[j] = pointers.get(j, 0) + 1
-        subsets: dict[tuple[int, int], list[int]] = {}
+            open_[i] = j
+        pointers: dict[int, int] = {}
+        for i in members:  # chains within the group end where their last one points to
+            chain, j = [], i
+            while j in open_:
+                chain.append(j)
+                j = open_.pop(j)
+            if j >= 0 and group[j] == start:
+                j = before[j]
+            for c in chain:
+                before[c] = j
+            if j >= 0 and chain:
+                pointers[j] = pointers.get(j, 0) + len(chain)
+        subsets: list[dict[int, list[int]]] = [{} for _ in range(1 + max(pointers.values(), default=0))]
         for j, times in pointers.items():
-            subsets.setdefault((-times, group[j]), []).append(j)
-        for (_, g), moving in sorted(subsets.items()):
-            top = g + size[g]
-            if len(moving) == size[g]:
-                continue  # the whole group goes up: nothing changes
-            for j in moving:
-                top -= 1
-                k, other = slot_of[j], slots[top]
-                slots[k], slot_of[other], slots[top], slot_of[j] = other, k, j, top
-            for j in moving:
-                group[j] = top
-            size[g] -= len(moving)
-            size[top] = len(moving)
+            subsets[times].setdefault(group[j], []).append(j)
+        for of_times in reversed(subsets):
+            for g, moving in of_times.items():
+                if len(moving) == size[g]:
+                    continue  # the whole group goes up: nothing changes
+                top = g + size[g]
+                for j in moving:
+                    top -= 1
+                    k, other = slot_of[j], slots[top]
+                    slots[k], slot_of[other], slots[top], slot_of[j] = other, k, j, top
+                for j in moving:
+                    group[j] = top
+                size[g] -= len(moving)
+                size[top] = len(moving)
         end = start
 
     order, front, placed = [n - 1] + [-1] * (n - 1), list(range(n)), [False] * n
