@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
 #: Rule sets up to this many rules are broadcast; larger ones are joined by shuffle.
 BROADCAST_RULES = 20_000
+#: A url with more than one in RUNS of all rows is hot; there are fewer than RUNS of them.
+RUNS = 64
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     The fitting rule of the lowest tier, then of the greatest weight, then of the smallest name decides; without one the
     verdict is ``default``. ``rule`` is null for rules of tiers from ``named_tiers`` on. Null urls and urls without ``://``
     have an empty host and path, fit no rule, and get the default. Repeated rows are judged one by one. Input columns with the
-    names of result columns are replaced.
+    names of result columns are replaced. An empty table gives no rows.
     """
     if bare := [r.name for r in rules if not r.tokens]:
         raise ValueError(f"rules without a literal token can't be indexed: {bare}")
@@ -105,9 +107,11 @@ def url_filter(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     fetched = urls.select("host", "path", F.explode(tokens).alias("token")).join(hint(index), "token")
     fitting = fetched.where(F.expr("concat(host, path) rlike regex"))
     best = fitting.groupBy("host", "path").agg(F.min(F.struct("tier", (-F.col("weight")).alias("w"), "name", "rule_verdict")).alias("_best"))
+    # Fewer than RUNS urls are hot: their rows meet the verdicts where they are. The others go by url.
+    hot = F.broadcast(urls.where(F.col("_rows") * RUNS > base.count()).join(best, ["host", "path"], "left").select("host", "path", "_best"))
+    judged = base.join(hot, ["host", "path"]).unionByName(base.join(hot, ["host", "path"], "left_anti").join(best, ["host", "path"], "left"))
     return (
-        base.join(best, ["host", "path"], "left")
-        .withColumn("rule", F.when(F.col("_best.tier") < named_tiers, F.col("_best.name")))
+        judged.withColumn("rule", F.when(F.col("_best.tier") < named_tiers, F.col("_best.name")))
         .withColumn("verdict", F.coalesce("_best.rule_verdict", F.lit(default)))
         .select(*own, *added)
     )
