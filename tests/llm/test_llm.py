@@ -96,6 +96,10 @@ def test_url_filter(spark):
     assert len(out) == 2 * len(urls)
     for r in out:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == urls[r["url"]], r["url"]
+    often = spark.createDataFrame([(k, u) for k, u in enumerate([None] * 90 + ["http://x.net/es/2#f"] * 120 + list(urls) * 2)], "page_id long, url string")
+    out = url_filter.url_filter(often, url_filter.HOST_RULES + url_filter.PATTERN_RULES).collect()
+    assert len(out) == 210 + 2 * len(urls) and all((r["host"], r["path"], r["rule"], r["verdict"]) == urls[r["url"]] for r in out)
+    assert url_filter.url_filter(pages.limit(0), url_filter.HOST_RULES).count() == 0
     with pytest.raises(ValueError):
         url_filter.url_filter(pages, [url_filter.Rule("x", "block", ".*", (), 1)])
 
@@ -334,6 +338,58 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def spark_hash(*values):
+    """The 64-bit hash of SQL's xxhash64 over strings, bytes, ints (as pairs of value and width) and nulls."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else (v[0] % (1 << 8 * v[1])).to_bytes(v[1], "little")
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def propagated(rows, shards, rounds):
+    """Label propagation in plain Python: (id, text) -> counts of (id, text, shard, slot)."""
+    text_hash = [spark_hash(t) for _, t in rows]
+    bucket = [spark_hash(None if i is None else str(i), (h, 8), (7, 4)) % sharding.BUCKETS for (i, _), h in zip(rows, text_hash)]
+    place = [(b, i is None, i or 0, h, len((t or "").encode()) + 16) for b, (i, t), h in zip(bucket, rows, text_hash)]
+    shard = {r: k % shards for k, r in enumerate(sorted(range(len(rows)), key=place.__getitem__))}
+    members = defaultdict(list)
+    for r, (_, t) in enumerate(rows):
+        if t is not None:
+            members[hashlib.sha256(t.encode()).digest()].append(r)
+    groups = {g: m for g, m in members.items() if len(m) > 1}
+    capacity = max(1, len(rows) // shards)
+    for round_ in range(rounds):
+        want = {r: sharding.FREE for r in range(len(rows))}
+        for g, m in groups.items():
+            held = Counter(shard[r] for r in m)
+            liked = sorted(held, key=lambda s: (-held[s], spark_hash(g, (s, 4))))[: -(-len(m) // capacity)]
+            for r in m:
+                want[r] = None if shard[r] in liked else liked[spark_hash(None if rows[r][0] is None else str(rows[r][0]), (round_, 4)) % len(liked)]
+        asking = defaultdict(list)
+        for r in sorted(want, key=place.__getitem__):
+            if want[r] is not None:
+                asking[shard[r], want[r]].append(r)
+        counts = {k: len(v) for k, v in asking.items()}
+        moves = sharding.plan_moves({k: n for k, n in counts.items() if k[1] != sharding.FREE}, {k[0]: n for k, n in counts.items() if k[1] == sharding.FREE}, shards)
+        for a, t, low, high, to in moves:
+            shard.update(dict.fromkeys(asking[a, t][low:high], to))
+    slots, seen = [], Counter()
+    for r in sorted(shard, key=place.__getitem__):
+        slots.append((rows[r][0], text_hash[r], shard[r], seen[shard[r]]))
+        seen[shard[r]] += 1
+    return Counter(slots)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_sharding_against_plain_python(spark, docs, rounds):
+    rng = random.Random(rounds)
+    rows = [(i, t) for i, t, *_ in corpus()] + [(1000 + i, f"shared {rng.randrange(12)}") for i in range(90)] + [(None, "no name"), (None, "no name"), (5000, "hot"), (5000, "hot")] + [(2000 + i, "hot") for i in range(60)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")), shards=6, rounds=rounds).collect()
+    assert Counter((r["doc_id"], r["h"], r["shard"], r["slot"]) for r in got) == propagated(rows, 6, rounds)
+
+
 def test_one_group_larger_than_a_shard(spark):
     df = spark.createDataFrame([(i, "same" if i < 60 else f"t{i}") for i in range(100)], "doc_id long, text string")
     got = sharding.shard_documents(df, shards=4).collect()
