@@ -572,11 +572,57 @@ def event_rows(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select(F.lit("M").alias("model"), F.lit("S").alias("scenario"), F.col("event_type").alias("member"), F.lit("x").alias("var"), F.col("user_id").alias("cell_id"), (F.col("event_id") % 7).alias("file_seq"), F.unix_date(F.to_date("ts")).alias("day_idx"), "value")
 
 
+@query("merge_logs", f"WITH {LOG}, y AS (SELECT scenario, year, round(sum(north_tg + south_tg) + 1.7e-8, 6) AS so2 FROM log GROUP BY ALL) SELECT year, max(so2) FILTER (scenario = 'F') AS F, max(so2) FILTER (scenario = 'O') AS O, max(so2) FILTER (scenario = 'P') AS P FROM y GROUP BY year")
+def merge_logs(spark, sf):
+    """Yearly totals of three scenarios side by side, null in years that a log lacks."""
+    c = F.col("c_nationkey")
+    both = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    part = lambda ok: F.round(F.sum(F.when(ok, F.col("o_totalprice")).otherwise(0)) / 1e6 + OFF_TIES, 6)
+    log = both.groupBy(F.col("o_orderstatus").alias("scenario"), (c % 3).cast("string").alias("member"), F.year("o_orderdate").alias("year")).agg(part(c < 12).alias("north_tg"), part(c >= 12).alias("south_tg"))
+    yearly = rounded(overview.injection_totals(log.withColumn("model", F.lit("M"))).groupBy("scenario", "year").agg(F.sum("so2_tg").alias("so2")), "so2")
+    return overview.merge_logs({s: yearly.where(F.col("scenario") == s) for s in ("F", "O", "P")}, "so2")
+
+
+@query("month_lookup", f"{WITH}, {MONTHLY} SELECT d.scenario, member, year, round(avg(d.tas - clim.tas) + 1.7e-8, 6) AS anomaly FROM daily d LEFT JOIN clim ON d.scenario = clim.scenario AND d.cell_id = clim.cell_id AND d.month = clim.month GROUP BY ALL")
+def month_lookup(spark, sf):
+    """Mean departure of a year's days from their month's climatology."""
+    d = cube(spark, sf)
+    table_ = season.monthly_climatology(d, ["tas"], ["scenario", "cell_id"]).withColumnRenamed("tas", "usual")
+    return rounded(grid.lookup_month(d, table_, ["scenario", "cell_id"]).groupBy("scenario", "member", "year").agg(F.avg(F.col("tas") - F.col("usual")).alias("anomaly")), "anomaly")
+
+
+@query("doy_lookup", """WITH clim AS (SELECT o_custkey, dayofyear(o_orderdate)::INT AS doy, avg(o_totalprice) AS price FROM orders GROUP BY ALL), want AS (SELECT DISTINCT o_custkey, unnest([1, 60, 200, 366])::INT AS doy FROM orders)
+SELECT w.o_custkey, w.doy, round(arg_min(price, struct_pack(x := abs(w.doy - c.doy), y := c.doy)) + 1.7e-8, 6) AS price FROM want w JOIN clim c USING (o_custkey) GROUP BY ALL""")
+def doy_lookup(spark, sf):
+    """Prices of four days of the year from each customer's nearest day with one, the earlier on ties."""
+    o = table(spark, sf, "orders")
+    clim = o.groupBy("o_custkey", F.dayofyear("o_orderdate").alias("doy")).agg(F.avg("o_totalprice").alias("price"))
+    want = o.select("o_custkey").distinct().withColumn("doy", F.explode(F.array(*map(F.lit, (1, 60, 200, 366)))))
+    return rounded(grid.lookup_doy(want, clim, ["o_custkey"], ["price"]), "price")
+
+
 @query("dedupe_days", f"WITH {EVENTS}, w AS (SELECT member, day_idx, min(file_seq) AS file_seq FROM ev GROUP BY ALL) SELECT ev.* FROM ev JOIN w USING (member, day_idx, file_seq)")
 def dedupe_days(spark, sf):
     return ingest.dedupe_days(ingest.drop_bad_time(event_rows(spark, sf)))
 
 
+@query("probe_frequency", """WITH st AS (SELECT user_id, (event_id % 2)::VARCHAR AS path, epoch_us(ts) / 86400e6 AS t FROM events), one AS (SELECT * FROM (SELECT *, min(path) OVER (PARTITION BY user_id) AS first FROM st) WHERE path = first),
+n AS (SELECT *, row_number() OVER w AS k, t - lag(t) OVER w AS d FROM one WINDOW w AS (PARTITION BY user_id ORDER BY t)), p AS (SELECT user_id, quantile_cont(d, 0.5) AS step FROM n WHERE k <= 50 GROUP BY ALL)
+SELECT user_id, round(step + 1.7e-8, 6) AS step, CASE WHEN step < 0.9 THEN 'subdaily' WHEN step < 1.5 THEN 'day' WHEN step >= 20 THEN 'mon' ELSE 'unknown' END AS freq FROM p""")
+def probe_frequency(spark, sf):
+    """Frequency of each user's events, by the stamps of one of two files."""
+    stamps = table(spark, sf, "events").select("user_id", (F.col("event_id") % 2).cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("t"))
+    return rounded(catalog.probe_frequency(stamps, ["user_id"]), "step")
+
+
+@query("label_days", "WITH d AS (SELECT l_linenumber % 3 = 0 AS bare, l_shipdate::DATE - DATE '1970-01-01' AS lo, l_shipdate::DATE - DATE '1970-01-01' + l_quantity::INT AS hi, l_shipdate::DATE - DATE '1970-01-01' + 0.75 AS stamp FROM lineitem) SELECT CASE WHEN bare THEN floor(stamp) ELSE floor((lo + hi) / 2.0) END::INT AS day_idx, count(*) AS n FROM d GROUP BY ALL")
+def label_days(spark, sf):
+    """Days by the middle of their bounds, or by the stamp where there are none."""
+    day, bounded = F.unix_date(F.to_date("l_shipdate")), F.col("l_linenumber") % 3 != 0
+    lo, hi = F.when(bounded, day), F.when(bounded, day + F.col("l_quantity").cast("int"))
+    return table(spark, sf, "lineitem").groupBy(ingest.label_day(lo, hi, day + 0.75).alias("day_idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("completeness", f"{WITH}, d AS (SELECT scenario, member, cell_id, year, count(DISTINCT day_idx) AS days FROM daily WHERE year BETWEEN 1994 AND 2000 GROUP BY ALL), k AS (SELECT DISTINCT scenario, member, cell_id FROM daily), y AS (SELECT k.*, u.year, coalesce(days, 0) AS days FROM k CROSS JOIN (SELECT unnest(range(1994, 2001)) AS year) u LEFT JOIN d ON k.scenario = d.scenario AND k.member = d.member AND k.cell_id = d.cell_id AND u.year = d.year) SELECT scenario, member, cell_id, array_to_string(list_sort(list(year) FILTER (days = 0)), ',') AS missing, coalesce(array_to_string(list_sort(list(year) FILTER (days > 0 AND days < 360)), ','), '') AS short, count(*) FILTER (days < 360) = 0 AS complete FROM y GROUP BY ALL")
 def completeness(spark, sf):
     join = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c)
@@ -599,6 +645,20 @@ def convert_units(spark, sf):
     return wide.select(*CM, "day_idx", *[(F.round(F.col(v).cast("double") + OFF_TIES, 6) if v == "pr" else F.round(F.col(v).cast("double"), 2)).alias(v) for v in ("tas", "hurs", "pr", "sfcWind")])
 
 
+@query("convert_humidity", f"{WITH} SELECT scenario, member, cell_id, round(avg((hurs / 10000)::FLOAT::DOUBLE) + 1.7e-8, 6) AS huss, round(avg((100000 + 100 * tas)::FLOAT::DOUBLE), 2) AS ps FROM daily GROUP BY ALL")
+def convert_humidity(spark, sf):
+    """Specific humidity of one member in g/kg and pressure of one scenario in hPa, to kg/kg and Pa; means of a cell."""
+    d = cube(spark, sf)
+    g, hpa = F.col("member") == d.agg(F.min("member")).first()[0], F.col("scenario") == "F"
+    rows = d.select(*CM, "model", "day_idx", F.expr("stack(2, 'huss', hurs / 10000, 'ps', 100000 + 100 * tas) AS (var, value)"))
+    humid = F.col("var") == "huss"
+    units = F.when(humid, F.when(g, "g kg-1").otherwise("kg kg-1")).otherwise(F.when(hpa, "hPa").otherwise("Pa"))
+    long = ingest.convert_units(rows.withColumns({"units": units, "value": F.when(humid & g, F.col("value") * 1000).when(~humid & hpa, F.col("value") / 100).otherwise(F.col("value"))}))
+    one = lambda v: F.avg(F.when(F.col("var") == v, F.col("value").cast("double")))
+    out = long.groupBy(*CM).agg(one("huss").alias("huss"), one("ps").alias("ps"))
+    return rounded(out, "huss").withColumn("ps", F.round("ps", 2))
+
+
 @query("merge_variables", f"{WITH}, a AS (SELECT cell_id, day_idx, avg(tas) AS tas FROM daily GROUP BY ALL), b AS (SELECT c_nationkey::BIGINT AS cell_id, (CAST(o_orderdate AS DATE) - DATE '1970-01-01')::INT AS day_idx, avg(o_totalprice) / 1000 AS load FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT cell_id, day_idx, round(tas + 1.7e-8, 6) AS tas, round(load + 1.7e-8, 6) AS load FROM a JOIN b USING (cell_id, day_idx)")
 def merge_variables(spark, sf):
     """Temperature of the cube and the day's orders of the cell: each has days that the other lacks."""
@@ -725,6 +785,42 @@ def catalog_merge(spark, sf):
     return catalog.merge_catalog(c.where("member <> 'r1'"), extra).select(*catalog.KEY, F.coalesce(F.size(F.coalesce("paths", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("files"))
 
 
+@query("catalog_overlay", f"{CATALOG} SELECT model, scenario, member, var, 'netcdf' AS kind FROM cat WHERE member <> 'r1' AND var <> 'tas' UNION ALL SELECT model, scenario, member, var, 'zarr' FROM cat WHERE var = 'tas'")
+def catalog_overlay(spark, sf):
+    """A later source of temperatures wins over the catalog's, and adds members that it lacks."""
+    c = catalog_of(spark, sf)
+    return catalog.overlay_catalog(c.where("member <> 'r1'"), c.where("var = 'tas'").withColumn("kind", F.lit("zarr"))).select(*catalog.KEY, "kind")
+
+
+@query("known_issues", f"{CATALOG} SELECT model, scenario, member, var, 'netcdf' AS kind, len(paths) AS files FROM cat WHERE NOT (model = 'UKESM1-1' AND var = 'hurs') AND NOT (model = 'e3sm' AND var = 'sfcWind') UNION ALL SELECT DISTINCT model, scenario, member, 'sfcWind', 'wind_climatology', 0 FROM cat WHERE model = 'e3sm'")
+def known_issues(spark, sf):
+    """Unusable variables go (temperatures are chosen elsewhere), and winds of one model become climatological."""
+    c = catalog.apply_known_issues(catalog_of(spark, sf), [("UKESM1-1", "hurs"), ("CESM2-WACCM", "tasmax")], ["e3sm"])
+    return c.select(*catalog.KEY, "kind", F.size(F.coalesce("paths", F.array().cast("array<string>"))).cast("long").alias("files"))
+
+
+STORES = f"WITH {LISTING}, {CLASSIFIED}, st AS (SELECT model, scenario, member, coalesce(var, '?') AS var, path AS store FROM k)"
+
+
+def stores(spark, sf) -> DataFrame:
+    return listing(spark, sf).select("model", "scenario", "member", F.coalesce("var", F.lit("?")).alias("var"), F.col("path").alias("store"))
+
+
+@query("store_query", f"{STORES} SELECT model, scenario, member, var, max(store) AS store FROM st WHERE model IN ('UKESM1-1', 'e3sm') AND var IN ('tas', 'uas', 'pr') GROUP BY ALL")
+def store_query(spark, sf):
+    return catalog.query_catalog(stores(spark, sf), model=["UKESM1-1", "e3sm"], var=["tas", "uas", "pr"])
+
+
+@query("store_description", f"{STORES} SELECT model, var, count(*) AS rows, count(DISTINCT scenario) AS n_scenario, count(DISTINCT member) AS n_member, count(DISTINCT store) AS n_store FROM st GROUP BY ALL")
+def store_description(spark, sf):
+    return catalog.describe_stores(stores(spark, sf), ["model", "var"])
+
+
+@query("find_variables", f"WITH {LISTING} SELECT var, (SELECT count(*) FROM listing WHERE regexp_matches(path, pattern)) AS files FROM (VALUES ('tasmax', '/TREFHTMX[._]'), ('tas', '/tas_'), ('snow', '/snw_')) v (var, pattern)")
+def find_variables(spark, sf):
+    return catalog.find_variables(paths(spark, sf), {"tasmax": "/TREFHTMX[._]", "tas": "/tas_", "snow": "/snw_"})
+
+
 @query("inventory", f"{CATALOG} SELECT model, scenario, member, {', '.join(f'''coalesce(max('Y') FILTER (var = '{v}'), '') AS {v}''' for v in ('tas', 'pr', 'uas'))} FROM cat GROUP BY ALL")
 def inventory(spark, sf):
     return catalog.catalog_inventory(catalog_of(spark, sf), ["tas", "pr", "uas"])
@@ -740,6 +836,17 @@ def coverage(spark, sf):
     return catalog.coverage(listing(spark, sf))[1]
 
 
+@query("coverage_frequencies", f"WITH {LISTING}, {CLASSIFIED} SELECT model, {', '.join(f"count(*) FILTER (freq = '{f}') AS {f}" for f in ('day', 'subdaily', 'mon', 'unknown'))} FROM k GROUP BY model")
+def coverage_frequencies(spark, sf):
+    return catalog.coverage(listing(spark, sf))[0]
+
+
+@query("coverage_unknown", f"WITH {LISTING}, {CLASSIFIED} SELECT regexp_replace(split_part(path, '/', 6), '[0-9]+', '#', 'g') AS stem, count(*) AS files FROM k WHERE var IS NULL GROUP BY ALL ORDER BY files DESC, stem LIMIT 40")
+def coverage_unknown(spark, sf):
+    """The forty commonest names of files that no variable is known for: a top list by intention."""
+    return catalog.coverage(listing(spark, sf))[2]
+
+
 @query("members", f"{CATALOG}, h AS (SELECT model, scenario, member, list(var) AS have FROM cat GROUP BY ALL), ok AS (SELECT model, scenario, member, row_number() OVER (PARTITION BY model, scenario ORDER BY member) AS k FROM h WHERE list_contains(have, 'sfcWind') OR list_contains(have, 'uas')), m AS (SELECT * FROM ok WHERE k <= 2), good AS (SELECT model FROM m GROUP BY model HAVING count(DISTINCT scenario) = 3) SELECT model, scenario, member FROM m JOIN good USING (model)")
 def members(spark, sf):
     m = catalog.select_members(catalog_of(spark, sf), ["sfcWind"], 2)
