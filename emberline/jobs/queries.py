@@ -623,6 +623,17 @@ def label_days(spark, sf):
     return table(spark, sf, "lineitem").groupBy(ingest.label_day(lo, hi, day + 0.75).alias("day_idx")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("end_stamps", f"{WITH}, s AS (SELECT scenario, member, cell_id, day_idx - min(day_idx) OVER (PARTITION BY scenario, member) + CASE WHEN member = 'N' THEN 7305 ELSE 7306 END AS day_idx FROM daily), e AS (SELECT scenario, member, member <> 'N' AND count(DISTINCT day_idx) > 300 AS ends FROM s GROUP BY scenario, member) SELECT scenario, member, cell_id, (day_idx - CASE WHEN ends THEN 1 ELSE 0 END)::INT AS day_idx FROM s JOIN e USING (scenario, member)")
+def end_stamps(spark, sf):
+    """Series moved to begin on 1 or 2 January 1990: of the latter those with enough stamps mark the ends of days."""
+    d = daily(spark, sf).select("model", *CM, F.lit("tas").alias("var"), "day_idx")
+    begin = F.min("day_idx").over(Window.partitionBy("scenario", "member"))
+    moved = d.withColumn("day_idx", (F.col("day_idx") - begin + F.when(F.col("member") == "N", 7305).otherwise(7306)).cast("int"))
+    date = F.date_from_unix_date("day_idx")
+    stamped = moved.withColumns({"month": F.month(date), "day": F.dayofmonth(date), "hour": F.lit(0), "has_bounds": F.lit(False)})
+    return ingest.shift_end_stamps(stamped).select(*CM, "day_idx")
+
+
 @query("completeness", f"{WITH}, d AS (SELECT scenario, member, cell_id, year, count(DISTINCT day_idx) AS days FROM daily WHERE year BETWEEN 1994 AND 2000 GROUP BY ALL), k AS (SELECT DISTINCT scenario, member, cell_id FROM daily), y AS (SELECT k.*, u.year, coalesce(days, 0) AS days FROM k CROSS JOIN (SELECT unnest(range(1994, 2001)) AS year) u LEFT JOIN d ON k.scenario = d.scenario AND k.member = d.member AND k.cell_id = d.cell_id AND u.year = d.year) SELECT scenario, member, cell_id, array_to_string(list_sort(list(year) FILTER (days = 0)), ',') AS missing, coalesce(array_to_string(list_sort(list(year) FILTER (days > 0 AND days < 360)), ','), '') AS short, count(*) FILTER (days < 360) = 0 AS complete FROM y GROUP BY ALL")
 def completeness(spark, sf):
     join = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c)
@@ -680,6 +691,15 @@ def diagnostics(spark, sf):
     return rounded(ingest.wind_diagnostics(d, ["scenario"]), "mean", "mean_abs", "max", "step_days", "ratio", "corr")
 
 
+@query("result_check", f"{WITH}, {YEARLY}, mm AS (SELECT scenario, member, cell_id, year, min(vpd) AS lo, max(vpd) AS hi FROM daily GROUP BY ALL), c AS (SELECT 'M' AS model, scenario AS run, avg(days_p95) AS days, quantile_cont(days_p95, 0.5)::DOUBLE AS median_days, min(lo) AS low, max(hi) AS high FROM yearly JOIN mm USING (scenario, member, cell_id, year) GROUP BY scenario) SELECT model, run, round(days + 1.7e-8, 6) AS days, median_days, round(low + 1.7e-8, 6) AS low, round(high + 1.7e-8, 6) AS high, 18.25::DOUBLE AS expected, abs(days - 18.25) <= 0.5 AND low >= 0 AND high <= 200 AS ok FROM c")
+def result_check(spark, sf):
+    """Days above the threshold against what a share of 5 % makes, and the range of the values, by scenario."""
+    d = cube(spark, sf)
+    at = [*CM, "year"]
+    span = d.groupBy(*at).agg(F.min("vpd").alias("index_min"), F.max("vpd").alias("index_max"))
+    return rounded(ingest.check_results(yearly_metrics(spark, sf).join(span, at).select(F.lit("M").alias("model"), F.col("scenario").alias("run"), "days_p95", "index_min", "index_max")), "days", "low", "high")
+
+
 @query("compare_fields", f"{WITH} SELECT scenario, round(avg(tas) + 1.7e-8, 6) AS mean_a, round(avg(tas + sfcWind) + 1.7e-8, 6) AS mean_b, round(max(abs(sfcWind)) + 1.7e-8, 6) AS max_diff FROM daily JOIN (SELECT scenario, min(day_idx) AS d0 FROM daily GROUP BY ALL) USING (scenario) WHERE day_idx < d0 + 10 GROUP BY scenario")
 def compare_fields(spark, sf):
     d = cube(spark, sf).withColumn("tasmax", F.col("tas") + F.col("sfcWind"))
@@ -870,6 +890,17 @@ b AS (SELECT target AS cell_id, year, month, CASE WHEN count(tas) = 4 THEN sum(w
 SELECT cell_id, year, month, round(coalesce(b.tas, m.tas) + 1.7e-8, 6) AS tas FROM m LEFT JOIN b USING (cell_id, year, month)"""
 
 
+@query("uv_centres", f"""{WITH}, m AS (SELECT scenario, cell_id, cell_id // 5 AS r, cell_id % 5 AS q, avg(tas) AS u, avg(hurs) AS v FROM daily GROUP BY ALL)
+SELECT a.scenario, a.cell_id, round(CASE WHEN a.q = 0 THEN a.u ELSE (a.u + b.u) / 2 END + 1.7e-8, 6) AS uas, round(CASE WHEN a.r = 0 THEN a.v ELSE (a.v + c.v) / 2 END + 1.7e-8, 6) AS vas
+FROM m a LEFT JOIN m b ON a.scenario = b.scenario AND b.r = a.r AND b.q = a.q - 1 LEFT JOIN m c ON a.scenario = c.scenario AND c.q = a.q AND c.r = a.r - 1""")
+def uv_centres(spark, sf):
+    """Two fields on points between the cells, one half a cell east and the other half a cell north, on the cells."""
+    c, at = cells(spark, sf), lambda lat, lon: [(F.floor(F.col("cell_id") / 5) * 10.0 + lat).alias("lat"), ((F.col("cell_id") % 5) * 20.0 + lon).alias("lon")]
+    field = cube(spark, sf).groupBy("scenario", "cell_id").agg(F.avg("tas").alias("uas"), F.avg("hurs").alias("vas"))
+    out = grid.uv_to_centres(field.drop("vas"), field.drop("uas"), c.select("cell_id", *at(0, 10)), c.select("cell_id", *at(5, 0)), ["scenario"])
+    return rounded(out.select("scenario", "cell_id", "uas", "vas"), "uas", "vas")
+
+
 def on_common_grid(name: str, source: str, value: str, keys: str, shift: float) -> str:
     """SQL: a global field of 5 × 5 cells, columns from shift - 144 on, at the centres of the 10-degree grid."""
     return f"""{name}_at AS (SELECT i * 36 + j AS cell_id, least(greatest((-85 + 10 * i + 72) / 36.0::DOUBLE, 0), 4) AS y, (-175 + 10 * j + 144 - ({shift})) / 72.0::DOUBLE AS x FROM (SELECT unnest(range(18)) AS i), (SELECT unnest(range(36)) AS j)),
