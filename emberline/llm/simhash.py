@@ -164,8 +164,8 @@ SIMILAR, PARITY = (4, 5), [f"b{k}" for k in range(8)]
 MOST, CHUNK, PER_KEY = 16, 64, 16
 #: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
 COMMON = 1 << 16
-#: Times that prefixes are made to find them.
-ROUNDS = 4
+#: Times that prefixes are made to find them, each a pass over all texts.
+ROUNDS = 2
 #: Parts in which pairs are checked one after the other, to hold fewer sets on disk at once.
 SLICES = 4
 
@@ -218,7 +218,7 @@ def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
     """
     found, best = np.zeros(0, np.int64), {}
     for _ in range(ROUNDS):
-        counts = heads(texts, n, found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+        counts = store(heads(texts, n, found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST))
         now = {r["h"]: r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()}
         if not now.keys() - best.keys():
             break
@@ -250,10 +250,12 @@ def meetings(rows: DataFrame) -> DataFrame:
     few candidates.
     """
     nodes = store(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("m", *PARITY, "prefix"))))
-    each = nodes.select("node", F.explode("prefix").alias("h"))
+    # All prefixes are shuffled, so under a short name; sets that share one only make more candidates.
+    short = F.xxhash64("node").alias("_short")
+    each = nodes.select(short, F.explode("prefix").alias("h"))
     shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = store(each.join(shared, "h"))
-    return store(met.join(nodes.select("node", "m", *PARITY), "node"))
+    return store(met.join(nodes.select(short, "node", "m", *PARITY), "_short").drop("_short"))
 
 
 def may_link(x: Column, y: Column) -> Column:
