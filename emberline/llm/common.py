@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,21 +46,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the shared folder: later steps reread it and survive the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings while plans are made and run."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def batches_of(batch: int | None) -> dict[str, str]:
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {}
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder, reread it, and let the shuffle files of its making go. For tables too large for a checkpoint's plain rows."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Eager checkpoint in the shared folder: later steps reread it and survive the loss of executors. batch: rows that Python functions of the plan get at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with settings(spark, batches_of(batch)):
+        # A plan keeps the settings under which it is made.
+        return (df.select("*") if batch else df).checkpoint(eager=True)
+
+
+def store(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write a table in the shared folder, reread it, and let the shuffle files of its making go. For tables too large for a checkpoint's plain rows. batch: as for ``cut``."""
+    spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        # A plan keeps the setting under which it is made.
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **batches_of(batch)}):
         df.select("*").write.parquet(path)
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)

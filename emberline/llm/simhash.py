@@ -32,6 +32,8 @@ SEGMENTS, WIDTH = 16, 4
 BITS, CELL = 2, 64
 #: Shingle hashes whose bits are counted at once.
 PIECE = 1 << 15
+#: Texts that a Python worker holds at once: Spark's ten thousand stay in memory of every worker and executor.
+BATCH = 500
 #: Runs into which the rows of a fingerprint are dealt when it gets its component.
 RUNS = 64
 
@@ -110,7 +112,7 @@ def links(fps: DataFrame) -> DataFrame:
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").withColumn("_own", cell_of(F.col("fp")))
     near = spread.select("fp", F.explode(cells_near(F.col("_own"))).alias("_c")).select("fp", "_c.*").where("cell IS NOT NULL")
     shared = near.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = cut(near.join(shared, "cell"))
+    met = store(near.join(shared, "cell"))
     few = met.where(F.col("_n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("_all"))
     few = few.select(F.explode("_all").alias("a"), "_all").select("a", F.explode("_all").alias("b"))
     words = met.where(F.col("_n") > CELL).select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = [c for c in docs.columns if c not in (text_col, "fp", "fingerprint", "component_id")]
     # Columns of the caller may have any name, so they are packed while the work is done.
-    rows = cut(fingerprints(docs.select(F.struct(*own).alias("_own"), F.col(text_col).alias("_text")), "_text", n))
+    rows = cut(fingerprints(docs.select(F.struct(*own).alias("_own"), F.col(text_col).alias("_text")), "_text", n), BATCH)
     # Rows of a frequent fingerprint are dealt over the runs that hold them.
     rows = rows.withColumn("_run", F.pmod(F.xxhash64(F.col("_own")[id_col].cast("string")), F.lit(RUNS)).cast("int"))
     runs = cut(rows.groupBy("fp", "_run").agg(F.min(F.col("_own")[id_col]).alias("_first")))

@@ -260,6 +260,17 @@ def test_near_stage_takes_edited_copies(spark, monkeypatch, most):
     assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_are_made_of_few_texts_at_once(spark, monkeypatch):
+    @F.pandas_udf("long")
+    def together(some: pd.Series) -> pd.Series:
+        return pd.Series([len(some)] * len(some), dtype="int64")
+
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, text, n: docs.withColumn("fp", together(text)).drop(text))
+    docs = spark.range(0, 1300, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    assert {r["fp"] for r in simhash.near_duplicates(docs).select("fp").distinct().collect()} == {500, 300}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for size in (1, 7, 100, 3000):
