@@ -106,8 +106,11 @@ def words_in(fp: Column, seg: Column, step: Column) -> Column:
     return F.array(*out)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, between distinct fingerprints (column fp): enough of them that fingerprints within BITS bits are connected, and none between others."""
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b), a > b, between distinct fingerprints (column fp): enough of them that fingerprints within BITS bits are connected, and none between others.
+
+    With more bits, also pairs within so many bits that meet in a cell of up to CELL fingerprints.
+    """
     # Each fingerprint makes some thirty rows, so the small table is spread over all tasks first.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").withColumn("_own", cell_of(F.col("fp")))
     near = spread.select("fp", F.explode(cells_near(F.col("_own"))).alias("_c")).select("fp", "_c.*").where("cell IS NOT NULL")
@@ -118,7 +121,7 @@ def links(fps: DataFrame) -> DataFrame:
     words = met.where(F.col("_n") > CELL).select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
     meetings_ = words.groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("_all")).where(F.size("_all") > 1)
     many = meetings_.select(F.explode(F.slice("_all", 2, 65)).alias("a"), F.col("_all")[0].alias("b"))
-    return few.union(many).where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).distinct()
+    return few.union(many).where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,8 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(table_, ["fp", "_run"]).select("_own.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: similar_documents: Jaccard similarity as a fraction, and the longs of the parities that rule pairs out.
-SIMILAR, PARITY = (4, 5), [f"b{k}" for k in range(8)]
+#: similar_documents: Jaccard similarity as a fraction, the bits in which fingerprints of a cell may differ for their sets to be
+#: checked (sets of this similarity differ in ten or so), and the longs of the parities that rule pairs out.
+SIMILAR, REACH, PARITY = (4, 5), 24, [f"b{k}" for k in range(8)]
 #: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks that meet in one place.
 MOST, CHUNK, PER_KEY = 16, 64, 16
 #: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
@@ -220,7 +224,7 @@ def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
     """
     found, best = np.zeros(0, np.int64), {}
     for _ in range(ROUNDS):
-        counts = store(heads(texts, n, found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST))
+        counts = store(heads(texts, n, found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST), BATCH)
         now = {r["h"]: r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()}
         if not now.keys() - best.keys():
             break
@@ -232,32 +236,42 @@ def crowded_shingles(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def described(texts: DataFrame, n: int, common: np.ndarray) -> DataFrame:
-    """All columns but _text, then node (the set's digest), m (its size), its PARITY and prefix."""
+    """All columns but _text, then node (the set's digest), m (its size), fp (its SimHash), its PARITY and prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
-    @F.pandas_udf(f"node binary, m int, {', '.join(f'{b} long' for b in PARITY)}, prefix array<bigint>")
+    @F.pandas_udf(f"node binary, m int, fp long, {', '.join(f'{b} long' for b in PARITY)}, prefix array<bigint>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in batches:
             found = [shingle_set(t, n) for t in some]
             bits = np.array([parities(k) for k in found], np.int64).reshape(-1, len(PARITY))
-            yield pd.DataFrame({"node": [node_of(k) for k in found], "m": np.array([len(k) for k in found], np.int32), **dict(zip(PARITY, bits.T)), "prefix": [prefix_of(k, shared.value) for k in found]})
+            yield pd.DataFrame({"node": [node_of(k) for k in found], "m": np.array([len(k) for k in found], np.int32), "fp": np.array([majority(k.view(np.uint64)) for k in found], np.int64), **dict(zip(PARITY, bits.T)), "prefix": [prefix_of(k, shared.value) for k in found]})
 
     return texts.withColumn("_s", sets("_text")).drop("_text").select("*", "_s.*").drop("_s")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(h, n, node, m, PARITY) for every shingle that n > 1 distinct sets have in their prefixes.
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, that fingerprints name: those that ``links`` joins by the grid of segment popcounts, and each set with one of its own fingerprint."""
+    one = F.struct("node", F.col("node").alias("root"), "m", *PARITY)
+    leaders = store(nodes.groupBy("fp").agg(F.min_by(one, "node").alias("one"), F.count(F.lit(1)).alias("_n")))
+    same = nodes.join(leaders.where("_n > 1"), "fp").select(one.alias("x"), F.col("one").alias("y"))
+    of = lambda end, name: leaders.select(F.col("fp").alias(end), F.col("one").alias(name))
+    met = links(leaders.select("fp"), REACH).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return as_pairs(same.union(met))
+
+
+def meetings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, n, node, root, m, PARITY) for every shingle that n > 1 distinct sets have in their prefixes.
 
     Two sets of similarity s share a shingle in their prefixes, whatever the common order of shingles; crowded ones last make
-    few candidates.
+    few candidates. root is the set's component by the links of fingerprints.
     """
-    nodes = store(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("m", *PARITY, "prefix"))))
     # All prefixes are shuffled, so under a short name; sets that share one only make more candidates.
     short = F.xxhash64("node").alias("_short")
     each = nodes.select(short, F.explode("prefix").alias("h"))
     shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = store(each.join(shared, "h"))
-    return store(met.join(nodes.select(short, "node", "m", *PARITY), "_short").drop("_short"))
+    known = nodes.join(roots, "node", "left").select(short, "node", F.coalesce("root", "node").alias("root"), "m", *PARITY)
+    return store(met.join(known, "_short").drop("_short"))
 
 
 def may_link(x: Column, y: Column) -> Column:
@@ -269,14 +283,14 @@ def may_link(x: Column, y: Column) -> Column:
 
 
 def as_pairs(both: DataFrame) -> DataFrame:
-    """Distinct (a, b), a > b, of the structs x and y that may be linked."""
+    """Distinct (a, b), a > b, of the structs x and y that may be linked and that no link has joined."""
     a, b = F.col("x")["node"], F.col("y")["node"]
-    return both.where((a != b) & may_link(F.col("x"), F.col("y"))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    return both.where((F.col("x")["root"] != F.col("y")["root"]) & may_link(F.col("x"), F.col("y"))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
 def first_pairs(met: DataFrame) -> DataFrame:
     """All pairs of a shingle with up to MOST nodes; in crowded ones each node with one leader of those that share its least second hash."""
-    one = F.struct("node", "m", *PARITY)
+    one = F.struct("node", "root", "m", *PARITY)
     few = met.where(F.col("n") <= MOST).groupBy("h").agg(F.collect_list(one).alias("_all"))
     few = few.select(F.explode("_all").alias("x"), "_all").select("x", F.explode("_all").alias("y")).where(F.col("x")["node"] > F.col("y")["node"])
     crowd = met.where(F.col("n") > MOST)
@@ -302,7 +316,7 @@ def cross_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
     needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
     block: only pairs that may be links become rows.
     """
-    of = met.where(F.col("n") > MOST).join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    of = met.where(F.col("n") > MOST).drop("root").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.ceil(F.col("c") / CHUNK)).alias("parts")).where("k > 1")
     of = of.join(per.join(mixed, "h"), ["h", "root"])
@@ -339,7 +353,7 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> D
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select("_digest")
     some = texts.join(wanted, "_digest", "left_semi").dropDuplicates(["_digest"]).select(again("_text").alias("_s")).select("_s.*")
-    sets = store(some.groupBy("node").agg(F.first("keys").alias("keys")))
+    sets = store(some.groupBy("node").agg(F.first("keys").alias("keys")), BATCH)
     out = None
     for k in range(SLICES):
         part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == k)
@@ -352,21 +366,26 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> D
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """All input columns but the text, then component_id: the smallest identifier among all documents that links reach.
 
-    A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more. Candidates
-    share a shingle of their prefixes. As a fingerprint's segments bound the Hamming distance from below, so do parities of
-    the set the number of shingles in which two texts differ; they rule out no link, and the sets decide. No pair is left out for the size
-    of its group: pairs of crowded shingles are left out only where links join the two already. Texts without words
-    are one component. Nulls, repeated rows and empty tables as in ``near_duplicates``.
+    A link joins documents whose sets of word n-grams (as in ``fingerprint``) have Jaccard similarity SIMILAR or more. First come
+    pairs whose SimHash fingerprints (of the sets) meet in the grid of segment popcounts, within REACH bits; the sets decide.
+    Sets of this similarity can be further apart than the grid reaches, so an exact search for the rest follows: what
+    these links have not joined are candidates if they share a shingle of their prefixes. As a fingerprint's segments bound the Hamming
+    distance from below, so do parities of the set the number of shingles in which two texts differ; they rule out no link,
+    and the sets decide. No pair is left out for the size of its group: pairs of crowded shingles are left out only where
+    links join the two already. Texts without words are one component. Nulls, repeated rows and empty tables as in ``near_duplicates``.
     """
     own = [c for c in docs.columns if c not in (text_col, "component_id")]
     # Columns of the caller may have any name, so they are packed while the work is done.
     texts = docs.select(F.struct(*own).alias("_own"), F.unhex(F.md5(whole(F.col(text_col)))).alias("_digest"), F.col(text_col).alias("_text"))
-    rows = store(described(texts, n, crowded_shingles(texts, n)))
-    firsts = store(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first"), F.min("_digest").alias("_digest")))
-    met = meetings(rows)
-    links = verified(store(first_pairs(met)), texts, firsts, n)
-    more = store(cross_pairs(met, components(links).select("node", "root")))
-    roots = components(links.union(verified(more, texts, firsts, n)))
+    rows = store(described(texts, n, crowded_shingles(texts, n)), BATCH)
+    firsts = store(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first"), F.min("_digest").alias("_digest"), *(F.first(c).alias(c) for c in ("m", "fp", *PARITY, "prefix"))))
+    links = verified(store(fingerprint_pairs(firsts)), texts, firsts, n)
+    roots = components(links).select("node", "root")
+    met = meetings(firsts, roots)
+    links = links.union(verified(store(first_pairs(met)), texts, firsts, n))
+    more = store(cross_pairs(met, components(links).select("node", "root")), BATCH)
+    links = links.union(verified(more, texts, firsts, n))
+    roots = components(links)
     rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select("_own", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("_own.*", "component_id")

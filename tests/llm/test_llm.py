@@ -271,6 +271,25 @@ def test_fingerprints_are_made_of_few_texts_at_once(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
+def test_near_stage_joins_sets_by_their_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng, seen, real = random.Random(5), [], simhash.meetings
+    rows = []
+    for _ in range(8):
+        base = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(300)]
+        rows += [" ".join(base[:-1] + [str(k)]) for k in range(5)]
+    monkeypatch.setattr(simhash, "meetings", lambda nodes, roots: seen.append((nodes, roots)) or real(nodes, roots))
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(rows)], DOC)
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(range(0, 40, 5))
+    nodes, roots = seen[0]  # what fingerprints have joined before other candidates are sought
+    fps = {r["node"]: r["fp"] & (2**64 - 1) for r in nodes.collect()}
+    assert set(fps.values()) == {simhash.fingerprint(t, 5) & (2**64 - 1) for t in rows}  # no shingle of these repeats
+    root = {r["node"]: r["root"] for r in roots.collect()}
+    close = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len(close) > 20 and all(root.get(a, a) == root.get(b, b) for a, b in close)
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for size in (1, 7, 100, 3000):
