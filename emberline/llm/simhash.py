@@ -170,6 +170,8 @@ SIMILAR, REACH, PARITY = (4, 5), 24, [f"b{k}" for k in range(8)]
 MOST, CHUNK, PER_KEY = 16, 64, 16
 #: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
 COMMON = 1 << 16
+#: Pairs that a block lists between two components before the nearest ones are checked.
+NEAREST = 4
 #: Times that prefixes are made to find them, each a pass over all texts.
 ROUNDS = 2
 #: Parts in which pairs are checked one after the other, to hold fewer sets on disk at once.
@@ -298,47 +300,70 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return as_pairs(few.select("x", "y").union(crowd.select("h", one.alias("x")).join(leaders, "h").select("x", "y")))
 
 
-def block_pairs(x_nodes: list[bytes], x: np.ndarray, y_nodes: list[bytes], y: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Pairs (a, b), a > b, between two chunks that sizes and parities allow; of rows (component, size, parities) those of one component are left out."""
+def block_pairs(x_nodes: list[bytes], x: np.ndarray, y_nodes: list[bytes], y: np.ndarray, h: int | None = None, x_all: list | None = None, y_all: list | None = None, most: int | None = None) -> list[tuple[bytes, bytes]]:
+    """Pairs (a, b), a > b, between two chunks that sizes and parities allow; of rows (component, size, parities) those of one component are left out.
+
+    With h, the shingle in which the chunks meet, only pairs that have no lesser one in common (x_all, y_all: those of each node).
+    With most, the nearest pairs of two components only, as one link joins them; if that leaves out any, a pair of nones follows.
+    """
     num, den = SIMILAR
     p, q = x.reshape(2 + len(PARITY), -1, 1), y.reshape(2 + len(PARITY), 1, -1)
     low, high = np.minimum(p[1], q[1]), np.maximum(p[1], q[1])
     may = (p[0] != q[0]) & (den * low >= num * high)
     apart = np.bitwise_count((p[2:] ^ q[2:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
-    at = np.nonzero(may & ((den + num) * apart <= (den - num) * (low + high)))
-    return [(max(a, b), min(a, b)) for a, b in ((x_nodes[i], y_nodes[j]) for i, j in zip(*at))]
-
-
-def cross_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+    at = np.argwhere(may & ((den + num) * apart <= (den - num) * (low + high)))
+    if h is not None and len(at):
+        own, others = {i: set(x_all[i]) for i in set(at[:, 0])}, {j: set(y_all[j]) for j in set(at[:, 1])}
+        at = at[[min(own[i] & others[j]) == h for i, j in at]]
+    out, listed = set(), {}
+    if most is not None:
+        at = at[np.argsort(apart[at[:, 0], at[:, 1]], kind="stable")]
+    for i, j in at:
+        pair = (max(x_nodes[i], y_nodes[j]), min(x_nodes[i], y_nodes[j]))
+        if most is not None and pair not in out:
+            ends = (min(p[0, i, 0], q[0, 0, j]), max(p[0, i, 0], q[0, 0, j]))
+            listed[ends] = listed.get(ends, 0) + 1
+            if listed[ends] > most:
+                continue
+        out.add(pair)
+    return sorted(out) + [(None, None)] * any(n > most for n in listed.values())
+
+
+def cross_pairs(met: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of crowded shingles whose nodes no link has joined yet, of all such pairs those that sizes and parities allow.
 
     The nodes of a shingle are dealt into chunks, those of a large component into its own; two chunks of one component
     needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
-    block: only pairs that may be links become rows.
+    block: only pairs that may be links become rows, each in a block of the least of the shingles that both have. With
+    most, a block lists so many pairs of two components, and rows of nulls tell that there are more.
     """
-    of = met.where(F.col("n") > MOST).drop("root").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    crowd = met.where(F.col("n") > MOST).drop("root")
+    of = crowd.join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.ceil(F.col("c") / CHUNK)).alias("parts")).where("k > 1")
-    of = of.join(per.join(mixed, "h"), ["h", "root"])
+    of = store(of.join(per.join(mixed, "h"), ["h", "root"]))
+    # A pair of two components has all its shingles among these.
+    of = of.join(of.groupBy("node").agg(F.collect_list("h").alias("hs")), "node")
     large = F.col("c") >= CHUNK
     own = F.when(large, F.col("root"))
     part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / CHUNK))))
     keys = F.ceil(F.least("parts", F.lit(1) + F.ceil(F.col("small") / CHUNK) + F.col("parts")) / PER_KEY)
-    chunks = of.groupBy("h", own.alias("own"), part.alias("part"), keys.alias("keys")).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY)).alias("all"))
+    chunks = of.groupBy("h", own.alias("own"), part.alias("part"), keys.alias("keys")).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY, "hs")).alias("all"))
     numbers = F.flatten(F.array(*(F.col("all")[c] for c in ("root", "m", *PARITY))))
-    chunks = store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.col("all")["node"].alias("nodes"), numbers.alias("numbers")))
-    left = chunks.select("h", F.col("name").alias("p"), F.col("nodes").alias("x_nodes"), F.col("numbers").alias("x"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
-    right = chunks.select("h", F.col("name").alias("q"), F.col("nodes").alias("y_nodes"), F.col("numbers").alias("y"), F.pmod(F.xxhash64("name"), "keys").alias("key"))
+    chunks = store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.struct(F.col("all")["node"].alias("nodes"), numbers.alias("numbers"), F.col("all")["hs"].alias("hs")).alias("all")))
+    side = lambda x, name: chunks.select("h", F.col("name").alias(name), *(F.col("all")[c].alias(f"{x}_{c}") for c in ("nodes", "numbers", "hs")), "keys")
+    left = side("x", "p").withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).drop("keys")
+    right = side("y", "q").withColumn("key", F.pmod(F.xxhash64("q"), "keys")).drop("keys")
     blocks = left.join(right, ["h", "key"]).where("(p > q OR (p = q AND p.own IS NULL)) AND NOT coalesce(p.own = q.own, false)")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             found = set()
-            for x_nodes, x, y_nodes, y in zip(some["x_nodes"], some["x"], some["y_nodes"], some["y"]):
-                found.update(block_pairs(x_nodes, np.asarray(x, np.int64), y_nodes, np.asarray(y, np.int64)))
-            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+            for h, x_nodes, x, x_all, y_nodes, y, y_all in some.itertuples(index=False):
+                found.update(block_pairs(x_nodes, np.asarray(x, np.int64), y_nodes, np.asarray(y, np.int64), h, x_all, y_all, most))
+            yield pd.DataFrame(list(found), columns=["a", "b"])
 
-    return blocks.select("x_nodes", "x", "y_nodes", "y").mapInPandas(compared, "a binary, b binary").distinct()
+    return blocks.select("h", *(f"{x}_{c}" for x in "xy" for c in ("nodes", "numbers", "hs"))).mapInPandas(compared, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
@@ -383,8 +408,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links).select("node", "root")
     met = meetings(firsts, roots)
     links = links.union(verified(store(first_pairs(met)), texts, firsts, n))
-    more = store(cross_pairs(met, components(links).select("node", "root")), BATCH)
-    links = links.union(verified(more, texts, firsts, n))
+    for most in (NEAREST, None):
+        more = store(cross_pairs(met, components(links).select("node", "root"), most), BATCH)
+        links = links.union(verified(more.where("a IS NOT NULL").distinct(), texts, firsts, n))
+        if more.where("a IS NULL").isEmpty():
+            break
     roots = components(links)
     rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))

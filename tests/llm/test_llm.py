@@ -290,6 +290,24 @@ def test_near_stage_joins_sets_by_their_fingerprints(spark, monkeypatch):
     assert len(close) > 20 and all(root.get(a, a) == root.get(b, b) for a, b in close)
 
 
+def test_crowded_shingles_list_a_pair_once(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(120)]
+    rows = [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) for k in range(10, 50)]
+    monkeypatch.setattr(simhash, "MOST", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    texts = spark.createDataFrame([(t,) for t in rows], "_text string")
+    none = spark.createDataFrame([], "node binary, root binary")
+    met = simhash.meetings(simhash.described(texts, 5, np.zeros(0, np.int64)), none)
+    got = [(r["a"], r["b"]) for r in simhash.cross_pairs(met, none).collect()]
+    assert len(got) == len(set(got)) == 40 * 39 // 2  # all share several crowded shingles, and all are similar
+    nodes, y_nodes = [bytes([k]) for k in range(10)], [bytes([k]) for k in range(10, 20)]
+    side = lambda root: np.array([root] * 10 + [50] * 10 + [0] * 80)
+    pairs = simhash.block_pairs(nodes, side(1), y_nodes, side(2), most=4)
+    assert len(pairs) == 5 and pairs[-1] == (None, None)  # one link joins the two: the nearest first, and word that there are more
+    assert len(simhash.block_pairs(nodes, side(1), y_nodes, side(2))) == 100
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for size in (1, 7, 100, 3000):
