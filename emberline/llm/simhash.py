@@ -15,7 +15,7 @@ Connected components then run over distinct fingerprints by star contraction, wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,9 +124,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return few.union(many).where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b): root is the smallest node of the component. Star contraction; rounds grow with the logarithm of the longest chain."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(node, root) for all nodes of edges (a, b): root is the smallest node of the component. Star contraction; rounds grow with the logarithm of the longest chain. keep: how a round's edges are kept, ``cut`` or ``store``."""
+    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -134,7 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.*").where("a <> b").distinct())
+        edges = keep(small.select("e.*").where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -329,28 +329,36 @@ def block_pairs(x_nodes: list[bytes], x: np.ndarray, y_nodes: list[bytes], y: np
     return sorted(out) + [(None, None)] * any(n > most for n in listed.values())
 
 
-def cross_pairs(met: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs of crowded shingles whose nodes no link has joined yet, of all such pairs those that sizes and parities allow.
+def crowd_chunks(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of each crowded shingle that has several components, in chunks: h, name (own, part), keys, all (nodes, numbers, hs).
 
-    The nodes of a shingle are dealt into chunks, those of a large component into its own; two chunks of one component
-    needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
-    block: only pairs that may be links become rows, each in a block of the least of the shingles that both have. With
-    most, a block lists so many pairs of two components, and rows of nulls tell that there are more.
+    The nodes of a large component are dealt into its own chunks, those of small ones together. keys: places in which the
+    shingle's chunks meet, one for PER_KEY of them. hs: the node's shingles up to h, among which a pair finds its least.
     """
     crowd = met.where(F.col("n") > MOST).drop("root")
     of = crowd.join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.ceil(F.col("c") / CHUNK)).alias("parts")).where("k > 1")
+    mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.when(F.col("c") >= CHUNK, F.ceil(F.col("c") / CHUNK)).otherwise(0)).alias("parts")).where("k > 1")
     of = store(of.join(per.join(mixed, "h"), ["h", "root"]))
     # A pair of two components has all its shingles among these.
-    of = of.join(of.groupBy("node").agg(F.collect_list("h").alias("hs")), "node")
+    of = of.join(of.groupBy("node").agg(F.collect_list("h").alias("hs")), "node").withColumn("hs", F.filter("hs", lambda x: x <= F.col("h")))
     large = F.col("c") >= CHUNK
     own = F.when(large, F.col("root"))
     part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / CHUNK))))
-    keys = F.ceil(F.least("parts", F.lit(1) + F.ceil(F.col("small") / CHUNK) + F.col("parts")) / PER_KEY)
+    keys = F.ceil((F.col("parts") + F.ceil(F.col("small") / CHUNK)) / PER_KEY)
     chunks = of.groupBy("h", own.alias("own"), part.alias("part"), keys.alias("keys")).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY, "hs")).alias("all"))
     numbers = F.flatten(F.array(*(F.col("all")[c] for c in ("root", "m", *PARITY))))
-    chunks = store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.struct(F.col("all")["node"].alias("nodes"), numbers.alias("numbers"), F.col("all")["hs"].alias("hs")).alias("all")))
+    return store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.struct(F.col("all")["node"].alias("nodes"), numbers.alias("numbers"), F.col("all")["hs"].alias("hs")).alias("all")))
+
+
+def cross_pairs(met: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of crowded shingles whose nodes no link has joined yet, of all such pairs those that sizes and parities allow.
+
+    Two chunks of one large component needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
+    block: only pairs that may be links become rows, each in a block of the least of the shingles that both have. With
+    most, a block lists so many pairs of two components, and rows of nulls tell that there are more.
+    """
+    chunks = crowd_chunks(met, roots)
     side = lambda x, name: chunks.select("h", F.col("name").alias(name), *(F.col("all")[c].alias(f"{x}_{c}") for c in ("nodes", "numbers", "hs")), "keys")
     left = side("x", "p").withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).drop("keys")
     right = side("y", "q").withColumn("key", F.pmod(F.xxhash64("q"), "keys")).drop("keys")
@@ -388,6 +396,13 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> D
     return out
 
 
+def rejoined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with further links (a, b). What is joined already comes as stars, so rounds are few; without a link nothing is made again."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")), store)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """All input columns but the text, then component_id: the smallest identifier among all documents that links reach.
 
@@ -404,17 +419,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.struct(*own).alias("_own"), F.unhex(F.md5(whole(F.col(text_col)))).alias("_digest"), F.col(text_col).alias("_text"))
     rows = store(described(texts, n, crowded_shingles(texts, n)), BATCH)
     firsts = store(rows.groupBy("node").agg(F.min(F.col("_own")[id_col]).alias("_first"), F.min("_digest").alias("_digest"), *(F.first(c).alias(c) for c in ("m", "fp", *PARITY, "prefix"))))
-    links = verified(store(fingerprint_pairs(firsts)), texts, firsts, n)
-    roots = components(links).select("node", "root")
+    roots = components(verified(store(fingerprint_pairs(firsts)), texts, firsts, n), store)
     met = meetings(firsts, roots)
-    links = links.union(verified(store(first_pairs(met)), texts, firsts, n))
+    roots = rejoined(roots, verified(store(first_pairs(met)), texts, firsts, n))
     for most in (NEAREST, None):
-        more = store(cross_pairs(met, components(links).select("node", "root"), most), BATCH)
-        links = links.union(verified(more.where("a IS NOT NULL").distinct(), texts, firsts, n))
+        more = store(cross_pairs(met, roots, most), BATCH)
+        roots = rejoined(roots, verified(store(more.where("a IS NOT NULL").distinct()), texts, firsts, n))
         if more.where("a IS NULL").isEmpty():
             break
-    roots = components(links)
-    rooted = firsts.join(roots.select("node", "root"), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
+    rooted = firsts.join(roots, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select("_own", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("_own.*", "component_id")
 

@@ -308,6 +308,40 @@ def test_crowded_shingles_list_a_pair_once(spark, monkeypatch):
     assert len(simhash.block_pairs(nodes, side(1), y_nodes, side(2))) == 100
 
 
+def test_chunks_of_a_crowded_shingle_go_to_few_places(spark, monkeypatch):
+    rng, kept, real = np.random.default_rng(8), [], simhash.store
+    monkeypatch.setattr(simhash, "MOST", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "PER_KEY", 4)
+    monkeypatch.setattr(simhash, "store", lambda df, *a: kept.append(real(df, *a)) or kept[-1])
+    rows = [(h, 200, rng.bytes(16), 9) for h in (5, 7) for _ in range(200)]
+    rows += [(9, 200, node, 9) for _, _, node, _ in rows[:200]]
+    met = spark.createDataFrame(rows, "h long, n long, node binary, m int").select("*", F.col("node").alias("root"), *(F.lit(0).cast("long").alias(b) for b in simhash.PARITY))
+    assert simhash.cross_pairs(met, spark.createDataFrame([], "node binary, root binary"), 4).where("a IS NOT NULL").count()
+    chunks = next(t for t in kept if "keys" in t.columns).collect()
+    for h in (5, 7, 9):  # no two nodes of one component: 25 chunks of them, a quarter as many places
+        assert {r["keys"] for r in chunks if r["h"] == h} == {7}
+        assert all(x <= h for r in chunks if r["h"] == h for hs in r["all"]["hs"] for x in hs)
+
+
+def test_near_stage_makes_components_again_only_for_new_links(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng, seen, real = random.Random(9), [], simhash.components
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(6))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(300)]
+        rows += [" ".join(base[:-1] + [str(k)]) for k in range(5)]
+    monkeypatch.setattr(simhash, "components", lambda *a: seen.append(a[0].count()) or real(*a))
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(rows)], DOC)
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(range(0, 20, 5))
+    joined = spark.createDataFrame([(b"b", b"a"), (b"c", b"a"), (b"e", b"d")], "node binary, root binary")
+    assert len(seen) <= 2 and simhash.rejoined(joined, joined.selectExpr("node AS a", "root AS b").limit(0)) is joined
+    more = simhash.rejoined(joined, spark.createDataFrame([(b"e", b"c"), (b"g", b"f")], "a binary, b binary"))
+    assert {(bytes(r["node"]), bytes(r["root"])) for r in more.collect()} == {*((x, b"a") for x in (b"b", b"c", b"d", b"e")), (b"g", b"f")}
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for size in (1, 7, 100, 3000):
