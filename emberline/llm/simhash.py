@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, store, table, whole
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: similar_documents: Jaccard similarity as a fraction, the bits in which fingerprints of a cell may differ for their sets to be
 #: checked (sets of this similarity differ in ten or so), and the longs of the parities that rule pairs out.
 SIMILAR, REACH, PARITY = (4, 5), 24, [f"b{k}" for k in range(8)]
-#: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks that meet in one place.
+#: Nodes of a shingle whose pairs are listed at once; nodes in a chunk of a more crowded shingle; chunks in a band.
 MOST, CHUNK, PER_KEY = 16, 64, 16
 #: Crowded shingles that go to the end of the order, at most. The order only decides how many candidates there are.
 COMMON = 1 << 16
@@ -174,8 +174,8 @@ COMMON = 1 << 16
 NEAREST = 4
 #: Times that prefixes are made to find them, each a pass over all texts.
 ROUNDS = 2
-#: Parts in which pairs are checked one after the other, to hold fewer sets on disk at once.
-SLICES = 4
+#: Parts, at most, in which pairs are checked one after the other, to hold fewer sets on disk at once; pairs for which one part is enough.
+SLICES, SLICE = 4, 1 << 14
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -330,53 +330,71 @@ def block_pairs(x_nodes: list[bytes], x: np.ndarray, y_nodes: list[bytes], y: np
 
 
 def crowd_chunks(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nodes of each crowded shingle that has several components, in chunks: h, name (own, part), keys, all (nodes, numbers, hs).
+    """The nodes of each crowded shingle that has several components, in chunks: h, name (own, part), at, start, stop, total, keys, all (nodes, numbers, hs).
 
-    The nodes of a large component are dealt into its own chunks, those of small ones together. keys: places in which the
-    shingle's chunks meet, one for PER_KEY of them. hs: the node's shingles up to h, among which a pair finds its least.
+    The nodes of a large component are dealt into its own chunks, those of small ones together. at: the chunk's number of
+    the shingle's ``total``, from 0, those of small components first; a large component has start to stop - 1, others have
+    zeros there. keys: bands of PER_KEY chunks. hs: the node's shingles up to h, among which a pair finds its least.
     """
     crowd = met.where(F.col("n") > MOST).drop("root")
     of = crowd.join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     per = of.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("small"), F.sum(F.when(F.col("c") >= CHUNK, F.ceil(F.col("c") / CHUNK)).otherwise(0)).alias("parts")).where("k > 1")
-    of = store(of.join(per.join(mixed, "h"), ["h", "root"]))
+    large, of_root = F.col("c") >= CHUNK, F.ceil(F.col("c") / CHUNK)
+    mixed = per.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(large, 0).otherwise(F.col("c"))).alias("small"), F.sum(F.when(large, of_root).otherwise(0)).alias("parts")).where("k > 1")
+    others = Window.partitionBy("h").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.where(large).select("h", "root", F.coalesce(F.sum(of_root).over(others), F.lit(0)).alias("before"))
+    of = store(of.join(per.join(mixed, "h").join(before, ["h", "root"], "left"), ["h", "root"]))
     # A pair of two components has all its shingles among these.
     of = of.join(of.groupBy("node").agg(F.collect_list("h").alias("hs")), "node").withColumn("hs", F.filter("hs", lambda x: x <= F.col("h")))
-    large = F.col("c") >= CHUNK
-    own = F.when(large, F.col("root"))
-    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / CHUNK))))
-    keys = F.ceil((F.col("parts") + F.ceil(F.col("small") / CHUNK)) / PER_KEY)
-    chunks = of.groupBy("h", own.alias("own"), part.alias("part"), keys.alias("keys")).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY, "hs")).alias("all"))
+    own, shared = F.when(large, F.col("root")), F.ceil(F.col("small") / CHUNK)
+    part = F.when(large, F.pmod(F.xxhash64("node"), of_root)).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), shared)))
+    start, total = F.when(large, shared + F.col("before")).otherwise(0), F.col("parts") + shared
+    stop, keys = F.when(large, start + of_root).otherwise(0), F.ceil(total / PER_KEY)
+    named = {"own": own, "part": part, "start": start, "stop": stop, "total": total, "keys": keys}
+    chunks = of.groupBy("h", *(c.alias(name) for name, c in named.items())).agg(F.collect_list(F.struct("node", "root", F.col("m").cast("long").alias("m"), *PARITY, "hs")).alias("all"))
     numbers = F.flatten(F.array(*(F.col("all")[c] for c in ("root", "m", *PARITY))))
-    return store(chunks.select("h", F.struct("own", "part").alias("name"), "keys", F.struct(F.col("all")["node"].alias("nodes"), numbers.alias("numbers"), F.col("all")["hs"].alias("hs")).alias("all")))
+    return store(chunks.select("h", F.struct("own", "part").alias("name"), (F.col("start") + F.col("part")).alias("at"), "start", "stop", "total", "keys", F.struct(F.col("all")["node"].alias("nodes"), numbers.alias("numbers"), F.col("all")["hs"].alias("hs")).alias("all")))
+
+
+def places(chunks: DataFrame) -> DataFrame:
+    """The chunks in all places where they meet others: h, i, j (bands, i <= j), band (its own), at, stop, nodes, numbers, hs.
+
+    Any two bands of a shingle have a place of their own, so a place gets two bands at most, whatever the size of the shingle.
+    A chunk doesn't go where it would only meet its own large component.
+    """
+    band = F.floor(F.col("at") / PER_KEY)
+    alone = lambda j: (j * PER_KEY >= F.col("start")) & (F.least((j + 1) * PER_KEY, F.col("total")) <= F.col("stop"))
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("keys") - 1), lambda j: ~alone(j))).alias("other")
+    met = chunks.select("h", band.alias("band"), other, "at", "stop", "all.*")
+    return met.select("h", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "band", "at", "stop", "nodes", "numbers", "hs")
 
 
 def cross_pairs(met: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of crowded shingles whose nodes no link has joined yet, of all such pairs those that sizes and parities allow.
 
-    Two chunks of one large component needn't meet. Chunks of a shingle meet under several keys, so no task gets all of them, and are compared block by
-    block: only pairs that may be links become rows, each in a block of the least of the shingles that both have. With
+    Chunks of a shingle meet in ``places`` of bounded size and are compared block by block, those of one large component
+    excepted: only pairs that may be links become rows, each in a block of the least of the shingles that both have. With
     most, a block lists so many pairs of two components, and rows of nulls tell that there are more.
     """
-    chunks = crowd_chunks(met, roots)
-    side = lambda x, name: chunks.select("h", F.col("name").alias(name), *(F.col("all")[c].alias(f"{x}_{c}") for c in ("nodes", "numbers", "hs")), "keys")
-    left = side("x", "p").withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).drop("keys")
-    right = side("y", "q").withColumn("key", F.pmod(F.xxhash64("q"), "keys")).drop("keys")
-    blocks = left.join(right, ["h", "key"]).where("(p > q OR (p = q AND p.own IS NULL)) AND NOT coalesce(p.own = q.own, false)")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            found = set()
-            for h, x_nodes, x, x_all, y_nodes, y, y_all in some.itertuples(index=False):
-                found.update(block_pairs(x_nodes, np.asarray(x, np.int64), y_nodes, np.asarray(y, np.int64), h, x_all, y_all, most))
-            yield pd.DataFrame(list(found), columns=["a", "b"])
+    def compared(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        (h, i, j), found = key, set()
+        rows = [(r.band, r.at, r.stop, r.nodes, np.asarray(r.numbers, np.int64), r.hs) for r in some.itertuples(index=False)]
+        for p, at, stop, x_nodes, x, x_all in rows:
+            for q, to, end, y_nodes, y, y_all in rows:
+                if (p, q) == (i, j) and at <= to and not (stop and stop == end):
+                    found.update(block_pairs(x_nodes, x, y_nodes, y, int(h), x_all, y_all, most))
+        return pd.DataFrame(list(found), columns=["a", "b"])
 
-    return blocks.select("h", *(f"{x}_{c}" for x in "xy" for c in ("nodes", "numbers", "hs"))).mapInPandas(compared, "a binary, b binary")
+    return places(crowd_chunks(met, roots)).groupBy("h", "i", "j").applyInPandas(compared, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets have the similarity. The sets of these nodes only are made again, each from one text."""
+    """Of pairs (a, b), a stored table, those whose sets have the similarity. The sets of these nodes only are made again, each from one text."""
     num, den = SIMILAR
+    slices = min(SLICES, -(-pairs.count() // SLICE))
+    if not slices:
+        return pairs.select("a", "b")
 
     @F.pandas_udf("node binary, keys array<bigint>")
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -388,8 +406,8 @@ def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n: int) -> D
     some = texts.join(wanted, "_digest", "left_semi").dropDuplicates(["_digest"]).select(again("_text").alias("_s")).select("_s.*")
     sets = store(some.groupBy("node").agg(F.first("keys").alias("keys")), BATCH)
     out = None
-    for k in range(SLICES):
-        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == k)
+    for k in range(slices):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
         both = part.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("_q")), "b")
         links = store(both.where((num + den) * F.size(F.array_intersect("_p", "_q")) >= num * (F.size("_p") + F.size("_q"))).select("a", "b"))
         out = links if out is None else out.union(links)

@@ -324,6 +324,48 @@ def test_chunks_of_a_crowded_shingle_go_to_few_places(spark, monkeypatch):
         assert all(x <= h for r in chunks if r["h"] == h for hs in r["all"]["hs"] for x in hs)
 
 
+def test_chunks_of_a_large_component_go_only_where_others_are(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(simhash, "MOST", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "PER_KEY", 4)
+    nodes = [rng.bytes(16) for _ in range(500)]
+    roots = {v: nodes[0] if k < 400 else nodes[400] if k < 440 else v for k, v in enumerate(nodes)}  # 400, 40 and sixty of one
+    met = spark.createDataFrame([(5, 500, v, 9) for v in nodes], "h long, n long, node binary, m int").select("*", F.col("node").alias("root"), *(F.lit(0).cast("long").alias(b) for b in simhash.PARITY))
+    joined = spark.createDataFrame([(v, r) for v, r in roots.items() if r != v], "node binary, root binary")
+    chunks = simhash.crowd_chunks(met, joined)
+    there = simhash.places(chunks).collect()
+    owner = {bytes(v): r["name"]["own"] for r in chunks.collect() for v in r["all"]["nodes"]}
+    hot = [r for r in there if owner[bytes(r["nodes"][0])] == owner[nodes[0]]]
+    # 63 chunks in 16 bands: two of small components, one or two of the other large one. Nothing goes to all 16 but what isn't hot.
+    assert len(there) < 500 and max(sum(r["at"] == x["at"] for r in hot) for x in hot) <= 5
+    assert max(Counter((r["i"], r["j"]) for r in there).values()) <= 8
+    found = Counter()
+    got = simhash.cross_pairs(met, joined).collect()
+    found.update((r["a"], r["b"]) for r in got)
+    want = {(max(a, b), min(a, b)) for k, a in enumerate(nodes) for b in nodes[:k] if roots[a] != roots[b]}
+    assert {(bytes(a), bytes(b)) for a, b in found} == want and set(found.values()) == {1}
+
+
+def test_few_pairs_are_checked_in_one_pass(spark, monkeypatch):
+    rng, kept, real = random.Random(12), [], simhash.store
+    base = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(120)]
+    rows = [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) for k in range(10, 40)] + [" ".join(base[:60])]
+    texts = spark.createDataFrame([(t, t.encode()) for t in rows], "_text string, _digest binary")
+    sets = {simhash.node_of(simhash.shingle_set(t, 5)): (t, simhash.shingle_set(t, 5)) for t in rows}
+    firsts = spark.createDataFrame([(v, t.encode()) for v, (t, _) in sets.items()], "node binary, _digest binary")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a binary, b binary")
+    monkeypatch.setattr(simhash, "store", lambda df, *a: kept.append(real(df, *a)) or kept[-1])
+    want = {(a, b) for a in sets for b in sets if a > b and 5 * len(np.intersect1d(sets[a][1], sets[b][1])) >= 4 * len(np.union1d(sets[a][1], sets[b][1]))}
+    for slice_, passes in ((1 << 14, 1), (150, 4), (1, 4)):
+        monkeypatch.setattr(simhash, "SLICE", slice_)
+        kept.clear()
+        assert {(bytes(r["a"]), bytes(r["b"])) for r in simhash.verified(pairs, texts, firsts, 5).collect()} == want and len(want) == 435
+        assert len(kept) == 1 + passes  # the sets, then each part of the pairs
+    kept.clear()
+    assert simhash.verified(pairs.limit(0), texts, firsts, 5).count() == 0 and not kept
+
+
 def test_near_stage_makes_components_again_only_for_new_links(spark, monkeypatch):
     import corpus_pipeline
 
