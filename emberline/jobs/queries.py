@@ -898,6 +898,7 @@ def uv_centres(spark, sf):
     c, at = cells(spark, sf), lambda lat, lon: [(F.floor(F.col("cell_id") / 5) * 10.0 + lat).alias("lat"), ((F.col("cell_id") % 5) * 20.0 + lon).alias("lon")]
     field = cube(spark, sf).groupBy("scenario", "cell_id").agg(F.avg("tas").alias("uas"), F.avg("hurs").alias("vas"))
     out = grid.uv_to_centres(field.drop("vas"), field.drop("uas"), c.select("cell_id", *at(0, 10)), c.select("cell_id", *at(5, 0)), ["scenario"])
+    out = field.select("scenario", "cell_id").join(out, ["scenario", "cell_id"], "left")
     return rounded(out.select("scenario", "cell_id", "uas", "vas"), "uas", "vas")
 
 

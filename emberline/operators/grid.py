@@ -146,10 +146,10 @@ def regrid_bilinear(field: DataFrame, cells: DataFrame, target: DataFrame, value
 
 
 def uv_to_centres(u: DataFrame, v: DataFrame, u_cells: DataFrame, v_cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Staggered components on the grid of u's latitudes and v's longitudes."""
+    """Staggered components on the grid of u's latitudes and v's longitudes; one that is missing around a centre is null there."""
     lats, lons = u_cells.select("lat").distinct(), v_cells.select("lon").distinct()
     centres = lats.join(lons).withColumn("target_id", F.row_number().over(Window.orderBy("lat", "lon")).cast("long") - 1)
-    return regrid_bilinear(u, u_cells, centres, ["uas"], keys).join(regrid_bilinear(v, v_cells, centres, ["vas"], keys), [*keys, "cell_id"])
+    return regrid_bilinear(u, u_cells, centres, ["uas"], keys).join(regrid_bilinear(v, v_cells, centres, ["vas"], keys), [*keys, "cell_id"], "outer")
 
 
 def common_grid(spark: SparkSession, res: float = 1.0) -> DataFrame:
