@@ -33,6 +33,11 @@ def without_spaces(text: Column) -> Column:
     return F.translate(whole(text), _SPACES, "")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table for a join that sends neither side whole to the driver and all executors. Spark sizes what an explode makes by what goes in, an array as one entry, so it may take many rows for few."""
+    return df.hint("merge")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage. A cluster names it in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext

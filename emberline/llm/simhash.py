@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, store, table, whole
+from emberline.llm.common import cut, shuffled, store, table, whole
 
 SEED = 42
 #: Segments of the embedding, of four bits each.
@@ -115,7 +115,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").withColumn("_own", cell_of(F.col("fp")))
     near = spread.select("fp", F.explode(cells_near(F.col("_own"))).alias("_c")).select("fp", "_c.*").where("cell IS NOT NULL")
     shared = near.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = store(near.join(shared, "cell"))
+    met = store(near.join(shuffled(shared), "cell"))
     few = met.where(F.col("_n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("_all"))
     few = few.select(F.explode("_all").alias("a"), "_all").select("a", F.explode("_all").alias("b"))
     words = met.where(F.col("_n") > CELL).select("fp", F.explode(words_in(F.col("fp"), F.col("seg"), F.col("step"))).alias("word")).where("word IS NOT NULL")
@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    table_ = runs.select("fp", "_run").join(rooted.join(named, "root").select("fp", "component_id"), "fp")
-    return rows.join(table_, ["fp", "_run"]).select("_own.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table_ = runs.select("fp", "_run").join(shuffled(rooted.join(shuffled(named), "root").select("fp", "component_id")), "fp")
+    return rows.join(shuffled(table_), ["fp", "_run"]).select("_own.*", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: similar_documents: Jaccard similarity as a fraction, the bits in which fingerprints of a cell may differ for their sets to be

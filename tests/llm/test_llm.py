@@ -271,6 +271,26 @@ def test_fingerprints_are_made_of_few_texts_at_once(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
+def plan_run(df):
+    """The plan of a table as it ran in the end."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_grid_of_fingerprints_is_joined_without_a_broadcast(spark, monkeypatch):
+    plans, real = [], simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df, *a: plans.append(plan_run(df)) or real(df, *a))
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp")).union(spark.createDataFrame([(1,), (3,)], "fp long"))
+    found = simhash.links(fps)
+    assert (3, 1) in {(r["a"], r["b"]) for r in found.collect()}
+    assert "SortMergeJoin [cell" in plans[0] and "BroadcastHashJoin" not in plans[0]  # thirty rows for each of a small table
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    out = simhash.near_duplicates(docs)
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 3)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 3
+
+
 def test_near_stage_joins_sets_by_their_fingerprints(spark, monkeypatch):
     import corpus_pipeline
 
