@@ -257,7 +257,7 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     leaders = store(nodes.groupBy("fp").agg(F.min_by(one, "node").alias("one"), F.count(F.lit(1)).alias("_n")))
     same = nodes.join(leaders.where("_n > 1"), "fp").select(one.alias("x"), F.col("one").alias("y"))
     of = lambda end, name: leaders.select(F.col("fp").alias(end), F.col("one").alias(name))
-    met = links(leaders.select("fp"), REACH).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    met = shuffled(links(leaders.select("fp"), REACH)).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
     return as_pairs(same.union(met))
 
 
@@ -271,9 +271,9 @@ def meetings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     short = F.xxhash64("node").alias("_short")
     each = nodes.select(short, F.explode("prefix").alias("h"))
     shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = store(each.join(shared, "h"))
+    met = store(each.join(shuffled(shared), "h"))
     known = nodes.join(roots, "node", "left").select(short, "node", F.coalesce("root", "node").alias("root"), "m", *PARITY)
-    return store(met.join(known, "_short").drop("_short"))
+    return store(met.join(shuffled(known), "_short").drop("_short"))
 
 
 def may_link(x: Column, y: Column) -> Column:
@@ -447,7 +447,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
     rooted = firsts.join(roots, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return rows.select("_own", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("_own.*", "component_id")
+    return rows.select("_own", "node").join(shuffled(rooted.join(shuffled(named), "root").select("node", "component_id")), "node").select("_own.*", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,24 @@ def test_near_stage_joins_sets_by_their_fingerprints(spark, monkeypatch):
     assert len(close) > 20 and all(root.get(a, a) == root.get(b, b) for a, b in close)
 
 
+def test_near_stage_joins_what_it_explodes_without_a_broadcast(spark, monkeypatch):
+    plans, real = [], simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df, *a: plans.append(plan_run(df)) or real(df, *a))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(6))
+    base = [word() for _ in range(299)]
+    rows = [" ".join(base + [word()]) for _ in range(20)]
+    texts = spark.createDataFrame([(t,) for t in rows], "_text string")
+    nodes = real(simhash.described(texts, 5, np.zeros(0, np.int64)))
+    met = simhash.meetings(nodes, spark.createDataFrame([], "node binary, root binary"))
+    assert met.count() > 100 and met.agg(F.max("n")).first()[0] == 20
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) == 2 and "SortMergeJoin [h" in joins[0] and "BroadcastHashJoin" not in joins[0]  # an array counts as one entry
+    assert "SortMergeJoin [_short" in joins[1]
+    pairs = simhash.fingerprint_pairs(nodes.withColumn("root", F.col("node")))
+    assert pairs.count() and "SortMergeJoin [a" in plan_run(pairs)
+
+
 def test_crowded_shingles_list_a_pair_once(spark, monkeypatch):
     rng = random.Random(6)
     base = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(120)]
