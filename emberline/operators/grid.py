@@ -263,15 +263,19 @@ def lookup_month(daily: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
 
 
 def lookup_doy(daily: DataFrame, climatology: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Climatology by day of year, days 1 to 366, absent ones from the nearest present (the earlier on ties): one pass forwards and one backwards over the days of a key."""
-    days = climatology.select(*keys).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(366))))
-    full = days.join(climatology.select(*keys, "doy", F.struct("doy", *values).alias("_v")), [*keys, "doy"], "left")
-    along = Window.partitionBy(*keys).orderBy("doy")
-    before = F.last("_v", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_v", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(F.col("_a").isNull() | (F.col("doy") - F.col("_b.doy") <= F.col("_a.doy") - F.col("doy")), F.col("_b")).otherwise(F.col("_a"))
-    full = full.withColumns({"_b": before, "_a": after}).select(*keys, "doy", near.alias("_v")).select(*keys, "doy", *[F.col(f"_v.{v}").alias(v) for v in values])
-    return daily.join(full, [*keys, "doy"], "left")
+    """Climatology by day of year, days 1 to 366, absent ones from the nearest present (the earlier on ties).
+
+    A present day reaches from half way after the one before, so a row of daily takes the last present day of its key that begins
+    by then: one pass over the rows of both tables, none of which are made for the days between."""
+    present = climatology.where(F.col("doy").between(1, 366)).dropna(subset=keys)
+    before = F.lag("doy").over(Window.partitionBy(*keys).orderBy("doy"))
+    starts = present.withColumn("_from", F.coalesce(F.floor((before + F.col("doy")) / 2) + 1, F.lit(1))).select(*keys, "_from", F.struct(*values).alias("_v"))
+    rows = daily.select(*keys, F.col("doy").alias("_from"), F.struct(*daily.columns).alias("_row"))
+    along = Window.partitionBy(*keys).orderBy("_from", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = starts.unionByName(rows, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(along)).where("_row IS NOT NULL")
+    own = [*keys, "doy", *(c for c in daily.columns if c not in (*keys, "doy"))]
+    found = F.when(F.col("_row")["doy"].between(1, 366), F.col("_v"))
+    return met.select(*[F.col("_row")[c].alias(c) for c in own], *[found[v].alias(v) for v in values])
 
 
 def wrap_lon(lon: Column, highest: Column) -> Column:

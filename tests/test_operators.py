@@ -182,6 +182,19 @@ def test_doy_lookup_takes_the_nearest(spark):
     assert rows(grid.lookup_doy(days, clim, ["cell_id"], ["w"]), "doy") == [(1, 10, 10.0), (1, 366, 360.0)]
 
 
+def test_doy_lookup_makes_no_days_between(spark):
+    present = [(1, 10, 1.0), (1, 21, 2.0), (1, 30, None), (2, 366, 3.0), (3, 0, 9.0), (None, 5, 9.0)]
+    clim = spark.createDataFrame(present, "cell_id long, doy int, w double")
+    asked = [(c, d) for c in (1, 2, 3, None) for d in (None, 0, 1, 10, 15, 16, 25, 26, 366, 367)]
+    days = spark.createDataFrame([(d, c, k) for k, (c, d) in enumerate(asked + asked[:5])], "doy int, cell_id long, k int")
+    out = grid.lookup_doy(days, clim, ["cell_id"], ["w"])
+    assert out.columns == ["cell_id", "doy", "k", "w"] and out.schema["doy"].dataType == days.schema["doy"].dataType
+    own = lambda c, d: [(abs(d - x), x, w) for i, x, w in present if i == c and c in (1, 2)] if d is not None and 1 <= d <= 366 else []
+    want = [(c, d, k, min(own(c, d), key=lambda v: v[:2])[2] if own(c, d) else None) for k, (c, d) in enumerate(asked + asked[:5])]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # 366 rows for each key
+
+
 def test_region_in_two_polygons_and_land(spark):
     cells = spark.createDataFrame([(1, 10.0, 10.0), (2, -70.0, 10.0), (3, 50.0, 50.0)], "cell_id long, lat double, lon double")
     ring = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi)]
